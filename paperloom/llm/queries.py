@@ -75,8 +75,7 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = langid.crc_of("doc_id", 5) == 0
-    labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic").where("toxic IS NOT NULL")
-    model = toxicity.fit(docs.where(~held_out).join(labels, "doc_id"))
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels").where(~held_out))
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

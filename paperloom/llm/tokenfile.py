@@ -16,6 +16,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +36,27 @@ _CHUNK = np.dtype([("at", "<u8"), ("first", "<u8"), ("n", "<u4"), ("kind", "<u4"
 _DOC = np.dtype([("key", "<i8"), ("has_key", "u1"), ("start", "<u8"), ("n", "<u8")])
 
 # A piece begins where the tokenizer's own split must: at the last white space
-# before a word, or at a run of white space that no word follows.
-_PIECES = re.compile(f"[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]?[^{WHITE_SPACE}]+")
+# before a word, at a run of white space that no word follows, and at ASCII
+# punctuation between letters or digits and white space. An apostrophe may begin
+# a contraction, so nothing is cut at one.
+_PUNCTUATION = r"!-&(-/:-@\[-`{-~"
+_PIECES = re.compile(
+    f"[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])"
+    rf"|[{WHITE_SPACE}]?[^\W_]+(?=[{WHITE_SPACE}{_PUNCTUATION}]|\Z)"
+    rf"|[{_PUNCTUATION}]+(?=[{WHITE_SPACE}]|\Z)"
+    f"|[{WHITE_SPACE}]?[^{WHITE_SPACE}]+"
+)
+_SPACES = frozenset(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+#: New pieces encoded as one text.
+JOINED_PIECES = 1000
 CACHE_PIECES = 1_000_000
 
 
+def _slices(data: bytes, begin: np.ndarray) -> Iterator[bytes]:
+    """data cut at the ascending positions begin."""
+    return map(data.__getitem__, map(slice, begin.tolist(), [*begin[1:].tolist(), len(data)]))
+
+
 class ByteCodec:
     """Encoder of a byte-level tokenizer that splits at white space; ids as little-endian bytes."""
 
@@ -59,15 +76,28 @@ class ByteCodec:
         return _PIECES.findall(text)
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text. Pieces met once the cache is full are forgotten after the batch:
+        by then the frequent ones are in it, and what is new rarely returns."""
+        cache = self.cache
         cut = [self.pieces(t) if t else [] for t in texts]
-        pieces = set().union(*cut)
-        new = [p for p in pieces if p not in self.cache]
-        if len(self.cache) + len(new) > CACHE_PIECES:
-            self.cache.clear()
-            new = list(pieces)
-        for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.cache[p] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.cache.__getitem__, c)) for c in cut]
+        new = [p for p in set().union(*cut) if p not in cache]
+        # Pieces that begin, and do not end, with white space stay apart in a joined text.
+        joined = [p for p in new if p[0] in _SPACES and p[-1] not in _SPACES]
+        for at in range(0, len(joined), JOINED_PIECES):
+            some = joined[at : at + JOINED_PIECES]
+            size = np.fromiter(map(len, some), np.int64, len(some))
+            got = self.tokenizer.encode("".join(some), add_special_tokens=False)
+            begin = 4 * np.searchsorted(np.array(got.offsets)[:, 0], np.cumsum(size) - size)
+            cache.update(zip(some, _slices(np.array(got.ids, "<u4").tobytes(), begin)))
+        alone = [p for p in new if p[0] not in _SPACES or p[-1] in _SPACES]
+        ids = [e.ids for e in self.tokenizer.encode_batch(alone, add_special_tokens=False)]
+        flat = np.array(list(chain.from_iterable(ids)), "<u4").tobytes()
+        size = 4 * np.fromiter(map(len, ids), np.int64, len(ids))
+        cache.update(zip(alone, _slices(flat, np.cumsum(size) - size)))
+        out = [b"".join(map(cache.__getitem__, c)) for c in cut]
+        for piece in new[max(0, CACHE_PIECES - len(cache) + len(new)) :]:
+            del cache[piece]
+        return out
 
 
 _codecs: dict[str, ByteCodec] = {}

@@ -87,10 +87,11 @@ def _swaps(words: set[str], groups: Sequence[Sequence[str]], most: int = 4) -> l
 
 
 def fit(
-    labelled: DataFrame,
+    docs: DataFrame,
+    labels: DataFrame,
     text: str = "text",
     label: str = "toxic",
-    order_key: str = "doc_id",
+    key: str = "doc_id",
     sample_rows: int = 6000,
     kept_features: int = 4096,
     penalty: float = 1.0,
@@ -99,22 +100,23 @@ def fit(
 ) -> ToxicityModel:
     """Train on a bounded sample: about sample_rows labelled rows, half of each class.
 
-    Rows are chosen by a hash of order_key. Their features are counted on the
+    Labels are chosen by a hash of their key, and the chosen ones, which are so
+    few at any size, are broadcast to the texts. Features are counted on the
     executors; only feature ids and counts reach the driver. A null label
     teaches nothing; a null text counts as empty. Without rows of both classes
-    the model scores every text by the share of positive rows (0 if none).
+    the model scores every text 1 or 0, whichever was seen.
     """
-    rows = labelled.select(
-        F.col(text).alias("text"), F.col(label).cast("int").alias("y"), F.xxhash64(F.col(order_key)).alias("h")
-    ).where("y IN (0, 1)")
-    n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("y")).where("y IN (0, 1) AND key IS NOT NULL")
+    n = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     empty = np.zeros(0)
     if len(n) < 2:
         return ToxicityModel(empty.astype(np.int32), empty, 30.0 if n.get(1) else -30.0)
     scale = 1 << 30
     share = {y: min(scale, math.ceil(scale * (sample_rows / 2) / c)) for y, c in n.items()}
     limit = F.when(F.col("y") == 1, F.lit(share[1])).otherwise(F.lit(share[0]))
-    sample = rows.where(F.pmod("h", F.lit(scale)) < limit)
+    chosen = known.where(F.pmod(F.xxhash64("key"), F.lit(scale)) < limit)
+    rows = docs.select(F.col(text).alias("text"), F.col(key).alias("key"))
+    sample = rows.join(F.broadcast(chosen), "key").select("text", "y", F.xxhash64("key").alias("h"))
 
     terms = [list(g) for g in groups]
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, langid, suffixes, tokenfile, toxicity
+from . import bpe, decontamination, jaccard, langid, suffixes, tokenfile, toxicity
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +80,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return jaccard.groups(docs, k=5, percent=80).select("doc_id", "n_shingles", "component_id")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_token_files": op2_token_files,
@@ -88,6 +93,7 @@ def queries() -> dict[str, Query]:
         "op6_language_id": op6_language_id,
         "op7_bpe_round_trip": op7_bpe_round_trip,
         "op8_toxicity": op8_toxicity,
+        "op9_ngram_jaccard": op9_ngram_jaccard,
     }
 
 

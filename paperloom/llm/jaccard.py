@@ -414,7 +414,8 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id",
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each group: that of the smallest key, and of its text's smallest hash."""
     found = groups(docs, k, percent, key, text)
-    first = found.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(key).agg(F.min("text_hash").alias("_hash")).withColumnRenamed(key, "_key")
-    numbered = docs.withColumn("_hash_of", text_hash(text))
-    joined = numbered.join(first, numbered[key].eqNullSafe(F.col("_key")) & (F.col("_hash_of") == F.col("_hash")), "left_semi")
-    return joined.drop("_hash_of").dropDuplicates([key])
+    none = F.lit(-(1 << 63))  # stands for a null key, so that both sides are dealt by plain columns
+    first = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.coalesce(F.col(key).cast("long"), none).alias("_key"), F.col("text_hash").alias("_hash"))
+    first = first.groupBy("_key").agg(F.min("_hash").alias("_hash"))
+    dealt = docs.withColumns({"_key": F.coalesce(F.col(key).cast("long"), none), "_hash": text_hash(text)})
+    return dealt.join(first, ["_key", "_hash"], "left_semi").dropDuplicates(["_key", "_hash"]).select(*docs.columns)

@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, jaccard, langid, suffixes, tokenfile, toxicity
+from . import bpe, decontamination, embeddings, jaccard, langid, suffixes, tokenfile, toxicity, warc
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return tokenfile.write_and_read(docs, "byte_bpe_50k.json", end_id=2)
@@ -20,7 +24,7 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = suffixes.remove_repeats(docs, threshold=100)
+    found = suffixes.remove_repeats(docs, threshold=100, kept=None)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
@@ -85,8 +89,24 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.groups(docs, k=5, percent=80).select("doc_id", "n_shingles", "component_id")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.write_and_read(read_table(spark, sf_dir, "pages"))
+
+
+OP10_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha256(payload) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS response FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> response THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> response THEN response END AS refers_to
+FROM f
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op1_embedding_near_duplicates": op1_embedding_near_duplicates,
         "op2_token_files": op2_token_files,
         "op4_repeated_strings": op4_repeated_strings,
         "op5_decontamination": op5_decontamination,
@@ -94,8 +114,9 @@ def queries() -> dict[str, Query]:
         "op7_bpe_round_trip": op7_bpe_round_trip,
         "op8_toxicity": op8_toxicity,
         "op9_ngram_jaccard": op9_ngram_jaccard,
+        "op10_warc": op10_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": OP5_SQL}
+    return {"op5_decontamination": OP5_SQL, "op10_warc": OP10_SQL}

@@ -239,8 +239,13 @@ def _compare_hot(stretches: DataFrame, parts: int, threshold: int) -> DataFrame:
     return _pass(keys, parts, differing=False).select("d", "h", "lo", F.col("lo").alias("last"))
 
 
-def remove_repeats(docs: DataFrame, threshold: int = 100, key: str = "doc_id", text: str = "text", max_group: int = MAX_GROUP) -> DataFrame:
-    """docs with n_bytes, n_removed, n_spans, kept (bytes) and kept_sha256; such columns are replaced.
+def remove_repeats(
+    docs: DataFrame, threshold: int = 100, key: str = "doc_id", text: str = "text", kept: str | None = "bytes", max_group: int = MAX_GROUP
+) -> DataFrame:
+    """docs with n_bytes, n_removed, n_spans, kept_sha256, and kept; such columns are replaced.
+
+    kept is what is left as "bytes", as "text" (without the characters that a
+    cut went through), or not given (None).
 
     Removed is every byte covered by a string of ``threshold`` bytes that also
     starts earlier: in a document of smaller key, or in the same one before.
@@ -250,7 +255,7 @@ def remove_repeats(docs: DataFrame, threshold: int = 100, key: str = "doc_id", t
     and texts shorter than the threshold are kept whole.
     """
     small_batches(docs.sparkSession)
-    made = ["n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"]
+    made = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     docs = docs.drop(*made)
     original = docs.schema.fields
     keyed = docs.select(
@@ -275,20 +280,24 @@ def remove_repeats(docs: DataFrame, threshold: int = 100, key: str = "doc_id", t
     spans = whole.unionByName(windows.select("d", "h", F.struct("lo", "last").alias("span")))
     spans = spans.groupBy("d", "h").agg(F.collect_list("span").alias("spans"))
     joined = keyed.join(spans.hint("shuffle_hash"), ["d", "h"], "left").select("row", "text", "spans")
-    schema = T.StructType([*original, *T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string").fields])
+    ddl = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + {None: "", "bytes": ", kept binary", "text": ", kept string"}[kept]
+    schema = T.StructType([*original, *T.StructType.fromDDL(ddl).fields])
     names = schema.names
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary() if kept == "bytes" else pa.string())[: len(names) - len(original)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_removed(t, s, threshold) for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            found = []
+            for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                *counts, left = _removed(t, s, threshold)
+                found.append((*counts, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if kept == "text" else left))
             cols: Sequence = list(zip(*found)) if found else [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
             yield pa.RecordBatch.from_arrays([*batch.column(0).flatten(), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=names)
 
     return joined.mapInArrow(run, schema)
 
 
-def _removed(text: str | None, spans: list[dict] | None, threshold: int) -> tuple[int, int, int, bytes, str]:
+def _removed(text: str | None, spans: list[dict] | None, threshold: int) -> tuple[int, int, int, bytes]:
     data = _data(text)
     edge = np.zeros(len(data) + 1, np.int64)
     runs = Runs(data, threshold)
@@ -303,6 +312,5 @@ def _removed(text: str | None, spans: list[dict] | None, threshold: int) -> tupl
     np.add.at(edge, np.concatenate(lo), 1)
     np.add.at(edge, np.concatenate(last) + threshold, -1)
     gone = np.cumsum(edge)[:-1] > 0
-    kept = data[~gone].tobytes()
     spans_n = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-    return len(data), int(gone.sum()), spans_n, kept, hashlib.sha256(kept).hexdigest()
+    return len(data), int(gone.sum()), spans_n, data[~gone].tobytes()

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of one Arrow batch. Texts can be long, so a batch must not hold many.
-BATCH_ROWS = 500
+#: Rows and bytes of one Arrow batch: narrow rows go many at a time, long texts few.
+BATCH_ROWS, BATCH_BYTES = 10_000, 2_000_000
 
 _local_dir: list[str] = []
 
@@ -43,6 +43,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch can hold."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def fields_of(ddl: str) -> list[T.StructField]:

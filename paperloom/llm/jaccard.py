@@ -7,11 +7,16 @@
    common last. Linked sets share one of their first few n-grams in any such
    order (the prefix filter), so each node is filed under those; the order
    keeps lists short where many documents share a passage.
-3. Each node is verified first against the node that it shares most lists with.
-   Groups of near copies become components by that, at one pair a member.
+3. Each node is verified first against the node of its lists' pivots that it
+   shares most lists with, in a few turns with other pivots. Groups of near
+   copies become components by that, at one pair a member and turn.
 4. Of the nodes that share a list but no component, all pairs are counted over
    their lists, and those that share enough for their sizes are verified.
 
+Pairs pass a filter before: the parities of a set's members in 1024 buckets
+differ between two sets in no more bits than their members do, which bounds the
+overlap from above, at 128 bytes a set.
+
 Verification is a prefix-tree join: the sets to be compared with one set are
 ordered as in a trie, which is traversed with the overlaps of shared prefixes
 computed once, and subtrees whose remaining lengths cannot reach the needed
@@ -37,6 +42,9 @@ _U = np.uint64
 BUCKET_BITS, SLICE_BITS = 22, 16
 #: Sets verified against one other set in one go.
 BLOCK_SETS = 256
+PARITY_BITS = 1024
+#: Turns of verification against pivots before the rest is compared pair by pair.
+TURNS = 3
 
 _words = Rolling(3, fold_case=True)
 _SPACE = np.zeros(256, bool)
@@ -68,15 +76,20 @@ def node_of(found: np.ndarray) -> int:
     return int(mix(np.array([mix(found ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U) + _U(len(found))], _U)).view(np.int64)[0])
 
 
+def parities(found: np.ndarray) -> bytes:
+    """Whether the members in each of PARITY_BITS buckets are odd in number."""
+    return np.packbits(np.bincount((found >> _U(54)).astype(np.int64), minlength=PARITY_BITS) & 1).tobytes()
+
+
 def _needed(n: np.ndarray | int, percent: int):
     """Fewest common members of a set of n and any set linked with it."""
     return -(-percent * n // 100)
 
 
 def _scan(docs: DataFrame, k: int) -> DataFrame:
-    """A row of (d, h, node, n) for each document, and each task's bucket counts in slices."""
-    schema = "d long, h long, node long, n int, slice int, counts binary"
-    names = ["d", "h", "node", "n", "slice", "counts"]
+    """A row of (d, h, node, n, parity) for each document, and each task's bucket counts in slices."""
+    schema = "d long, h long, node long, n int, parity binary, slice int, counts binary"
+    names = ["d", "h", "node", "n", "parity", "slice", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BUCKET_BITS, np.uint32)
@@ -88,14 +101,14 @@ def _scan(docs: DataFrame, k: int) -> DataFrame:
             m = len(sets)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()),
-                 pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names,
+                 pa.array([parities(s) for s in sets], pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names,
             )
         if total.any():
             coder = zstandard.ZstdCompressor(level=1)
             cut = [coder.compress(c.tobytes()) for c in total.reshape(-1, 1 << SLICE_BITS)]
             none = pa.nulls(len(cut), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [none, none, none, pa.nulls(len(cut), pa.int32()), pa.array(range(len(cut)), pa.int32()), pa.array(cut, pa.binary())], names=names
+                [none, none, none, pa.nulls(len(cut), pa.int32()), pa.nulls(len(cut), pa.binary()), pa.array(range(len(cut)), pa.int32()), pa.array(cut, pa.binary())], names=names
             )
 
     return docs.select("d", "h", "text").mapInArrow(run, schema)
@@ -164,7 +177,7 @@ def _prefixes(docs: DataFrame, k: int, percent: int, rank) -> DataFrame:
 
 
 def _shared(prefixes: DataFrame, parts: int) -> DataFrame:
-    """The rows of lists that hold several nodes, without repeats, with the list's smallest node as pivot.
+    """The rows of lists that hold several nodes, without repeats.
 
     Rows stream past in order; a list costs no memory however long it is.
     """
@@ -195,11 +208,38 @@ def _shared(prefixes: DataFrame, parts: int) -> DataFrame:
             last = (rows[:, h].copy(), rows[:, -1].copy(), passed)
             if keep.any():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram[keep]), pa.array(node[keep]), pa.array(rows[2][keep]), pa.array(node[head[keep]]), pa.array(rows[2][head[keep]])],
-                    names=["gram", "node", "n", "pivot", "pivot_n"],
+                    [pa.array(gram[keep]), pa.array(node[keep]), pa.array(rows[2][keep])], names=["gram", "node", "n"]
                 )
 
-    return ordered.mapInArrow(run, "gram long, node long, n long, pivot long, pivot_n long")
+    return ordered.mapInArrow(run, "gram long, node long, n long")
+
+
+def _stars(rows: DataFrame, parts: int, percent: int, turn: int) -> DataFrame:
+    """(a, b): for each node b the pivot a that it shares most lists with.
+
+    A list's pivot is the node of the root that comes first in an order of this
+    turn's; nodes of its root, and those too small or large for a link, have no
+    pair there. Rows stream past the pivot's row, however long a list is.
+    """
+    ordered = rows.withColumn("turn", F.xxhash64("root", F.lit(turn))).repartition(parts, "gram").sortWithinPartitions("gram", "turn", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            if pivot is not None:
+                cols = np.concatenate([pivot[:, None], cols], axis=1)
+            gram, node, n, root = cols
+            head = np.maximum.accumulate(np.where(np.r_[True, gram[1:] != gram[:-1]], np.arange(len(gram)), 0))
+            ok = (root != root[head]) & (n * percent <= n[head] * 100) & (n[head] * percent <= n * 100)
+            if ok.any():
+                yield pa.RecordBatch.from_arrays([pa.array(node[head[ok]]), pa.array(node[ok])], names=["a", "b"])
+            pivot = cols[:, head[-1]].copy()
+
+    pairs = ordered.select("gram", "node", "n", "root").mapInArrow(run, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("common"))
+    return pairs.groupBy("b").agg(F.max_by("a", F.struct("common", "a")).alias("a")).select("a", "b")
 
 
 def _cross_pairs(rows: DataFrame, parts: int, percent: int) -> DataFrame:
@@ -287,28 +327,27 @@ def trie_links(one: np.ndarray, others: list[np.ndarray], percent: int) -> list[
     return out
 
 
-def _sets(docs: DataFrame, wanted: np.ndarray, k: int) -> DataFrame:
-    """(node, members) of the documents whose node's bucket is wanted."""
-    flags = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted))
+def _plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and parities don't rule out."""
+    side = nodes.select("node", "n", "parity")
+    for end in ("a", "b"):
+        pairs = pairs.join(side.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("parity").alias(f"p{end}")), end)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(flags.value)
         for batch in batches:
-            seen: dict[int, bytes] = {}
-            for text in batch.column(0).to_pylist():
-                found = shingles(text, k)
-                if len(found):
-                    node = node_of(found)
-                    if bits[node & ((1 << BUCKET_BITS) - 1)]:
-                        seen[node] = found.tobytes()
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.int64()), pa.array(seen.values(), pa.binary())], names=["node", "members"])
+            if not batch.num_rows:
+                continue
+            pa_, pb = (np.frombuffer(b"".join(batch.column(k).to_pylist()), _U).reshape(batch.num_rows, -1) for k in (4, 5))
+            both = sum(batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (2, 3))
+            apart = np.bitwise_count(pa_ ^ pb).sum(axis=1, dtype=np.int64)
+            ok = pa.array((both - apart) * (100 + percent) >= 2 * percent * both)
+            yield batch.select(["a", "b"]).filter(ok)
 
-    return docs.select("text").mapInArrow(run, "node long, members binary")
+    return pairs.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long")
 
 
-def _flags(nodes: DataFrame) -> np.ndarray:
-    """Which buckets of a fixed number some node falls into."""
+def _flags(keys: DataFrame) -> np.ndarray:
+    """Which of a fixed number of buckets some key falls into."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BUCKET_BITS, np.uint32)
@@ -319,16 +358,36 @@ def _flags(nodes: DataFrame) -> np.ndarray:
             cut = [coder.compress(c.tobytes()) for c in total.reshape(-1, 1 << SLICE_BITS)]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(cut)), pa.int32()), pa.array(cut, pa.binary())], names=["slice", "counts"])
 
-    return _sum_slices(nodes.mapInArrow(run, "slice int, counts binary")) > 0
+    return _sum_slices(keys.mapInArrow(run, "slice int, counts binary")) > 0
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(node, members) of wanted nodes, each with the hash h of a text that has its set.
+
+    Texts are scanned where they lie: a table of flags of fixed size tells the
+    scan which may be wanted, and only their sets are dealt out.
+    """
+    flags = docs.sparkSession.sparkContext.broadcast(np.packbits(_flags(wanted.select("h"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(flags.value)
+        for batch in batches:
+            maybe = bits[batch.column(0).to_numpy(zero_copy_only=False) & ((1 << BUCKET_BITS) - 1)]
+            seen: dict[int, bytes] = {}
+            for i in np.flatnonzero(maybe):
+                found = shingles(batch.column(1)[int(i)].as_py(), k)
+                if len(found):
+                    seen[node_of(found)] = found.tobytes()
+            if seen:
+                yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.int64()), pa.array(seen.values(), pa.binary())], names=["node", "members"])
+
+    found = docs.select("h", "text").mapInArrow(run, "node long, members binary")
+    found = found.join(wanted.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("members").alias("members"))
+    return materialise(found, "sets")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, parts: int) -> DataFrame:
-    """Those of the pairs (a, b) that are linked."""
-    pairs = materialise(pairs.select("a", "b"), "pairs")
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
-    sets = _sets(docs, _flags(ends), k)
-    sets = sets.join(ends.distinct(), "node", "left_semi").groupBy("node").agg(F.first("members").alias("members"))
-    sets = materialise(sets, "sets")
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Those of the pairs (a, b) that are linked, as (a, b)."""
     blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK_SETS).alias("blocks"))
     dealt = pairs.join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), "blocks").alias("block"), "b")
     left = dealt.select("a", "block").distinct().join(sets, F.col("a") == F.col("node")).select("a", "block", F.lit(None).cast("long").alias("b"), "members")
@@ -376,31 +435,47 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id",
     parts = shuffle_partitions(keyed)
     scanned = materialise(_scan(keyed, k), "ngram-scan")
     rows = scanned.where("slice IS NULL").select("d", "h", "node", "n")
+    nodes = scanned.where("slice IS NULL AND n > 0").groupBy("node").agg(F.min("h").alias("h"), F.first("n").alias("n"), F.first("parity").alias("parity"))
+    nodes = materialise(nodes, "ngram-nodes")
     counted = _sum_slices(scanned.where("slice IS NOT NULL").select("slice", "counts"))
     total = rows.agg(F.sum("n")).first()[0] or 0
     # Buckets beyond twice the mean and a margin hold common n-grams.
     usual = 4 * np.log2(2 * total / (1 << BUCKET_BITS) + 64)
     rank = spark.sparkContext.broadcast(np.maximum(counted - usual, 0).astype(np.uint8))
-
     lists = materialise(_shared(_prefixes(keyed, k, percent, rank), parts), "ngram-lists")
-    # The node that each node shares most lists with, if sizes allow a link.
-    star = lists.where("node <> pivot").where(F.col("n") * percent <= F.col("pivot_n") * 100).where(F.col("pivot_n") * percent <= F.col("n") * 100)
-    star = star.groupBy("pivot", "node").agg(F.count("*").alias("common"))
-    star = star.groupBy("node").agg(F.max_by("pivot", F.struct("common", "pivot")).alias("a"), F.max("common").alias("common"))
-    star = star.select("a", F.col("node").alias("b"))
-    near = components(_verified(star, keyed, k, percent, parts))
-
-    rooted = lists.select("gram", "node", "n").join(near, "node", "left").select("gram", "node", "n", F.coalesce("root", "node").alias("root"))
-    pairs = _cross_pairs(rooted, parts, percent).groupBy("a", "b").agg(F.count("*").alias("common"), F.first("na").alias("na"), F.first("nb").alias("nb"))
 
-    def rest(n: str):
+    def with_roots(found: DataFrame) -> DataFrame:
+        return found.join(near, "node", "left").select("gram", "node", "n", F.coalesce("root", "node").alias("root"))
+
+    def wanted(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        return materialise(ends.join(nodes, "node").select("node", "h"), "wanted")
+
+    star = _stars(lists.withColumn("root", F.col("node")), parts, percent, 0)
+    star = materialise(_plausible(star, nodes, percent), "pairs")
+    first = wanted(star)
+    sets = _sets(keyed, first, k)
+    near = components(_verified(star, sets, percent, parts))
+    known = lists.join(first.select("node"), "node", "left_semi")
+    for turn in range(1, TURNS):
+        star = materialise(_plausible(_stars(with_roots(known), parts, percent, turn), nodes, percent), "pairs")
+        if star.isEmpty():
+            break
+        found = _verified(star, sets, percent, parts).unionByName(near.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        near = components(found)
+
+    pairs = _cross_pairs(with_roots(lists), parts, percent).groupBy("a", "b").agg(F.count("*").alias("common"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+
+    def beyond(n: str):
         """Members that are not in the prefix."""
         return F.ceil(F.col(n) * percent / 100) - 1
 
     # Common members are in both prefixes, or beyond the prefix that ends first.
-    pairs = pairs.where((F.col("common") + F.greatest(rest("na"), rest("nb"))) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
-    far = _verified(pairs, keyed, k, percent, parts)
-    roots = components(near.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(far.select("a", "b")))
+    pairs = pairs.where((F.col("common") + F.greatest(beyond("na"), beyond("nb"))) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
+    pairs = materialise(_plausible(pairs.select("a", "b"), nodes, percent), "pairs")
+    rest = wanted(pairs).join(sets.select("node"), "node", "left_anti")
+    far = _verified(pairs, sets.unionByName(_sets(keyed, materialise(rest, "wanted"), k)), percent, parts)
+    roots = components(near.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(far))
 
     member = rows.join(roots, "node", "left").select("d", "h", "n", F.when(F.col("n") > 0, F.coalesce("root", "node")).alias("root"))
     least = member.where("n > 0").groupBy("root").agg(F.min("d").alias("least"), F.count("*").alias("size"))

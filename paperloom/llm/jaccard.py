@@ -7,15 +7,14 @@
    common last. Linked sets share one of their first few n-grams in any such
    order (the prefix filter), so each node is filed under those; the order
    keeps lists short where many documents share a passage.
-3. Each node is verified first against the node of its lists' pivots that it
-   shares most lists with, in a few turns with other pivots. Groups of near
-   copies become components by that, at one pair a member and turn.
-4. Of the nodes that share a list but no component, all pairs are counted over
-   their lists, and those that share enough for their sizes are verified.
-
-Pairs pass a filter before: the parities of a set's members in 1024 buckets
-differ between two sets in no more bits than their members do, which bounds the
-overlap from above, at 128 bytes a set.
+3. Sets carry the parities of their members in 512 buckets. Two sets differ in
+   no more parities than members, which bounds their overlap from above at 64
+   bytes a set. In a few turns over an eighth of the lists each, every node is
+   verified against its nearest list mate by that measure: groups of near copies
+   become components at one pair a member, however large they are.
+4. In all lists that hold several components, all pairs of different ones are
+   put to the bound where they meet, and only those that it lets pass are
+   emitted and verified. So no link is missed, and few pairs move.
 
 Verification is a prefix-tree join: the sets to be compared with one set are
 ordered as in a trie, which is traversed with the overlaps of shared prefixes
@@ -35,16 +34,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytehash import Rolling, mix
-from .common import materialise, shuffle_partitions, small_batches, text_hash
+from .common import bucketed, materialise, shuffle_partitions, small_batches, text_hash
 from .components import components
 
 _U = np.uint64
 BUCKET_BITS, SLICE_BITS = 22, 16
 #: Sets verified against one other set in one go.
 BLOCK_SETS = 256
-PARITY_BITS = 1024
-#: Turns of verification against pivots before the rest is compared pair by pair.
-TURNS = 3
+PARITY_BITS = 512
+#: Turns over a share of the lists before all are searched, and one over that share.
+TURNS, TURN_LISTS = 2, 8
 
 _words = Rolling(3, fold_case=True)
 _SPACE = np.zeros(256, bool)
@@ -78,7 +77,7 @@ def node_of(found: np.ndarray) -> int:
 
 def parities(found: np.ndarray) -> bytes:
     """Whether the members in each of PARITY_BITS buckets are odd in number."""
-    return np.packbits(np.bincount((found >> _U(54)).astype(np.int64), minlength=PARITY_BITS) & 1).tobytes()
+    return np.packbits(np.bincount((found >> _U(55)).astype(np.int64), minlength=PARITY_BITS) & 1).tobytes()
 
 
 def _needed(n: np.ndarray | int, percent: int):
@@ -214,79 +213,104 @@ def _shared(prefixes: DataFrame, parts: int) -> DataFrame:
     return ordered.mapInArrow(run, "gram long, node long, n long")
 
 
-def _stars(rows: DataFrame, parts: int, percent: int, turn: int) -> DataFrame:
-    """(a, b): for each node b the pivot a that it shares most lists with.
+def _list_pairs(rows: DataFrame, parts: int, percent: int, nearest: bool) -> DataFrame:
+    """Plausible pairs of nodes of one list and different roots: a, b, apart.
 
-    A list's pivot is the node of the root that comes first in an order of this
-    turn's; nodes of its root, and those too small or large for a link, have no
-    pair there. Rows stream past the pivot's row, however long a list is.
+    Plausible are pairs whose sizes and parities allow a link. With nearest, each
+    node's nearest only, as b. Input: gram, node, n, root, parity. A list is
+    compared in blocks; its rows are held, 100 bytes each.
     """
-    ordered = rows.withColumn("turn", F.xxhash64("root", F.lit(turn))).repartition(parts, "gram").sortWithinPartitions("gram", "turn", "node")
+    ordered = rows.repartition(parts, "gram").sortWithinPartitions("gram", "n", "node").select("gram", "node", "n", "root", "parity")
+    block = 64
+
+    def pairs(node: np.ndarray, n: np.ndarray, root: np.ndarray, parity: np.ndarray) -> tuple[np.ndarray, ...]:
+        best = np.full(len(node), 1 << 30)
+        mate = np.zeros(len(node), np.int64)
+        found: list[tuple] = []
+        for at in range(0, len(node), block):
+            a = np.arange(at, min(at + block, len(node)))
+            # Sizes ascend, so partners of a row end where sizes exceed its reach.
+            b = np.arange(at, int(np.searchsorted(n, n[a[-1]] * 100 // percent, side="right")))
+            both = n[a][:, None] + n[b][None, :]
+            apart = np.bitwise_count(parity[a][:, None, :] ^ parity[b][None, :, :]).sum(axis=2, dtype=np.int64)
+            ok = (b[None, :] > a[:, None]) & (root[a][:, None] != root[b][None, :]) & (n[b][None, :] * percent <= n[a][:, None] * 100)
+            ok &= (both - apart) * (100 + percent) >= 2 * percent * both
+            if not ok.any():
+                continue
+            if not nearest:
+                i, j = np.nonzero(ok)
+                found.append((node[a[i]], node[b[j]], apart[i, j]))
+                continue
+            far = np.where(ok, apart * 10_000 // both, 1 << 30)
+            for mine, others, d, m in ((a, b, far.min(axis=1), far.argmin(axis=1)), (b, a, far.min(axis=0), far.argmin(axis=0))):
+                less = d < best[mine]
+                best[mine[less]] = d[less]
+                mate[mine[less]] = others[m[less]]
+        if nearest:
+            hit = np.flatnonzero(best < 1 << 30)
+            found.append((node[mate[hit]], node[hit], best[hit]))
+        return tuple(np.concatenate(c) for c in zip(*found)) if found else ()
+
+    def lists(cols: list[np.ndarray], parity: np.ndarray) -> Iterator[pa.RecordBatch]:
+        gram, node, n, root = cols
+        bounds = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1], True])
+        out = []
+        for lo, hi in zip(bounds[:-1], bounds[1:]):
+            if hi - lo > 1 and (root[lo:hi] != root[lo]).any() and (got := pairs(node[lo:hi], n[lo:hi], root[lo:hi], parity[lo:hi])):
+                out.append(got)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["a", "b", "apart"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivot = None
+        held: list[np.ndarray] = [np.zeros(0, np.int64)] * 4
+        marks = np.zeros((0, PARITY_BITS // 64), _U)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-            if pivot is not None:
-                cols = np.concatenate([pivot[:, None], cols], axis=1)
-            gram, node, n, root = cols
-            head = np.maximum.accumulate(np.where(np.r_[True, gram[1:] != gram[:-1]], np.arange(len(gram)), 0))
-            ok = (root != root[head]) & (n * percent <= n[head] * 100) & (n[head] * percent <= n * 100)
-            if ok.any():
-                yield pa.RecordBatch.from_arrays([pa.array(node[head[ok]]), pa.array(node[ok])], names=["a", "b"])
-            pivot = cols[:, head[-1]].copy()
+            held = [np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns)]
+            marks = np.concatenate([marks, np.frombuffer(b"".join(batch.column(4).to_pylist()), _U).reshape(batch.num_rows, -1)])
+            cut = int(np.flatnonzero(held[0] != held[0][-1])[-1]) + 1 if held[0][0] != held[0][-1] else 0  # the last list may go on
+            if cut:
+                yield from lists([h[:cut] for h in held], marks[:cut])
+                held, marks = [h[cut:] for h in held], marks[cut:]
+        if len(marks):
+            yield from lists(held, marks)
 
-    pairs = ordered.select("gram", "node", "n", "root").mapInArrow(run, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("common"))
-    return pairs.groupBy("b").agg(F.max_by("a", F.struct("common", "a")).alias("a")).select("a", "b")
+    found = ordered.mapInArrow(run, "a long, b long, apart long")
+    if nearest:
+        return found.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _cross_pairs(rows: DataFrame, parts: int, percent: int) -> DataFrame:
-    """Pairs of nodes of one list, of different roots and of sizes that allow a link: a, na, b, nb.
-
-    A list's pairs are made in blocks; lists are short but where documents are
-    nearly all common n-grams, and their near copies have been joined before.
-    """
-    ordered = rows.repartition(parts, "gram").sortWithinPartitions("gram", "n", "node")
-    names = ["a", "na", "b", "nb"]
-
-    def pairs(node: np.ndarray, n: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if root.min() == root.max():
-            return
-        for at in range(0, len(node), 512):
-            a = np.arange(at, min(at + 512, len(node)))
-            # Sizes ascend, so partners of a row end where sizes exceed its reach.
-            end = int(np.searchsorted(n, n[a[-1]] * 100 // percent, side="right"))
-            b = np.arange(at, end)
-            ok = (b[None, :] > a[:, None]) & (root[b][None, :] != root[a][:, None]) & (n[b][None, :] * percent <= n[a][:, None] * 100)
-            i, j = np.nonzero(ok)
-            if len(i):
-                i, j = a[i], b[j]
-                swap = node[i] > node[j]
-                x, y = np.where(swap, j, i), np.where(swap, i, j)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (node[x], n[x], node[y], n[y])], names=names)
+def _several_roots(rows: DataFrame, parts: int) -> DataFrame:
+    """The rows of lists that hold several roots; rows stream past, roots of a list are in order."""
+    ordered = rows.repartition(parts, "gram").sortWithinPartitions("gram", "root").select("gram", "node", "n", "root")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((4, 0), np.int64)
+        held: list[pa.RecordBatch] = []  # rows of the last list while they have one root only
+        gram = root = None
+        several = False
         for batch in batches:
-            held = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])], axis=1)
-            if not held.shape[1]:
+            if not batch.num_rows:
                 continue
-            cut = int(np.searchsorted(held[0], held[0][-1]))  # the last list may go on
-            yield from lists(held[:, :cut])
-            held = held[:, cut:]
-        yield from lists(held)
-
-    def lists(block: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if not block.shape[1]:
-            return
-        bounds = np.flatnonzero(np.r_[True, block[0][1:] != block[0][:-1], True])
-        for lo, hi in zip(bounds[:-1], bounds[1:]):
-            if hi - lo > 1:
-                yield from pairs(block[1, lo:hi], block[2, lo:hi], block[3, lo:hi])
+            g, r = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 3))
+            bounds = np.flatnonzero(np.r_[True, g[1:] != g[:-1], True])
+            keep = np.zeros(len(g), bool)
+            for lo, hi in zip(bounds[:-1], bounds[1:]):
+                if g[lo] != gram:
+                    held, several, gram, root = [], False, g[lo], r[lo]
+                if not several and (r[lo] != root or r[lo] != r[hi - 1]):
+                    several = True
+                    yield from held
+                    held = []
+                if several:
+                    keep[lo:hi] = True
+                elif hi == len(g):
+                    held.append(batch.slice(lo, hi - lo))
+            if keep.any():
+                yield batch.filter(pa.array(keep))
 
-    return ordered.select("gram", "node", "n", "root").mapInArrow(run, "a long, na long, b long, nb long")
+    return ordered.mapInArrow(run, "gram long, node long, n long, root long")
 
 
 def trie_links(one: np.ndarray, others: list[np.ndarray], percent: int) -> list[int]:
@@ -327,25 +351,6 @@ def trie_links(one: np.ndarray, others: list[np.ndarray], percent: int) -> list[
     return out
 
 
-def _plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that sizes and parities don't rule out."""
-    side = nodes.select("node", "n", "parity")
-    for end in ("a", "b"):
-        pairs = pairs.join(side.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("parity").alias(f"p{end}")), end)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            pa_, pb = (np.frombuffer(b"".join(batch.column(k).to_pylist()), _U).reshape(batch.num_rows, -1) for k in (4, 5))
-            both = sum(batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (2, 3))
-            apart = np.bitwise_count(pa_ ^ pb).sum(axis=1, dtype=np.int64)
-            ok = pa.array((both - apart) * (100 + percent) >= 2 * percent * both)
-            yield batch.select(["a", "b"]).filter(ok)
-
-    return pairs.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long")
-
-
 def _flags(keys: DataFrame) -> np.ndarray:
     """Which of a fixed number of buckets some key falls into."""
 
@@ -383,7 +388,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
     found = docs.select("h", "text").mapInArrow(run, "node long, members binary")
     found = found.join(wanted.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("members").alias("members"))
-    return materialise(found, "sets")
+    return bucketed(found, "node", int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
@@ -444,37 +449,32 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id",
     rank = spark.sparkContext.broadcast(np.maximum(counted - usual, 0).astype(np.uint8))
     lists = materialise(_shared(_prefixes(keyed, k, percent, rank), parts), "ngram-lists")
 
-    def with_roots(found: DataFrame) -> DataFrame:
-        return found.join(near, "node", "left").select("gram", "node", "n", F.coalesce("root", "node").alias("root"))
-
-    def wanted(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        return materialise(ends.join(nodes, "node").select("node", "h"), "wanted")
-
-    star = _stars(lists.withColumn("root", F.col("node")), parts, percent, 0)
-    star = materialise(_plausible(star, nodes, percent), "pairs")
-    first = wanted(star)
-    sets = _sets(keyed, first, k)
-    near = components(_verified(star, sets, percent, parts))
-    known = lists.join(first.select("node"), "node", "left_semi")
-    for turn in range(1, TURNS):
-        star = materialise(_plausible(_stars(with_roots(known), parts, percent, turn), nodes, percent), "pairs")
-        if star.isEmpty():
-            break
-        found = _verified(star, sets, percent, parts).unionByName(near.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    marks = nodes.select("node", "parity")
+    ends = lambda pairs: pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+
+    def sets_of(found: DataFrame) -> DataFrame:
+        return _sets(keyed, materialise(found.join(nodes, "node").select("node", "h"), "wanted"), k)
+
+    near = sets = None
+    for turn in range(TURNS):
+        some = lists.where(F.pmod(F.xxhash64("gram"), F.lit(TURN_LISTS)) == turn)
+        if near is None:
+            rooted = some.withColumn("root", F.col("node"))
+        else:
+            rooted = some.join(sets.select("node"), "node", "left_semi").join(near, "node", "left").select("gram", "node", "n", F.coalesce("root", "node").alias("root"))
+        pairs = materialise(_list_pairs(rooted.join(marks, "node"), parts, percent, nearest=True), "pairs")
+        if sets is None:
+            sets = sets_of(ends(pairs))
+        found = _verified(pairs, sets, percent, parts)
+        if near is not None:
+            found = found.unionByName(near.select(F.col("node").alias("a"), F.col("root").alias("b")))
         near = components(found)
 
-    pairs = _cross_pairs(with_roots(lists), parts, percent).groupBy("a", "b").agg(F.count("*").alias("common"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-
-    def beyond(n: str):
-        """Members that are not in the prefix."""
-        return F.ceil(F.col(n) * percent / 100) - 1
-
-    # Common members are in both prefixes, or beyond the prefix that ends first.
-    pairs = pairs.where((F.col("common") + F.greatest(beyond("na"), beyond("nb"))) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
-    pairs = materialise(_plausible(pairs.select("a", "b"), nodes, percent), "pairs")
-    rest = wanted(pairs).join(sets.select("node"), "node", "left_anti")
-    far = _verified(pairs, sets.unionByName(_sets(keyed, materialise(rest, "wanted"), k)), percent, parts)
+    rooted = lists.join(near, "node", "left").select("gram", "node", "n", F.coalesce("root", "node").alias("root"))
+    pairs = _list_pairs(_several_roots(rooted, parts).join(marks, "node"), parts, percent, nearest=False)
+    pairs = materialise(pairs, "pairs")
+    rest = sets_of(ends(pairs).join(sets.select("node"), "node", "left_anti"))
+    far = _verified(pairs, sets.unionByName(rest), percent, parts)
     roots = components(near.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(far))
 
     member = rows.join(roots, "node", "left").select("d", "h", "n", F.when(F.col("n") > 0, F.coalesce("root", "node")).alias("root"))

@@ -12,7 +12,9 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Sequence
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,8 +26,11 @@ WHITE_SPACE = "\t-\r \x85\xa0  -     　"
 _WORDS = re.compile(f"[^{WHITE_SPACE}]+")
 #: Pieces of more characters than this are encoded as a tree of leaves of that size.
 LONG_CHARS, LEAF_CHARS, WINDOW_CHARS = 4096, 1024, 64
-#: Pieces a worker remembers before it starts afresh.
-CACHE_PIECES = 500_000
+#: Pieces a worker remembers: about 80 MB. The first ones it meets stay, as the
+#: frequent are among them; what comes later is forgotten after its batch.
+CACHE_PIECES = 250_000
+#: New pieces encoded as one text.
+JOINED_PIECES = 1000
 
 Token = tuple[int, int, int]  # id, first character, end
 
@@ -122,32 +127,36 @@ class WordCodec:
         if decoder is not None:
             raise ValueError("the tokenizer's decoder joins tokens in a way that words cannot be decoded apart")
 
-        class Cache(dict):
-            """Piece -> its ids, and its tokens, as texts joined by spaces."""
-
-            def __missing__(self, piece: str) -> tuple[str, str]:
-                ids = encode_piece(piece)
-                if len(self) >= CACHE_PIECES:
-                    self.clear()
-                self[piece] = got = (" ".join(map(str, ids)), tokenizer.decode(ids, skip_special_tokens=False))
-                return got
-
         def encode_piece(piece: str) -> list[int]:
             if len(piece) > LONG_CHARS:
                 return tree_encode(tokenizer, piece)
             return tokenizer.encode(piece, add_special_tokens=False).ids
 
-        self.cache, self.encode_piece = Cache(), encode_piece
-
-    def fill(self, pieces: set[str]) -> None:
-        """Remember pieces, the short new ones encoded together."""
-        new = [p for p in pieces if p not in self.cache and len(p) <= LONG_CHARS]
-        if len(self.cache) + len(new) > CACHE_PIECES:
-            self.cache.clear()
-            new = [p for p in pieces if len(p) <= LONG_CHARS]
-        found = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-        words = self.tokenizer.decode_batch(found, skip_special_tokens=False)
-        self.cache.update(zip(new, zip([" ".join(map(str, i)) for i in found], words)))
+        #: Piece -> its ids, and its tokens, as texts joined by spaces.
+        self.cache: dict[str, tuple[str, str]] = {}
+        self.encode_piece = encode_piece
+
+    def parts_of(self, texts: list[str | None]) -> list[tuple[str, str]]:
+        """For each text its ids as decimals joined by single spaces, and the decoded text."""
+        cut = [self.pieces(t) for t in texts]
+        cache = self.cache
+        new = [p for p in set().union(*cut) if p not in cache]
+        plain = [p for p in new if len(p) <= LONG_CHARS and "<|" not in p]
+        for at in range(0, len(plain), JOINED_PIECES):
+            some = plain[at : at + JOINED_PIECES]
+            begin = list(accumulate((len(p) + 1 for p in some), initial=0))
+            got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids, tokens, firsts = got.ids, got.tokens, [o[0] for o in got.offsets]
+            spots = [bisect_left(firsts, x) for x in begin]
+            cache.update((p, (" ".join(map(str, ids[x:y])), " ".join(tokens[x:y]))) for p, x, y in zip(some, spots, spots[1:]))
+        for p in new:  # the long, and those that may hold a special token's string
+            if p not in cache:
+                ids = self.encode_piece(p)
+                cache[p] = (" ".join(map(str, ids)), self.tokenizer.decode(ids, skip_special_tokens=False))
+        out = [self.parts(pieces) for pieces in cut]
+        for piece in new[max(0, CACHE_PIECES - len(cache) + len(new)) :]:
+            del cache[piece]
+        return out
 
     def pieces(self, text: str | None) -> list[str]:
         return _WORDS.findall(text) if text else []
@@ -178,9 +187,8 @@ def encode(docs: DataFrame, path: str = "word_bpe_49k.json", text: str = "text")
 
     def run(batch: pa.RecordBatch) -> Sequence[pa.Array]:
         c = codec(path)
-        cut = [c.pieces(t) for t in batch.column(at).to_pylist()]
-        c.fill(set().union(*cut))
-        return [pa.array([[int(i) for i in c.parts(p)[0].split()] for p in cut], pa.list_(pa.int32()))]
+        found = c.parts_of(batch.column(at).to_pylist())
+        return [pa.array([[int(i) for i in ids.split()] for ids, _ in found], pa.list_(pa.int32()))]
 
     return add_columns(docs, "ids array<int>", run)
 
@@ -208,11 +216,8 @@ def round_trip(docs: DataFrame, path: str = "word_bpe_49k.json", text: str = "te
 
     def run(batch: pa.RecordBatch) -> Sequence[pa.Array]:
         c = codec(path)
-        cut = [c.pieces(t) for t in batch.column(at).to_pylist()]
-        c.fill(set().union(*cut))
         n, ids, texts = [], [], []
-        for pieces in cut:
-            i, t = c.parts(pieces)
+        for i, t in c.parts_of(batch.column(at).to_pylist()):
             n.append(i.count(" ") + 1 if i else 0)
             ids.append(hashlib.sha256(i.encode()).hexdigest())
             texts.append(hashlib.sha256(t.encode()).hexdigest())

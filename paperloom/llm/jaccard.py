@@ -214,11 +214,12 @@ def _shared(prefixes: DataFrame, parts: int) -> DataFrame:
 
 
 def _list_pairs(rows: DataFrame, parts: int, percent: int, nearest: bool) -> DataFrame:
-    """Plausible pairs of nodes of one list and different roots: a, b, apart.
+    """Plausible pairs (a, b) of nodes of one list and different roots.
 
-    Plausible are pairs whose sizes and parities allow a link. With nearest, each
-    node's nearest only, as b. Input: gram, node, n, root, parity. A list is
-    compared in blocks; its rows are held, 100 bytes each.
+    Plausible are pairs whose sizes and parities allow a link, and that meet in
+    as many lists as their sizes ask for. With nearest, each node's nearest by
+    parities only, as b. Input: gram, node, n, root, parity. A list is compared
+    in blocks; its rows are held, 100 bytes each.
     """
     ordered = rows.repartition(parts, "gram").sortWithinPartitions("gram", "n", "node").select("gram", "node", "n", "root", "parity")
     block = 64
@@ -239,7 +240,7 @@ def _list_pairs(rows: DataFrame, parts: int, percent: int, nearest: bool) -> Dat
                 continue
             if not nearest:
                 i, j = np.nonzero(ok)
-                found.append((node[a[i]], node[b[j]], apart[i, j]))
+                found.append((node[a[i]], node[b[j]], n[a[i]], n[b[j]]))
                 continue
             far = np.where(ok, apart * 10_000 // both, 1 << 30)
             for mine, others, d, m in ((a, b, far.min(axis=1), far.argmin(axis=1)), (b, a, far.min(axis=0), far.argmin(axis=0))):
@@ -248,7 +249,7 @@ def _list_pairs(rows: DataFrame, parts: int, percent: int, nearest: bool) -> Dat
                 mate[mine[less]] = others[m[less]]
         if nearest:
             hit = np.flatnonzero(best < 1 << 30)
-            found.append((node[mate[hit]], node[hit], best[hit]))
+            found.append((node[mate[hit]], node[hit], best[hit], best[hit]))
         return tuple(np.concatenate(c) for c in zip(*found)) if found else ()
 
     def lists(cols: list[np.ndarray], parity: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -259,7 +260,7 @@ def _list_pairs(rows: DataFrame, parts: int, percent: int, nearest: bool) -> Dat
             if hi - lo > 1 and (root[lo:hi] != root[lo]).any() and (got := pairs(node[lo:hi], n[lo:hi], root[lo:hi], parity[lo:hi])):
                 out.append(got)
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["a", "b", "apart"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["a", "b", "x", "y"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = [np.zeros(0, np.int64)] * 4
@@ -276,10 +277,15 @@ def _list_pairs(rows: DataFrame, parts: int, percent: int, nearest: bool) -> Dat
         if len(marks):
             yield from lists(held, marks)
 
-    found = ordered.mapInArrow(run, "a long, b long, apart long")
+    found = ordered.mapInArrow(run, "a long, b long, x long, y long")
     if nearest:
-        return found.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return found.groupBy("b").agg(F.min_by("a", F.struct("x", "a")).alias("a")).select("a", "b")
+    first = F.col("a") < F.col("b")
+    found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(first, F.col("x")).otherwise(F.col("y")).alias("na"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("nb"))
+    found = found.groupBy("a", "b").agg(F.count("*").alias("common"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    # Common members are in both prefixes, or beyond the prefix that ends first.
+    beyond = F.greatest(*[F.ceil(F.col(n) * percent / 100) - 1 for n in ("na", "nb")])
+    return found.where((F.col("common") + beyond) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
 
 
 def _several_roots(rows: DataFrame, parts: int) -> DataFrame:

@@ -26,9 +26,9 @@ WHITE_SPACE = "\t-\r \x85\xa0  -     　"
 _WORDS = re.compile(f"[^{WHITE_SPACE}]+")
 #: Pieces of more characters than this are encoded as a tree of leaves of that size.
 LONG_CHARS, LEAF_CHARS, WINDOW_CHARS = 4096, 1024, 64
-#: Pieces a worker remembers: about 80 MB. The first ones it meets stay, as the
+#: Pieces a worker remembers: about 50 MB. The first ones it meets stay, as the
 #: frequent are among them; what comes later is forgotten after its batch.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 150_000
 #: New pieces encoded as one text.
 JOINED_PIECES = 1000
 

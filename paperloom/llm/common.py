@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -60,6 +61,15 @@ def fields_of(ddl: str) -> list[T.StructField]:
     return T.StructType.fromDDL(ddl).fields
 
 
+def release() -> None:
+    """Give memory that a task no longer needs back to the system: workers are kept for later tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def add_columns(
     df: DataFrame, ddl: str, fn: Callable[[pa.RecordBatch], Sequence[pa.Array]]
 ) -> DataFrame:
@@ -72,6 +82,7 @@ def add_columns(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, *fn(batch)], names=names)
+        release()
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *new]))
 

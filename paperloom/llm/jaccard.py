@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytehash import Rolling, mix
-from .common import bucketed, materialise, shuffle_partitions, small_batches, text_hash
+from .common import bucketed, materialise, release, shuffle_partitions, small_batches, text_hash
 from .components import components
 
 _U = np.uint64
@@ -109,6 +109,7 @@ def _scan(docs: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [none, none, none, pa.nulls(len(cut), pa.int32()), pa.nulls(len(cut), pa.binary()), pa.array(range(len(cut)), pa.int32()), pa.array(cut, pa.binary())], names=names
             )
+        release()
 
     return docs.select("d", "h", "text").mapInArrow(run, schema)
 
@@ -171,6 +172,7 @@ def _prefixes(docs: DataFrame, k: int, percent: int, rank) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes))], names=["gram", "node", "n"]
                 )
+        release()
 
     return docs.select("text").mapInArrow(run, "gram long, node long, n int")
 
@@ -391,6 +393,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                     seen[node_of(found)] = found.tobytes()
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.int64()), pa.array(seen.values(), pa.binary())], names=["node", "members"])
+        release()
 
     found = docs.select("h", "text").mapInArrow(run, "node long, members binary")
     found = found.join(wanted.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("members").alias("members"))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytehash import Rolling, mix, sliding_min
-from .common import materialise, shuffle_partitions, small_batches, text_hash
+from .common import materialise, release, shuffle_partitions, small_batches, text_hash
 
 #: Documents are scanned in stretches of so many windows, which bounds memory.
 STRETCH = 1 << 19
@@ -95,6 +95,7 @@ def _sort_keys(docs: DataFrame, threshold: int) -> DataFrame:
                 for c, v in zip(cols, (runs.first[new].view(np.int64), runs.second[new].view(np.int64), np.full(n, d), np.full(n, h), runs.lo[new])):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([_cat(c, np.int64) for c in cols], names=["first", "second", "d", "h", "lo"])
+        release()
 
     return docs.select("d", "h", "text").mapInArrow(run, "first long, second long, d long, h long, lo long")
 
@@ -161,6 +162,7 @@ def _surroundings(docs: DataFrame, lists: DataFrame, threshold: int) -> DataFram
                     rows.append((first, d, h, lo, raw[lo : lo + n + threshold - 1]))
             cols = zip(*rows) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["first", "d", "h", "lo", "bytes"])
+        release()
 
     return joined.mapInArrow(run, "first long, d long, h long, lo long, bytes binary")
 
@@ -218,6 +220,7 @@ def _compare(stretches: DataFrame, parts: int, threshold: int) -> DataFrame:
                 held = [c[cut:] for c in held]
         if held[0]:
             yield spans([np.array(c, np.int64) for c in held[:4]], held[4])
+        release()
 
     return ordered.mapInArrow(run, "d long, h long, lo long, last long")
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DOCUMENT = T.StructType.fromDDL(
+DOCUMENT = (
     "paper_id string, metadata map<string, string>, sections map<string, string>, "
     "raw_document struct<paper_id: string, pages_count: int, pages: array<struct<page_number: int, text: string, char_count: int>>>"
 )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, embeddings, jaccard, langid, suffixes, tokenfile, toxicity, warc
+from . import bpe, decontamination, embeddings, jaccard, langid, suffixes, tokenfile, toxicity, unigram, warc
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,11 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.write_and_read(docs, "byte_bpe_50k.json", end_id=2)
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return unigram.token_counts(docs, "piece_bpe_32k.model").drop("text")
+
+
 def op4_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = suffixes.remove_repeats(docs, threshold=100, kept=None)
@@ -108,6 +113,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_embedding_near_duplicates": op1_embedding_near_duplicates,
         "op2_token_files": op2_token_files,
+        "op3_token_counts": op3_token_counts,
         "op4_repeated_strings": op4_repeated_strings,
         "op5_decontamination": op5_decontamination,
         "op6_language_id": op6_language_id,

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, components, decontamination, embeddings, jaccard, langid, suffixes, tokenfile, toxicity, warc
+from paperloom.llm import bpe, components, decontamination, embeddings, jaccard, langid, suffixes, tokenfile, toxicity, unigram, warc
 from paperloom.llm.common import new_path
 
 DOCS = "doc_id long, text string"
@@ -123,6 +123,31 @@ def test_word_codec_round_trip(spark):
     assert bpe.round_trip(df.limit(0)).count() == 0
 
 
+# ---- 3 --------------------------------------------------------------------
+
+
+def viterbi(word, pieces, unknown):
+    """Count of the best segmentation, place by place, for one word alone."""
+    text = "▁" + word
+    best = [(0.0, 0)]
+    for i in range(1, len(text) + 1):
+        n = len(text[i - 1].encode())
+        found = [(best[i - 1][0] + n * unknown, best[i - 1][1] + n)] + [(best[j][0] + pieces[text[j:i]], best[j][1] + 1) for j in range(i) if text[j:i] in pieces]
+        best.append(min(found, key=lambda f: (-f[0], f[1])))
+    return best[-1][1]
+
+
+def test_token_counts_against_each_word_alone(spark):
+    pieces = unigram.load_pieces("piece_bpe_32k.model")
+    unknown = min(pieces.values()) - unigram.UNKNOWN_PENALTY
+    texts = [*TEXTS, "the then there theory the the", "z" * 3000, "internationalisation"]
+    got = {r["doc_id"]: (r["n_pretokens"], r["n_tokens"]) for r in unigram.token_counts(docs_of(spark, texts, [(0, texts[0])]).withColumn("n_tokens", F.lit("clash"))).collect()}
+    for i, t in enumerate(texts):
+        words = unigram._WORDS.findall(t or "")
+        assert got[i] == (len(words), sum(viterbi(w, pieces, unknown) for w in words))
+    assert unigram.token_counts(docs_of(spark, texts).limit(0)).count() == 0
+
+
 # ---- 4 --------------------------------------------------------------------
 
 

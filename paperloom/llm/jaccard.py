@@ -9,9 +9,9 @@
    keeps lists short where many documents share a passage.
 3. Sets carry the parities of their members in 512 buckets. Two sets differ in
    no more parities than members, which bounds their overlap from above at 64
-   bytes a set. In a few turns over an eighth of the lists each, every node is
-   verified against its nearest list mate by that measure: groups of near copies
-   become components at one pair a member, however large they are.
+   bytes a set. In a few turns over the long lists and an eighth of all, every node is
+   verified against the list mate that may link with most others: groups of near
+   copies become components at one pair a member, however large they are.
 4. In all lists that hold several components, all pairs of different ones are
    put to the bound where they meet, and only those that it lets pass are
    emitted and verified. So no link is missed, and few pairs move.
@@ -42,8 +42,8 @@ BUCKET_BITS, SLICE_BITS = 22, 16
 #: Sets verified against one other set in one go.
 BLOCK_SETS = 256
 PARITY_BITS = 512
-#: Turns over a share of the lists before all are searched, and one over that share.
-TURNS, TURN_LISTS = 2, 8
+#: Turns over some lists before all are searched: one in so many, and all of so many rows.
+TURNS, TURN_LISTS, LONG_LIST = 2, 8, 64
 
 _words = Rolling(3, fold_case=True)
 _SPACE = np.zeros(256, bool)
@@ -215,44 +215,47 @@ def _shared(prefixes: DataFrame, parts: int) -> DataFrame:
     return ordered.mapInArrow(run, "gram long, node long, n long")
 
 
-def _list_pairs(rows: DataFrame, parts: int, percent: int, nearest: bool) -> DataFrame:
+def _list_pairs(rows: DataFrame, parts: int, percent: int, hubs: bool) -> DataFrame:
     """Plausible pairs (a, b) of nodes of one list and different roots.
 
     Plausible are pairs whose sizes and parities allow a link, and that meet in
-    as many lists as their sizes ask for. With nearest, each node's nearest by
-    parities only, as b. Input: gram, node, n, root, parity. A list is compared
+    as many lists as their sizes ask for. With hubs, for each node b only the
+    partner a that has most plausible partners itself. Input: gram, node, n, root, parity. A list is compared
     in blocks; its rows are held, 100 bytes each.
     """
     ordered = rows.repartition(parts, "gram").sortWithinPartitions("gram", "n", "node").select("gram", "node", "n", "root", "parity")
     block = 64
 
     def pairs(node: np.ndarray, n: np.ndarray, root: np.ndarray, parity: np.ndarray) -> tuple[np.ndarray, ...]:
-        best = np.full(len(node), 1 << 30)
-        mate = np.zeros(len(node), np.int64)
-        found: list[tuple] = []
-        for at in range(0, len(node), block):
-            a = np.arange(at, min(at + block, len(node)))
-            # Sizes ascend, so partners of a row end where sizes exceed its reach.
-            b = np.arange(at, int(np.searchsorted(n, n[a[-1]] * 100 // percent, side="right")))
-            both = n[a][:, None] + n[b][None, :]
-            apart = np.bitwise_count(parity[a][:, None, :] ^ parity[b][None, :, :]).sum(axis=2, dtype=np.int64)
-            ok = (b[None, :] > a[:, None]) & (root[a][:, None] != root[b][None, :]) & (n[b][None, :] * percent <= n[a][:, None] * 100)
-            ok &= (both - apart) * (100 + percent) >= 2 * percent * both
-            if not ok.any():
-                continue
-            if not nearest:
-                i, j = np.nonzero(ok)
-                found.append((node[a[i]], node[b[j]], n[a[i]], n[b[j]]))
-                continue
-            far = np.where(ok, apart * 10_000 // both, 1 << 30)
-            for mine, others, d, m in ((a, b, far.min(axis=1), far.argmin(axis=1)), (b, a, far.min(axis=0), far.argmin(axis=0))):
-                less = d < best[mine]
-                best[mine[less]] = d[less]
-                mate[mine[less]] = others[m[less]]
-        if nearest:
-            hit = np.flatnonzero(best < 1 << 30)
-            found.append((node[mate[hit]], node[hit], best[hit], best[hit]))
-        return tuple(np.concatenate(c) for c in zip(*found)) if found else ()
+        def plausible() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            for at in range(0, len(node), block):
+                a = np.arange(at, min(at + block, len(node)))
+                # Sizes ascend, so partners of a row end where sizes exceed its reach.
+                b = np.arange(at, int(np.searchsorted(n, n[a[-1]] * 100 // percent, side="right")))
+                both = n[a][:, None] + n[b][None, :]
+                apart = np.bitwise_count(parity[a][:, None, :] ^ parity[b][None, :, :]).sum(axis=2, dtype=np.int64)
+                ok = (b[None, :] > a[:, None]) & (root[a][:, None] != root[b][None, :]) & (n[b][None, :] * percent <= n[a][:, None] * 100)
+                ok &= (both - apart) * (100 + percent) >= 2 * percent * both
+                if ok.any():
+                    yield a, b, ok
+
+        if not hubs:
+            found = [(node[a[i]], node[b[j]], n[a[i]], n[b[j]]) for a, b, ok in plausible() for i, j in (np.nonzero(ok),)]
+            return tuple(np.concatenate(c) for c in zip(*found)) if found else ()
+        degree = np.zeros(len(node), np.int64)
+        for a, b, ok in plausible():
+            degree[a] += ok.sum(axis=1)
+            degree[b] += ok.sum(axis=0)
+        best, mate = np.zeros(len(node), np.int64), np.zeros(len(node), np.int64)
+        for a, b, ok in plausible():
+            for mine, others, most in ((a, b, np.where(ok, degree[b][None, :], 0)), (b, a, np.where(ok, degree[a][:, None], 0).T)):
+                at = most.argmax(axis=1)
+                top = most[np.arange(len(mine)), at]
+                more = top > best[mine]
+                best[mine[more]] = top[more]
+                mate[mine[more]] = others[at[more]]
+        hit = np.flatnonzero(best)
+        return (node[mate[hit]], node[hit], best[hit], best[hit]) if len(hit) else ()
 
     def lists(cols: list[np.ndarray], parity: np.ndarray) -> Iterator[pa.RecordBatch]:
         gram, node, n, root = cols
@@ -280,8 +283,8 @@ def _list_pairs(rows: DataFrame, parts: int, percent: int, nearest: bool) -> Dat
             yield from lists(held, marks)
 
     found = ordered.mapInArrow(run, "a long, b long, x long, y long")
-    if nearest:
-        return found.groupBy("b").agg(F.min_by("a", F.struct("x", "a")).alias("a")).select("a", "b")
+    if hubs:
+        return found.groupBy("b").agg(F.max_by("a", F.struct("x", "a")).alias("a")).select("a", "b")
     first = F.col("a") < F.col("b")
     found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(first, F.col("x")).otherwise(F.col("y")).alias("na"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("nb"))
     found = found.groupBy("a", "b").agg(F.count("*").alias("common"), F.first("na").alias("na"), F.first("nb").alias("nb"))
@@ -464,14 +467,15 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id",
     def sets_of(found: DataFrame) -> DataFrame:
         return _sets(keyed, materialise(found.join(nodes, "node").select("node", "h"), "wanted"), k)
 
+    long = lists.groupBy("gram").agg(F.count("*").alias("long")).where(F.col("long") >= LONG_LIST)
     near = sets = None
     for turn in range(TURNS):
-        some = lists.where(F.pmod(F.xxhash64("gram"), F.lit(TURN_LISTS)) == turn)
+        some = lists.join(long, "gram", "left").where((F.pmod(F.xxhash64("gram"), F.lit(TURN_LISTS)) == turn) | F.col("long").isNotNull()).drop("long")
         if near is None:
             rooted = some.withColumn("root", F.col("node"))
         else:
             rooted = some.join(sets.select("node"), "node", "left_semi").join(near, "node", "left").select("gram", "node", "n", F.coalesce("root", "node").alias("root"))
-        pairs = materialise(_list_pairs(rooted.join(marks, "node"), parts, percent, nearest=True), "pairs")
+        pairs = materialise(_list_pairs(rooted.join(marks, "node"), parts, percent, hubs=True), "pairs")
         if sets is None:
             sets = sets_of(ends(pairs))
         found = _verified(pairs, sets, percent, parts)
@@ -480,7 +484,7 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id",
         near = components(found)
 
     rooted = lists.join(near, "node", "left").select("gram", "node", "n", F.coalesce("root", "node").alias("root"))
-    pairs = _list_pairs(_several_roots(rooted, parts).join(marks, "node"), parts, percent, nearest=False)
+    pairs = _list_pairs(_several_roots(rooted, parts).join(marks, "node"), parts, percent, hubs=False)
     pairs = materialise(pairs, "pairs")
     rest = sets_of(ends(pairs).join(sets.select("node"), "node", "left_anti"))
     far = _verified(pairs, sets.unionByName(rest), percent, parts)

@@ -4,10 +4,12 @@ Everything here is built-in expressions, so that Catalyst can fold, prune and
 generate code for it. Character classes are spelled out, since engines differ on \\w.
 """
 
-from __future__ import annotations
+import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Patterns and word lists that results depend on.
 TECHNICAL_TOKEN = r"(?:[\p{L}\p{N}]+(?:[._#-][\p{L}\p{N}]+)*(?:\+\+)?)"
@@ -29,6 +31,7 @@ EVIDENCE_SUFFIXES = (
     "experiment evaluation dataset benchmark metric results improvement",
     "limitations drawbacks failure cases computational cost future work",
 )
+QUESTION_STEMS = "what|which|who|when|where|why|how|compare|contrast|describe|explain|identify|list|report|evaluate|summarize"
 EXCLUDED_SECTIONS = ("references", "bibliography", "front_matter", "acknowledgements", "acknowledgments")
 TRUNCATION_REASONS = ("length", "max_tokens", "max_output_tokens", "model_length")
 SECTION_FAMILIES = {
@@ -172,6 +175,27 @@ def marked_parts(c: Column | str) -> Column:
     return F.when(F.size(parts) > 1, parts).otherwise(F.array(F.btrim(text, F.lit("?"))))
 
 
+def question_parts(c: Column | str) -> Column:
+    """Marked parts; else the two sides of the first "and" or "as well as" that both hold a question word; else the whole."""
+    marked = marked_parts(c)
+    text = squeeze(c)
+    pattern = rf"(?i)^(.*?\b(?:{QUESTION_STEMS})\b.*?)\s+(?:and|as well as)\s+(.*\b(?:{QUESTION_STEMS})\b.*)$"
+    sides = F.array(*[F.btrim(F.regexp_extract(text, pattern, k), F.lit(" ,;?")) for k in (1, 2)])
+    return F.when((F.size(marked) == 1) & text.rlike(pattern) & ~F.exists(sides, lambda x: x == ""), sides).otherwise(marked)
+
+
+@F.pandas_udf(StringType())
+def normalised_query(texts: pd.Series) -> pd.Series:
+    """A query in NFC, without control characters, its white space collapsed; null if nothing is left."""
+    def clean(text: str | None) -> str | None:
+        if text is None:
+            return None
+        kept = (" " if ch in "\r\n\t" else ch for ch in unicodedata.normalize("NFC", text) if ch in "\r\n\t" or unicodedata.category(ch)[0] != "C")
+        return " ".join("".join(kept).split()) or None
+
+    return texts.map(clean)
+
+
 def paper_version(c: Column | str) -> Column:
     return F.nullif(F.regexp_extract(F.lower(F.regexp_replace(_col(c), r"(?i)\.pdf$", "")), r"(v\d+)$", 1), F.lit(""))
 

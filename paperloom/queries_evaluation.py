@@ -267,3 +267,20 @@ def _(spark, sf):
     t = table(spark, sf, "benchmark").select("item_id", T.content_tokens("text").alias("t"))
     n = t.select((F.col("item_id") - 1).alias("item_id"), F.col("t").alias("n"))
     return t.join(n, "item_id").select("item_id", F.size(F.array_intersect("t", "n")).cast("long").alias("shared"))
+
+
+@query("f14_query_clean", r"SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text || chr(9) || 'e' || chr(769) || chr(8203) || ' x' || chr(7)), '[\r\n\t]', ' ', 'g'), '\p{C}', '', 'g'), '\s+', ' ', 'g'))) AS digest FROM documents")
+def _(spark, sf):
+    text = F.concat("text", F.lit("\te\u0301\u200b x\x07"))
+    return table(spark, sf, "documents").select("doc_id", F.sha2(T.normalised_query(text).cast("binary"), 256).alias("digest"))
+
+
+@query("f20_compound_parts", rf"""
+WITH q AS (SELECT item_id, {squeeze_sql("(CASE WHEN item_id % 2 = 0 THEN 'What ' ELSE 'Say ' END) || replace(lower(text), ' and ', ' ') || ' as well as why it is so?'")} AS q FROM benchmark)
+SELECT item_id, CASE WHEN regexp_matches(q, '(?i)^(.*?\b(?:{T.QUESTION_STEMS})\b.*?)\s+(?:and|as well as)\s+(.*\b(?:{T.QUESTION_STEMS})\b.*)$')
+  THEN [trim(regexp_extract(q, '(?i)^(.*?\b(?:{T.QUESTION_STEMS})\b.*?)\s+(?:and|as well as)\s+(.*\b(?:{T.QUESTION_STEMS})\b.*)$', 1), ' ,;?'), trim(regexp_extract(q, '(?i)^(.*?\b(?:{T.QUESTION_STEMS})\b.*?)\s+(?:and|as well as)\s+(.*\b(?:{T.QUESTION_STEMS})\b.*)$', 2), ' ,;?')]
+  ELSE [trim(q, '?')] END AS parts FROM q""")
+def _(spark, sf):
+    stem = F.when(F.col("item_id") % 2 == 0, "What ").otherwise("Say ")
+    q = F.concat(stem, F.replace(F.lower("text"), F.lit(" and "), F.lit(" ")), F.lit(" as well as why it is so?"))
+    return table(spark, sf, "benchmark").select("item_id", T.question_parts(q).alias("parts"))

@@ -21,36 +21,48 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer
     return terms.groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def lengths(post: DataFrame, key: str = "doc_id") -> DataFrame:
-    return post.groupBy(key).agg(F.sum("tf").alias("dl"))
+def vocabulary(docs: DataFrame, text: str = "text", tokenizer=T.technical_tokens) -> DataFrame:
+    """(term, df, dl): document frequencies, and one row without a term that holds the number of documents and of all their tokens.
+
+    Each document sends its distinct terms and one total through the same
+    aggregation, which combines before the exchange: one pass gives all that
+    idf and length normalisation need of the corpus.
+    """
+    rows = docs.where(has_text(text)).select(tokenizer(text).alias("t"))
+    terms = F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("term"), F.lit(0).alias("dl"), F.lit(0).alias("total")))
+    total = F.struct(F.lit(None).cast("string").alias("term"), F.size("t").alias("dl"), F.lit(1).alias("total"))
+    sent = rows.select(F.explode(F.concat(terms, F.array(total))).alias("e")).select("e.*")
+    return sent.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("dl"), F.max("total").alias("total"))
 
 
-def corpus_stats(docs: DataFrame, text: str = "text", tokenizer=T.technical_tokens) -> DataFrame:
-    """One row: number of indexed documents and their mean length, blank ones left out."""
-    return docs.where(has_text(text)).agg(F.count("*").alias("n"), F.avg(F.size(tokenizer(text))).alias("avgdl"))
+def corpus_stats(vocab: DataFrame) -> DataFrame:
+    """One row: number of indexed documents and their mean length; none for an empty corpus."""
+    return vocab.where("total = 1").select(F.col("df").alias("n"), (F.col("dl") / F.col("df")).alias("avgdl"))
 
 
-def term_stats(post: DataFrame, stats: DataFrame) -> DataFrame:
+def term_stats(vocab: DataFrame) -> DataFrame:
     """(term, df, idf): negative idf is raised to a share of the mean idf over all terms."""
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.join(F.broadcast(stats.select("n"))).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    n = corpus_stats(vocab).select("n")
+    raw = vocab.where("total = 0").join(F.broadcast(n)).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     floor = raw.agg((F.avg("raw") * EPSILON).alias("floor"))  # one row
     return raw.join(F.broadcast(floor)).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
 
 
 def scores(queries: DataFrame, docs: DataFrame, query_key: str = "query_id", key: str = "doc_id", text: str = "text", tokenizer=T.technical_tokens) -> DataFrame:
-    """(query_key, key, score) of all matching pairs. Repeated query terms count again.
+    """(query_id, key, score) of all matching pairs. Repeated query terms count again.
 
-    Only postings of query terms meet the queries: the terms are reduced to
-    those first, and both joins are on the term.
+    Only tokens that occur in queries leave the scan of the documents, so the
+    full postings are never dealt out.
     """
-    stats = corpus_stats(docs, text, tokenizer)
-    post = postings(docs, key, text, tokenizer)
+    vocab = vocabulary(docs, text, tokenizer)
     terms = queries.select(F.col(query_key), F.explode(tokenizer("text")).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("qf"))
-    weighted = term_stats(post, stats).join(terms, "term")
-    norm = lengths(post, key).join(F.broadcast(stats)).select(key, (K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))).alias("norm"))
-    hits = post.join(weighted, "term").join(norm, key)
-    part = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + F.col("norm"))
+    weighted = term_stats(vocab).select("term", "idf").join(terms, "term")
+    rows = docs.where(has_text(text)).select(F.col(key), tokenizer(text).alias("t"))
+    tokens = rows.select(key, F.size("t").alias("dl"), F.explode("t").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    post = tokens.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    hits = post.join(weighted, "term").join(F.broadcast(corpus_stats(vocab)))
+    norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
+    part = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
     return hits.groupBy(query_key, key).agg(F.sum(part).alias("score"))
 
 

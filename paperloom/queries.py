@@ -471,7 +471,7 @@ def _(spark, sf):
 @query("a02_term_stats", f"WITH {ITEMS_SQL}, {BM25_SQL} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def _(spark, sf):
     docs = table(spark, sf, "documents")
-    return lexical.term_stats(lexical.postings(docs), lexical.corpus_stats(docs)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return lexical.term_stats(lexical.vocabulary(docs)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("a03_bm25_top10", f"WITH {ITEMS_SQL}, {BM25_SQL} SELECT query_id, doc_id, score, rank::INT AS rank FROM bm25 WHERE rank <= 10")

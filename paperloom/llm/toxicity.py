@@ -95,7 +95,7 @@ def fit(
     sample_rows: int = 6000,
     kept_features: int = 4096,
     penalty: float = 1.0,
-    ridge: float = 1.0,
+    ridge: float = 0.3,
     groups: Sequence[Sequence[str]] = IDENTITY_TERMS,
 ) -> ToxicityModel:
     """Train on a bounded sample: about sample_rows labelled rows, half of each class.

@@ -4,7 +4,7 @@ A language's model is a raw-content zstandard dictionary: sample text of that
 language. A text is cut into blocks, every block is compressed once against each
 dictionary, and the language whose dictionary gives the fewest bytes over the
 whole text wins. Equal sizes (very short texts compress to nothing either way)
-are settled by how many of the text's words the dictionaries contain.
+are settled by how often the text's words occur in the dictionaries.
 """
 
 from __future__ import annotations
@@ -101,6 +101,11 @@ class Classifier:
             shared.precompute_compress(compression_params=params)
             self.coders.append(zstandard.ZstdCompressor(dict_data=shared, compression_params=params))
 
+    def _known(self, lowered: str, i: int) -> float:
+        """How familiar a text's words are to a dictionary: logarithms of their occurrences, added up."""
+        content = self.model.dictionaries[i]
+        return math.fsum(math.log1p(content.count(w.encode("utf-8", "replace"))) for w in set(_WORD.findall(lowered)))
+
     def classify(self, text: str | None) -> tuple[str, float, float, bool]:
         """Language, score from 0 to 1, margin, and whether the margin is too narrow."""
         if text is None or not self.coders or not _LETTER.search(text):
@@ -117,8 +122,7 @@ class Classifier:
         if len(order) > 1:
             tied = [i for i in order if sizes[i] <= sizes[best] * (1 + MIN_MARGIN)]
             if len(tied) > 1:
-                words = {w.encode("utf-8", "replace") for w in _WORD.findall(lowered)}
-                known = {i: sum(w in self.model.dictionaries[i] for w in words) for i in tied}
+                known = {i: self._known(lowered, i) for i in tied}
                 tied.sort(key=lambda i: (-known[i], sizes[i]))
                 best, clear = tied[0], known[tied[0]] > known[tied[1]]
             rest = min(s for i, s in enumerate(sizes) if i != best)

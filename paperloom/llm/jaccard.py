@@ -344,7 +344,8 @@ def trie_links(one: np.ndarray, others: list[np.ndarray], percent: int) -> list[
         at = np.searchsorted(one, first[depth:deep])
         inside = at < len(one)
         overlap += int((one[at[inside]] == first[depth:deep][inside]).sum())
-        used = int(at[-1]) + 1 if len(at) else 0
+        # What one still has: the members after those passed, of which the last counts only if it was met.
+        used = int(at[-1]) + int(at[-1] < len(one) and one[at[-1]] == first[deep - 1]) if len(at) else 0
         longest, shortest = int(size[lo:hi].max()), int(size[lo:hi].min())
         reach = overlap + min(longest - deep, max(0, len(one) - used) if len(at) else len(one))
         if reach * (100 + percent) < percent * (len(one) + shortest):

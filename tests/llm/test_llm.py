@@ -306,6 +306,20 @@ def test_trie_against_sets():
     assert sorted(jaccard.trie_links(one, others, 80)) == want
 
 
+def test_trie_bound_counts_no_member_as_passed_that_was_not_met():
+    one = np.arange(10, 18).astype(np.uint64)
+    b, c = np.r_[1, 2, one].astype(np.uint64), np.r_[1, 2, one[1:], 20].astype(np.uint64)
+    assert jaccard.trie_links(one, [b, c], 80) == [0]
+    b, c = np.r_[1, 2, one].astype(np.uint64), np.r_[1, one].astype(np.uint64)
+    assert sorted(jaccard.trie_links(one, [b, c], 80)) == [0, 1]
+    rng = np.random.default_rng(5)
+    for percent in [50, 80, 90] * 200:
+        one = np.unique(rng.integers(0, 24, 10).astype(np.uint64))
+        others = [np.unique(np.r_[one[rng.random(len(one)) < 0.9], rng.integers(0, 24, rng.integers(0, 3))].astype(np.uint64)) for _ in range(12)]
+        want = [i for i, o in enumerate(others) if len(o) and 100 * len(np.intersect1d(one, o)) >= percent * len(np.union1d(one, o))]
+        assert sorted(jaccard.trie_links(one, others, percent)) == want
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -437,16 +437,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, parts: int) -> Da
     return ordered.mapInArrow(run, "a long, b long")
 
 
-def groups(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: key, n_shingles, component_id, text_hash.
-
-    Documents link when 100 times their common n-grams are at least ``percent``
-    times those in either. component_id is the smallest key reachable by links.
-    Null, empty and blank texts have no n-grams and link with nothing; for them,
-    and for all without a partner, component_id is their own key. Repeated rows
-    get equal rows. A null key is smaller than no other: a group that has keys
-    takes the smallest of them.
-    """
+def _members(docs: DataFrame, k: int, percent: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(d, h, n, root) of each row, and (root, least) of each root that several rows share: least is their smallest key."""
     spark = docs.sparkSession
     small_batches(spark)
     keyed = docs.select(F.col(key).cast("long").alias("d"), text_hash(text).alias("h"), F.col(text).alias("text"))
@@ -493,7 +485,20 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id",
 
     member = rows.join(roots, "node", "left").select("d", "h", "n", F.when(F.col("n") > 0, F.coalesce("root", "node")).alias("root"))
     least = member.where("n > 0").groupBy("root").agg(F.min("d").alias("least"), F.count("*").alias("size"))
-    several = least.where("size > 1").select("root", "least")
+    return member, least.where("size > 1").select("root", "least")
+
+
+def groups(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: key, n_shingles, component_id, text_hash.
+
+    Documents link when 100 times their common n-grams are at least ``percent``
+    times those in either. component_id is the smallest key reachable by links.
+    Null, empty and blank texts have no n-grams and link with nothing; for them,
+    and for all without a partner, component_id is their own key. Repeated rows
+    get equal rows. A null key is smaller than no other: a group that has keys
+    takes the smallest of them.
+    """
+    member, several = _members(docs, k, percent, key, text)
     out = member.join(several, "root", "left")
     return out.select(
         F.col("d").alias(key), F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "d").alias("component_id"), F.col("h").alias("text_hash")
@@ -501,10 +506,18 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id",
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each group: that of the smallest key, and of its text's smallest hash."""
-    found = groups(docs, k, percent, key, text)
+    """docs with one row of each group: that of the smallest key, and of its texts the one of smallest hash.
+
+    Every row without a partner stays, whatever other rows share its key or
+    have none; so do all rows of null, empty and blank texts.
+    """
+    member, several = _members(docs, k, percent, key, text)
     none = F.lit(-(1 << 63))  # stands for a null key, so that both sides are dealt by plain columns
-    first = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.coalesce(F.col(key).cast("long"), none).alias("_key"), F.col("text_hash").alias("_hash"))
-    first = first.groupBy("_key").agg(F.min("_hash").alias("_hash"))
-    dealt = docs.withColumns({"_key": F.coalesce(F.col(key).cast("long"), none), "_hash": text_hash(text)})
-    return dealt.join(first, ["_key", "_hash"], "left_semi").dropDuplicates(["_key", "_hash"]).select(*docs.columns)
+    grouped = member.join(several, "root").select("root", "d", "h", F.col("d").eqNullSafe(F.col("least")).alias("least"))
+    first = grouped.where("least").groupBy("root").agg(F.min("h").alias("first"))
+    fate = grouped.join(first, "root").select(F.coalesce("d", none).alias("_key"), F.col("h").alias("_hash"), (F.col("least") & (F.col("h") == F.col("first"))).alias("_first"))
+    fate = fate.groupBy("_key", "_hash").agg(F.max("_first").alias("_first"))
+    dealt = docs.withColumns({"_key": F.coalesce(F.col(key).cast("long"), none), "_hash": text_hash(text)}).join(fate, ["_key", "_hash"], "left")
+    # Only the survivors' own repeats are dropped: rows without a partner are told apart.
+    dealt = dealt.where("_first IS NULL OR _first").withColumn("_row", F.when(F.col("_first").isNull(), F.monotonically_increasing_id()))
+    return dealt.dropDuplicates(["_key", "_hash", "_row"]).select(*docs.columns)

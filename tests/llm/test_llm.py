@@ -320,6 +320,18 @@ def test_trie_bound_counts_no_member_as_passed_that_was_not_met():
         assert sorted(jaccard.trie_links(one, others, percent)) == want
 
 
+def test_one_of_each_group_is_kept_when_keys_repeat_or_are_null(spark):
+    words = lambda at: " ".join(f"v{at}x{i}" for i in range(12))
+    alone = [(None, words(0)), (None, words(1)), (7, words(2)), (7, words(3)), (None, ""), (None, None), (None, " "), (7, None), (8, "")]
+    near = [(None, words(4)), (7, words(4) + " end"), (9, words(4)), (None, words(5)), (None, words(5) + " end"), (3, words(6)), (3, words(6)), (3, words(6) + " end"), (4, words(6))]
+    kept = [tuple(r) for r in jaccard.keep_one(spark.createDataFrame(alone + near, DOCS).repartition(3)).collect()]
+    for row in alone:
+        assert kept.count(row) == 1
+    assert kept.count((7, words(4) + " end")) == 1
+    assert sum(kept.count(r) for r in near[3:5]) == 1 and sum(kept.count(r) for r in {*near[5:]}) == 1 and (4, words(6)) not in kept
+    assert len(kept) == len(alone) + 3
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -24,7 +24,8 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return unigram.token_counts(docs, "piece_bpe_32k.model").drop("text")
+    model = unigram.fit(docs, "piece_bpe_32k.model")
+    return unigram.token_counts(docs, model=model).drop("text")
 
 
 def op4_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:

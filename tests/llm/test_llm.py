@@ -148,6 +148,36 @@ def test_token_counts_against_each_word_alone(spark):
     assert unigram.token_counts(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_fitted_token_counts_are_those_of_log_probabilities(spark):
+    import sentencepiece
+    from public_tokenizers import path
+
+    from paperloom.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    own = sentencepiece.SentencePieceProcessor(model_file=path("piece_bpe_32k.model"))
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    seen = {}
+    for t in texts.values():
+        for w in unigram._WORDS.findall(t or ""):
+            for i in own.encode(w):
+                seen[i] = seen.get(i, 0) + 1
+    counts = {p: seen.get(own.piece_to_id(p), 0) + 1 for p in unigram.load_pieces("piece_bpe_32k.model")}
+    whole = sum(counts.values())
+    pieces = {p: np.log(n / whole) for p, n in counts.items()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    fitted = unigram.fit(docs).pieces
+    assert fitted.keys() == pieces.keys() and all(abs(fitted[p] - pieces[p]) < 1e-9 for p in pieces)
+    unknown, words = min(fitted.values()) - unigram.UNKNOWN_PENALTY, {}
+    got = {r["doc_id"]: r["n_tokens"] for r in queries.op3_token_counts(spark, sf).collect()}
+    for d in sorted(texts, key=str)[:60]:
+        found = unigram._WORDS.findall(texts[d] or "")
+        words.update({w: viterbi(w, fitted, unknown) for w in found if w not in words})
+        assert got[d] == sum(words[w] for w in found)
+    assert words["the"] == 1 and sum(got.values()) < 1.02 * sum(len(own.encode(w)) for t in texts.values() for w in unigram._WORDS.findall(t or ""))
+    assert len(unigram.fit(docs.limit(0)).pieces) == len(pieces)
+
+
 # ---- 4 --------------------------------------------------------------------
 
 

@@ -3,10 +3,11 @@
 Each pass hashes every vector to the signs of random projections, concatenated
 to one key, orders vectors by that key, and compares each with a bounded window
 of its neighbours; pairs whose cosine, in double precision, reaches the threshold
-are united across passes. The passes thus have to find only enough links to
-connect a group: within the components found, links are then counted exactly,
-block against block, so a window bounds the work of a pass and not the number of
-a vector's partners. Equal vectors are one from the start.
+are united across passes. The passes are a head start: they connect most groups
+cheaply, and miss pairs that no pass brings together, the more the larger or
+the more clustered a label. So all vectors of a label are then compared block
+against block, which counts links exactly and unites what the passes left
+apart: no link depends on them. Equal vectors are one from the start.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from .common import materialise, shuffle_partitions, small_batches
 from .components import components
 
 PASSES, KEY_BITS, BUCKET_BITS, WINDOW = 8, 32, 6, 64
-#: Vectors of a component that meet in one task, on either side.
-BLOCK = 512
+#: Vectors of a label that meet in one task, on either side, and rows compared at once.
+BLOCK, STRIP = 4096, 512
 
 
 def is_usable(vector: Column) -> Column:
@@ -118,16 +119,18 @@ def _window_links(rows: DataFrame, parts: int, threshold: float, window: int) ->
 
 
 def _count_links(members: DataFrame, parts: int, threshold: float) -> DataFrame:
-    """(node, links) within components: how many other vectors, copies included, each node links with.
+    """(node, links, other): how many other vectors, copies included, each node links with; and pairs of linked roots.
 
-    members: root, node, copies, vector. A component's nodes are dealt to blocks,
-    and each pair of blocks meets in one task, which adds up links and emits sums.
+    members: label, node, root, copies, vector. The nodes of a label and dimension
+    are dealt to blocks, and each pair of blocks meets in one task, which adds up
+    links and emits sums, and each pair of roots (node, null, other) once.
     """
-    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    members = members.withColumn("lot", F.xxhash64("label", F.size("vector"))).drop("label")
+    sizes = members.groupBy("lot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "lot").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "copies", "vector")
-    ordered = dealt.repartition(parts, "root", "x", "y").sortWithinPartitions("root", "x", "y", "own", "node")
+    dealt = dealt.select("lot", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "copies", "vector", "root")
+    ordered = dealt.repartition(parts, "lot", "x", "y").sortWithinPartitions("lot", "x", "y", "own", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -136,22 +139,27 @@ def _count_links(members: DataFrame, parts: int, threshold: float) -> DataFrame:
         def done() -> Iterator[pa.RecordBatch]:
             group = pa.Table.from_batches(held).combine_chunks()
             own = group["own"].to_numpy()
-            node, copies = group["node"].to_numpy(), group["copies"].to_numpy()
+            node, copies, root = group["node"].to_numpy(), group["copies"].to_numpy(), group["root"].to_numpy()
             x, y = at[1], at[2]
             for k, unit in _by_dimension(group.to_batches()[0], 6):
                 left, right = np.flatnonzero(own[k] == x), np.flatnonzero(own[k] == y)
-                if x == y:
-                    right = left
                 if not len(left) or not len(right):
                     continue
-                linked = unit[left] @ unit[right].T >= threshold
-                if x == y:
-                    np.fill_diagonal(linked, False)
-                    sums = [(left, linked @ copies[k][right])]
-                else:
-                    sums = [(left, linked @ copies[k][right]), (right, copies[k][left] @ linked)]
-                for rows, links in sums:
-                    yield pa.RecordBatch.from_arrays([pa.array(node[k][rows]), pa.array(links.astype(np.int64))], names=["node", "links"])
+                links = np.zeros(len(k), np.int64)
+                across, facing = np.zeros((2, 0), np.int64), unit[right].T
+                for start in range(0, len(left), STRIP):
+                    i, j = np.nonzero(unit[left[start : start + STRIP]] @ facing >= threshold)
+                    i, j = left[start + i], right[j]
+                    if x == y:
+                        i, j = i[i != j], j[i != j]
+                    np.add.at(links, i, copies[k][j])
+                    if x != y:
+                        np.add.at(links, j, copies[k][i])
+                    a, b = root[k][i], root[k][j]
+                    across = np.unique(np.concatenate([across, np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b]], axis=1), axis=1)
+                hit = np.flatnonzero(links)
+                yield pa.RecordBatch.from_arrays([pa.array(node[k][hit]), pa.array(links[hit]), pa.nulls(len(hit), pa.int64())], names=["node", "links", "other"])
+                yield pa.RecordBatch.from_arrays([pa.array(across[0]), pa.nulls(across.shape[1], pa.int64()), pa.array(across[1])], names=["node", "links", "other"])
 
         for batch in batches:
             keys = list(zip(*(batch.column(c).to_pylist() for c in range(3))))
@@ -167,7 +175,7 @@ def _count_links(members: DataFrame, parts: int, threshold: float) -> DataFrame:
         if held:
             yield from done()
 
-    return ordered.mapInArrow(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    return ordered.mapInArrow(run, "node long, links long, other long").groupBy("node", "other").agg(F.sum("links").alias("links"))
 
 
 def near_duplicates(
@@ -197,9 +205,12 @@ def near_duplicates(
     classes = materialise(classes, "vector-classes")
     edges = _window_links(_passes(classes, passes, seed), parts, threshold, window)
     roots = components(edges)
+    members = classes.join(roots, "node", "left").select("label", "node", F.coalesce("root", "node").alias("root"), "copies", "vector")
+    found = materialise(_count_links(members, parts, threshold), "vector-links")
+    links = found.where("other IS NULL").select("node", "links")
+    across = found.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b"))
+    roots = components(across.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     rooted = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    members = classes.join(rooted, "node").select("root", "node", "copies", "vector")
-    links = materialise(_count_links(members, parts, threshold), "vector-links")
 
     ids = rows.select("id", "node").distinct()
     known = classes.select("node", "copies").join(links, "node", "left").join(rooted, "node", "left")

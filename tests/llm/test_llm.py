@@ -47,6 +47,22 @@ def test_embeddings_against_brute_force(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_links_that_no_window_holds_are_found(spark):
+    rng = np.random.default_rng(11)
+    common = rng.standard_normal(64)
+    base = (2 * common + rng.standard_normal((9000, 64))).astype(np.float32)
+    near = (base[:150] + 0.3 * rng.standard_normal((150, 64))).astype(np.float32)
+    vecs = np.concatenate([base, near])
+    x = vecs.astype(float) / np.linalg.norm(vecs.astype(float), axis=1, keepdims=True)
+    i, j = np.nonzero(np.triu(x @ x.T >= 0.98, 1))
+    df = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(vecs)], "vec_id long, embedding array<float>, label int")
+    for passes in ({}, {"passes": 1, "window": 1}):
+        got = {r["vec_id"]: (r["n_links"], r["kept"]) for r in embeddings.near_duplicates(df, **passes).collect()}
+        count = np.bincount(np.r_[i, j], minlength=len(vecs))
+        assert len(i) > 100 and all(got[k][0] == count[k] for k in range(len(vecs)))
+        assert {k for k in got if not got[k][1]} >= set(j[count[j] == 1].tolist())
+
+
 # ---- 2, 7 ---------------------------------------------------------------
 
 TEXTS = [

@@ -76,13 +76,13 @@ def _counts(words: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.array(ids, dtype=np.int32), return_counts=True)
 
 
-def _swaps(words: set[str], groups: Sequence[Sequence[str]], most: int = 4) -> list[set[str]]:
-    """The word sets of a text in which each identity term has been swapped."""
+def _swaps(words: set[str], groups: Sequence[Sequence[str]]) -> list[set[str]]:
+    """The word sets of a text in which each identity term has been swapped, for every other of its group."""
     out = []
     for group in groups:
         for term in group:
             if term in words:
-                out += [(words - {term}) | {other} for other in group if other not in words][:most]
+                out += [(words - {term}) | {other} for other in group if other not in words]
     return out
 
 

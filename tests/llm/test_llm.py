@@ -299,6 +299,13 @@ def test_counterfactual_penalty_evens_out_identity_terms(spark):
     assert gap(50.0) < 0.5 * gap(0.0)
 
 
+def test_every_other_term_of_a_group_is_swapped_in():
+    for group in toxicity.IDENTITY_TERMS:
+        for term in group:
+            assert sorted(map(sorted, toxicity._swaps({"w", term}, [group]))) == sorted(sorted({"w", other}) for other in group if other != term)
+    assert toxicity._swaps({"black", "white"}, [("black", "white", "asian")]) == [{"asian", "white"}, {"black", "asian"}]
+
+
 # ---- 9 --------------------------------------------------------------------
 
 

@@ -3,8 +3,8 @@
 A language's model is a raw-content zstandard dictionary: sample text of that
 language. A text is cut into blocks, every block is compressed once against each
 dictionary, and the language whose dictionary gives the fewest bytes over the
-whole text wins. Equal sizes (very short texts compress to nothing either way)
-are settled by how often the text's words occur in the dictionaries.
+whole text wins. A narrow win is settled by how often the text's words occur in
+the dictionaries, if that evidence has a clear margin itself, and else rejected.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ BLOCK_BYTES = 8192
 LEVEL, MIN_MATCH = 9, 4
 #: Share of the second-best size below which a win is too narrow to keep.
 MIN_MARGIN = 0.005
+#: Share of the most familiar dictionary's word evidence by which it must lead to settle a narrow win.
+WORD_MARGIN = 0.1
 #: A difference of so many bytes multiplies the odds by e.
 BYTES_PER_NAT = 8.0
 
@@ -124,7 +126,9 @@ class Classifier:
             if len(tied) > 1:
                 known = {i: self._known(lowered, i) for i in tied}
                 tied.sort(key=lambda i: (-known[i], sizes[i]))
-                best, clear = tied[0], known[tied[0]] > known[tied[1]]
+                lead = known[tied[0]] - known[tied[1]]
+                if lead > 0 and lead >= WORD_MARGIN * known[tied[0]]:
+                    best, clear = tied[0], True
             rest = min(s for i, s in enumerate(sizes) if i != best)
             margin = (rest - sizes[best]) / max(rest, 1)
         else:

@@ -266,6 +266,17 @@ def test_language_id(spark):
         langid.fit(docs, lang="doc_id", max_languages=3)
 
 
+def test_a_slight_lead_in_words_does_not_settle_a_narrow_margin():
+    words = [f"w{chr(97 + i)}{chr(97 + j)}rk" for i in range(20) for j in range(10)]
+    one, other = " ".join(words).encode(), " ".join([*words[:-1], "zzzzz"]).encode()
+    c = langid.Classifier(langid.LanguageModel(("a", "b"), (one, other)))
+    text = " ".join(words[40:70] + words[-1:])
+    assert c._known(text, 0) > c._known(text, 1)
+    assert c.classify(text)[2] < langid.MIN_MARGIN and c.classify(text)[3]
+    clear = langid.Classifier(langid.LanguageModel(("a", "b"), (b"ok yes fine good", b"no never bad gone")))
+    assert clear.classify("ok")[0] == "a" and not clear.classify("ok")[3]
+
+
 def test_toxicity(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")

@@ -1,10 +1,15 @@
 """Whole-text encoding and decoding with files of the ``tokenizers`` library.
 
-Words recur, so a text is cut at white space, where no token can cross, and each
-distinct piece is encoded once per worker. A piece that is long and has nowhere
-to be cut is encoded by tree concatenation: its halves are encoded side by side,
-recursively, and around each join a growing window is encoded again until it
-agrees with both sides on a token, from where their encodings are spliced.
+A text is encoded by tree concatenation. It is halved until no part is longer
+than a leaf, wherever the cuts fall; the leaves of a whole batch are encoded side
+by side, and then joined pair by pair: around each join a window is encoded again,
+and grows until it agrees with both sides on what stands next to it, from where
+their encodings are spliced.
+
+Words recur and no token crosses white space, so below the leaves each distinct
+word is encoded once a worker, and leaves and windows agree when they agree on
+a whole word. Where a stretch without white space is longer than a leaf, cuts do
+not help words: such a stretch is a tree of its own, joined token by token.
 """
 
 from __future__ import annotations
@@ -13,7 +18,8 @@ import hashlib
 import os
 import re
 from bisect import bisect_left
-from collections.abc import Callable, Sequence
+from collections import Counter
+from collections.abc import Callable, Iterable, Sequence
 from itertools import accumulate
 
 import pyarrow as pa
@@ -22,22 +28,23 @@ from pyspark.sql import DataFrame
 from .common import add_columns
 
 # The characters that \s means to the tokenizers' patterns.
-WHITE_SPACE = "\t-\r \x85\xa0  -     　"
+WHITE_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _WORDS = re.compile(f"[^{WHITE_SPACE}]+")
-#: Pieces of more characters than this are encoded as a tree of leaves of that size.
-LONG_CHARS, LEAF_CHARS, WINDOW_CHARS = 4096, 1024, 64
-#: Pieces a worker remembers: about 50 MB. The first ones it meets stay, as the
+#: Characters of a leaf, and of a window at first on either side of a join.
+LEAF_CHARS, WINDOW_CHARS = 1024, 32
+#: Words a worker remembers: about 50 MB. The first ones it meets stay, as the
 #: frequent are among them; what comes later is forgotten after its batch.
-CACHE_PIECES = 150_000
-#: New pieces encoded as one text.
-JOINED_PIECES = 1000
+CACHE_PIECES = 250_000
+#: New words encoded as one text, and the library's threads that encode such texts side by side.
+JOINED_PIECES, THREADS = 1000, 2
 
 Token = tuple[int, int, int]  # id, first character, end
 
 
 def load(path: str):
     """The tokenizer of a file, or of a name among the public tokenizers; without truncation or padding."""
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+    os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
     from tokenizers import Tokenizer
 
     if not os.path.isabs(path):
@@ -121,51 +128,105 @@ def tree_encode(tokenizer, text: str, leaf: int = LEAF_CHARS, window: int = WIND
 class WordCodec:
     """Encoder and decoder of a tokenizer whose tokens never cross white space."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, leaf: int = LEAF_CHARS, window: int = WINDOW_CHARS) -> None:
         self.tokenizer = tokenizer = load(path)
-        decoder = tokenizer.decoder
-        if decoder is not None:
-            raise ValueError("the tokenizer's decoder joins tokens in a way that words cannot be decoded apart")
-
-        def encode_piece(piece: str) -> list[int]:
-            if len(piece) > LONG_CHARS:
-                return tree_encode(tokenizer, piece)
-            return tokenizer.encode(piece, add_special_tokens=False).ids
-
-        #: Piece -> its ids, and its tokens, as texts joined by spaces.
-        self.cache: dict[str, tuple[str, str]] = {}
-        self.encode_piece = encode_piece
-
-    def parts_of(self, texts: list[str | None]) -> list[tuple[str, str]]:
-        """For each text its ids as decimals joined by single spaces, and the decoded text."""
-        cut = [self.pieces(t) for t in texts]
-        cache = self.cache
-        new = [p for p in set().union(*cut) if p not in cache]
-        plain = [p for p in new if len(p) <= LONG_CHARS and "<|" not in p]
-        for at in range(0, len(plain), JOINED_PIECES):
-            some = plain[at : at + JOINED_PIECES]
-            begin = list(accumulate((len(p) + 1 for p in some), initial=0))
-            got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids, tokens, firsts = got.ids, got.tokens, [o[0] for o in got.offsets]
-            spots = [bisect_left(firsts, x) for x in begin]
-            cache.update((p, (" ".join(map(str, ids[x:y])), " ".join(tokens[x:y]))) for p, x, y in zip(some, spots, spots[1:]))
-        for p in new:  # the long, and those that may hold a special token's string
-            if p not in cache:
-                ids = self.encode_piece(p)
-                cache[p] = (" ".join(map(str, ids)), self.tokenizer.decode(ids, skip_special_tokens=False))
-        out = [self.parts(pieces) for pieces in cut]
-        for piece in new[max(0, CACHE_PIECES - len(cache) + len(new)) :]:
-            del cache[piece]
+        if tokenizer.decoder is not None:
+            raise ValueError("the tokenizer's decoder joins tokens in a way that ids cannot be decoded apart")
+        self.leaf, self.window = leaf, window
+        #: Word -> its ids as decimals joined by spaces.
+        self.cache: dict[str, str] = {}
+        #: Decimal id -> what it decodes to.
+        self.token_of = {str(i): tokenizer.decode([i], skip_special_tokens=False) for i in range(tokenizer.get_vocab_size())}
+        #: What was done: texts, those of several leaves, leaves, joins, windows, and stretches that were trees of their own.
+        self.done: Counter = Counter()
+
+    def bounds(self, text: str) -> list[int]:
+        """Where a text is cut into leaves: halved until they are short, but never inside a stretch that is too long for one."""
+        whole = [(m.start(), m.end()) for m in _WORDS.finditer(text) if m.end() - m.start() > self.leaf] if len(text) > self.leaf else []
+        cuts, open_ = [0, len(text)], [(0, len(text))]
+        while open_:
+            lo, hi = open_.pop()
+            if hi - lo <= self.leaf:
+                continue
+            mid = (lo + hi) // 2
+            k = bisect_left(whole, (mid, mid)) - 1
+            if k >= 0 and whole[k][0] < mid < whole[k][1]:
+                mid = min(whole[k], key=lambda x: (not lo < x < hi, abs(x - mid)))
+            if lo < mid < hi:
+                cuts.append(mid)
+                open_ += [(lo, mid), (mid, hi)]
+        return sorted(cuts)
+
+    def _joined(self, text: str, left: list[str], right: list[str], lo: int, mid: int, hi: int) -> list[str]:
+        """The words of text[lo:hi] from those of its two halves."""
+        window = self.window
+        while True:
+            a, b = max(lo, mid - window), min(hi, mid + window)
+            middle, before, after = _WORDS.findall(text[a:b]), len(_WORDS.findall(text[a:mid])), len(_WORDS.findall(text[mid:b]))
+            self.done["windows"] += 1
+            # The window's first and last words may have been cut by its edges, and the words at the join by the join:
+            # it agrees on a side if a word between these is also the side's, or if the side has no more words.
+            head, tail = 1 - before, after - 1
+            if a > lo and not (before > 2 and left[head] == middle[1]) or b < hi and not (after > 2 and right[tail - 1] == middle[-2]):
+                window *= 2
+                continue
+            first, last = (0, 0) if a == lo else (head, 1)
+            left = left[:first] if first else []
+            return left + (middle[last:] if b == hi else middle[last:-1] + right[tail:])
+
+    def words(self, texts: Iterable[str | None]) -> list[list[str]]:
+        """The words of each text, put together from its leaves; all are in the cache afterwards."""
+        leaves, spots = [], []
+        for text in texts:
+            text = text or ""
+            cuts = self.bounds(text) if len(text) > self.leaf else [0, len(text)]
+            parts = [_WORDS.findall(text[lo:hi]) for lo, hi in zip(cuts, cuts[1:])] if len(cuts) > 2 else [_WORDS.findall(text)]
+            leaves += parts
+            spots.append((text, cuts, parts))
+        self._encode(leaves)
+        out, again = [], []
+        self.done.update(texts=len(spots), trees=sum(len(c) > 2 for _, c, _ in spots), leaves=len(leaves))
+        for text, cuts, parts in spots:
+            level = list(zip(cuts, cuts[1:], parts))
+            while len(level) > 1:
+                joined = [
+                    (lo, hi, self._joined(text, left, right, lo, mid, hi))
+                    for (lo, mid, left), (_, hi, right) in zip(level[::2], level[1::2])
+                ]
+                self.done["joins"] += len(joined)
+                level = joined + level[len(joined) * 2 :]
+            out.append(level[0][2])
+            if len(cuts) > 2:
+                again.append(level[0][2])
+        self._encode(again)  # the words at the joins
         return out
 
-    def pieces(self, text: str | None) -> list[str]:
-        return _WORDS.findall(text) if text else []
+    def _encode(self, cut: list[list[str]]) -> None:
+        """Put the words of these lists into the cache."""
+        cache = self.cache
+        new = [w for w in set().union(*cut) if w not in cache]
+        plain = [w for w in new if len(w) <= self.leaf and "<|" not in w]
+        lots = [plain[at : at + JOINED_PIECES] for at in range(0, len(plain), JOINED_PIECES)]
+        for some, got in zip(lots, self.tokenizer.encode_batch(list(map(" ".join, lots)), add_special_tokens=False)):
+            ids, firsts = list(map(str, got.ids)), [o[0] for o in got.offsets]
+            spots = [bisect_left(firsts, x) for x in accumulate((len(w) + 1 for w in some), initial=0)]
+            cache.update((w, " ".join(ids[x:y])) for w, x, y in zip(some, spots, spots[1:]))
+        for w in new:  # the long, and those that may hold a special token's string
+            if w not in cache:
+                self.done["stretches"] += len(w) > self.leaf
+                cache[w] = " ".join(map(str, tree_encode(self.tokenizer, w, self.leaf, 2 * self.window)))
+
+    def ids_of(self, texts: Iterable[str | None]) -> list[str]:
+        """For each text its ids as decimals joined by single spaces."""
+        cache = self.cache
+        out = [" ".join(filter(None, map(cache.__getitem__, words))) for words in self.words(texts)]
+        for word in list(cache)[CACHE_PIECES:]:
+            del cache[word]
+        return out
 
-    def parts(self, pieces: list[str]) -> tuple[str, str]:
-        """The ids as decimals joined by single spaces, and the decoded text."""
-        found = list(map(self.cache.__getitem__, pieces))
-        ids, words = [f[0] for f in found if f[0]], [f[1] for f in found if f[0]]
-        return " ".join(ids), " ".join(words)
+    def decode(self, ids: str) -> str:
+        """What ids, as decimals joined by single spaces, decode to."""
+        return " ".join(map(self.token_of.__getitem__, ids.split(" "))) if ids else ""
 
 
 _codecs: dict[str, WordCodec] = {}
@@ -186,9 +247,8 @@ def encode(docs: DataFrame, path: str = "word_bpe_49k.json", text: str = "text")
     at = docs.drop("ids").columns.index(text)
 
     def run(batch: pa.RecordBatch) -> Sequence[pa.Array]:
-        c = codec(path)
-        found = c.parts_of(batch.column(at).to_pylist())
-        return [pa.array([[int(i) for i in ids.split()] for ids, _ in found], pa.list_(pa.int32()))]
+        found = codec(path).ids_of(batch.column(at).to_pylist())
+        return [pa.array([[int(i) for i in ids.split()] for ids in found], pa.list_(pa.int32()))]
 
     return add_columns(docs, "ids array<int>", run)
 
@@ -217,10 +277,10 @@ def round_trip(docs: DataFrame, path: str = "word_bpe_49k.json", text: str = "te
     def run(batch: pa.RecordBatch) -> Sequence[pa.Array]:
         c = codec(path)
         n, ids, texts = [], [], []
-        for i, t in c.parts_of(batch.column(at).to_pylist()):
+        for i in c.ids_of(batch.column(at).to_pylist()):
             n.append(i.count(" ") + 1 if i else 0)
             ids.append(hashlib.sha256(i.encode()).hexdigest())
-            texts.append(hashlib.sha256(t.encode()).hexdigest())
+            texts.append(hashlib.sha256(c.decode(i).encode()).hexdigest())
         return [pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())]
 
     return add_columns(docs, "n_tokens long, ids_sha256 string, decoded_sha256 string", run)

@@ -112,9 +112,23 @@ def test_pieces_are_exact_on_random_text():
     alphabet = list("ab'sreZ09 .,!?\n\t_-é½²“”…́  \x1c日") + ["'s", "'ll", "  ", "\r\n", "<|endoftext|>"]
     texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 40))) for _ in range(1500)]
     assert [np.frombuffer(b, "<u4").tolist() for b in c.encode_all(texts)] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
-    for text, (ids, decoded) in zip(texts, w.parts_of(texts)):
-        want = word.encode(text, add_special_tokens=False).ids
-        assert ids == " ".join(map(str, want)) and decoded == word.decode(want, skip_special_tokens=False)
+    for c in (w, bpe.WordCodec("word_bpe_49k.json", leaf=6, window=1)):
+        for text, ids in zip(texts, c.ids_of(texts)):
+            want = word.encode(text, add_special_tokens=False).ids
+            assert ids == " ".join(map(str, want)) and c.decode(ids) == word.decode(want, skip_special_tokens=False)
+    assert c.done["trees"] > 1000 and c.done["joins"] > 3000 and c.done["stretches"] > 100
+
+
+def test_whole_texts_are_trees_of_leaves(spark):
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    c = bpe.WordCodec("word_bpe_49k.json")
+    got = c.ids_of(texts)
+    long = sum(len(t or "") > bpe.LEAF_CHARS for t in texts)
+    assert c.done["trees"] == long > len(texts) / 3 and c.done["windows"] >= c.done["joins"] == c.done["leaves"] - len(texts) > long
+    want = c.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
+    assert got == [" ".join(map(str, e.ids)) for e in want]
+    grown = bpe.WordCodec("word_bpe_49k.json", leaf=64, window=1)
+    assert grown.ids_of(texts[:50]) == got[:50] and grown.done["windows"] > 2 * grown.done["joins"]
 
 
 def test_tree_concatenation_is_exact():

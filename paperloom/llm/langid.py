@@ -3,8 +3,7 @@
 A language's model is a raw-content zstandard dictionary: sample text of that
 language. A text is cut into blocks, every block is compressed once against each
 dictionary, and the language whose dictionary gives the fewest bytes over the
-whole text wins. A narrow win is settled by how often the text's words occur in
-the dictionaries, if that evidence has a clear margin itself, and else rejected.
+whole text wins. A win by a narrow margin is rejected, whatever its label.
 """
 
 from __future__ import annotations
@@ -29,13 +28,10 @@ BLOCK_BYTES = 8192
 LEVEL, MIN_MATCH = 9, 4
 #: Share of the second-best size below which a win is too narrow to keep.
 MIN_MARGIN = 0.005
-#: Share of the most familiar dictionary's word evidence by which it must lead to settle a narrow win.
-WORD_MARGIN = 0.1
 #: A difference of so many bytes multiplies the odds by e.
 BYTES_PER_NAT = 8.0
 
 _LETTER = re.compile(r"[^\W\d_]")
-_WORD = re.compile(r"[^\W\d_]+")
 
 
 @dataclass(frozen=True)
@@ -51,40 +47,42 @@ def fit(
     text: str = "text",
     lang: str = "lang",
     order_key: str = "doc_id",
-    sample_rows: int = 256,
-    row_chars: int = 1000,
+    sample_rows: int = 512,
+    row_chars: int = 512,
     dictionary_bytes: int = 131072,
     max_languages: int = 256,
 ) -> LanguageModel:
     """Dictionaries from a bounded sample of the labelled rows.
 
     The bound: about ``sample_rows`` rows of each language, chosen by a hash of
-    ``order_key``, ``row_chars`` characters of each, at most ``dictionary_bytes``
-    bytes a language; more than ``max_languages`` labels are an error. Rows with
-    a null text or label, or without letters, teach nothing.
+    ``order_key``, and of each a stretch of ``row_chars`` characters that starts
+    wherever the hash says, taken in the hash's order until a language has
+    ``dictionary_bytes`` bytes. Rows with a null text or label, or without
+    letters, teach nothing. Of more than ``max_languages`` labels those with
+    most rows are learned (of as many, the first in order).
     """
     rows = labelled.select(
         F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(order_key)).alias("h")
     ).where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(max_languages + 1).collect()}
-    if len(counts) > max_languages:
-        raise ValueError(f"more than {max_languages} languages in the training rows")
-    if not counts:
+    found = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    if not found:
         return LanguageModel((), ())
     scale = 1 << 30
     limit: Column = F.lit(0)
-    for name, n in counts.items():
-        limit = F.when(F.col("lang") == name, F.lit(min(scale, math.ceil(scale * sample_rows / n)))).otherwise(limit)
+    for r in found:
+        limit = F.when(F.col("lang") == r["lang"], F.lit(min(scale, math.ceil(scale * sample_rows / r["n"])))).otherwise(limit)
+    start = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - row_chars + 1, F.lit(1))).cast("int") + 1
     sample = (
         rows.where(F.pmod("h", F.lit(scale)) < limit)
-        .select("lang", "h", F.substring("text", 1, row_chars).alias("text"))
+        .select("lang", "h", F.col("text").substr(start, F.lit(row_chars)).alias("text"))
         .collect()
     )
     parts: dict[str, list[bytes]] = {}
     for row in sorted(sample, key=lambda r: (r["lang"], r["h"], r["text"])):
-        if _LETTER.search(row["text"]):
-            parts.setdefault(row["lang"], []).append(row["text"].lower().encode())
-    names = tuple(sorted(parts))
+        taken = parts.setdefault(str(row["lang"]), [])
+        if _LETTER.search(row["text"]) and sum(map(len, taken)) + len(taken) < dictionary_bytes:
+            taken.append(row["text"].lower().encode("utf-8", "replace"))
+    names = tuple(sorted(n for n in parts if parts[n]))
     # zstandard reads a short dictionary as none at all, so it is filled up.
     return LanguageModel(names, tuple(b"\n".join(parts[n])[:dictionary_bytes].ljust(16, b"\n") for n in names))
 
@@ -103,39 +101,21 @@ class Classifier:
             shared.precompute_compress(compression_params=params)
             self.coders.append(zstandard.ZstdCompressor(dict_data=shared, compression_params=params))
 
-    def _known(self, lowered: str, i: int) -> float:
-        """How familiar a text's words are to a dictionary: logarithms of their occurrences, added up."""
-        content = self.model.dictionaries[i]
-        return math.fsum(math.log1p(content.count(w.encode("utf-8", "replace"))) for w in set(_WORD.findall(lowered)))
-
     def classify(self, text: str | None) -> tuple[str, float, float, bool]:
         """Language, score from 0 to 1, margin, and whether the margin is too narrow."""
         if text is None or not self.coders or not _LETTER.search(text):
             return UNDETERMINED, 0.0, 0.0, True
-        lowered = text.lower()
-        data = lowered.encode("utf-8", "replace")
+        data = text.lower().encode("utf-8", "replace")
         sizes = [0] * len(self.coders)
         for start in range(0, len(data), BLOCK_BYTES):
             block = data[start : start + BLOCK_BYTES]
             for i, coder in enumerate(self.coders):
                 sizes[i] += len(coder.compress(block))
-        order = sorted(range(len(sizes)), key=sizes.__getitem__)
-        best, clear = order[0], False
-        if len(order) > 1:
-            tied = [i for i in order if sizes[i] <= sizes[best] * (1 + MIN_MARGIN)]
-            if len(tied) > 1:
-                known = {i: self._known(lowered, i) for i in tied}
-                tied.sort(key=lambda i: (-known[i], sizes[i]))
-                lead = known[tied[0]] - known[tied[1]]
-                if lead > 0 and lead >= WORD_MARGIN * known[tied[0]]:
-                    best, clear = tied[0], True
-            rest = min(s for i, s in enumerate(sizes) if i != best)
-            margin = (rest - sizes[best]) / max(rest, 1)
-        else:
-            margin = 1.0
-        low = min(sizes)
-        weights = [math.exp((low - s) / BYTES_PER_NAT) for s in sizes]
-        return self.model.languages[best], weights[best] / sum(weights), margin, not clear and margin < MIN_MARGIN
+        best = min(range(len(sizes)), key=sizes.__getitem__)  # of equal sizes the first language, and rejected
+        rest = min((s for i, s in enumerate(sizes) if i != best), default=None)
+        margin = 1.0 if rest is None else (rest - sizes[best]) / max(rest, 1)
+        weights = [math.exp((sizes[best] - s) / BYTES_PER_NAT) for s in sizes]
+        return self.model.languages[best], weights[best] / sum(weights), margin, margin < MIN_MARGIN
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:

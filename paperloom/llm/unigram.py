@@ -19,7 +19,7 @@ import math
 import os
 import re
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -122,32 +122,30 @@ class Counter:
         self.longest = max(map(len, pieces), default=1)
         self.unknown = min(pieces.values(), default=0.0) - UNKNOWN_PENALTY
         self.cache: dict[str, int] = {}
+        #: Forward steps done: nodes of the tries that were walked.
+        self.nodes = 0
 
-    def counts(self, words: Sequence[str]) -> dict[str, int]:
-        """The number of tokens of each distinct word."""
-        # A node: its children by letter, and at key None the word that ends there.
-        root: dict = {}
-        for word in words:
-            node = root
-            for letter in MARK + word:
-                node = node.setdefault(letter, {})
-            node[None] = word
+    def counts(self, words: Iterable[str]) -> dict[str, int]:
+        """The number of tokens of each distinct word.
+
+        A word shares with the one before it, in order, the nodes of the trie
+        on their common prefix; what is known of them is kept by depth.
+        """
         out: dict[str, int] = {}
-        # Scores and counts of the path's prefixes are kept by depth, and cut
-        # back as the traversal returns; of the path itself no more than the
-        # letters that a piece can hold are carried along.
         score, count = [0.0], [0]
-        stack = [(root, 0, "")]
-        while stack:
-            node, depth, tail = stack.pop()
-            if depth:
-                del score[depth:], count[depth:]
-                best, fewest = self._step(tail, score, count)
+        path = ""
+        longest = self.longest
+        for word in sorted(words):
+            letters = MARK + word
+            shared = len(os.path.commonprefix([path, letters]))
+            del score[shared + 1 :], count[shared + 1 :]
+            for end in range(shared + 1, len(letters) + 1):
+                best, fewest = self._step(letters[max(0, end - longest) : end], score, count)
                 score.append(best)
                 count.append(fewest)
-                if None in node:
-                    out[node[None]] = fewest
-            stack += [(child, depth + 1, (tail + letter)[-self.longest :]) for letter, child in node.items() if letter is not None]
+            self.nodes += len(letters) - shared
+            out[word] = count[-1]
+            path = letters
         return out
 
     def _step(self, tail: str, score: list[float], count: list[int]) -> tuple[float, int]:
@@ -170,7 +168,7 @@ class Counter:
         """Pre-tokens and tokens of each text."""
         cut = [_WORDS.findall(t) if t else [] for t in texts]
         cache = self.cache
-        new = sorted(w for w in set().union(*cut) if w not in cache)
+        new = [w for w in set().union(*cut) if w not in cache]
         cache.update(self.counts(new))
         out = [(len(c), sum(map(cache.__getitem__, c))) for c in cut]
         for word in new[max(0, CACHE_WORDS - len(cache) + len(new)) :]:

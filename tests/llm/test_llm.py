@@ -178,6 +178,46 @@ def test_token_counts_against_each_word_alone(spark):
     assert unigram.token_counts(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_counts_are_those_of_an_independent_unigram_encoder():
+    from tokenizers import Tokenizer, models
+
+    rng = random.Random(6)
+    for k in range(20):
+        pieces = {c: -rng.uniform(4, 9) for c in "▁abcd"} | {"".join(rng.choices("▁abcd", k=rng.randint(2, 6))): -rng.uniform(1, 12) for _ in range(80)}
+        c = unigram.Counter(pieces)
+        other = Tokenizer(models.Unigram([("<unk>", -100.0), *pieces.items()], unk_id=0))
+        words = {"".join(rng.choices("abcd", k=rng.randint(1, 30))) for _ in range(300)} | {"abcd" * 50}
+        assert c.counts(words) == {w: len(other.encode("▁" + w).ids) for w in words}
+        # Steps are done once a node: one for each distinct prefix.
+        assert c.nodes == len({("▁" + w)[:i] for w in words for i in range(1, len(w) + 2)}) < sum(len(w) + 1 for w in words)
+
+
+def test_counts_are_those_of_every_segmentation():
+    rng = random.Random(7)
+    pieces = {p: -float(rng.randint(1, 6)) for p in ["▁", "a", "b", "ab", "▁a", "ba", "aab", "bb", "▁ab"]}
+
+    def every(text):
+        if not text:
+            return [(0.0, 0)]
+        return [(pieces[text[:i]] + s, n + 1) for i in range(1, 4) if text[:i] in pieces for s, n in every(text[i:])]
+
+    words = ["".join(rng.choices("ab", k=rng.randint(1, 9))) for _ in range(60)]
+    got = unigram.Counter(pieces).counts(set(words))
+    for w in words:
+        best, fewest = min(every("▁" + w), key=lambda f: (-f[0], f[1]))
+        assert got[w] == fewest
+
+
+def test_a_very_long_word_needs_little_memory():
+    import tracemalloc
+
+    c = unigram.Counter({"▁": -2.0, "a": -3.0, "ab": -4.0, "b": -3.0})
+    tracemalloc.start()
+    assert c.totals(["ab" * 200_000]) == [(1, 200_001)]
+    assert tracemalloc.get_traced_memory()[1] < 40_000_000
+    tracemalloc.stop()
+
+
 def test_fitted_token_counts_are_those_of_log_probabilities(spark):
     import sentencepiece
     from public_tokenizers import path
@@ -276,19 +316,38 @@ def test_language_id(spark):
     assert all(got[i]["lang_pred"] == "und" and got[i]["rejected"] and got[i]["score"] == 0 for i in range(3)) and got[3]["lang_pred"] == "en"
     empty = langid.fit(docs.limit(0))
     assert langid.identify(odd, empty).where("lang_pred = 'und'").count() == 4
-    with pytest.raises(ValueError):
-        langid.fit(docs, lang="doc_id", max_languages=3)
-
-
-def test_a_slight_lead_in_words_does_not_settle_a_narrow_margin():
-    words = [f"w{chr(97 + i)}{chr(97 + j)}rk" for i in range(20) for j in range(10)]
-    one, other = " ".join(words).encode(), " ".join([*words[:-1], "zzzzz"]).encode()
-    c = langid.Classifier(langid.LanguageModel(("a", "b"), (one, other)))
-    text = " ".join(words[40:70] + words[-1:])
-    assert c._known(text, 0) > c._known(text, 1)
-    assert c.classify(text)[2] < langid.MIN_MARGIN and c.classify(text)[3]
-    clear = langid.Classifier(langid.LanguageModel(("a", "b"), (b"ok yes fine good", b"no never bad gone")))
-    assert clear.classify("ok")[0] == "a" and not clear.classify("ok")[3]
+    assert langid.fit(docs, max_languages=2).languages == ("en", "fr")
+    assert max(map(len, model.dictionaries)) > 100_000 and max(map(len, langid.fit(docs, dictionary_bytes=5000).dictionaries)) == 5000
+
+
+def smallest(model, text):
+    """Sizes against each dictionary by compressors made anew for every block; the smallest, and its lead."""
+    import zstandard
+
+    data, sizes = text.lower().encode(), []
+    for content in model.dictionaries:
+        params = zstandard.ZstdCompressionParameters.from_level(9, dict_size=len(content), source_size=8192, min_match=4, write_content_size=False)
+        shared = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        sizes.append(sum(len(zstandard.ZstdCompressor(dict_data=shared, compression_params=params).compress(data[at : at + 8192])) for at in range(0, len(data), 8192)))
+    first, second = sorted(sizes)[:2]
+    return model.languages[sizes.index(first)], (second - first) / second
+
+
+def test_language_is_that_of_the_smallest_size_and_narrow_margins_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(~langid.is_held_out()))
+    odd = [(-1, "a"), (-2, "b c"), (-3, "qwx"), (-4, "The same again. " * 3000), (-4, "The same again. " * 3000), (-5, "123 \u0663 ?"), (-6, "\u65e5\u672c")]
+    rows = [(r["doc_id"], r["text"]) for r in docs.limit(300).collect()] + odd
+    got = langid.identify(spark.createDataFrame(rows, DOCS), model).collect()
+    narrow = 0
+    for r in got:
+        if r["text"] is None or not langid._LETTER.search(r["text"]):
+            assert (r["lang_pred"], r["score"], r["rejected"]) == ("und", 0.0, True)
+            continue
+        lang, margin = smallest(model, r["text"])
+        assert (r["lang_pred"], r["rejected"]) == (lang, margin < langid.MIN_MARGIN) and abs(r["margin"] - margin) < 1e-12
+        narrow += r["rejected"]
+    assert len(got) == len(rows) and 3 <= narrow < 0.05 * len(rows)
 
 
 def test_toxicity(spark):

@@ -4,20 +4,23 @@ Suffixes are ordered only as far as ``threshold`` bytes, by passes over digits,
 most significant first, and only members of groups that are still shared go on
 to the next pass. What is equal after the last pass are the repeated windows.
 
-Sorting the suffix at every byte would move many times the input, so the first
-digit also picks which suffixes are sorted. Every window of ``threshold`` bytes
-is filed under one of its own ``digit``-byte strings: the one of the smallest
-hash. Neighbouring windows mostly share it, and make one *run*; equal windows
-always share it.
-
-1. First digit: runs are dealt by the string that they are filed under.
-2. Second digit: within it, by the hash of all bytes that the run's windows cover.
-   A run that equals an earlier one repeats it whole.
-3. Last digit: where one first digit has runs that differ, their windows are
-   compared one by one, by a 128-bit hash of each.
-
-Runs are a thirtieth of the bytes, and only runs whose first digit occurs again
-with other surroundings send their bytes, once, to the last pass.
+Sorting every suffix of every text through exchanges would move twenty bytes and
+more a byte of text, so the first two passes sort a sample of the suffixes that
+stands for all of them. Every window of ``threshold`` bytes is filed under one of
+its own ``digit``-byte strings: the one of the smallest hash. Neighbouring windows
+mostly share it, and make one *run*; equal windows always share it.
+
+1. First pass: runs are dealt by a fingerprint of the string they are filed under.
+2. Second pass: within it they are ordered by a fingerprint of all bytes that the
+   run's windows cover. A run that equals an earlier one repeats it whole (this
+   is told by both fingerprints, 128 bits, and not by the bytes).
+3. Where one string has runs that differ, their bytes are sent, once, and all
+   their suffixes are sorted as far as ``threshold`` bytes: by eight bytes at a
+   time, from the left, each pass taking only members of groups still shared.
+
+Of equal runs in one batch of documents only the earliest is dealt by its string;
+the others are known to be repeats there and then, and are dealt by their own
+place. So a string that everything holds does not meet in one task.
 """
 
 from __future__ import annotations
@@ -76,28 +79,44 @@ def _data(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
 
 
-def _cat(parts: list[np.ndarray], kind) -> pa.Array:
-    return pa.array(np.concatenate(parts) if parts else np.zeros(0, kind), pa.int64())
+def _combined(rows: np.ndarray, copies: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (first, second, d, h, lo) in order: the earliest of each (first, second), and all that repeat one.
+
+    With copies, rows of the earliest's own document (key and hash) are copies of it and left out; else they repeat it.
+    """
+    rows = rows[:, np.lexsort(rows[::-1])]
+    new = np.r_[True, (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)]
+    head = rows[2 : 4 if copies else 5, np.maximum.accumulate(np.where(new, np.arange(rows.shape[1]), 0))]
+    return rows[:, new], rows[:, ~new & (rows[2 : 4 if copies else 5] != head).any(axis=0)]
+
+
+def _key_batch(heads: np.ndarray, again: np.ndarray) -> pa.RecordBatch:
+    """Both kinds of rows as one batch: first, second, d, h, lo, again."""
+    rows = np.concatenate([heads, again], axis=1)
+    mark = np.repeat(np.array([0, 1], np.int32), [heads.shape[1], again.shape[1]])
+    return pa.RecordBatch.from_arrays([*map(pa.array, rows), pa.array(mark)], names=["first", "second", "d", "h", "lo", "again"])
+
+
+_KEYS = "first long, second long, d long, h long, lo long, again int"
 
 
 def _sort_keys(docs: DataFrame, threshold: int) -> DataFrame:
-    """first, second, d, h, lo of each document's distinct runs."""
+    """first, second, d, h, lo of each document's distinct runs, and whether one repeats an earlier one of its batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list[np.ndarray]] = [[], [], [], [], []]
+            found = [np.zeros((5, 0), np.int64)]
             for d, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 runs = Runs(_data(text), threshold)
-                if not len(runs.lo):
-                    continue
                 new = ~runs.repeats()
                 n = int(new.sum())
-                for c, v in zip(cols, (runs.first[new].view(np.int64), runs.second[new].view(np.int64), np.full(n, d), np.full(n, h), runs.lo[new])):
-                    c.append(v)
-            yield pa.RecordBatch.from_arrays([_cat(c, np.int64) for c in cols], names=["first", "second", "d", "h", "lo"])
+                found.append(np.stack([runs.first[new].view(np.int64), runs.second[new].view(np.int64), np.full(n, d), np.full(n, h), runs.lo[new]]))
+            rows = np.concatenate(found, axis=1)
+            if rows.shape[1]:
+                yield _key_batch(*_combined(rows, copies=True))
         release()
 
-    return docs.select("d", "h", "text").mapInArrow(run, "first long, second long, d long, h long, lo long")
+    return docs.select("d", "h", "text").mapInArrow(run, _KEYS)
 
 
 def _pass(keys: DataFrame, parts: int, differing: bool) -> DataFrame:
@@ -106,8 +125,10 @@ def _pass(keys: DataFrame, parts: int, differing: bool) -> DataFrame:
 
     Rows stream in order past a state of one row, so a hot digit costs no memory.
     Rows of the earliest's own document are that document's copies in the table.
+    Rows that are known to repeat another are dealt by their own place, and pass.
     """
-    ordered = keys.repartition(parts, "first").sortWithinPartitions("first", "second", "d", "h", "lo")
+    dealt = keys.repartition(parts, F.when(F.col("again") == 0, F.col("first")).otherwise(F.xxhash64("d", "h", "lo")))
+    ordered = dealt.sortWithinPartitions("again", "first", "second", "d", "h", "lo")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # The earliest row of the last pair of digits, and whether it may still have to be told.
@@ -115,7 +136,13 @@ def _pass(keys: DataFrame, parts: int, differing: bool) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:5]])
+            known = rows[:, batch.column(5).to_numpy() == 1]
+            if known.shape[1]:
+                yield pa.RecordBatch.from_arrays([*(pa.array(known[k]) for k in (0, 2, 3, 4)), pa.array(np.zeros(known.shape[1], np.int32))], names=["first", "d", "h", "lo", "kind"])
+                rows = rows[:, : rows.shape[1] - known.shape[1]]  # they come last
+                if not rows.shape[1]:
+                    continue
             if head_row is not None:
                 rows = np.concatenate([head_row[:, None], rows], axis=1)
             first, second, index = rows[0], rows[1], np.arange(rows.shape[1])
@@ -167,20 +194,37 @@ def _surroundings(docs: DataFrame, lists: DataFrame, threshold: int) -> DataFram
     return joined.mapInArrow(run, "first long, d long, h long, lo long, bytes binary")
 
 
-def _windows(rows: list[np.ndarray], stretches: list[bytes], threshold: int) -> tuple[np.ndarray, ...]:
-    """For each window of the stretches: row, start in the document, and both hashes."""
+def _starts(rows: list[np.ndarray], stretches: list[bytes], threshold: int) -> tuple[np.ndarray, ...]:
+    """All bytes of the stretches, and for each of their windows: its place in these, its row, and its start in the document."""
     size = np.array([len(s) for s in stretches])
     begin = np.cumsum(size) - size
     count = size - threshold + 1
     row = np.repeat(np.arange(len(size)), count)
     step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    data = np.frombuffer(b"".join(stretches), np.uint8)
-    at = begin[row] + step
-    out = []
-    for rolling in (_one, _two):
-        sums = rolling.prefix(data)
-        out.append(mix(rolling.stretch(sums, at, at + threshold)))
-    return row, rows[3][row] + step, out[0], out[1]
+    return np.frombuffer(b"".join(stretches), np.uint8), begin[row] + step, row, rows[3][row] + step
+
+
+def radix_groups(data: np.ndarray, at: np.ndarray, group: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes data[at:] of one group that agree on threshold bytes: indexes into at, and which set of several each is in.
+
+    Digits of eight bytes are taken from the left; only suffixes that share all
+    digits so far with another go on. Within a set, indexes ascend.
+    """
+    alive = np.arange(len(at))
+    for depth in range(0, threshold, 8):
+        # The last digit ends at the threshold: bytes that it has in common with the one before are equal already.
+        lo = max(0, min(depth, threshold - 8))
+        width = min(8, threshold - lo)
+        digit = np.zeros(len(alive), np.uint64)
+        for k in range(width):
+            digit = (digit << np.uint64(8)) | data[at[alive] + lo + k]
+        order = np.lexsort((digit, group))
+        alive, group, digit = alive[order], group[order], digit[order]
+        new = np.r_[True, (group[1:] != group[:-1]) | (digit[1:] != digit[:-1])] if len(alive) else np.zeros(0, bool)
+        group = np.cumsum(new)
+        shared = np.bincount(group)[group] > 1 if len(alive) else new
+        alive, group = alive[shared], group[shared]
+    return alive, group
 
 
 def _compare(stretches: DataFrame, parts: int, threshold: int) -> DataFrame:
@@ -188,12 +232,10 @@ def _compare(stretches: DataFrame, parts: int, threshold: int) -> DataFrame:
     ordered = stretches.repartition(parts, "first").sortWithinPartitions("first", "d", "h", "lo")
 
     def spans(cols: list[np.ndarray], bytes_: list[bytes]) -> pa.RecordBatch:
-        row, start, one, two = _windows(cols, bytes_, threshold)
-        digit = cols[0][row]
-        # Rows are in document order within a digit, and the sort is stable, so
-        # the first of equal windows is the earliest.
-        order = np.lexsort((two, one, digit))
-        same = np.r_[False, (digit[order[1:]] == digit[order[:-1]]) & (one[order[1:]] == one[order[:-1]]) & (two[order[1:]] == two[order[:-1]])]
+        data, at, row, start = _starts(cols, bytes_, threshold)
+        # Rows are in document order within a string, so the first of equal windows is the earliest.
+        order, group = radix_groups(data, at, cols[0][row], threshold)
+        same = np.r_[False, group[1:] == group[:-1]] if len(order) else np.zeros(0, bool)
         head = order[np.maximum.accumulate(np.where(~same, np.arange(len(order)), 0))]
         d, h = cols[1][row], cols[2][row]
         own = (d[order] == d[head]) & (h[order] == h[head]) & (start[order] == start[head])
@@ -226,19 +268,20 @@ def _compare(stretches: DataFrame, parts: int, threshold: int) -> DataFrame:
 
 
 def _compare_hot(stretches: DataFrame, parts: int, threshold: int) -> DataFrame:
-    """As _compare, for first digits too hot for one task: each window is dealt by its own hash."""
-    names = ["first", "second", "d", "h", "lo"]
+    """As _compare, for strings with too many differing runs for one task: each window is dealt by two hashes of its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:4]]
-            row, start, one, two = _windows(cols, batch.column(4).to_pylist(), threshold)
-            made = (one.view(np.int64), two.view(np.int64), cols[1][row], cols[2][row], start)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in made], names=names)
+            data, at, row, start = _starts(cols, batch.column(4).to_pylist(), threshold)
+            hashes = []
+            for rolling in (_one, _two):
+                hashes.append(mix(rolling.stretch(rolling.prefix(data), at, at + threshold)).view(np.int64))
+            yield _key_batch(*_combined(np.stack([*hashes, cols[1][row], cols[2][row], start]), copies=False))
 
-    keys = stretches.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    keys = stretches.mapInArrow(run, _KEYS)
     return _pass(keys, parts, differing=False).select("d", "h", "lo", F.col("lo").alias("last"))
 
 
@@ -260,9 +303,9 @@ def remove_repeats(
     small_batches(docs.sparkSession)
     made = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     docs = docs.drop(*made)
-    original = docs.schema.fields
+    original, place = docs.schema.fields, docs.columns.index(text)
     keyed = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row"),
         F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("d"), text_hash(text).alias("h"), F.col(text).alias("text"),
     )
     parts = shuffle_partitions(docs)
@@ -295,7 +338,8 @@ def remove_repeats(
                 *counts, left = _removed(t, s, threshold)
                 found.append((*counts, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if kept == "text" else left))
             cols: Sequence = list(zip(*found)) if found else [()] * 5
-            yield pa.RecordBatch.from_arrays([*batch.column(0).flatten(), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=names)
+            others = batch.column(0).flatten()
+            yield pa.RecordBatch.from_arrays([*others[:place], batch.column(1), *others[place:], *(pa.array(c, k) for c, k in zip(cols, kinds))], names=names)
 
     return joined.mapInArrow(run, schema)
 

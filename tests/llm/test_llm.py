@@ -274,6 +274,41 @@ def test_repeated_strings(spark, size, most):
     assert got == removed(rows, size)
 
 
+@pytest.mark.parametrize("size", [1, 5, 8, 9, 23, 100])
+def test_radix_groups_are_equal_strings(size):
+    rng = np.random.default_rng(size)
+    data = np.tile(rng.integers(97, 99, 700).astype(np.uint8), 4)
+    data[::300] = 255
+    at = rng.permutation(len(data) - size + 1)
+    group = at % 700 // 350
+    got, which = suffixes.radix_groups(data, at, group, size)
+    sets = {}
+    for i, (a, g) in enumerate(zip(at, group)):
+        sets.setdefault((g, data[a : a + size].tobytes()), []).append(i)
+    want = sorted(v for v in sets.values() if len(v) > 1)
+    assert sorted(got[which == w].tolist() for w in np.unique(which)) == want and want
+
+
+def test_the_table_documents_as_a_whole(spark):
+    sf = "/root/testdata/sf0.01"
+    from paperloom.llm import queries
+
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    got = {r["doc_id"]: tuple(r)[1:] for r in queries.op4_repeated_strings(spark, sf).collect()}
+    assert got == removed(rows, 100)
+
+
+def test_a_string_that_everything_holds_meets_once_a_batch(spark):
+    common = "the same line in every document, which is a good deal longer than the threshold. " * 2
+    df = spark.createDataFrame([(i, f"{i} {common}") for i in range(3000)], DOCS).repartition(3)
+    keyed = df.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), "text")
+    keys = suffixes._sort_keys(keyed, 40)
+    hot = keys.where("again = 0").groupBy("first").count().agg(F.max("count")).first()[0]
+    assert hot < 3000 / 3 and keys.where("again = 1").count() > 3000 * 2
+    got = suffixes.remove_repeats(df, 40, kept=None)
+    assert got.where(f"n_removed >= {len(common)}").count() == 2999 and got.where("doc_id = 0 AND n_removed < 100").count() == 1
+
+
 def test_repeated_rows_are_one_document(spark):
     one, other = "".join(map(str, range(50))), "".join(map(str, range(200, 220)))
     df = spark.createDataFrame([(1, one)] * 2 + [(None, other), (2, other)], DOCS)

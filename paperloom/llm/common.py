@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -16,16 +18,21 @@ from pyspark.sql import types as T
 BATCH_ROWS, BATCH_BYTES = 10_000, 2_000_000
 
 _local_dir: list[str] = []
+#: Folders and tables that materialise and bucketed made, in order, and that nothing has removed yet.
+_made: list[tuple[str, str | None]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share: spark.checkpoint.dir, or a temporary one if unset."""
+    """Folder all executors share: spark.checkpoint.dir; if unset, one in the warehouse, or a temporary one where all run on this machine."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/intermediate"
     if not _local_dir:
-        _local_dir.append("file://" + tempfile.mkdtemp(prefix="paperloom-"))
-    return _local_dir[0]
+        _local_dir.append(tempfile.mkdtemp(prefix="paperloom-"))
+        atexit.register(shutil.rmtree, _local_dir[0], ignore_errors=True)
+    return "file://" + _local_dir[0]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -38,9 +45,33 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    _made.append((path, None))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_intermediates(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Remove what materialise and bucketed wrote after the first ``since``, but for the last ``keep``.
+
+    Results that still read them are lost, so this is for when those are written or used up.
+    """
+    stop = len(_made) - keep
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path, table in _made[since:stop]:
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    del _made[since:stop]
+
+
+def settled(build: Callable[[], DataFrame], spark: SparkSession, name: str) -> DataFrame:
+    """What build returns, as a table in the shared folder; what it wrote on its way is removed."""
+    since = len(_made)
+    out = materialise(build(), name)
+    drop_intermediates(spark, since, keep=1)
+    return out
+
+
 def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
     """As materialise, dealt into buckets by key: joins on the key don't shuffle it again."""
     spark = df.sparkSession
@@ -48,6 +79,7 @@ def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
     table = path.rsplit("/", 1)[1].replace("-", "_")
     dealt = df.repartition(buckets, key)
     dealt.write.format("parquet").bucketBy(buckets, key).option("path", path).option("compression", "zstd").saveAsTable(table)
+    _made.append((path, table))
     return spark.table(table)
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from . import common
+from .common import drop_intermediates, materialise
 
 MAX_ROUNDS = 60
 
@@ -21,8 +22,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Roots themselves have no row. Alternating large-star and small-star steps
     link neighbours to their smallest neighbour until nothing changes: the
     rounds needed grow with the logarithm of the paths' lengths, and the edges
-    never grow in number. Every round is written to the shared folder.
+    never grow in number. Every round is written to the shared folder, and
+    the round before it removed.
     """
+    spark = edges.sparkSession
     edges = edges.select(F.greatest(a, b).alias("node"), F.least(a, b).alias("root")).where("node <> root").distinct()
     edges = materialise(edges, "edges")
     before = _mark(edges)
@@ -37,7 +40,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = small.where("root <> least").select(F.col("root").alias("node"), F.col("least").alias("root")).unionByName(
             least.select("node", F.col("least").alias("root"))
         )
+        last = len(common._made) - 1
         edges = materialise(small.distinct(), "edges")
+        drop_intermediates(spark, last, keep=1)
         after = _mark(edges)
         if after == before:
             return edges

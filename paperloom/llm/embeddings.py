@@ -72,7 +72,8 @@ def _passes(classes: DataFrame, passes: int, seed: int) -> DataFrame:
                         names=["pass", "label", "dim", "key", "node", "vector"],
                     )
 
-    out = "pass int, label {}, dim int, key long, node long, vector array<float>".format(classes.schema["label"].dataType.simpleString())
+    kinds = [classes.schema[c].dataType.simpleString() for c in ("label", "vector")]
+    out = "pass int, label {}, dim int, key long, node long, vector {}".format(*kinds)
     return classes.select("node", "label", "vector").mapInArrow(run, out)
 
 
@@ -82,15 +83,17 @@ def _window_links(rows: DataFrame, parts: int, threshold: float, window: int) ->
     ordered = keyed.repartition(parts, "bucket").sortWithinPartitions("bucket", "key", "node").select("bucket", "node", "vector")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket = node = unit = None
+        # The last rows of each dimension, as rows of several may come in one batch.
+        state: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
             new = [batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)]
             for at, x in _by_dimension(batch, 2):
                 b, n = new[0][at], new[1][at]
-                if unit is not None and unit.shape[1] == x.shape[1]:
-                    b, n, x = np.concatenate([bucket, b]), np.concatenate([node, n]), np.concatenate([unit, x])
+                dim = x.shape[1]
+                if dim in state:
+                    b, n, x = (np.concatenate(pair) for pair in zip(state[dim], (b, n, x)))
                 label = np.arange(len(n))
                 i_all, j_all = [], []
                 for d in range(1, min(window, len(n) - 1) + 1):
@@ -113,7 +116,7 @@ def _window_links(rows: DataFrame, parts: int, threshold: float, window: int) ->
                     moved = np.flatnonzero(label != np.arange(len(n)))
                     if len(moved):
                         yield pa.RecordBatch.from_arrays([pa.array(n[moved]), pa.array(n[label[moved]])], names=["a", "b"])
-                bucket, node, unit = b[-window:], n[-window:], x[-window:]
+                state[dim] = (b[-window:], n[-window:], x[-window:])
 
     return ordered.mapInArrow(run, "a long, b long")
 
@@ -196,7 +199,10 @@ def near_duplicates(
     label and vector are one vector, and give one row.
     """
     small_batches(vectors.sparkSession)
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<float>").alias("vector"))
+    kind = vectors.schema[vector].dataType.simpleString()
+    # Single precision stays as it is, as its products in double precision are exact; all else becomes double.
+    kind = kind if kind == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(label).alias("label"), F.col(vector).cast(kind).alias("vector"))
     usable = is_usable(F.col("vector")) & F.col("label").isNotNull() & F.col("id").isNotNull()
     rows = rows.withColumn("node", F.when(usable, F.xxhash64("label", "vector")))
     parts = shuffle_partitions(rows)

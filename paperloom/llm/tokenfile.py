@@ -87,7 +87,7 @@ class ByteCodec:
             some = joined[at : at + JOINED_PIECES]
             size = np.fromiter(map(len, some), np.int64, len(some))
             got = self.tokenizer.encode("".join(some), add_special_tokens=False)
-            begin = 4 * np.searchsorted(np.array(got.offsets)[:, 0], np.cumsum(size) - size)
+            begin = 4 * np.searchsorted([o[0] for o in got.offsets], np.cumsum(size) - size)
             cache.update(zip(some, _slices(np.array(got.ids, "<u4").tobytes(), begin)))
         alone = [p for p in new if p[0] not in _SPACES or p[-1] in _SPACES]
         ids = [e.ids for e in self.tokenizer.encode_batch(alone, add_special_tokens=False)]

@@ -42,6 +42,8 @@ BUCKET_BITS, SLICE_BITS = 22, 16
 #: Sets verified against one other set in one go.
 BLOCK_SETS = 256
 PARITY_BITS = 512
+#: Members of a list that meet in one task, on either side.
+LIST_BLOCK = 4096
 #: Turns over some lists before all are searched: one in so many, and all of so many rows.
 TURNS, TURN_LISTS, LONG_LIST = 2, 8, 64
 
@@ -215,18 +217,32 @@ def _shared(prefixes: DataFrame, parts: int) -> DataFrame:
     return ordered.mapInArrow(run, "gram long, node long, n long")
 
 
-def _list_pairs(rows: DataFrame, parts: int, percent: int, hubs: bool) -> DataFrame:
+def _blocks(rows: DataFrame, long: DataFrame, hubs: bool, size: int = LIST_BLOCK) -> DataFrame:
+    """rows with the pair of blocks (x, y) of their list in which they meet others, and their own block.
+
+    Lists of more than ``size`` rows are dealt to blocks by node; each pair of blocks is a task's
+    work, so no list has to fit one task. Hubs are chosen within blocks.
+    """
+    several = long.where(F.col("long") > size).select("gram", F.ceil(F.col("long") / size).cast("int").alias("blocks"))
+    dealt = rows.join(several, "gram", "left").withColumn("own", F.coalesce(F.pmod(F.xxhash64("node"), "blocks").cast("int"), F.lit(0)))
+    if hubs:
+        return dealt.select("*", F.col("own").alias("x"), F.col("own").alias("y"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+    return dealt.select("*", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+
+
+def _list_pairs(rows: DataFrame, long: DataFrame, parts: int, percent: int, hubs: bool) -> DataFrame:
     """Plausible pairs (a, b) of nodes of one list and different roots.
 
     Plausible are pairs whose sizes and parities allow a link, and that meet in
     as many lists as their sizes ask for. With hubs, for each node b only the
-    partner a that has most plausible partners itself. Input: gram, node, n, root, parity. A list is compared
-    in blocks; its rows are held, 100 bytes each.
+    partner a that has most plausible partners itself. Input: gram, node, n, root, parity; long: the sizes of long lists.
     """
-    ordered = rows.repartition(parts, "gram").sortWithinPartitions("gram", "n", "node").select("gram", "node", "n", "root", "parity")
+    dealt = _blocks(rows, long, hubs).repartition(parts, "gram", "x", "y").sortWithinPartitions("gram", "x", "y", "n", "node")
+    ordered = dealt.select("gram", "x", "y", "node", "n", "root", "own", "parity")
     block = 64
 
-    def pairs(node: np.ndarray, n: np.ndarray, root: np.ndarray, parity: np.ndarray) -> tuple[np.ndarray, ...]:
+    def pairs(node: np.ndarray, n: np.ndarray, root: np.ndarray, own: np.ndarray, across: bool, parity: np.ndarray) -> tuple[np.ndarray, ...]:
         def plausible() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
             for at in range(0, len(node), block):
                 a = np.arange(at, min(at + block, len(node)))
@@ -236,6 +252,8 @@ def _list_pairs(rows: DataFrame, parts: int, percent: int, hubs: bool) -> DataFr
                 apart = np.bitwise_count(parity[a][:, None, :] ^ parity[b][None, :, :]).sum(axis=2, dtype=np.int64)
                 ok = (b[None, :] > a[:, None]) & (root[a][:, None] != root[b][None, :]) & (n[b][None, :] * percent <= n[a][:, None] * 100)
                 ok &= (both - apart) * (100 + percent) >= 2 * percent * both
+                if across:  # pairs within a block meet where it meets itself
+                    ok &= own[a][:, None] != own[b][None, :]
                 if ok.any():
                     yield a, b, ok
 
@@ -258,24 +276,24 @@ def _list_pairs(rows: DataFrame, parts: int, percent: int, hubs: bool) -> DataFr
         return (node[mate[hit]], node[hit], best[hit], best[hit]) if len(hit) else ()
 
     def lists(cols: list[np.ndarray], parity: np.ndarray) -> Iterator[pa.RecordBatch]:
-        gram, node, n, root = cols
-        bounds = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1], True])
+        gram, x, y, node, n, root, own = cols
+        bounds = np.flatnonzero(_changes(cols))
         out = []
-        for lo, hi in zip(bounds[:-1], bounds[1:]):
-            if hi - lo > 1 and (root[lo:hi] != root[lo]).any() and (got := pairs(node[lo:hi], n[lo:hi], root[lo:hi], parity[lo:hi])):
+        for lo, hi in zip(bounds, [*bounds[1:], len(gram)]):
+            if hi - lo > 1 and (root[lo:hi] != root[lo]).any() and (got := pairs(node[lo:hi], n[lo:hi], root[lo:hi], own[lo:hi], x[lo] != y[lo], parity[lo:hi])):
                 out.append(got)
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["a", "b", "x", "y"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = [np.zeros(0, np.int64)] * 4
+        held: list[np.ndarray] = [np.zeros(0, np.int64)] * 7
         marks = np.zeros((0, PARITY_BITS // 64), _U)
         for batch in batches:
             if not batch.num_rows:
                 continue
             held = [np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns)]
-            marks = np.concatenate([marks, np.frombuffer(b"".join(batch.column(4).to_pylist()), _U).reshape(batch.num_rows, -1)])
-            cut = int(np.flatnonzero(held[0] != held[0][-1])[-1]) + 1 if held[0][0] != held[0][-1] else 0  # the last list may go on
+            marks = np.concatenate([marks, np.frombuffer(b"".join(batch.column(7).to_pylist()), _U).reshape(batch.num_rows, -1)])
+            cut = int(np.flatnonzero(_changes(held))[-1])  # the last pair of blocks may go on
             if cut:
                 yield from lists([h[:cut] for h in held], marks[:cut])
                 held, marks = [h[cut:] for h in held], marks[cut:]
@@ -293,6 +311,11 @@ def _list_pairs(rows: DataFrame, parts: int, percent: int, hubs: bool) -> DataFr
     return found.where((F.col("common") + beyond) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
 
 
+def _changes(cols: list[np.ndarray]) -> np.ndarray:
+    """Where the first three columns differ from the row before."""
+    return np.r_[True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])]
+
+
 def _several_roots(rows: DataFrame, parts: int) -> DataFrame:
     """The rows of lists that hold several roots; rows stream past, roots of a list are in order."""
     ordered = rows.repartition(parts, "gram").sortWithinPartitions("gram", "root").select("gram", "node", "n", "root")
@@ -401,7 +424,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
     found = docs.select("h", "text").mapInArrow(run, "node long, members binary")
     found = found.join(wanted.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("members").alias("members"))
-    return bucketed(found, "node", int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sets")
+    return bucketed(found, "node", shuffle_partitions(docs), "sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
@@ -460,7 +483,7 @@ def _members(docs: DataFrame, k: int, percent: int, key: str, text: str) -> tupl
     def sets_of(found: DataFrame) -> DataFrame:
         return _sets(keyed, materialise(found.join(nodes, "node").select("node", "h"), "wanted"), k)
 
-    long = lists.groupBy("gram").agg(F.count("*").alias("long")).where(F.col("long") >= LONG_LIST)
+    long = materialise(lists.groupBy("gram").agg(F.count("*").alias("long")).where(F.col("long") >= LONG_LIST), "long-lists")
     near = sets = None
     for turn in range(TURNS):
         some = lists.join(long, "gram", "left").where((F.pmod(F.xxhash64("gram"), F.lit(TURN_LISTS)) == turn) | F.col("long").isNotNull()).drop("long")
@@ -468,7 +491,7 @@ def _members(docs: DataFrame, k: int, percent: int, key: str, text: str) -> tupl
             rooted = some.withColumn("root", F.col("node"))
         else:
             rooted = some.join(sets.select("node"), "node", "left_semi").join(near, "node", "left").select("gram", "node", "n", F.coalesce("root", "node").alias("root"))
-        pairs = materialise(_list_pairs(rooted.join(marks, "node"), parts, percent, hubs=True), "pairs")
+        pairs = materialise(_list_pairs(rooted.join(marks, "node"), long, parts, percent, hubs=True), "pairs")
         if sets is None:
             sets = sets_of(ends(pairs))
         found = _verified(pairs, sets, percent, parts)
@@ -477,7 +500,7 @@ def _members(docs: DataFrame, k: int, percent: int, key: str, text: str) -> tupl
         near = components(found)
 
     rooted = lists.join(near, "node", "left").select("gram", "node", "n", F.coalesce("root", "node").alias("root"))
-    pairs = _list_pairs(_several_roots(rooted, parts).join(marks, "node"), parts, percent, hubs=False)
+    pairs = _list_pairs(_several_roots(rooted, parts).join(marks, "node"), long, parts, percent, hubs=False)
     pairs = materialise(pairs, "pairs")
     rest = sets_of(ends(pairs).join(sets.select("node"), "node", "left_anti"))
     far = _verified(pairs, sets.unionByName(rest), percent, parts)
@@ -517,7 +540,8 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id"
     first = grouped.where("least").groupBy("root").agg(F.min("h").alias("first"))
     fate = grouped.join(first, "root").select(F.coalesce("d", none).alias("_key"), F.col("h").alias("_hash"), (F.col("least") & (F.col("h") == F.col("first"))).alias("_first"))
     fate = fate.groupBy("_key", "_hash").agg(F.max("_first").alias("_first"))
-    dealt = docs.withColumns({"_key": F.coalesce(F.col(key).cast("long"), none), "_hash": text_hash(text)}).join(fate, ["_key", "_hash"], "left")
+    left = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(key).cast("long"), none).alias("_key"), text_hash(text).alias("_hash"))
+    dealt = left.join(fate, ["_key", "_hash"], "left").where("_first IS NULL OR _first")
     # Only the survivors' own repeats are dropped: rows without a partner are told apart.
-    dealt = dealt.where("_first IS NULL OR _first").withColumn("_row", F.when(F.col("_first").isNull(), F.monotonically_increasing_id()))
-    return dealt.dropDuplicates(["_key", "_hash", "_row"]).select(*docs.columns)
+    dealt = dealt.withColumn("_row", F.when(F.col("_first").isNull(), F.monotonically_increasing_id()))
+    return dealt.dropDuplicates(["_key", "_hash", "_row"]).select("row.*")

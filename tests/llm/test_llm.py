@@ -551,3 +551,112 @@ def test_pipeline_decisions(spark):
     assert 0 < len(out) == last.count() <= docs.count() and len({r["doc_id"] for r in out}) == len(out)
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     assert decontamination.find(last, bench).where("contaminated").count() == 0
+
+
+def test_embeddings_of_double_precision_and_several_dimensions(spark):
+    rng = np.random.default_rng(4)
+    rows = [(0, [1e300, 0.0], 0), (1, [1e300, 1e290], 0), (2, [1e-300, 1e-308], 0), (3, [0.0, 1.0], 0), (3, [0.0, 1.0], 0)]
+    base = {d: rng.standard_normal((40, d)) for d in (3, 8, 64)}
+    for k, (d, x) in enumerate(sorted(base.items())):
+        rows += [(100 * d + 2 * i + j, (v + 1e-3 * j).tolist(), 0) for i, v in enumerate(x) for j in (0, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(df).collect()}
+    assert [got[i] for i in range(4)] == [(2, 0), (2, 0), (2, 0), (0, 3)]
+    by_dim = {}
+    for i, v, _ in rows:
+        by_dim.setdefault(len(v), {})[i] = np.array(v) / np.abs(v).max()
+    for d, vectors in by_dim.items():
+        x = np.array(list(vectors.values()))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        links = (x @ x.T >= 0.98).sum(axis=1) - 1
+        assert [got[i][0] for i in vectors] == links.tolist() and (d == 2 or links.sum() >= 80)
+    # One pass and a window of one still see their rows in batches of several dimensions.
+    edges = embeddings._window_links(
+        embeddings._passes(df.select(F.col("vec_id").alias("node"), F.col("label"), F.col("embedding").alias("vector")).where("vec_id >= 100"), 1, 17), 1, 0.98, 1
+    )
+    assert edges.count() > 60
+
+
+def test_recall_of_the_passes_and_of_the_whole(spark):
+    rng = np.random.default_rng(21)
+    base = rng.standard_normal((4000, 32)).astype(np.float32)
+    near = (base[:1000] + 0.12 * rng.standard_normal((1000, 32))).astype(np.float32)
+    vecs = np.concatenate([base, near])
+    unit = vecs.astype(float) / np.linalg.norm(vecs.astype(float), axis=1, keepdims=True)
+    i, j = np.nonzero(np.triu(unit @ unit.T >= 0.98, 1))
+    df = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(vecs)], "vec_id long, embedding array<float>, label int")
+    rows = df.select(F.col("vec_id").alias("node"), "label", F.col("embedding").alias("vector"))
+    # A label larger than the window, whose buckets split near pairs: the passes alone find most, the whole finds all.
+    found = {frozenset(r) for r in embeddings._window_links(embeddings._passes(rows, embeddings.PASSES, 17), 4, 0.98, embeddings.WINDOW).collect()}
+    assert len(i) > 300 and len(found & {frozenset(p) for p in zip(i.tolist(), j.tolist())}) >= 0.9 * len(i)
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(df).collect()}
+    assert [got[k] for k in range(len(vecs))] == np.bincount(np.r_[i, j], minlength=len(vecs)).tolist()
+
+
+def test_decontamination_beyond_the_broadcast_bound_and_with_clashing_names(spark):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(12)]
+    bench = spark.createDataFrame([(f"i{k}", " ".join(rng.choices(words, k=rng.randint(1, 6)))) for k in range(25)] + [(None, "w1 w2 w3"), ("e", "")], "item_id string, text string")
+    rows = [(rng.choice([None, i, i // 2]), " ".join(rng.choices(words, k=rng.randint(0, 30)))) for i in range(120)] + [(500, None), (501, ""), (502, "w5 " * 4000)]
+    df = spark.createDataFrame(rows + rows[:3], DOCS)
+    for name in ("_key", "_hash", "positions", "key", "hash", "row", "met", "start", "found_key"):
+        df = df.withColumn(name, F.lit(name))
+    key = lambda r: (str(r["doc_id"]), r["text_hash"])
+    near = sorted(decontamination.find(df, bench, n=4).collect(), key=key)
+    assert near == sorted(decontamination.find(df, bench, n=4, max_broadcast=0).collect(), key=key) and len(near) == len(rows) + 3
+    assert any(r["contaminated"] for r in near) and not all(r["contaminated"] for r in near)
+    clean = decontamination.clean_documents(df, bench, n=4)
+    assert clean.columns == df.columns and clean.where("_key <> '_key' OR positions <> 'positions'").count() == 0
+    assert clean.count() == sum(not r["contaminated"] for r in near)
+    spans = decontamination.clean_spans(df, bench, n=4)
+    assert spans.columns == df.columns and spans.count() == len(rows) + 3 and spans.where("_hash <> '_hash' OR positions <> 'positions'").count() == 0
+    assert decontamination.find(df, bench.limit(0), max_broadcast=-1).where("contaminated").count() == 0
+
+
+def test_long_lists_are_searched_in_blocks(spark, monkeypatch):
+    rng = random.Random(31)
+    shared = " ".join(f"s{i}" for i in range(14))
+    rows = [(i, f"{shared} {' '.join(f'v{rng.randint(0, 3)}' for _ in range(rng.randint(0, 6)))}") for i in range(300)]
+    df = spark.createDataFrame(rows, DOCS).repartition(3).withColumn("_key", F.lit("k")).withColumn("_hash", F.lit("h"))
+    want = {r["doc_id"]: r["component_id"] for r in jaccard.groups(df).collect()}
+    sets = {d: shingled(t, 5) for d, t in rows}
+    link = {d: d for d in sets}
+
+    def top(x):
+        while link[x] != x:
+            x = link[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = top(a), top(b)
+                link[max(x, y)] = min(x, y)
+    assert want == {d: top(d) for d in sets}
+    blocks = jaccard._blocks
+    monkeypatch.setattr(jaccard, "_blocks", lambda rows, long, hubs: blocks(rows, long, hubs, size=20))
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.groups(df).collect()} == want
+    kept = jaccard.keep_one(df)
+    assert kept.columns == df.columns and kept.where("_key <> 'k' OR _hash <> 'h'").count() == 0 and kept.count() == len(set(want.values()))
+
+
+def test_very_long_texts(spark):
+    words = [f"w{i % 5000}x{i // 5000}" for i in range(60_000)]
+    long, near = " ".join(words), " ".join([*words[:30_000], "other", *words[30_000:]])
+    df = docs_of(spark, [long, near, "short", None])
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.groups(df).collect()}
+    assert got == {0: (59_996, 0), 1: (60_001 - 4, 0), 2: (1, 2), 3: (0, 3)}
+    t = bpe.load("byte_bpe_50k.json")
+    ids = t.encode(long, add_special_tokens=False).ids + [2]
+    row = next(r for r in tokenfile.write_and_read(df).collect() if r["doc_id"] == 0)
+    assert (row["start"], row["n_tokens"], row["ids_crc32"]) == (0, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
+def test_intermediates_are_removed(spark):
+    from paperloom.llm import common
+
+    since = len(common._made)
+    out = common.settled(lambda: jaccard.keep_one(docs_of(spark, ["a b c d e f", "a b c d e f", "x"])), spark, "kept")
+    assert len(common._made) == since + 1 and out.count() == 2
+    common.drop_intermediates(spark, since)
+    assert len(common._made) == since

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns
+from .common import add_columns, materialise, small_batches
 
 # Groups of identity terms that a neutral text may mention; the
 # terms of one group stand for each other in counterfactual sentences.
@@ -100,13 +100,14 @@ def fit(
 ) -> ToxicityModel:
     """Train on a bounded sample: about sample_rows labelled rows, half of each class.
 
-    Labels are chosen by a hash of their key, and the chosen ones, which are so
-    few at any size, are broadcast to the texts. Features are counted on the
-    executors; only feature ids and counts reach the driver. A null label
+    Labels are chosen by a hash of their key, and the chosen ones, about
+    sample_rows at any size, are broadcast to the texts. Features are counted and
+    the most telling chosen on the executors: the driver gets the ids of at most
+    kept_features, and of each chosen text its counts of these. A null label
     teaches nothing; a null text counts as empty. Without rows of both classes
     the model scores every text 1 or 0, whichever was seen.
     """
-    known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("y")).where("y IN (0, 1) AND key IS NOT NULL")
+    known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("y")).where("y IN (0, 1) AND key IS NOT NULL").distinct()
     n = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     empty = np.zeros(0)
     if len(n) < 2:
@@ -115,60 +116,59 @@ def fit(
     share = {y: min(scale, math.ceil(scale * (sample_rows / 2) / c)) for y, c in n.items()}
     limit = F.when(F.col("y") == 1, F.lit(share[1])).otherwise(F.lit(share[0]))
     chosen = known.where(F.pmod(F.xxhash64("key"), F.lit(scale)) < limit)
+    spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(text).alias("text"), F.col(key).alias("key"))
+    # The bound of the broadcast is sample_rows, give or take the hash's luck.
     sample = rows.join(F.broadcast(chosen), "key").select("text", "y", F.xxhash64("key").alias("h"))
+    sample = materialise(sample, "toxicity-sample")
+    m = {r["y"]: r["m"] for r in sample.groupBy("y").agg(F.count("*").alias("m")).collect()}
+    if max(m.values(), default=0) > sample_rows:  # a chosen key holds many rows: these are drawn from, by their texts
+        thin = F.when(F.col("y") == 1, F.lit(scale * sample_rows // 2 // m.get(1, 1))).otherwise(F.lit(scale * sample_rows // 2 // m.get(0, 1)))
+        sample = materialise(sample.where(F.pmod(F.xxhash64("text", "h", F.lit(1)), F.lit(scale)) < thin), "toxicity-sample")
+        m = {r["y"]: r["m"] for r in sample.groupBy("y").agg(F.count("*").alias("m")).collect()}
+    if len(m) < 2:
+        return ToxicityModel(empty.astype(np.int32), empty, 30.0 if m.get(1) else -30.0)
+    telling = _telling(sample, m, kept_features)
+    if not len(telling):
+        return ToxicityModel(empty.astype(np.int32), empty, float(np.log(m[1] / m[0])))
+    kept, terms = telling, [list(g) for g in groups]
 
-    terms = [list(g) for g in groups]
+    def among(ids: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
+        """Places of the kept features among ids, and their counts."""
+        at = np.searchsorted(telling, ids)
+        at[at == len(telling)] = 0
+        hit = telling[at] == ids
+        return at[hit].astype(np.int32).tobytes(), counts[hit].astype(np.int32).tobytes()
 
     def featurise(batch: pa.RecordBatch) -> Sequence[pa.Array]:
         ids, counts, alts = [], [], []
         for t in batch.column(0).to_pylist():
             words = words_of(t)
-            i, c = _counts(words)
-            ids.append(i.tobytes())
-            counts.append(c.astype(np.int32).tobytes())
+            i, c = among(*_counts(words))
+            ids.append(i)
+            counts.append(c)
             here = []
             for swapped in _swaps(words, terms):
                 a, b = _counts(swapped - words), _counts(words - swapped)
-                here.append([np.concatenate([a[0], b[0]]).astype(np.int32).tobytes(), np.concatenate([a[1], -b[1]]).astype(np.int32).tobytes()])
-            alts.append([x for pair in here for x in pair])
+                here += among(np.concatenate([a[0], b[0]]), np.concatenate([a[1], -b[1]]))
+            alts.append(here)
         return [pa.array(ids, pa.binary()), pa.array(counts, pa.binary()), pa.array(alts, pa.list_(pa.binary()))]
 
     got = add_columns(sample, "ids binary, counts binary, alts array<binary>", featurise).drop("text").collect()
     got.sort(key=lambda r: (r["h"], r["y"], bytes(r["ids"])))
     y = np.array([r["y"] for r in got], dtype=float)
-    if not len(y) or y.min() == y.max():
-        return ToxicityModel(empty.astype(np.int32), empty, 30.0 if len(y) and y[0] else -30.0)
     ids = [np.frombuffer(r["ids"], np.int32) for r in got]
     counts = [np.frombuffer(r["counts"], np.int32) for r in got]
-    # Feature choice: the most significant differences of document frequency.
-    df = [np.bincount(np.concatenate([i for i, v in zip(ids, y) if v == k]), minlength=DIMENSIONS) for k in (0, 1)]
-    m = [max(1, int((y == k).sum())) for k in (0, 1)]
-    rate = (df[0] + df[1]) / (m[0] + m[1])
-    z = (df[1] / m[1] - df[0] / m[0]) / np.sqrt(rate * (1 - rate) * (1 / m[0] + 1 / m[1]) + 1e-9)
-    z[(df[0] + df[1]) < 3] = 0
-    kept = np.sort(np.argsort(-np.abs(z), kind="stable")[:kept_features])
-    kept = kept[np.abs(z[kept]) > 3]
-    if not len(kept):
-        return ToxicityModel(empty.astype(np.int32), empty, float(np.log(m[1] / m[0])))
-
-    def dense(i: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """Log counts of the kept features."""
-        at = np.searchsorted(kept, i)
-        at[at == len(kept)] = 0
-        hit = kept[at] == i
-        return at[hit], c[hit]
-
     r_, c_, v_ = [], [], []
-    for k, (i, c) in enumerate(zip(ids, counts)):
-        at, val = dense(i, c)
+    for k, (at, val) in enumerate(zip(ids, counts)):
         r_.append(np.full(len(at), k)), c_.append(at), v_.append(val)
     X = (np.concatenate(r_), np.concatenate(c_), np.concatenate(v_).astype(float), len(got))
     r_, c_, v_, k = [], [], [], 0
     for row in got:
         alts = row["alts"]
         for j in range(0, len(alts), 2):
-            at, val = dense(np.frombuffer(alts[j], np.int32), np.frombuffer(alts[j + 1], np.int32))
+            at, val = np.frombuffer(alts[j], np.int32), np.frombuffer(alts[j + 1], np.int32)
             r_.append(np.full(len(at), k)), c_.append(at), v_.append(val)
             k += 1
     D = (np.concatenate(r_), np.concatenate(c_), np.concatenate(v_).astype(float), k) if k else None
@@ -180,6 +180,30 @@ def fit(
     return ToxicityModel(kept.astype(np.int32), w, b)
 
 
+def _telling(sample: DataFrame, m: dict[int, int], most: int) -> np.ndarray:
+    """Ids of the features whose document frequencies in the classes differ most significantly, ascending.
+
+    Executors count, add up and choose; sample has text and y, m the rows of each class.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.zeros((2, 0), np.int32)]
+            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids = _counts(words_of(t))[0]
+                found.append(np.stack([ids, np.full(len(ids), y, np.int32)]))
+            ids, y = np.concatenate(found, axis=1)
+            of, n = np.unique(ids.astype(np.int64) * 2 + y, return_counts=True)
+            columns = [(of // 2).astype(np.int32), np.where(of % 2 == 0, n, 0), np.where(of % 2 == 1, n, 0)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["id", "d0", "d1"])
+
+    df = sample.select("text", "y").mapInArrow(run, "id int, d0 long, d1 long").groupBy("id").agg(F.sum("d0").alias("d0"), F.sum("d1").alias("d1"))
+    rate = (F.col("d0") + F.col("d1")) / (m[0] + m[1])
+    z = F.abs((F.col("d1") / m[1] - F.col("d0") / m[0]) / F.sqrt(rate * (1 - rate) * (1 / m[0] + 1 / m[1]) + 1e-9))
+    told = df.where("d0 + d1 >= 3").select("id", z.alias("z")).where("z > 3").orderBy(F.desc("z"), "id").limit(most)
+    return np.sort(np.array([r["id"] for r in told.select("id").collect()], dtype=np.int32))
+
+
 def _train(X, y, weight, D, n_features: int, ridge: float, penalty: float, steps: int = 400) -> tuple[np.ndarray, float]:
     """Minimise the regularised loss by gradient descent with per-feature step sizes."""
     rows, cols, vals, n = X

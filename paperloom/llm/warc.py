@@ -49,17 +49,34 @@ def sort_key(url: str | None) -> str:
     return f"{reverse}{f':{port}' if port else ''}){parts.path or '/'}{f'?{parts.query}' if parts.query else ''}"
 
 
-def record(page: int | None, url: str | None, html: str | None, digest: str, size: int, refers_to: int | None, date: str) -> bytes:
-    """One WARC record, uncompressed: a response with its payload, or a revisit without."""
+def _record_id(page: int | None, row: str = "") -> str:
+    """A record's id: its page's number (nothing, if null), and what tells it from other records of that page."""
+    return f"<urn:page:{'' if page is None else page}{f':{row}' if row else ''}>"
+
+
+def _page_of(record_id: str) -> int | None:
+    page = record_id[len("<urn:page:") : -1].split(":")[0]
+    return int(page) if page else None
+
+
+def info(name: str, date: str) -> bytes:
+    """The record that an archive of this name begins with."""
+    body = b"software: paperloom\r\nformat: WARC File Format 1.1\r\n"
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:file:{name}>", f"WARC-Date: {date}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(body)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+
+def record(page: int | None, url: str | None, html: str | None, digest: str, size: int, refers_to: int | None, date: str, row: str = "") -> bytes:
+    """One WARC record, uncompressed: a response with its payload, or a revisit without. row makes its id one of its own."""
     revisit = refers_to is not None
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     body = http if revisit else http + (html or "").encode("utf-8", "surrogatepass")
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{'' if page is None else page}>", f"WARC-Date: {date}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_record_id(page, row)}", f"WARC-Date: {date}"]
     if url is not None:
         lines.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: quote(m[0]), url))
     lines.append(f"WARC-Payload-Digest: sha256:{digest}")
     if revisit:
-        lines += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {PROFILE}"]
+        lines += [f"WARC-Refers-To: {_record_id(refers_to)}", f"WARC-Profile: {PROFILE}"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
     return "\r\n".join(lines).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + body + b"\r\n\r\n"
 
@@ -75,15 +92,15 @@ def parse(data: bytes) -> dict:
     http, _, payload = body.partition(b"\r\n\r\n")
     size = int(re.search(rb"(?i)content-length: (\d+)", http)[1])
     kind = headers["WARC-Type"]
-    page = headers["WARC-Record-ID"][len("<urn:page:") : -1]
+    page = _page_of(headers["WARC-Record-ID"])
     if kind == "response":
         digest = hashlib.sha256(payload).hexdigest()
         if headers["WARC-Payload-Digest"] != f"sha256:{digest}" or size != len(payload):
             raise ValueError(f"record of page {page} doesn't match its digest")
     return {
-        "page_id": int(page) if page else None, "url": headers.get("WARC-Target-URI"), "payload": payload if kind == "response" else None,
+        "page_id": page, "url": headers.get("WARC-Target-URI"), "payload": payload if kind == "response" else None,
         "payload_bytes": size, "payload_digest": headers["WARC-Payload-Digest"].removeprefix("sha256:"), "record_type": kind,
-        "refers_to": int(headers["WARC-Refers-To"][len("<urn:page:") : -1]) if kind == "revisit" else None,
+        "refers_to": _page_of(headers["WARC-Refers-To"]) if kind == "revisit" else None,
     }
 
 
@@ -106,7 +123,9 @@ def write(pages: DataFrame, uri: str, date: str = "1970-01-01T00:00:00Z", min_re
     """Write archives and index below uri; returns the list of index files, in key order.
 
     Columns used: page_id, url, html. A null html is an empty payload, a null url
-    has an empty key. Rows equal in page id and payload are records of one kind.
+    has an empty key. Rows equal in page id and payload are records of one kind,
+    each with an id of its own; a revisit refers to its page, without the row.
+    An empty table writes nothing. Payloads are held one at a time.
     Each task writes under a name of its own and renames at the end.
     """
     spark = pages.sparkSession
@@ -125,8 +144,10 @@ def write(pages: DataFrame, uri: str, date: str = "1970-01-01T00:00:00Z", min_re
             for page, url, html, digest, size, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None:
                     out = fs.open_output_stream(f"{base}/{name}", compression=None)
+                    at += out.write(zlib.compress(info(name, date), 5, 31))
                 coder = zlib.compressobj(5, zlib.DEFLATED, 31)
-                data = coder.compress(record(page, url, html, digest, size, refers_to, date)) + coder.flush()
+                # Rows come in no order of page ids: place and task make a record's id its own.
+                data = coder.compress(record(page, url, html, digest, size, refers_to, date, f"{ctx.partitionId()}-{at}")) + coder.flush()
                 out.write(data)
                 rows.append((sort_key(url), page, name, at, len(data)))
                 at += len(data)
@@ -288,7 +309,7 @@ def records(captures: DataFrame, uri: str, with_payload: bool = True) -> DataFra
         if source is not None:
             source.close()
 
-    parts = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = shuffle_partitions(captures)
     # Captures of one file that lie together are read by one task, in the order of the file.
     spread = captures.repartition(parts, "file", F.shiftright("at", 24)).sortWithinPartitions("file", "at").select("file", "at", "length")
     return spread.mapInArrow(run, ddl)

@@ -660,3 +660,168 @@ def test_intermediates_are_removed(spark):
     assert len(common._made) == since + 1 and out.count() == 2
     common.drop_intermediates(spark, since)
     assert len(common._made) == since
+
+
+def test_training_minimises_the_loss():
+    rng = np.random.default_rng(8)
+    n, k, pairs = 300, 12, 60
+    dense, change = rng.integers(0, 3, (n, k)).astype(float), rng.integers(-1, 2, (pairs, k)).astype(float)
+    y = (dense @ rng.standard_normal(k) + rng.standard_normal(n) > 0).astype(float)
+    weight = np.where(y == 1, 1.5, 0.7)
+    sparse = lambda x: (*np.nonzero(x), x[np.nonzero(x)], len(x))
+    for ridge, penalty in ((0.3, 1.0), (2.0, 0.0), (0.3, 20.0)):
+        w, b = toxicity._train(sparse(dense), y, weight, sparse(change), k, ridge, penalty, steps=20_000)
+
+        def loss(v):
+            s = dense @ v[:k] + v[k]
+            return (weight * (np.logaddexp(0, s) - y * s)).sum() + ridge / 2 * (v[:k] ** 2).sum() + penalty * ((change @ v[:k]) ** 2).sum()
+
+        # Newton's method on the whole, dense problem.
+        v, x = np.zeros(k + 1), np.c_[dense, np.ones(n)]
+        extra = np.zeros((k + 1, k + 1))
+        extra[:k, :k] = ridge * np.eye(k) + 2 * penalty * change.T @ change
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-(x @ v)))
+            v -= np.linalg.solve(x.T @ ((weight * p * (1 - p))[:, None] * x) + extra, x.T @ (weight * (p - y)) + extra @ v)
+        assert abs(loss(np.r_[w, b]) - loss(v)) < 1e-3 * loss(v) and np.abs(np.r_[w, b] - v).max() < 0.05
+
+
+def test_telling_features_are_those_of_a_count_by_hand(spark):
+    rng = random.Random(3)
+    rows = [(" ".join(rng.choices(["good", "bad", "worse", "so", "so2"], k=4)) + (" vile" if i % 2 and rng.random() < 0.4 else ""), i % 2) for i in range(400)]
+    sample = spark.createDataFrame(rows, "text string, y int")
+    counts = {}
+    for text, y in rows:
+        for f in {f for w in toxicity.words_of(text) for f in toxicity.features_of(w)}:
+            counts.setdefault(f, [0, 0])[y] += 1
+    want = []
+    for f, (d0, d1) in counts.items():
+        rate = (d0 + d1) / 400
+        z = abs(d1 / 200 - d0 / 200) / np.sqrt(rate * (1 - rate) * 2 / 200 + 1e-9)
+        if d0 + d1 >= 3 and z > 3:
+            want.append((-z, f))
+    assert want and toxicity._telling(sample, {0: 200, 1: 200}, 4096).tolist() == sorted(f for _, f in want)
+    assert toxicity._telling(sample, {0: 200, 1: 200}, 1).tolist() == [min(want)[1]]
+
+
+def test_a_key_that_holds_most_rows_does_not_swell_the_sample(spark):
+    rows = [(1, f"vile {i}") for i in range(900)] + [(i, f"fine {i}") for i in range(2, 60)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(1, 1)] * 500 + [(i, 0) for i in range(2, 60)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, sample_rows=100)
+    s = toxicity.Scorer(model)
+    assert s.score("vile 5") > 0.5 > s.score("fine 7")
+
+
+def test_warc_ids_blocks_and_long_payloads(spark):
+    import gzip
+
+    import pyarrow.fs as pafs
+
+    big = "long payload " * 200_000
+    rows = [(i, f"http://h{i % 7}.example/{i // 40}", f"page {i} " * 20) for i in range(7000)] + [(None, "http://null.example/", "n" * 150), (8000, None, big), (8001, "http://z.example/", big), (3, "http://h3.example/0", "page 3 " * 20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    uri = new_path(spark, "warc-big")
+    files = warc.write(df.coalesce(1), uri)
+    got = warc.records(warc.entries(spark, uri, files), uri).collect()
+    assert len(got) == len(rows) and sum(r["payload_bytes"] for r in got) == sum(len(h) for _, _, h in rows)
+    by = {r["page_id"]: r for r in got}
+    assert by[8001]["refers_to"] == 8000 and by[8001]["record_type"] == "revisit" and by[None]["record_type"] == "response"
+    assert by[8000]["payload"] == big.encode()
+    fs, base = pafs.FileSystem.from_uri(uri)
+    ids, first = [], []
+    for f in fs.get_file_info(pafs.FileSelector(base)):
+        if f.path.endswith(".warc.gz"):
+            data = gzip.decompress(fs.open_input_stream(f.path, compression=None).read())
+            ids += re.findall(rb"WARC-Record-ID: (\S+)", data)
+            first.append(data[:30])
+    assert len(set(ids)) == len(ids) == len(rows) + len(first) and all(f.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo") for f in first)
+    # More lines than a block holds: a URL's captures may lie in several blocks, and in several files.
+    url = "http://h1.example/3"
+    want = sorted(i for i, u, _ in rows if u == url)
+    hits = warc.lookup(spark.createDataFrame([(url,)], "url string"), uri, files).collect()
+    assert sorted(r["page_id"] for r in hits) == want and want
+
+
+def test_pipeline_against_plain_python(spark, tmp_path):
+    """All five stages over a small table with nulls, empty and repeated rows, repeated and null keys."""
+    import corpus_pipeline
+
+    rng = random.Random(14)
+    sf = str(tmp_path)
+    source = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [list(r) for r in source.limit(160).collect()]
+    names = source.columns
+    t, k = names.index("text"), names.index("doc_id")
+    bench = [("b1", " ".join((rows[5][t] or "").split()[3:20])), ("b2", "zzz"), (None, "x y"), ("b4", None)]
+    passage = " ".join(f"passage{i}" for i in range(40))
+    for i in range(20, 26):
+        rows[i][t] = f"{rows[i][t]} {passage} {i}"
+    copy = [list(rows[i]) for i in (1, 2, 3)]
+    for i, r in enumerate(copy):
+        r[k] = 10_000 + i
+    copy[1][t] += " end"
+    extra = [list(rows[0]) for _ in range(8)]
+    for r, (key, text) in zip(extra, [(20_000, None), (20_001, ""), (20_002, " \n"), (None, rows[9][t] + " only"), (None, "The one and only sentence that is here, and nothing else at all."), (rows[7][k], "Another text of the same key, which is not like the first one in any way."), (20_003, "1234 5678"), (rows[4][k], rows[4][t])]):
+        r[k], r[t] = key, text
+    table = [tuple(r) for r in rows + copy + extra]
+    df = spark.createDataFrame(table, source.schema).repartition(4)
+    df.write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame(bench, "item_id string, text string").write.parquet(f"{sf}/benchmark.parquet")
+    got = sorted((str(r["doc_id"]), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, sf).collect())
+
+    # Language: dictionaries as fitted; sizes and margins by compressors of our own.
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.fit(docs.where(~langid.is_held_out()))
+    kept = [r for r in table if r[t] is not None and langid._LETTER.search(r[t]) and smallest(model, r[t])[1] >= langid.MIN_MARGIN]
+    # Near copies: all pairs.
+    kept.sort(key=lambda r: (r[k] is None, r[k] or 0))
+    sets = [shingled(r[t], 5) for r in kept]
+    link = list(range(len(kept)))
+
+    def top(x):
+        while link[x] != x:
+            x = link[x]
+        return x
+
+    for a in range(len(kept)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 80 * len(sets[a] | sets[b]):
+                x, y = top(a), top(b)
+                link[max(x, y)] = min(x, y)
+    kept = [r for i, r in enumerate(kept) if top(i) == i]
+    # Repeated strings of 100 bytes; a null key comes first.
+    hashes = {r["text"]: r["h"] for r in spark.createDataFrame([(r[t],) for r in kept], "text string").select("text", F.xxhash64("text").alias("h")).collect()}
+    kept.sort(key=lambda r: (r[k] is not None, r[k] or 0, hashes[r[t]]))
+    seen, texts = set(), []
+    for r in kept:
+        data = r[t].encode()
+        gone = np.zeros(len(data), bool)
+        for s in range(len(data) - 99):
+            gone[s : s + 100] |= data[s : s + 100] in seen
+            seen.add(data[s : s + 100])
+        left = np.frombuffer(data, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")
+        if left:
+            texts.append((r[k], left))
+    # Benchmark windows of ten words.
+    words = lambda x: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), x or ""))
+    windows = {tuple(w[i : i + min(10, len(w))]) for _, x in bench for w in [words(x)] if w for i in range(len(w) - min(10, len(w)) + 1)}
+    sizes = {len(w) for w in windows}
+    clean = [(d, x) for d, x in texts if not any(tuple(w[i : i + n]) in windows for w in [words(x)] for n in sizes for i in range(len(w) - n + 1))]
+    tok = bpe.load("word_bpe_49k.json")
+    want = []
+    for d, x in clean:
+        ids = tok.encode(x, add_special_tokens=False).ids
+        want.append((str(d), len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert len(clean) < len(texts) < len(table) and got == sorted(want)
+
+
+def test_pipeline_of_an_empty_table(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("_key", F.lit(1)).withColumn("positions", F.lit("p"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs.limit(0), sf)
+        assert out.count() == 0 and (name == "tokens" or out.columns == docs.columns)

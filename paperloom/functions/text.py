@@ -50,6 +50,22 @@ NATIVE_CITATION = r"【[^】\r\n]*†[^】\r\n]*】"
 DOI = r"(?i)(?:https?://(?:dx\.)?doi\.org/|doi\s*:\s*)?(10\.\d{4,9}/[-._;()/:A-Z0-9]+)"
 ARXIV = r"(?i)(?:arXiv\s*:\s*|arxiv\.org/(?:abs|pdf)/)?(\d{4}\.\d{4,5}(?:v\d+)?)"
 YEAR = r"((?:19|20)\d{2})"
+#: What Python and Unicode count as white space, and what ends a line.
+WHITE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+#: Titles in quotation marks, what attributes a question to one, and question words at its start.
+QUOTED = r"['\"‘“]([^'\"’”\n]{2,200})['\"’”]"
+ATTRIBUTION = r"""^[^?\n]*?(?:'[^']+'|"[^"]+"|‘[^’]+’|“[^”]+”)\s*,\s*"""
+#: Kinds of questions in order: a pattern of the folded question, and what it makes it.
+QUESTION_KINDS = (
+    (r"\bcompare\b|\bcontrast\b|\bversus\b|\bvs\.?\b|\bdiffer", "comparison"),
+    (r"\blimitations?\b|\bfuture work\b|\bimprovements?\b", "limitations_future_work"),
+    (r"^why |\b(?:better|advantage|outperform|improv(?:e|es|ed|ement))\b", "causes_evidence"),
+    (r"^how\s+(?:much|many|long|fast|often)\b", "direct_fact"),
+    (r"^how |\b(?:mechanisms?|work|operate|achieve)\b", "mechanism"),
+)
+GROUPED_CITATION, MOJIBAKE_CITATION = r"\[(\s*\d+(?:\s*[,;]\s*\d+)*\s*)\]", r"ã€\x90[^\r\n]*?(?:†|â€\xa0)[^\r\n]*?ã€‘"
+CLAIM_END = r"(?<=[.!?])\s+|\n+"
 NAMESPACE_URL = "6ba7b8119dad11d180b400c04fd430c8"
 
 
@@ -67,6 +83,32 @@ def squeeze(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(_col(c), r"\s+", " "))
 
 
+def stripped(c: Column | str) -> Column:
+    """No white space of any kind at the ends."""
+    return F.regexp_replace(_col(c), f"^[{WHITE}]+|[{WHITE}]+$", "")
+
+
+def squeezed(c: Column | str) -> Column:
+    """White space of any kind collapsed to single spaces, none at the ends."""
+    return F.btrim(F.regexp_replace(_col(c), f"[{WHITE}]+", " "), F.lit(" "))
+
+
+def quoted_titles(c: Column | str) -> Column:
+    """Titles in quotation marks: (start, end, title) in the folded question, in the order of the question, longest first."""
+    text = _col(c)
+    low = fold(squeezed(text))
+    names = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(QUOTED), F.lit(1)), lambda x: F.btrim(squeezed(x), F.lit(" ,;:.")))
+    spots = F.transform(F.filter(F.array_distinct(names), lambda x: x != ""), lambda x: F.struct(F.instr(low, fold(x)).alias("start"), F.negative(F.length(fold(x))).alias("size"), x.alias("title")))
+    return F.array_sort(F.filter(spots, lambda x: x["start"] > 0))
+
+
+def is_multi_paper(c: Column | str) -> Column:
+    """Whether a question names two papers or more in quotation marks: two titles that stand apart."""
+    spots = quoted_titles(c)
+    first = F.try_element_at(spots, F.lit(1))
+    return F.coalesce(F.exists(spots, lambda x: x["start"] >= first["start"] - first["size"]), F.lit(False))
+
+
 def technical_tokens(c: Column | str) -> Column:
     """Tokens that keep inner ``._#-`` and a trailing ``++``; null text has none."""
     return F.regexp_extract_all(fold(F.coalesce(_col(c), F.lit(""))), F.lit(TECHNICAL_TOKEN), F.lit(0))
@@ -125,17 +167,17 @@ def finite(c: Column | str) -> Column:
 
 def citation_numbers(c: Column | str) -> Column:
     """Numbers in brackets, singly or in groups, in the order of the text."""
-    groups = F.regexp_extract_all(F.coalesce(_col(c), F.lit("")), F.lit(r"\[(\s*\d+(?:\s*[,;]\s*\d+)*\s*)\]"), F.lit(1))
+    groups = F.regexp_extract_all(F.coalesce(_col(c), F.lit("")), F.lit(GROUPED_CITATION), F.lit(1))
     return F.transform(F.flatten(F.transform(groups, lambda g: F.regexp_extract_all(g, F.lit(r"\d+"), F.lit(0)))), lambda x: x.cast("int"))
 
 
 def native_citations(c: Column | str) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.coalesce(_col(c), F.lit("")), F.lit(NATIVE_CITATION), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(_col(c), F.lit("")), F.lit(f"{NATIVE_CITATION}|{MOJIBAKE_CITATION}"), F.lit(0)))
 
 
 def claims(c: Column | str) -> Column:
     """Sentences and lines, untrimmed; a claim's number counts blank ones too."""
-    return F.split(F.coalesce(_col(c), F.lit("")), r"(?<=[.!?])\s+|\n+")
+    return F.split(F.coalesce(_col(c), F.lit("")), CLAIM_END)
 
 
 def expanded_query(c: Column | str, expansions: dict[str, tuple[str, ...]] = EXPANSIONS) -> Column:
@@ -155,17 +197,19 @@ def evidence_queries(c: Column | str, suffixes: tuple[str, ...] = EVIDENCE_SUFFI
     return F.array(text, *[F.concat_ws(" ", base, F.lit(s)) for s in suffixes])
 
 
+def without_attribution(c: Column | str) -> Column:
+    """A question without a leading clause that says which quoted paper it is about."""
+    text = stripped(c)
+    return F.when(text.rlike(rf"(?i)^(?:{QUESTION_STEMS})\b"), text).otherwise(F.regexp_replace(text, ATTRIBUTION, ""))
+
+
 def question_type(c: Column | str) -> Column:
     """comparison, limitations_future_work, causes_evidence, direct_fact or mechanism; the first rule that fits."""
-    q = fold(squeeze(c))
-    return (
-        F.when(q.rlike(r"\bcompare\b|\bcontrast\b|\bversus\b|\bvs\.?\b|\bdiffer"), "comparison")
-        .when(q.rlike(r"\blimitations?\b|\bfuture work\b|\bimprovements?\b"), "limitations_future_work")
-        .when(q.startswith("why ") | q.rlike(r"\b(?:better|advantage|outperform|improv(?:e|es|ed|ement))\b"), "causes_evidence")
-        .when(q.rlike(r"^how\s+(?:much|many|long|fast|often)\b"), "direct_fact")
-        .when(q.startswith("how ") | q.rlike(r"\b(?:mechanisms?|work|operate|achieve)\b"), "mechanism")
-        .otherwise("direct_fact")
-    )
+    q = fold(squeezed(without_attribution(c)))
+    out = F.lit("direct_fact")
+    for pattern, kind in reversed(QUESTION_KINDS):
+        out = F.when(q.rlike(pattern), kind).otherwise(out)
+    return F.when(is_multi_paper(c), QUESTION_KINDS[0][1]).otherwise(out)
 
 
 def marked_parts(c: Column | str) -> Column:
@@ -176,12 +220,15 @@ def marked_parts(c: Column | str) -> Column:
 
 
 def question_parts(c: Column | str) -> Column:
-    """Marked parts; else the two sides of the first "and" or "as well as" that both hold a question word; else the whole."""
+    """Marked parts; else the two sides of the first "and" or "as well as" that both hold a question word; else the whole.
+
+    A question that names several papers is one.
+    """
     marked = marked_parts(c)
     text = squeeze(c)
     pattern = rf"(?i)^(.*?\b(?:{QUESTION_STEMS})\b.*?)\s+(?:and|as well as)\s+(.*\b(?:{QUESTION_STEMS})\b.*)$"
     sides = F.array(*[F.btrim(F.regexp_extract(text, pattern, k), F.lit(" ,;?")) for k in (1, 2)])
-    return F.when((F.size(marked) == 1) & text.rlike(pattern) & ~F.exists(sides, lambda x: x == ""), sides).otherwise(marked)
+    return F.when((F.size(marked) == 1) & ~is_multi_paper(c) & text.rlike(pattern) & ~F.exists(sides, lambda x: x == ""), sides).otherwise(marked)
 
 
 @F.pandas_udf(StringType())

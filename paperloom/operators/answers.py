@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-import json
-import re
-from typing import Any
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .documents import near_duplicate_pairs
 
-# Limits of structured answers, and the lexical support a claim needs.
-MAX_CLAIMS, CELL_WORDS, NEAR_DUPLICATE, MIN_SUPPORT = 4, 18, 0.88, 0.2
-STRUCTURED = "answer_status string, summary string, claims array<struct<text: string, citations: array<int>>>"
+# Fixed value: the lexical support that a claim needs.
+MIN_SUPPORT = 0.2
 
 
 def neighbours(chunks: DataFrame, paper: str = "paper_id", order: str = "ord", key: str = "chunk_id") -> DataFrame:
@@ -83,84 +77,21 @@ def support(claims: DataFrame, evidence: DataFrame, key: list[str], least: float
     return joined.select(*key, "claim_id", share.alias("score"), (share >= least).alias("supported"))
 
 
-def structured_failures(answer: Column | str, known: Column) -> Column:
-    """Codes of what is wrong with a structured narrative answer, in order; none if it is valid."""
-    a = F.from_json(T._col(answer), STRUCTURED)
-    claims = F.coalesce(a["claims"], F.array().cast("array<struct<text: string, citations: array<int>>>"))
-    status, n = a["answer_status"], F.size(claims)
-    answered, abstains = status == "answered", status == "insufficient_evidence"
-
-    def code(condition: Column, name: str) -> Column:
-        return F.when(F.coalesce(condition, F.lit(False)), F.lit(name))
-
-    uncited = F.exists(claims, lambda c: F.size(F.coalesce(c["citations"], F.array().cast("array<int>"))) == 0)
-    unknown = F.exists(claims, lambda c: F.size(F.array_except(F.coalesce(c["citations"], F.array().cast("array<int>")), known)) > 0)
-    blank = F.exists(claims, lambda c: F.trim(F.coalesce(c["text"], F.lit(""))) == "")
-    summary = F.trim(F.coalesce(a["summary"], F.lit("")))
-    codes = F.array(
-        code(a.isNull() | ~F.coalesce(answered | abstains, F.lit(False)), "structured_answer_status_invalid"), code(answered & a["claims"].isNull(), "structured_claims_missing"),
-        code(answered & (n == 0), "structured_answer_empty"), code(answered & (summary != ""), "structured_summary_not_empty"), code(n > MAX_CLAIMS, "too_many_claims"),
-        code(abstains & (n > 0), "structured_abstention_has_claims"), code(abstains & (summary == ""), "structured_abstention_missing_summary"),
-        code(blank, "structured_claim_empty"), code(uncited & answered, "structured_claim_uncited"), code(unknown, "structured_claim_unknown_citation"),
-    )
-    return F.filter(codes, lambda c: c.isNotNull())
-
+def support_flags(claims: DataFrame, evidence: DataFrame, key: list[str], least: float = MIN_SUPPORT) -> DataFrame:
+    """key..., claim_id, status and score of each claim: unknown_citation, missing_citation, supported or unsupported.
 
-def table_failures(payload: str | None, fields: list[str], known: list[int]) -> list[str]:
-    """What is wrong with a structured table: missing or long cells, bad citations, rows that are nearly equal."""
-    try:
-        items = json.loads(payload or "")["items"]
-    except (ValueError, KeyError, TypeError):
-        return ["structured_items_missing"]
-    if not isinstance(items, list) or not items:
-        return ["structured_items_missing"]
-    out: list[str] = []
-    rows = []
-    for item in items:
-        cells = [item.get(f) if isinstance(item, dict) else None for f in fields]
-        texts = [str(c.get("text", "")) if isinstance(c, dict) else "" for c in cells]
-        rows.append(" ".join(texts))
-        for cell, text in zip(cells, texts):
-            absent = text.lower().strip().startswith(("not reported", "not provided"))
-            cited = cell.get("citations", []) if isinstance(cell, dict) else []
-            problems = {
-                "structured_cell_missing": not text.strip(), "structured_cell_too_long": len(text.split()) > CELL_WORDS,
-                "structured_cell_uncited": bool(text.strip()) and not absent and not cited, "structured_cell_unknown_citation": any(c not in known for c in cited),
-            }
-            out += [name for name, bad in problems.items() if bad]
-    if near_duplicate_pairs(rows, NEAR_DUPLICATE):
-        out.append("structured_near_duplicate_rows")
-    return list(dict.fromkeys(out))
-
-
-def present_fields(answer: str) -> set[str]:
-    """Field names that an answer has: JSON keys, keys of all items, table headers and ``label: value`` lines."""
-    found: set[str] = set()
-    try:
-        data: Any = json.loads(answer)
-    except ValueError:
-        data = None
-    if isinstance(data, dict):
-        found |= set(data)
-        items = [set(i) for i in data.get("items", []) if isinstance(i, dict)]
-        found |= set.intersection(*items) if items else set()
-    lines = answer.splitlines()
-    for head, rule in zip(lines, lines[1:]):
-        if "|" in head and re.fullmatch(r"[\s|:-]+", rule) and "-" in rule:
-            found |= {c.strip() for c in head.strip().strip("|").split("|")}
-    found |= {m[1].strip() for m in re.finditer(r"(?m)^\s*[-*]?\s*\**([A-Za-z][\w ]{0,40}?)\**\s*:\s*\S", answer)}
-    return {re.sub(r"[^a-z0-9]+", "_", f.lower()).strip("_") for f in found}
-
-
-def recover_json(text: str) -> Any:
-    """The first JSON value in noisy text that is an object or list; None if there is none."""
-    decoder = json.JSONDecoder()
-    for m in re.finditer(r"[{\[]", text):
-        try:
-            return decoder.raw_decode(text, m.start())[0]
-        except ValueError:
-            continue
-    return None
+    claims: key..., claim_id, claim, citations; evidence: key..., n, tokens. The
+    score, a share of the claim's tokens, is null where nothing was compared.
+    """
+    cited = claims.select(*key, "claim_id", "claim", F.explode_outer("citations").alias("n"))
+    joined = cited.join(evidence.withColumn("_known", F.lit(1)), [*key, "n"], "left").groupBy(*key, "claim_id", "claim").agg(
+        F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("seen"), F.count("n").alias("cited"), F.count("_known").alias("known")
+    )
+    share = T.overlap(T.content_tokens("claim"), F.col("seen"))
+    status = (
+        F.when(F.col("known") < F.col("cited"), "unknown_citation").when(F.col("cited") == 0, "missing_citation").when((share > 0) & (share >= least), "supported").otherwise("unsupported")
+    )
+    return joined.select(*key, "claim_id", status.alias("status"), F.when(status.isin("supported", "unsupported"), F.round(share, 4)).alias("score"))
 
 
 def repair_mojibake(text: str) -> str:
@@ -171,14 +102,26 @@ def repair_mojibake(text: str) -> str:
         return text
 
 
-def concept_recall(answers: DataFrame, required: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, found, required, recall): required concepts named in the answer, by name or alias.
+def concept_details(answers: DataFrame, required: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, concept, matched, matched_by, matched_phrase) of each distinct required concept of an answer.
 
-    required: key, concept, aliases. A name counts as whole words. No requirement is null, not 0.
+    required: key, pos, concept, aliases. A phrase matches anywhere in the answer's
+    normal form; the concept's own before its aliases, in their order. Concepts of
+    one normal form count once, the first; blank ones don't.
     """
-    said = F.concat(F.lit(" "), T.phrase(text), F.lit(" "))
-    rows = answers.select(key, said.alias("said")).join(required, key, "left")
-    names = F.filter(F.transform(F.concat(F.array("concept"), F.coalesce("aliases", F.array().cast("array<string>"))), lambda x: T.phrase(x)), lambda x: x != "")
-    hit = F.exists(names, lambda x: F.col("said").contains(F.concat(F.lit(" "), x, F.lit(" "))))
-    got = rows.groupBy(key).agg(F.count_if(hit).alias("found"), F.count("concept").alias("required"))
-    return got.withColumn("recall", F.when(F.col("required") > 0, F.round(F.col("found") / F.greatest(F.col("required"), F.lit(1)), 6)))
+    said = answers.select(key, T.phrase(text).alias("said"))
+    rows = required.withColumn("_primary", T.phrase("concept")).where("_primary <> ''")
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(key, "_primary").orderBy("pos"))).where("_n = 1").join(said, key)
+    aliases = F.filter(F.coalesce("aliases", F.array().cast("array<string>")), lambda x: F.col("said").contains(T.phrase(x)))
+    primary, alias = F.col("said").contains(F.col("_primary")), F.try_element_at(aliases, F.lit(1))
+    return rows.select(
+        key, "pos", "concept", (primary | alias.isNotNull()).alias("matched"), F.when(primary, "primary").when(alias.isNotNull(), "alias").alias("matched_by"),
+        F.when(primary, F.col("concept")).otherwise(alias).alias("matched_phrase"),
+    )
+
+
+def concept_recall(answers: DataFrame, required: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, found, required, recall): required concepts named in the answer. No requirement is null, not 0."""
+    got = concept_details(answers, required, key, text).groupBy(key).agg(F.count_if("matched").alias("found"), F.count("*").alias("required"))
+    rows = answers.select(key).join(got, key, "left").select(key, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("found", "required")])
+    return rows.withColumn("recall", F.when(F.col("required") > 0, F.round(F.col("found") / F.greatest(F.col("required"), F.lit(1)), 6)))

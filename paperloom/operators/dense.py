@@ -10,9 +10,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-#: Queries compared in one pass over the vectors; bounds what is broadcast.
-BLOCK_QUERIES = 4096
+#: Queries compared in one pass over the vectors, which bounds what is broadcast; and rows multiplied with them at once.
+BLOCK_QUERIES, STRIP = 4096, 1024
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -20,51 +21,58 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
 
 
-def search(
-    vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", query_key: str = "query_id", vector: str = "embedding",
-    part: slice = slice(None), exclude_self: bool = False, where: Column | None = None, digits: int = 6, threshold: float | None = None,
-) -> DataFrame:
-    """(query_key, key, score, rank): the k rows of largest cosine for each query; ties by key.
+def _block_search(rows: DataFrame, wanted: DataFrame, ddl: str, k: int, part: slice, exclude_self: bool, digits: int, threshold: float | None) -> DataFrame:
+    """Candidates (q, key, score) for one block of queries: among them each query's k best rows.
 
-    Queries go in blocks of fixed size against all rows: a block is broadcast,
-    each batch of rows is multiplied with it and keeps only its own k best a
-    query. Filters and the threshold come before the k are chosen. Rows of a
-    null vector never match; a zero vector has cosine 0.
+    A task passes on a row if no more than k of its rows so far score higher, so
+    what leaves it shrinks as it goes on; nothing is sorted.
     """
-    rows = (vectors if where is None else vectors.where(where)).where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vector).alias("v"))
-    wanted = queries.where(F.col(vector).isNotNull()).select(F.col(query_key).cast("long").alias("q"), F.col(vector).alias("v")).orderBy("q")
-    n = wanted.count()
-    context = vectors.sparkSession.sparkContext
-
-    def block_of(start: int) -> DataFrame:
-        got = (wanted if n <= BLOCK_QUERIES else wanted.offset(start).limit(BLOCK_QUERIES)).toPandas()
-        ids = got["q"].to_numpy(np.int64)
-        matrix = _unit(np.stack(got["v"].to_numpy()).astype(float)[:, part]) if len(got) else np.zeros((0, 0))
-        shared = context.broadcast((ids, matrix))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, matrix = shared.value
-            for batch in batches:
-                if not batch.num_rows or not len(ids):
-                    continue
-                keys = batch.column(0).to_numpy(zero_copy_only=False)
+    got = wanted.collect()  # no more than a block
+    ids, own = [r["q"] for r in got], {r["q"]: i for i, r in enumerate(got)}
+    matrix = _unit(np.array([r["v"] for r in got], dtype=float)[:, part]) if got else np.zeros((0, 0))
+    shared = rows.sparkSession.sparkContext.broadcast((ids, own, matrix))
+    arrow = to_arrow_type(wanted.schema["q"].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, own, matrix = shared.value
+        names, floor = pa.array(ids, arrow), np.full(len(ids), -np.inf)
+        for whole in batches:
+            for at in range(0, whole.num_rows if len(ids) else 0, STRIP):
+                batch = whole.slice(at, STRIP)
                 x = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(float)[:, part]
-                score = np.round(_unit(x) @ matrix.T, digits).T + 0.0
+                score = np.round(matrix @ _unit(x).T, digits) + 0.0
                 if exclude_self:
-                    score[ids[:, None] == keys[None, :]] = -np.inf
+                    for j, key in enumerate(batch.column(0).to_pylist()):
+                        if key in own:
+                            score[own[key], j] = -np.inf
                 if threshold is not None:
                     score[score < threshold] = -np.inf
-                by_key = np.argsort(keys, kind="stable")
-                best = by_key[np.argsort(-score[:, by_key], axis=1, kind="stable")[:, :k]]
-                q = np.repeat(np.arange(len(ids)), best.shape[1])
-                found = score[q, best.ravel()]
-                ok = np.isfinite(found)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q[ok]]), pa.array(keys[best.ravel()[ok]]), pa.array(found[ok])], names=["q", "key", "score"])
+                if score.shape[1] > k:
+                    floor = np.maximum(floor, np.partition(score, score.shape[1] - k, axis=1)[:, -k])
+                q, j = np.nonzero((score >= floor[:, None]) & (score > -np.inf))
+                if len(q):
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), batch.column(0).take(pa.array(j)), pa.array(score[q, j])], names=["q", "key", "score"])
+
+    return rows.mapInArrow(run, ddl)
 
-        return rows.mapInArrow(run, "q long, key long, score double")
 
-    parts = [block_of(s) for s in range(0, max(n, 1), BLOCK_QUERIES)]
-    found = reduce(DataFrame.unionByName, parts)
+def search(
+    vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", query_key: str = "query_id", vector: str = "embedding",
+    part: slice = slice(None), exclude_self: bool = False, where: Column | None = None, digits: int = 6, threshold: float | None = None,
+) -> DataFrame:
+    """(query_key, key, score, rank): the k rows of largest cosine for each query; ties by key. Keys may be of any type.
+
+    Queries go in blocks of about BLOCK_QUERIES, dealt by a hash, against all
+    rows: a block is broadcast, and each task passes on little more than its own k
+    best rows a query. Filters and the threshold come before the k are chosen.
+    Rows of a null vector never match; a zero vector has cosine 0.
+    """
+    rows = (vectors if where is None else vectors.where(where)).where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).alias("v"))
+    wanted = queries.where(F.col(vector).isNotNull()).select(F.col(query_key).alias("q"), F.col(vector).alias("v")).dropDuplicates(["q"])
+    blocks = max(1, -(-wanted.count() // BLOCK_QUERIES))
+    ddl = f"q {wanted.schema['q'].dataType.simpleString()}, key {rows.schema['key'].dataType.simpleString()}, score double"
+    lots = [wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b) for b in range(blocks)]
+    found = reduce(DataFrame.unionByName, [_block_search(rows, lot, ddl, k, part, exclude_self, digits, threshold) for lot in lots])
     w = Window.partitionBy("q").orderBy(F.desc("score"), "key")
     ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select(F.col("q").alias(query_key), F.col("key").alias(key), "score", "rank")
@@ -89,8 +97,9 @@ def mmr(candidates: DataFrame, k: int, weight: float = 0.5, group: str = "query_
     """(group, key, score, rank): candidates re-picked for diversity within each group.
 
     Input: group, key, rank, score, query_vector, vector. A group is a query's
-    candidate list, which is bounded by the search's k.
+    candidate list, which is bounded by the search's k. Keys may be of any type.
     """
+    kinds = [candidates.schema[c].dataType.simpleString() for c in (group, key)]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["rank", key]).reset_index(drop=True)
@@ -98,4 +107,4 @@ def mmr(candidates: DataFrame, k: int, weight: float = 0.5, group: str = "query_
         out = pdf.loc[at, [group, key, "score"]]
         return out.assign(rank=np.arange(1, len(out) + 1, dtype=np.int32))
 
-    return candidates.groupBy(group).applyInPandas(run, f"{group} long, {key} long, score double, rank int")
+    return candidates.groupBy(group).applyInPandas(run, f"{group} {kinds[0]}, {key} {kinds[1]}, score double, rank int")

@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pyspark.sql.pandas.types import to_arrow_type
+
 from ..functions import text as T
 
 # The defaults of the Okapi variant.
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Weighted (query, term) pairs that are broadcast at once, some 100 bytes each; and documents scored at once.
+MAX_PAIRS, STRIP = 1_000_000, 256
 
 
 def has_text(c: Column | str) -> Column:
@@ -66,6 +75,81 @@ def scores(queries: DataFrame, docs: DataFrame, query_key: str = "query_id", key
     return hits.groupBy(query_key, key).agg(F.sum(part).alias("score"))
 
 
+def search(
+    queries: DataFrame, docs: DataFrame, k: int, query_key: str = "query_id", key: str = "doc_id", text: str = "text", tokenizer=T.technical_tokens,
+    digits: int = 6, threshold: float | None = None,
+) -> DataFrame:
+    """(query_key, key, score, rank): the k best documents of each query; ties by key. Keys may be of any type.
+
+    Weighted query terms are broadcast, in blocks of bounded size, to the scan of
+    the documents. A document is scored where it lies, and a task passes on little
+    more than its own k best a query: pairs that share a common word, nearly
+    all, are neither joined nor shuffled, and no term is a hot key.
+    """
+    vocab = vocabulary(docs, text, tokenizer)
+    terms = queries.select(F.col(query_key).alias("q"), F.explode(tokenizer("text")).alias("term")).groupBy("q", "term").agg(F.count("*").alias("qf"))
+    weighted = term_stats(vocab).join(terms, "term").select("q", "term", (F.col("qf") * F.col("idf")).alias("w")).persist()
+    blocks = max(1, -(-weighted.count() // MAX_PAIRS))
+    stats = corpus_stats(vocab).first()
+    rows = docs.where(has_text(text)).select(F.col(key).alias("key"), tokenizer(text).alias("t"))
+    avgdl = float(stats["avgdl"]) if stats is not None else 1.0
+    ddl = f"q {weighted.schema['q'].dataType.simpleString()}, key {rows.schema['key'].dataType.simpleString()}, score double"
+    lots = [weighted if blocks == 1 else weighted.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b) for b in range(blocks)]
+    found = reduce(DataFrame.unionByName, [_block_search(rows, lot, ddl, k, avgdl, digits, threshold) for lot in lots])
+    weighted.unpersist()
+    w = Window.partitionBy("q").orderBy(F.desc("score"), "key")
+    ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return ranked.select(F.col("q").alias(query_key), F.col("key").alias(key), "score", "rank")
+
+
+def _block_search(rows: DataFrame, weighted: DataFrame, ddl: str, k: int, avgdl: float, digits: int, threshold: float | None) -> DataFrame:
+    """Candidates (q, key, score) for one block of queries: among them each query's k best documents."""
+    pairs = weighted.collect()  # no more than a block
+    place: dict = {}
+    by_term: dict[str, tuple[list[int], list[float]]] = {}
+    for r in pairs:
+        at, weights = by_term.setdefault(r["term"], ([], []))
+        at.append(place.setdefault(r["q"], len(place)))
+        weights.append(r["w"])
+    terms = {t: (np.array(a, np.int64), np.array(w)) for t, (a, w) in by_term.items()}
+    shared = rows.sparkSession.sparkContext.broadcast((list(place), terms))
+    arrow = to_arrow_type(weighted.schema["q"].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, terms = shared.value
+        names, floor, n = pa.array(ids, arrow), np.full(len(ids), -np.inf), len(ids)
+        for whole in batches:
+            for start in range(0, whole.num_rows if n else 0, STRIP):
+                batch = whole.slice(start, STRIP)
+                places, parts = [], []
+                for j, tokens in enumerate(batch.column(1).to_pylist()):
+                    norm = K1 * (1 - B + B * len(tokens) / avgdl)
+                    counts: dict[str, int] = {}
+                    for t in tokens:
+                        if t in terms:
+                            counts[t] = counts.get(t, 0) + 1
+                    for t, tf in counts.items():
+                        at, w = terms[t]
+                        places.append(at * batch.num_rows + j)
+                        parts.append(w * (tf * (K1 + 1) / (tf + norm)))
+                if not places:
+                    continue
+                where, part = np.concatenate(places), np.concatenate(parts)
+                score = np.round(np.bincount(where, part, minlength=n * batch.num_rows), digits) + 0.0
+                seen = np.zeros(len(score), bool)
+                seen[where] = True
+                if threshold is not None:
+                    seen &= score >= threshold
+                score = np.where(seen, score, -np.inf).reshape(n, batch.num_rows)
+                if score.shape[1] > k:
+                    floor = np.maximum(floor, np.partition(score, score.shape[1] - k, axis=1)[:, -k])
+                q, j = np.nonzero((score >= floor[:, None]) & (score > -np.inf))
+                if len(q):
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), batch.column(0).take(pa.array(j)), pa.array(score[q, j])], names=["q", "key", "score"])
+
+    return rows.mapInArrow(run, ddl)
+
+
 def top_k(scored: DataFrame, k: int, group: str = "query_id", key: str = "doc_id", score: str = "score", digits: int = 6, threshold: float | None = None) -> DataFrame:
     """The k best of each group with their rank; ties by key. Scores are rounded first, so that ties are the same everywhere."""
     rounded = scored.withColumn(score, F.round(score, digits)).where(~F.isnan(score))

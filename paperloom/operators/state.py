@@ -78,10 +78,32 @@ def calibration(rows: DataFrame, label: str, score: str) -> DataFrame:
     return got.withColumn("acceptable", F.col("agreement") >= 0.80)
 
 
-def adjudication_reasons(faithfulness: Column, relevancy: Column, precision: Column, second: Column) -> Column:
-    """Why a case needs another judge, in order; an empty list if it needs none."""
+# When a correctness score is in dispute, and when two judges disagree.
+LOW_CORRECTNESS, HIGH_RECALL, SCORE_GAP, JUDGE_GAP = 0.75, 0.80, 0.40, 0.20
+
+
+def adjudication_reasons(correctness: Column, concept_recall: Column, relevancy: Column) -> Column:
+    """Why a correctness score needs a second judge, in order; an empty list if it needs none, or there is no score."""
+    low = correctness < LOW_CORRECTNESS
     reasons = F.array(
-        F.when(faithfulness < 0.75, F.lit("low_faithfulness")), F.when(relevancy < 0.80, F.lit("low_relevancy")),
-        F.when(precision < 0.40, F.lit("low_precision")), F.when(F.abs(faithfulness - second) >= 0.20, F.lit("judge_disagreement")),
+        F.when(low, F.lit("correctness_below_threshold")), F.when((concept_recall >= HIGH_RECALL) & low, F.lit("high_concept_recall_low_correctness")),
+        F.when(F.abs(correctness - relevancy) >= SCORE_GAP, F.lit("correctness_relevancy_disagreement")),
     )
     return F.filter(reasons, lambda r: r.isNotNull())
+
+
+def adjudicate(cases: DataFrame, generator: str, primary: str, secondary: str, second: Column | None = None) -> DataFrame:
+    """cases with triggered, trigger_reasons, secondary_correctness and disagreement.
+
+    Input: correctness, concept_recall, answer_relevancy. The second judge, a column
+    (a batched UDF, say), is asked about disputed cases only; it must be another
+    model than the generator and the first judge.
+    """
+    if secondary in (generator, primary):
+        raise ValueError("the second judge must be another model than the generator and the first judge")
+    rows = cases.withColumn("trigger_reasons", adjudication_reasons(F.col("correctness"), F.col("concept_recall"), F.col("answer_relevancy")))
+    rows = rows.withColumn("triggered", F.size("trigger_reasons") > 0)
+    asked = F.when(F.col("triggered"), (F.lit(None) if second is None else second).cast("double"))
+    rows = rows.withColumn("secondary_correctness", asked)
+    apart = F.abs(F.col("correctness") - F.col("secondary_correctness")) >= JUDGE_GAP
+    return rows.withColumn("disagreement", F.coalesce(apart, F.lit(False)))

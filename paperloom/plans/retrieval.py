@@ -16,7 +16,7 @@ BACKEND_K, HYBRID_K, RERANK_K = 50, 20, 8
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int = BACKEND_K, **names) -> DataFrame:
     """(query_id, doc_id, score, rank)."""
-    return lexical.top_k(lexical.scores(queries, docs, **names), k)
+    return lexical.search(queries, docs, k, **names)
 
 
 def hybrid(lists: dict[str, DataFrame], limit: int = HYBRID_K, key: str = "doc_id") -> DataFrame:

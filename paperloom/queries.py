@@ -438,28 +438,6 @@ def _(spark, sf):
     return answers.support(claims, pairs, ["conv_id", "turn"])
 
 
-@query("a16_concept_recall", f"""
-WITH r AS (SELECT conv_id, turn, ' ' || {phrase_sql('text')} || ' ' AS said FROM conversations), n AS (SELECT conv_id * 1000 + turn AS answer_id, said, string_split(trim(said), ' ')[1] AS first FROM r)
-SELECT answer_id, (CASE WHEN first <> '' THEN 1 ELSE 0 END)::BIGINT AS found, 2::BIGINT AS required, CASE WHEN first <> '' THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS recall FROM n""")
-def _(spark, sf):
-    rows = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), "text")
-    first = F.element_at(F.split(T.phrase("text"), " "), 1)
-    none = F.array().cast("array<string>")
-    required = rows.select("answer_id", F.lit("qqq zzz").alias("concept"), none.alias("aliases")).unionByName(rows.select("answer_id", F.lit("xxqq").alias("concept"), F.array(first).alias("aliases")))
-    return answers.concept_recall(rows, required, "answer_id")
-
-
-@query("f34_structured_failures", """
-SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN ([]::VARCHAR[]) WHEN 1 THEN ['structured_claim_unknown_citation'] WHEN 2 THEN ['structured_abstention_missing_summary'] ELSE ['structured_answer_status_invalid'] END AS failures FROM conversations""")
-def _(spark, sf):
-    kinds = [
-        '{"answer_status":"answered","summary":"","claims":[{"text":"x","citations":[1]}]}', '{"answer_status":"answered","summary":"","claims":[{"text":"x","citations":[9]}]}',
-        '{"answer_status":"insufficient_evidence","summary":" ","claims":[]}', '{"answer_status":"maybe","claims":[]}',
-    ]
-    payload = F.element_at(F.array(*map(F.lit, kinds)), (F.col("turn") % 4 + 1).cast("int"))
-    return table(spark, sf, "conversations").select("conv_id", "turn", answers.structured_failures(payload, F.array(F.lit(1), F.lit(2))).alias("failures"))
-
-
 # ---- lexical retrieval ----------------------------------------------------
 
 
@@ -754,15 +732,6 @@ def _(spark, sf):
     return state.calibration(rows, "label", "score")
 
 
-@query("p28_adjudication", """
-WITH e AS (SELECT event_id, (event_id % 100) / 100.0::DOUBLE AS f, (event_id * 3 % 100) / 100.0::DOUBLE AS r, (event_id * 7 % 100) / 100.0::DOUBLE AS p, (event_id * 11 % 100) / 100.0::DOUBLE AS s FROM events),
-x AS (SELECT event_id, list_filter([CASE WHEN f < 0.75 THEN 'low_faithfulness' END, CASE WHEN r < 0.80 THEN 'low_relevancy' END, CASE WHEN p < 0.40 THEN 'low_precision' END, CASE WHEN abs(f - s) >= 0.20::DOUBLE THEN 'judge_disagreement' END], lambda c: c IS NOT NULL) AS reasons FROM e)
-SELECT event_id, reasons FROM x""")
-def _(spark, sf):
-    at = lambda k: (F.col("event_id") * k % 100) / 100.0
-    return table(spark, sf, "events").select("event_id", state.adjudication_reasons(at(1), at(3), at(7), at(11)).alias("reasons"))
-
-
 REGISTRY_SQL = """ev AS (SELECT user_id AS canonical_id, event_id AS seq, (event_id // 977 % 5)::INT AS version, ['discovered', 'downloading', 'downloaded', 'processed', 'failed'][event_id % 5 + 1] AS status,
   CASE WHEN event_id % 5 = 2 THEN 'p/' || event_id END AS path, CASE WHEN event_id % 5 = 4 THEN 'e' || event_id END AS error FROM events),
 a AS (SELECT *, max(version) OVER (PARTITION BY canonical_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM ev), b AS (SELECT *, coalesce(version > top, true)::INT AS new FROM a),

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.operators import answers, dense, documents, lexical, metrics, ranking, state
+from paperloom.functions import text as T
+from paperloom.operators import answers, dense, documents, lexical, metrics, ranking, state, structured
 
 
 def test_bm25_against_formula(spark):
@@ -134,11 +135,43 @@ def test_registry_resets_on_newer_version(spark):
     assert (r["status"], r["path"], r["error"], r["attempts"], r["version"]) == ("failed", None, "boom", 1, 2)
 
 
-def test_table_and_field_checks():
-    good = '{"items":[{"m":{"text":"a","citations":[1]}},{"m":{"text":"quite different words","citations":[2]}}]}'
-    assert answers.table_failures(good, ["m"], [1, 2]) == []
-    assert answers.table_failures("nope", ["m"], []) == ["structured_items_missing"]
-    assert "structured_cell_uncited" in answers.table_failures('{"items":[{"m":{"text":"a"}}]}', ["m"], [1])
-    assert answers.present_fields("Metric: 3\n| A | B |\n|---|---|\n| 1 | 2 |") >= {"metric", "a", "b"}
-    assert answers.recover_json('noise {bad} [1, 2] x') == [1, 2]
+def test_structured_answers(spark):
+    known = F.array(F.lit(1), F.lit(2))
+    rows = [
+        '{"items":[{"m":{"text":"a","citations":[1]}},{"m":{"text":"quite different words","citations":[2]}}]}', "nope", '{"items":[{"m":{"text":"a"}}]}',
+        '{"items":[{"m":{"text":"the same long row of words here","citations":[1]}},{"m":{"text":"The same long row of word here","citations":[1]}}]}', None, "",
+    ]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, t string")
+    got = [r["f"] for r in df.orderBy("i").select(structured.table_failures("t", ["m"], known).alias("f")).collect()]
+    assert got == [[], ["structured_output_invalid_json"], ["structured_field_uncited:1:m"], ["structured_items_duplicate:1:2"], ["structured_output_invalid_json"], ["structured_output_invalid_json"]]
+    # Odd field names, and a table with a hole.
+    odd = spark.createDataFrame([("""{"items":[{"it's":{"text":"x","citations":[1]}}]}""", "| A | B |\n|---|---|\n| 1 | |\n- Metric: 3")], "t string, a string")
+    names, incomplete = structured.present_fields("a", F.lit(None).cast("string"))
+    assert odd.select(structured.table_failures("t", ["it's"], known).alias("f"), names.alias("n"), incomplete.alias("i")).first() == ([], ["a", "b", "metric"], True)
+    assert structured.recover("noise {bad} [1, 2] x", "array") == "[1, 2]" and structured.recover(None, "object") is None
+    assert structured.recover('x {"a": {"k": 1}} y', "object", ["k"]) == '{"k": 1}' and structured.recover('{"k": 1}', "array", ["k"]) == '[{"k": 1}]'
     assert answers.repair_mojibake("cafÃ©") == "café"
+
+
+def test_several_quoted_papers_make_a_comparison(spark):
+    rows = [
+        ("In 'Deep Nets', how does it work?", "mechanism", 1), ("How does 'Deep Nets' differ from \"BERT\" and why?", "comparison", 1), ("What does 'Deep Nets' show and how is it used", "direct_fact", 2),
+        ("Explain 'A Net' and 'A Net' and how they work", "mechanism", 2), ("Per “Some Paper”, why is it better?", "causes_evidence", 1), ("What is 'a' and what is 'b paper' and 'c paper'", "comparison", 1),
+    ]
+    df = spark.createDataFrame(rows, "q string, kind string, n int")
+    for r in df.select("kind", "n", T.question_type("q").alias("got"), F.size(T.question_parts("q")).alias("parts")).collect():
+        assert (r["got"], r["parts"]) == (r["kind"], r["n"])
+
+
+def test_cleaning_follows_one_pass(spark):
+    cases = {
+        "a \\textbf{\\alpha x} b \\emph{}c": "a \\alpha x b  c".replace("  ", " "), "x\x0bhead\x85tail\u2028end": "x head tail end", "\\[y\\]": "y", "wo-\n rd\n7\nnext": "word next", "\xa0 t \u3000": "t",
+        "a\n" * 3: "a a a",
+    }
+    df = spark.createDataFrame(list(cases.items()), "t string, want string")
+    for r in df.select("t", "want", documents.clean_text("t").alias("got")).collect():
+        assert " ".join(r["got"].split()) == " ".join(r["want"].split()), r
+    head = "Running Head\n" + "\n".join(f"line {i}." for i in range(6)) + "\n"
+    assert "Running Head" not in spark.createDataFrame([(head * 3,)], "t string").select(documents.clean_text("t")).first()[0]
+    docs = spark.createDataFrame([({"abstract": "x\ny", "odd": None},)], "sections map<string,string>")
+    assert documents.clean_sections(docs).first()[0] == {"abstract": "x y", "odd": ""}

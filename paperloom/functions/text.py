@@ -5,6 +5,7 @@ generate code for it. Character classes are spelled out, since engines differ on
 """
 
 import unicodedata
+from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -190,6 +191,36 @@ def expanded_query(c: Column | str, expansions: dict[str, tuple[str, ...]] = EXP
     return F.array_join(F.concat(F.array(text), F.array_distinct(F.filter(F.array(*extra), lambda x: x.isNotNull()))), " ")
 
 
+def checked_expansions(values: Mapping[str, str | Sequence[str]]) -> dict[str, tuple[str, ...]]:
+    """Expansions in the form that expanded_query takes; blank terms, blank words and other types are errors."""
+    if not isinstance(values, Mapping):
+        raise TypeError("expansions must be a mapping")
+    out = {}
+    for term, given in values.items():
+        if not isinstance(term, str) or not term.strip():
+            raise ValueError("terms must be non-blank strings")
+        words = (given,) if isinstance(given, str) else given
+        if not isinstance(words, Sequence) or isinstance(words, (bytes, bytearray)):
+            raise TypeError(f"the expansions of {term!r} must be a string or a sequence")
+        if not words or not all(isinstance(w, str) and w.strip() for w in words):
+            raise ValueError(f"the expansions of {term!r} must be non-blank strings")
+        out[term.strip()] = tuple(w.strip() for w in words)
+    return out
+
+
+def tokenizer_of(config: Mapping[str, object] | None = None) -> Callable[[Column | str], Column]:
+    """The tokenizer that an index was built with; unknown ones and the removal of stop words are errors."""
+    given = {"tokenizer": "technical_terms_v2", "lowercase": True, "stop_words_removed": False} | dict(config or {})
+    known = {"technical_terms_v2": technical_tokens, "word_v1": word_tokens}
+    if given["tokenizer"] not in known:
+        raise ValueError(f"unknown tokenizer {given['tokenizer']!r}; known: {sorted(known)}")
+    if not all(isinstance(given[k], bool) for k in ("lowercase", "stop_words_removed")):
+        raise ValueError("lowercase and stop_words_removed must be booleans")
+    if given["stop_words_removed"]:
+        raise ValueError("stop words are never removed from an index")
+    return known[given["tokenizer"]]
+
+
 def evidence_queries(c: Column | str, suffixes: tuple[str, ...] = EVIDENCE_SUFFIXES) -> Column:
     """The question, and its base (its first sentence, if long) with each facet's suffix."""
     text = squeeze(c)
@@ -232,15 +263,20 @@ def question_parts(c: Column | str) -> Column:
 
 
 @F.pandas_udf(StringType())
-def normalised_query(texts: pd.Series) -> pd.Series:
-    """A query in NFC, without control characters, its white space collapsed; null if nothing is left."""
-    def clean(text: str | None) -> str | None:
-        if text is None:
-            return None
-        kept = (" " if ch in "\r\n\t" else ch for ch in unicodedata.normalize("NFC", text) if ch in "\r\n\t" or unicodedata.category(ch)[0] != "C")
-        return " ".join("".join(kept).split()) or None
-
-    return texts.map(clean)
+def _composed(texts: pd.Series) -> pd.Series:
+    """NFC, for which there is no built-in function."""
+    return texts.map(lambda t: unicodedata.normalize("NFC", t) if isinstance(t, str) else None)
+
+
+def normalised_query(c: Column | str) -> Column:
+    """A query in NFC, without control characters, its white space collapsed; null if nothing is left.
+
+    Only texts that are not ASCII, a part of all, leave the JVM to be composed.
+    """
+    text = _col(c)
+    whole = F.when(text.rlike(r"[^\x00-\x7f]"), _composed(F.when(text.rlike(r"[^\x00-\x7f]"), text))).otherwise(text)
+    kept = F.regexp_replace(F.regexp_replace(whole, r"[\r\n\t]", " "), r"\p{C}", "")
+    return F.nullif(squeezed(kept), F.lit(""))
 
 
 def paper_version(c: Column | str) -> Column:

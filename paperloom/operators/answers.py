@@ -42,13 +42,6 @@ def pack(ranked: DataFrame, budget: int, group: str = "query_id", key: str = "ch
     return packed.select(group, key, (F.col("pos") + 1).alias("citation_number"), "used")
 
 
-def context_block(packed: DataFrame, group: str = "query_id") -> DataFrame:
-    """One text a query: each source's header and text, in the order of their numbers."""
-    head = F.format_string("[%d] %s | %s\n%s", "citation_number", F.coalesce("title", F.lit("Untitled")), F.coalesce("section", F.lit("unknown")), "text")
-    rows = packed.select(group, F.struct("citation_number", head.alias("block")).alias("s"))
-    return rows.groupBy(group).agg(F.array_sort(F.collect_list("s")).alias("s")).select(group, F.array_join(F.transform("s", lambda x: x["block"]), "\n\n").alias("context"))
-
-
 def check_citations(answers: DataFrame, text: str = "text", known: str = "known") -> DataFrame:
     """answers with cited (distinct, in order), unknown (cited, not in the map) and unused (in the map, not cited)."""
     cited = F.array_distinct(T.citation_numbers(text))

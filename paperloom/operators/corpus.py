@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,9 +29,14 @@ def paper_from_json(payload: Column | str) -> Column:
 
 
 def metadata(papers: DataFrame) -> DataFrame:
-    """papers with title and summary squeezed, the year of the date, and a DOI from any field that holds one."""
-    doi = F.coalesce(*[F.nullif(F.rtrim(F.regexp_extract(F.coalesce(c, F.lit("")), T.DOI, 1), F.lit(".,;)")), F.lit("")) for c in ("doi", "summary") if c in papers.columns])
-    return papers.withColumns({"title": T.squeeze("title"), "summary": T.squeeze("summary"), "year": T.year_of("published"), "doi": doi})
+    """papers with title and summary squeezed, the year that the date begins with, and a DOI: as given, else from any field that holds one."""
+    def given(name: str) -> Column:
+        return F.coalesce(F.col(name).cast("string"), F.lit("")) if name in papers.columns else F.lit("")
+
+    told = F.concat_ws(" ", *[given(c) for c in ("doi", "journal_ref", "comment", "summary")])
+    found = F.nullif(F.rtrim(F.regexp_extract(told, r"(?i)10\.\d{4,9}/[-._;()/:A-Z0-9]+", 0), F.lit(".,;) ")), F.lit(""))
+    year = F.nullif(F.regexp_extract(given("published"), r"^(\d{4})", 1), F.lit("")).cast("int")
+    return papers.withColumns({"title": T.squeezed(given("title")), "summary": F.nullif(T.squeezed(given("summary")), F.lit("")), "year": year, "doi": F.coalesce(F.nullif(given("doi"), F.lit("")), found)})
 
 
 def tag(chunks: DataFrame, papers: DataFrame, key: str = "paper_id") -> DataFrame:
@@ -66,6 +69,61 @@ def showcase(chunks: DataFrame, n: int, paper: str = "paper_id", key: str = "chu
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select(paper, key, "section", "rank")
 
 
+# Sections whose chunks fill a pool first, in order, and the place of all others.
+POOL_SECTIONS = {"abstract": 0, "conclusion": 1, "results": 2, "limitations": 3, "methodology": 4}
+OTHER_SECTION = 9
+
+
+def pool_candidates(questions: DataFrame, chunks: DataFrame, group: str = "question_id", key: str = "chunk_id", paper: str = "paper_id") -> DataFrame:
+    """(group, key, place, shared): the chunks of each question's paper, by their section's place and the tokens they share with it.
+
+    questions: group, paper, text. Papers are matched without their versions.
+    """
+    bare = lambda c: F.regexp_replace(T.fold(T.squeezed(c)), r"v\d+$", "")
+    place = F.lit(OTHER_SECTION)
+    for name, at in POOL_SECTIONS.items():
+        place = F.when(T.fold(F.coalesce("section", F.lit(""))) == name, at).otherwise(place)
+    asked = questions.select(group, bare(F.col(paper)).alias("_p"), F.array_distinct(T.technical_tokens("text")).alias("_q"))
+    held = chunks.select(key, bare(F.col(paper)).alias("_p"), place.alias("place"), F.array_distinct(T.technical_tokens("text")).alias("_t"))
+    return asked.join(held, "_p").select(group, key, "place", F.size(F.array_intersect("_q", "_t")).alias("shared"))
+
+
+def context_pool(questions: DataFrame, fixed: DataFrame, chunks: DataFrame, n: int, group: str = "question_id", key: str = "chunk_id") -> DataFrame:
+    """(group, key, position): n chunks of each question: its fixed ones, then those of its paper by section and shared tokens.
+
+    A question that cannot be filled is an error.
+    """
+    others = pool_candidates(questions, chunks, group, key)
+    pool = fill_pool(fixed, others, n, group, key, ["place", F.desc("shared"), key])
+    counted = questions.select(group).join(pool.groupBy(group).agg(F.count("*").alias("_n")), group, "left")
+    short = F.concat(F.lit("too few chunks for question "), F.col(group).cast("string"))
+    full = counted.select(group, F.when(F.coalesce("_n", F.lit(0)) < n, F.raise_error(short)).otherwise(F.lit(True)).alias("_ok"))
+    return pool.join(full, group).where("_ok").drop("_ok")
+
+
+def result_of_payload(payload: Column | str, score: Column, source: str, fallback_id: Column | None = None) -> Column:
+    """A stored payload (JSON) as a retrieval result: its own fields, else those of its metadata; odd ones are null.
+
+    Authors may be a list or one name; a year that is no number is null. The payload stays beside it.
+    """
+    text = T._col(payload)
+
+    def value(name: str) -> Column:
+        own, nested = F.get_json_object(text, f"$.{name}"), F.get_json_object(text, f"$.metadata.{name}")
+        return F.coalesce(F.nullif(own, F.lit("")), nested)
+
+    def optional(name: str) -> Column:
+        return F.nullif(T.stripped(value(name)), F.lit(""))
+
+    authors = value("authors")
+    listed = F.when(authors.startswith("["), F.transform(F.from_json(authors, "array<string>"), T.stripped)).when(T.stripped(authors) != "", F.array(authors))
+    return F.struct(
+        F.coalesce(value("chunk_id"), fallback_id if fallback_id is not None else F.lit(""), F.lit("")).alias("chunk_id"), F.coalesce(value("text"), F.lit("")).alias("text"), score.alias("score"), F.lit(source).alias("source"),
+        optional("paper_id").alias("paper_id"), optional("title").alias("title"), F.coalesce(F.filter(listed, lambda a: a != ""), F.array().cast("array<string>")).alias("authors"),
+        value("year").try_cast("int").alias("year"), optional("section").alias("section"), optional("url").alias("url"), text.alias("metadata"),
+    )
+
+
 def fill_pool(fixed: DataFrame, others: DataFrame, n: int, group: str = "question_id", key: str = "chunk_id", order: list[Column | str] | None = None) -> DataFrame:
     """A question's fixed chunks, then others in the given order, each once, until there are n."""
     columns = [group, key, "_tier", "_order"]
@@ -107,9 +165,13 @@ def seeded_order(key: Column, seed: int) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"), 256)
 
 
-def keyword_filter(text: Column, phrases: Mapping[str, str] | tuple[str, ...], limit: int = 4) -> Column:
-    """Known phrases in a text, then its longest content words, at most limit."""
-    low = T.phrase(text)
-    known = F.filter(F.array(*[F.when(low.contains(p), F.lit(p)) for p in phrases]), lambda x: x.isNotNull())
-    words = F.filter(T.content_tokens(text), lambda w: F.length(w) > 3)
-    return F.slice(F.array_distinct(F.concat(known, words)), 1, limit)
+def keywords(query: Column | str, phrases: tuple[str, ...], stops: tuple[str, ...], limit: int = 4, whole: bool = False) -> Column:
+    """Known phrases of a query, then its words that are no stop words, at most limit; with ``whole`` a short query itself in front."""
+    text = T._col(query)
+    low = F.lower(text)
+    words = F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0))
+    first = F.when(F.lit(whole) & (F.size(F.split(T.squeezed(text), " ")) <= 8), T.stripped(text))
+    known = [F.when(low.contains(p), F.lit(p)) for p in phrases]
+    seismic = F.when(low.contains("earthquake"), F.lit("seismic"))
+    out = F.array_distinct(F.concat(F.array_compact(F.array(first, *known, seismic)), F.filter(words, lambda w: ~w.isin(*stops))))
+    return F.slice(F.when(F.size(out) > 0, out).when(F.size(words) > 0, words).otherwise(F.array(text)), 1, limit)

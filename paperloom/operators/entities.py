@@ -26,7 +26,7 @@ def _candidates(questions: DataFrame, titles: DataFrame, key: str, text: str, br
     quoted = asked.select(key, F.explode(T.quoted_titles("q")).alias("x")).select(key, F.col("x.start").alias("start"), (-F.col("x.size")).alias("size"), F.lit(1).alias("quoted"), F.col("x.title").alias("title"))
     # A title can only occur in a question that has all of its words; its longest is what both are joined on.
     word = lambda c: F.regexp_extract_all(c, F.lit("[a-z0-9]+"), F.lit(0))
-    rare = titles.withColumn("w", F.element_at(F.array_sort(F.transform(word(F.col("norm")), lambda x: F.struct(F.length(x).alias("n"), x.alias("w")))), -1)["w"])
+    rare = titles.withColumn("w", F.try_element_at(F.array_sort(F.transform(word(F.col("norm")), lambda x: F.struct(F.length(x).alias("n"), x.alias("w")))), F.lit(-1))["w"])
     spoken = asked.select(key, "low", F.explode(F.array_distinct(word(F.col("low")))).alias("w"))
     small = titles.limit(broadcast + 1).count() <= broadcast
     joined = spoken.join(F.broadcast(rare) if small else rare, "w")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,16 +12,20 @@ DIGITS = 6
 
 def _ideal(n_relevant: Column, k: int) -> Column:
     """Sum of 1/log2(rank+1) over the ranks a perfect list would fill."""
-    table = F.array(F.lit(0.0), *[F.lit(sum(1.0 / __import__("math").log2(i + 1) for i in range(1, j + 1))) for j in range(1, k + 1)])
+    table = F.array(F.lit(0.0), *[F.lit(sum(1.0 / math.log2(i + 1) for i in range(1, j + 1))) for j in range(1, k + 1)])
     return F.element_at(table, F.least(n_relevant, F.lit(k)).cast("int") + 1)
 
 
-def per_query(ranked: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = (5, 8, 20), group: list[str] | None = None, key: str = "doc_id") -> DataFrame:
+def per_query(ranked: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = (5, 8, 20), group: list[str] | None = None, key: str = "doc_id", digits: int | None = None) -> DataFrame:
     """recall, precision, hit and ndcg at each k, and mrr, for each group of ``ranked`` (group..., key, rank).
 
     ``relevant`` has the last group column and key. Groups without relevant keys
-    score 0. Missing places count against precision.
+    score 0. Missing places count against precision. Means are taken of unrounded
+    values; ``digits`` rounds them, for display.
     """
+    def rounded(c: Column) -> Column:
+        return c if digits is None else F.round(c, digits)
+
     group = group or ["config", "query_id"]
     query = group[-1]
     marked = ranked.join(relevant.select(query, key).distinct().withColumn("_hit", F.lit(1)), [query, key], "left")
@@ -30,12 +36,12 @@ def per_query(ranked: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = (5,
         inside = (F.col("_hit") == 1) & (F.col("rank") <= k)
         sums += [F.count_if(inside).alias(f"hits_{k}"), F.coalesce(F.sum(F.when(inside, gain)), F.lit(0.0)).alias(f"dcg_{k}")]
     rows = marked.groupBy(*group).agg(*sums).join(total, query, "left").withColumn("n_relevant", F.coalesce("n_relevant", F.lit(0)))
-    n, out = F.col("n_relevant"), [*map(F.col, group), F.col("best"), F.round(F.coalesce(1.0 / F.col("best"), F.lit(0.0)), DIGITS).alias("mrr")]
+    n, out = F.col("n_relevant"), [*map(F.col, group), F.col("best"), rounded(F.coalesce(1.0 / F.col("best"), F.lit(0.0))).alias("mrr")]
     for k in ks:
         hits = F.col(f"hits_{k}")
         out += [
-            F.round(F.when(n > 0, hits / F.greatest(n, F.lit(1))).otherwise(0.0), DIGITS).alias(f"recall_{k}"), F.round(hits / k, DIGITS).alias(f"precision_{k}"),
-            F.when(hits > 0, 1.0).otherwise(0.0).alias(f"hit_{k}"), F.round(F.when(n > 0, F.col(f"dcg_{k}") / F.greatest(_ideal(n, k), F.lit(1e-9))).otherwise(0.0), DIGITS).alias(f"ndcg_{k}"),
+            rounded(F.when(n > 0, hits / F.greatest(n, F.lit(1))).otherwise(0.0)).alias(f"recall_{k}"), rounded(hits / k).alias(f"precision_{k}"),
+            F.when(hits > 0, 1.0).otherwise(0.0).alias(f"hit_{k}"), rounded(F.when(n > 0, F.col(f"dcg_{k}") / F.greatest(_ideal(n, k), F.lit(1e-9))).otherwise(0.0)).alias(f"ndcg_{k}"),
         ]
     return rows.select(*out)
 
@@ -51,14 +57,21 @@ def summary_with_total(rows: DataFrame, by: str, metrics: list[str], total: str
     return out.withColumn(by, F.when(F.col("_all") == 1, F.lit(total)).otherwise(F.col(by).cast("string"))).drop("_all")
 
 
-def latency_profile(rows: DataFrame, by: str, value: str, total: str = "overall") -> DataFrame:
-    """n, mean, p50 and p95 by group and over all; percentiles interpolate."""
+def latency_profile(rows: DataFrame, by: str, value: str, total: str = "overall", means: tuple[str, ...] = ()) -> DataFrame:
+    """n, mean, p50 and p95 by group and over all, and the means of other columns; percentiles interpolate."""
     out = rows.rollup(by).agg(
-        F.grouping(by).alias("_all"), F.count(value).alias("n"), F.round(F.avg(value), DIGITS).alias("mean"), F.round(F.median(value), DIGITS).alias("p50"), F.round(F.percentile(value, 0.95), DIGITS).alias("p95")
+        *[F.round(F.avg(m), DIGITS).alias(m) for m in means], F.grouping(by).alias("_all"), F.count(value).alias("n"), F.round(F.avg(value), DIGITS).alias("mean"), F.round(F.median(value), DIGITS).alias("p50"), F.round(F.percentile(value, 0.95), DIGITS).alias("p95")
     )
     return out.withColumn(by, F.when(F.col("_all") == 1, F.lit(total)).otherwise(F.col(by).cast("string"))).drop("_all")
 
 
+def spread(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """n, mean, population standard deviation, smallest and largest value by group; nulls are left out."""
+    return rows.groupBy(*by).agg(
+        F.count(value).alias("n"), F.round(F.avg(value), DIGITS).alias("mean"), F.round(F.stddev_pop(value), DIGITS).alias("sd"), F.min(value).alias("least"), F.max(value).alias("most")
+    )
+
+
 def lift(rows: DataFrame, before: str, after: str, short: int = 8, long: int = 20, threshold: float = 0.02) -> DataFrame:
     """Recall of two configurations: before at both depths, after at the short one, lift and promotion efficiency."""
     def mean(config: str, k: int) -> Column:

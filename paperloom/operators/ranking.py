@@ -89,6 +89,11 @@ def round_robin(lists: DataFrame, group: str = "query_id", key: str = "doc_id",
     return rerank_rows(first_occurrence(lists, [group, key], ["rank", source]), group, ["rank", source], "position")
 
 
+def collapse(ranked: DataFrame, to: str = "paper_id", group: str = "query_id") -> DataFrame:
+    """(group, to, rank): each paper at the place of its first chunk."""
+    return rerank_rows(first_occurrence(ranked, [group, to], ["rank"]).withColumnRenamed("rank", "_in"), group, ["_in", to]).select(group, to, "rank")
+
+
 def prioritise(ranked: DataFrame, matches: Column, group: str = "query_id") -> DataFrame:
     """Matching rows first, in the order they had."""
     return rerank_rows(ranked.withColumnRenamed("rank", "in_rank"), group, [(~F.coalesce(matches, F.lit(False))).cast("int"), F.col("in_rank")])

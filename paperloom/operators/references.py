@@ -54,11 +54,13 @@ def lines(c: Column | str) -> Column:
     return let(clean, firsts)
 
 
-def _substantive(entry: Column) -> Column:
+def is_substantive(entry: Column) -> Column:
+    """Whether an entry has three words or more behind its marker."""
     return _words(F.regexp_replace(entry, MARKER, "")) >= 3
 
 
-def _complete(entry: Column) -> Column:
+def is_complete(entry: Column) -> Column:
+    """Whether an entry has a year, and ends or names an identity or address."""
     return entry.rlike(YEAR) & (F.rtrim(entry).endswith(".") | entry.rlike(T.DOI) | entry.rlike(URL))
 
 
@@ -75,7 +77,7 @@ def entries(c: Column | str) -> Column:
         start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
         def step(state: Column, line: Column) -> Column:
-            begins = (state["open"] != "") & line.rlike(AUTHOR_START) & _complete(state["open"])
+            begins = (state["open"] != "") & line.rlike(AUTHOR_START) & is_complete(state["open"])
             longer = F.when(state["open"] == "", line).otherwise(F.concat(state["open"], F.lit(" "), line))
             return F.struct(F.when(begins, F.array_append(state["done"], state["open"])).otherwise(state["done"]).alias("done"), F.when(begins, line).otherwise(longer).alias("open"))
 
@@ -85,7 +87,7 @@ def entries(c: Column | str) -> Column:
         combined = F.concat(F.array_join(found, " "), F.lit(" "))
         return F.when(combined.rlike(r"(?<!\S)(?:\[\d+\]|\d{1,3}[.)])\s"), numbered(combined)).otherwise(unnumbered(found))
 
-    return F.filter(let(lines(c), cut), _substantive)
+    return F.filter(let(lines(c), cut), is_substantive)
 
 
 def parse(c: Column | str) -> Column:

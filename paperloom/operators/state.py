@@ -58,8 +58,11 @@ def conflicts(rows: DataFrame, key: str, payload: list[Column | str]) -> DataFra
     return rows.groupBy(key).agg(F.count_distinct(F.struct(*payload)).alias("variants")).where("variants > 1")
 
 
-def shares(rows: DataFrame, category: str, targets: dict[str, float], tolerance: float) -> DataFrame:
-    """(category, n, share, target, within): shares against targets; categories without a target are within none."""
+def shares(rows: DataFrame, category: str, targets: dict[str, float], tolerance: float, strict: bool = False) -> DataFrame:
+    """(category, n, share, target, within): shares against targets; categories without a target are within none, or with ``strict`` an error."""
+    if strict:
+        known = F.coalesce(F.col(category).isin(*targets), F.lit(False))
+        rows = rows.where(F.when(known, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("unknown category: "), F.coalesce(F.col(category).cast("string"), F.lit("null"))))))
     counted = rows.groupBy(category).agg(F.count("*").alias("n"))
     total = counted.agg(F.sum("n").alias("total"))
     target = F.lit(None).cast("double")

@@ -26,28 +26,6 @@ def _(spark, sf):
     return t.select("source", "lang", corpus.title_matches(title, F.lit("study")).alias("by_word"), corpus.title_matches(title, F.col("source")).alias("by_name"))
 
 
-@query("p15_metadata", rf"""
-SELECT doc_id, {squeeze_sql("'  A  title ' || source || ' '")} AS title, (1990 + doc_id % 35)::INT AS year, '10.1234/x' || doc_id AS doi FROM documents""")
-def _(spark, sf):
-    d = F.col("doc_id").cast("string")
-    p = table(spark, sf, "documents").select(
-        "doc_id", F.concat(F.lit("  A  title "), "source", F.lit(" ")).alias("title"), F.concat(F.lit("see doi:10.1234/x"), d, F.lit(". end")).alias("summary"),
-        F.concat((F.col("doc_id") % 35 + 1990).cast("string"), F.lit("-05-01T00:00:00Z")).alias("published"), F.lit(None).cast("string").alias("doi"),
-    )
-    return corpus.metadata(p).select("doc_id", "title", "year", "doi")
-
-
-@query("p16_provider_records", "SELECT doc_id, 'p' || doc_id AS paper_id, CASE WHEN doc_id % 2 = 0 THEN source ELSE lang END AS title, CASE WHEN doc_id % 3 = 0 THEN (doc_id % 100)::INT ELSE 0 END AS citation_count FROM documents")
-def _(spark, sf):
-    d = F.col("doc_id")
-    payload = F.concat(
-        F.lit('{"'), F.when(d % 2 == 0, "paper_id").otherwise("arxivId"), F.lit('":"p'), d.cast("string"), F.lit('","id":"zz","title":"'), F.when(d % 2 == 0, F.col("source")).otherwise(F.lit("")),
-        F.lit('","name":"'), F.col("lang"), F.lit('","citationCount":'), F.when(d % 3 == 0, (d % 100).cast("string")).otherwise(F.lit('"n/a"')), F.lit("}"),
-    )
-    got = table(spark, sf, "documents").select("doc_id", corpus.paper_from_json(payload).alias("p"))
-    return got.select("doc_id", "p.paper_id", "p.title", "p.citation_count")
-
-
 @query("p17_tagging", f"""
 WITH {CHUNK_SQL} SELECT chunk_id, section, CASE section WHEN 'abstract' THEN 'front' WHEN 'methodology' THEN 'method' WHEN 'results' THEN 'evidence' WHEN 'references' THEN 'back' WHEN 'conclusion' THEN 'closing' ELSE 'other' END AS section_family,
        CASE WHEN chunk_id % 2 = 0 THEN 2020 ELSE 2015 END::INT AS year, lang AS language FROM chunks""")
@@ -136,11 +114,12 @@ def _(spark, sf):
 
 
 @query("f46_joined_lines", r"""
-WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents), j AS (SELECT doc_id, array_to_string(list_transform(p, lambda x, i: CASE WHEN i = 1 THEN x WHEN right(p[i - 1], 1) IN ('.', '!', '?', ':', ';') OR (x = '' AND i < len(p)) THEN chr(10) || x ELSE ' ' || x END), '') AS t FROM l)
-SELECT doc_id, sha256(trim(regexp_replace(t, '[ \t]{2,}', ' ', 'g'), ' ' || chr(10) || chr(9) || chr(13))) AS digest FROM j""")
+WITH t AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) || '  two' || chr(9) || ' words' || chr(10) || 'go' || chr(10) || ' on:' || chr(10) || 'end.' || chr(10) || chr(10) || chr(10) || 'x' AS t FROM documents),
+l AS (SELECT doc_id, string_split(t, chr(10)) AS p FROM t), j AS (SELECT doc_id, array_to_string(list_transform(p, lambda x, i: CASE WHEN i = 1 THEN x WHEN right(p[i - 1], 1) IN ('.', '!', '?', ':', ';') OR trim(x) = '' AND i < len(p) THEN chr(10) || x ELSE ' ' || x END), '') AS t FROM l)
+SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]+', ' ', 'g'), ' ' || chr(10) || chr(9) || chr(13))) AS digest FROM j""")
 def _(spark, sf):
-    t = F.regexp_replace(F.regexp_replace("text", r"(?<![.!?:;])\n(?!\n)", " "), r"[ \t]{2,}", " ")
-    return table(spark, sf, "documents").select("doc_id", F.sha2(F.btrim(t, F.lit(" \n\t\r")).cast("binary"), 256).alias("digest"))
+    t = F.concat(F.replace("text", F.lit("\n"), F.lit("\n\n")), F.lit("  two\t words\ngo\n on:\nend.\n\n\nx"))
+    return table(spark, sf, "documents").select("doc_id", F.sha2(documents.joined_lines(t).cast("binary"), 256).alias("digest"))
 
 
 @query("p01_blank_filter", "SELECT conv_id, turn FROM conversations WHERE length(trim(CASE WHEN turn % 4 = 3 THEN '   ' ELSE text END)) > 0")
@@ -227,41 +206,11 @@ def _(spark, sf):
     return reports.newest_compatible(c, "view").select("path", "modified")
 
 
-@query("f31_keywords")
-def _(spark, sf):
-    return questions(spark, sf).select("item_id", corpus.keyword_filter(F.col("text"), ("how does", "which")).alias("keywords"))
-
-
-@query("s14_export_rows", "SELECT doc_id, json_object('doc_id', doc_id, 'lang', lang) AS record FROM documents WHERE lang IS NOT NULL")
-def _(spark, sf):
-    return table(spark, sf, "documents").where("lang IS NOT NULL").select("doc_id", F.to_json(F.struct("doc_id", "lang")).alias("record"))
-
-
 @query("a27_known_titles", f"SELECT DISTINCT {fold_sql(squeeze_sql('source'))} AS title FROM documents")
 def _(spark, sf):
     return table(spark, sf, "documents").select(T.fold(T.squeeze("source")).alias("title")).distinct()
 
 
-@query("a36_profile", "SELECT (event_id % 3)::VARCHAR AS candidate_k, count(value) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1 UNION ALL SELECT 'overall', count(value), round(avg(value), 6), round(median(value), 6), round(quantile_cont(value, 0.95), 6) FROM events")
-def _(spark, sf):
-    return metrics.latency_profile(table(spark, sf, "events").withColumn("candidate_k", F.col("event_id") % 3), "candidate_k", "value")
-
-
-@query("j16_duplicate_answers")
-def _(spark, sf):
-    """Pairs of turns of one conversation that are nearly equal: a bounded group, compared in one task."""
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("turn").reset_index(drop=True)
-        pairs = documents.near_duplicate_pairs(pdf["text"].fillna("").tolist())
-        return pd.DataFrame([(pdf["conv_id"][0], pdf["turn"][i], pdf["turn"][j]) for i, j in pairs], columns=["conv_id", "a", "b"])
-
-    c = table(spark, sf, "conversations").select("conv_id", "turn", "text")
-    again = c.where("turn = 0").select("conv_id", (F.col("turn") + 1000).alias("turn"), F.concat("text", F.lit(" indeed")).alias("text"))
-    return c.unionByName(again).groupBy("conv_id").applyInPandas(run, "conv_id long, a long, b long")
-
-
 @query("f03_shared_tokens", f"WITH t AS (SELECT item_id, {content_sql('text')} AS t FROM benchmark) SELECT a.item_id, len(list_intersect(a.t, b.t)) AS shared FROM t a JOIN t b ON b.item_id = a.item_id + 1")
 def _(spark, sf):
     t = table(spark, sf, "benchmark").select("item_id", T.content_tokens("text").alias("t"))

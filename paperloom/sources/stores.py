@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
-from collections.abc import Callable, Iterable, Iterator
-from string import Formatter
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,7 +61,13 @@ def write_index(frames: dict[str, DataFrame], path: str, config: dict) -> dict:
 
 
 def read_index(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], dict]:
-    """The tables of an index; an error if one has not the rows that the manifest says."""
+    """The tables of an index; an error if one has not the rows that the manifest says.
+
+    An index of version 1 is one JSON object, of chunks and their tokens side by
+    side: it is read as the tables chunks and tokens, if both are of one length.
+    """
+    if not exists(spark, f"{path}/manifest"):
+        return _read_first_version(spark, path)
     manifest = json.loads(spark.read.text(f"{path}/manifest").first()[0])
     frames = {name: spark.read.parquet(f"{path}/{name}") for name in manifest["tables"]}
     for name, n in manifest["tables"].items():
@@ -70,23 +76,118 @@ def read_index(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], di
     return frames, manifest
 
 
-def upsert_vectors(spark: SparkSession, path: str, new: DataFrame, key: str = "chunk_id", vector: str = "embedding", batch: str = "000001") -> DataFrame:
-    """Append a batch of vectors; of each key the latest batch counts. Mixed dimensions are an error."""
-    sizes = new.select(F.size(vector).alias("n")).distinct().limit(2).collect()
+def _read_first_version(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], dict]:
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "chunks array<string>, tokenized_corpus array<array<string>>, tokenizer string").alias("i")).select("i.*")
+    row = whole.select(F.size("chunks").alias("n"), F.size("tokenized_corpus").alias("m"), "tokenizer").first()
+    if row is None or row["n"] != row["m"] or row["n"] < 0:
+        raise ValueError(f"{path!r} is no index, or its chunks and tokens are not of one length")
+    chunks = whole.select(F.posexplode("chunks").alias("pos", "chunk")).select("pos", F.get_json_object("chunk", "$.chunk_id").alias("chunk_id"), F.get_json_object("chunk", "$.text").alias("text"), "chunk")
+    tokens = whole.select(F.posexplode("tokenized_corpus").alias("pos", "tokens"))
+    return {"chunks": chunks, "tokens": tokens}, {"version": "1.0", "config": {"tokenizer": row["tokenizer"] or "word_v1"}, "tables": {"chunks": row["n"], "tokens": row["m"]}}
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether something is stored below path."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def delete(spark: SparkSession, path: str) -> bool:
+    """Remove what is stored below path; False if there was nothing."""
+    if not exists(spark, path):
+        return False
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True))
+
+
+def batches(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the whole batches stored below path, ascending."""
+    if not exists(spark, path):
+        return []
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = []
+    for status in fs.listStatus(where):  # one entry a batch
+        m = re.fullmatch(r"batch=(\d+)", status.getPath().getName())
+        if m and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
+            found.append(int(m[1]))
+    return sorted(found)
+
+
+def upsert(rows: DataFrame, path: str, key: str, batch: int | None = None) -> int:
+    """Append a batch of rows below path; of each key the row of the latest batch counts. Returns its number.
+
+    A batch gets the next number, or one that the caller gives so that a repeated
+    delivery is told; one that is there is never overwritten, and one that was
+    not finished is not read.
+    """
+    spark = rows.sparkSession
+    known = batches(spark, path)
+    number = (max(known, default=0) + 1) if batch is None else int(batch)
+    if number in known:
+        return number
+    rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+    return number
+
+
+def latest(spark: SparkSession, path: str, key: str, before: int | None = None) -> DataFrame | None:
+    """The rows that upsert stored, the latest of each key; None if there are none. before: only batches of smaller numbers."""
+    known = [b for b in batches(spark, path) if before is None or b < before]
+    if not known:
+        return None
+    rows = spark.read.option("basePath", path).option("mergeSchema", True).parquet(*[f"{path}/batch={b}" for b in known])
+    fields = [c for c in rows.columns if c not in (key, "batch")]
+    newest = rows.groupBy(key).agg(F.max_by(F.struct(*fields), F.col("batch").cast("long")).alias("_r"))
+    return newest.select(key, *[F.col(f"_r.`{c}`").alias(c) for c in fields])
+
+
+def upsert_vectors(spark: SparkSession, path: str, new: DataFrame, key: str = "chunk_id", vector: str = "embedding", batch: int | None = None, recreate: bool = False) -> DataFrame:
+    """Store a batch of vectors; of each key the latest batch counts. Returns what is stored.
+
+    All vectors of a collection are of one dimension: one that differs within the batch, or from
+    what is stored, is an error, before anything is written. Rows without key or
+    vector are left out. recreate drops what was there.
+    """
+    rows = new.where(F.col(key).isNotNull() & (F.size(vector) > 0))
+    sizes = {r[0] for r in rows.select(F.size(vector)).distinct().limit(2).collect()}
+    if recreate:
+        delete(spark, path)
+    before = latest(spark, path, key)
+    if before is not None:
+        sizes |= {r[0] for r in before.select(F.size(vector)).distinct().limit(2).collect()}
     if len(sizes) > 1:
-        raise ValueError("vectors of different dimensions")
-    new.write.mode("overwrite").parquet(f"{path}/batch={batch}")
-    rows = spark.read.option("basePath", path).parquet(path)
-    return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in (key, "batch")]), F.col("batch").cast("string")).alias("r")).select(key, "r.*")
+        raise ValueError(f"vectors of different dimensions: {sorted(sizes)}")
+    if sizes:
+        upsert(rows, path, key, batch)
+    return latest(spark, path, key) if sizes else rows
 
 
 def append_log(entries: DataFrame, path: str) -> None:
     entries.write.mode("append").json(path)
 
 
+def json_array(rows: DataFrame, key: str, column: str) -> DataFrame:
+    """One row: the values of a column of JSON that are given, ordered by key, as one JSON array."""
+    given = rows.where(F.col(column).isNotNull()).agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(column).alias("v")))).alias("a"))
+    return given.select(F.concat(F.lit("["), F.array_join(F.transform("a", lambda x: x["v"]), ","), F.lit("]")).alias("json"))
+
+
 def export_json(rows: DataFrame, path: str, key: str, column: str) -> None:
-    """The non-null values of a column, ordered by key, one JSON object a line."""
-    rows.where(F.col(column).isNotNull()).orderBy(key).select(column).coalesce(1).write.mode("overwrite").text(path)
+    """The given values of a column of JSON, ordered by key, as one JSON array in one file.
+
+    Lines are written by a sorted, single task, so no row has to hold them all.
+    """
+    ordered = rows.where(F.col(column).isNotNull()).repartition(1).sortWithinPartitions(key).select(F.col(column).alias("value"))
+
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        before = "["
+        for pdf in batches:
+            for value in pdf["value"]:
+                yield pd.DataFrame({"value": [before + value]})
+                before = ","
+        yield pd.DataFrame({"value": ["[]" if before == "[" else "]"]})
+
+    ordered.mapInPandas(lines, "value string").write.mode("overwrite").text(path)
 
 
 def markdown_table(rows: DataFrame, most: int = 1000) -> str:
@@ -96,51 +197,91 @@ def markdown_table(rows: DataFrame, most: int = 1000) -> str:
     return "\n".join([line(rows.columns), line("---" for _ in rows.columns), *(line("" if v is None else v for v in r) for r in got)])
 
 
+def load_prompt(path: str) -> dict[str, str]:
+    """A prompt's parts from a file of ``name: text`` and ``name: |`` blocks; it must have system and user."""
+    parts: dict[str, list[str]] = {}
+    name, block = None, False
+    with open(path, encoding="utf-8") as lines:
+        for line in lines.read().splitlines():
+            m = re.match(r"^([A-Za-z_]\w*):\s*(.*)$", line)
+            if m:
+                name, block = m[1], m[2].strip() in ("|", "|-", ">", ">-")
+                parts[name] = [] if block else [m[2].strip().strip("'\"")]
+            elif name and block:
+                parts[name].append(line[2:] if line.startswith("  ") else line.strip())
+    prompt = {k: "\n".join(v).strip() for k, v in parts.items()}
+    if not prompt.get("system") or not prompt.get("user"):
+        raise ValueError(f"prompt {path!r} needs the parts system and user")
+    return prompt
+
+
+#: A place in a template that is filled in.
+FIELD = re.compile(r"\{\{\s*([A-Za-z_]\w*)\s*\}\}")
+
+
 def render_prompt(template: str, values: dict[str, object]) -> str:
-    """A template's {fields} filled in; a missing one is an error."""
-    missing = [name for _, name, _, _ in Formatter().parse(template) if name and name not in values]
+    """A template's {{ fields }} filled in; a missing one is an error, and so is a text that is then blank."""
+    missing = sorted({name for name in FIELD.findall(template) if name not in values})
+    if missing:
+        raise KeyError(f"missing prompt variables: {missing}")
+    out = FIELD.sub(lambda m: str(values[m[1]]), template)
+    if not out.strip():
+        raise ValueError("a rendered prompt must not be blank")
+    return out
+
+
+def rendered(template: str, **columns: Column) -> Column:
+    """A template's {{ fields }} filled in by columns, row by row; a missing one is an error."""
+    missing = sorted({name for name in FIELD.findall(template) if name not in columns})
     if missing:
-        raise KeyError(f"missing prompt variables: {sorted(set(missing))}")
-    return template.format(**values)
-
-
-def flatten_payload(value: object, wrappers: Iterable[str] = ("data", "results", "items", "papers", "content", "result", "structuredContent", "text", "output", "response", "documents", "hits", "entries", "records", "payload")) -> list[dict]:
-    """Paper-like objects anywhere inside a discovery payload, JSON in strings included; first of each id or title."""
-    names, out, seen, stack = set(wrappers), [], set(), [value]
-    while stack:
-        item = stack.pop()
-        if isinstance(item, str):
-            try:
-                item = json.loads(item)
-            except ValueError:
-                out += [{"paper_id": m} for m in re.findall(r"\d{4}\.\d{4,5}(?:v\d+)?", item)]
-                continue
-        if isinstance(item, list):
-            stack += reversed(item)
-        elif isinstance(item, dict):
-            if any(k in item for k in ("title", "paper_id", "arxiv_id", "id")) and not names & set(item):
-                out.append(item)
-            else:
-                stack += [item[k] for k in reversed(list(item)) if k in names]
-    kept = []
-    for item in out:
-        key = str(item.get("paper_id") or item.get("arxiv_id") or item.get("id") or item.get("title")).lower()
-        if key not in seen:
-            seen.add(key)
-            kept.append(item)
-    return kept
-
-
-DISCOVERY: dict[str, Callable[[], object]] = {}
-
-
-def register_discovery(name: str, make: Callable[[], object]) -> None:
-    DISCOVERY[name.lower()] = make
-
-
-def build_discovery(name: str) -> object:
-    """A discovery provider by name; network providers are registered by the application."""
-    try:
-        return DISCOVERY[name.lower()]()
-    except KeyError:
-        raise ValueError(f"unknown discovery provider {name!r}; known: {sorted(DISCOVERY)}") from None
+        raise KeyError(f"missing prompt variables: {missing}")
+    pieces = FIELD.split(template)
+    return F.concat(*[F.lit(p) if i % 2 == 0 else F.coalesce(columns[p].cast("string"), F.lit("")) for i, p in enumerate(pieces)])
+
+
+# ---- reports --------------------------------------------------------------
+
+
+def write_report(frames: dict[str, DataFrame], path: str, title: str, most: int = 1000) -> str:
+    """Each frame as JSON and CSV below path, and all as one Markdown report, which is returned.
+
+    Files hold whole frames; the report, which people read, shows the first ``most`` rows and says so.
+    """
+    parts = [f"# {title}"]
+    for name, frame in frames.items():
+        frame.write.mode("overwrite").json(f"{path}/{name}.json")
+        flat = frame.select(*[F.to_json(c).alias(c) if isinstance(frame.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType)) else F.col(c) for c in frame.columns])
+        flat.write.mode("overwrite").option("header", True).csv(f"{path}/{name}.csv")
+        shown = markdown_table(frame, most)
+        more = "" if shown.count("\n") < most + 1 else f"\n\nThe first {most} rows."
+        parts.append(f"## {name}\n\n{shown}{more}")
+    report = "\n\n".join(parts) + "\n"
+    spark = next(iter(frames.values())).sparkSession
+    spark.createDataFrame([(report,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/report.md")
+    return report
+
+
+def read_rankings(spark: SparkSession, path: str, config: str | None = None, query: str | None = None) -> DataFrame:
+    """(config, query_id, rank, result) of saved rankings, each result as JSON.
+
+    A file holds a list of results, an object with ``results``, or one with
+    ``rankings``: results by configuration and query, or by configuration alone.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.trim("value").alias("v"))
+    none = F.lit(None).cast("string")
+    listed = F.when(F.col("v").startswith("["), F.col("v")).otherwise(F.get_json_object("v", "$.results"))
+    flat = whole.select(none.alias("config"), none.alias("query_id"), F.from_json(listed, "array<string>").alias("r"))
+    runs = whole.select(F.explode(F.from_json(F.get_json_object("v", "$.rankings"), "map<string,string>")).alias("config", "x"))
+    keyed = runs.where(F.col("x").startswith("{")).select("config", F.explode(F.from_json("x", "map<string,string>")).alias("query_id", "y"))
+    rows = runs.where(F.col("x").startswith("[")).select("config", F.explode(F.from_json("x", "array<string>")).alias("z"))
+    by_row = rows.select("config", F.get_json_object("z", "$.query_id").alias("query_id"), F.get_json_object("z", "$.results").alias("y"))
+    runs = keyed.unionByName(by_row).select("config", "query_id", F.from_json("y", "array<string>").alias("r"))
+    found = flat.unionByName(runs).where("r IS NOT NULL").select("config", "query_id", F.posexplode("r").alias("pos", "result")).select("config", "query_id", (F.col("pos") + 1).alias("rank"), "result")
+    if config is not None:
+        found = found.where(F.col("config") == config)
+    return found if query is None else found.where(F.col("query_id") == query)
+
+
+def signature(parts: dict[str, object]) -> str:
+    """A hash of a run's inputs, the same for equal inputs in whatever order."""
+    return hashlib.sha256(json.dumps(parts, sort_keys=True, default=str, separators=(",", ":")).encode()).hexdigest()

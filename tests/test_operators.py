@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
-from paperloom.operators import answers, dense, documents, lexical, metrics, ranking, state, structured
+from paperloom.operators import answers, dense, documents, entities, lexical, metrics, ranking, state, structured
 
 
 def test_bm25_against_formula(spark):
@@ -69,6 +69,26 @@ def test_dense_search_filters_before_k(spark):
     assert [(r["vec_id"], r["rank"]) for r in got] == [(2, 1)]
 
 
+def test_search_keeps_keys_of_any_type(spark):
+    vectors = spark.createDataFrame([(f"v{i}", [float(i % 7), 1.0]) for i in range(3000)], "chunk_id string, embedding array<double>").repartition(3)
+    queries = spark.createDataFrame([("q0", [6.0, 1.0]), ("q1", [0.0, 1.0]), ("q2", None)], "query_id string, embedding array<double>")
+    got = dense.search(vectors, queries, 3, key="chunk_id").collect()
+    want = {"q0": sorted(f"v{i}" for i in range(3000) if i % 7 == 6)[:3], "q1": sorted(f"v{i}" for i in range(3000) if i % 7 == 0)[:3]}
+    assert {q: [r["chunk_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] for q in want} == want and len(got) == 6
+    rows = vectors.where("chunk_id < 'v2'").withColumnRenamed("embedding", "vector").withColumn("query_id", F.lit("q")).withColumn("query_vector", F.array(F.lit(1.0), F.lit(0.0))).withColumn("rank", F.lit(1)).withColumn("score", F.lit(1.0))
+    assert dense.mmr(rows.limit(9), 2, key="chunk_id").schema["chunk_id"].dataType.simpleString() == "string"
+
+
+def test_blocks_of_queries_make_no_difference(spark, monkeypatch):
+    docs = spark.createDataFrame([(f"d{i}", f"alpha {'beta ' * (i % 5)} gamma{i % 11} w{i}") for i in range(400)], "doc_id string, text string").repartition(3)
+    queries = spark.createDataFrame([(f"q{i}", f"beta gamma{i} alpha alpha") for i in range(11)] + [("none", "zzz")], "query_id string, text string")
+    whole = sorted(lexical.search(queries, docs, 4).collect())
+    assert whole == sorted(lexical.top_k(lexical.scores(queries, docs), 4).select("query_id", "doc_id", "score", "rank").collect())
+    monkeypatch.setattr(lexical, "MAX_PAIRS", 5)
+    monkeypatch.setattr(lexical, "STRIP", 7)
+    assert sorted(lexical.search(queries, docs, 4).collect()) == whole and len(whole) == 44
+
+
 def test_filters(spark):
     rows = spark.createDataFrame([(1, 2024, {"k": "a"}), (2, None, {}), (3, 2020, {"k": "b"})], "id int, year int, metadata map<string,string>")
     pick = lambda f, **k: [r["id"] for r in rows.where(ranking.compile_filter(f, rows.columns, **k)).orderBy("id").collect()]
@@ -119,8 +139,19 @@ def test_sections_over_two_lines_and_subsections(spark):
     assert 8 not in got
 
 
-def test_title_mentions_and_near_duplicates():
-    assert documents.title_mentions("Does 'Deep Nets' beat Attention Is All?", ["attention is all", "attention"]) == ["Deep Nets", "attention is all"]
+def test_named_papers_as_in_plain_python(spark):
+    titles = ["Attention Is All", "attention", "Deep  Nets", "C++ (and *.*)", "日本", "A.B"]
+    asked = [
+        "Does 'Deep Nets' beat Attention Is All?", "ATTENTION is  all, attention, and xattention", "of c++ (and *.*) and \"Unknown One.\"", "日本 and 'q'", "a.b axb", "", "'Deep nets' and deep nets", "“Attention” is all",
+    ]
+    q = spark.createDataFrame(list(enumerate(asked)), "query_id long, text string")
+    known = entities.known_titles(spark.createDataFrame([(t,) for t in [*titles, " ", None]], "t string"), "t")
+    spelled = [r["title"] for r in known.collect()]
+    for broadcast in (100, 0):
+        got = {r["query_id"]: r["titles"] for r in entities.named_papers(q, known, broadcast=broadcast).collect()}
+        for i, text in enumerate(asked):
+            want = entities.mentions(text, spelled if broadcast else [t for t in spelled if t != "日本"])
+            assert got.get(i, []) == want, text
     assert documents.near_duplicate_pairs(["alpha beta gamma", "Alpha  beta gamma", "other"]) == [(0, 1)]
 
 
@@ -156,7 +187,7 @@ def test_structured_answers(spark):
 def test_several_quoted_papers_make_a_comparison(spark):
     rows = [
         ("In 'Deep Nets', how does it work?", "mechanism", 1), ("How does 'Deep Nets' differ from \"BERT\" and why?", "comparison", 1), ("What does 'Deep Nets' show and how is it used", "direct_fact", 2),
-        ("Explain 'A Net' and 'A Net' and how they work", "mechanism", 2), ("Per “Some Paper”, why is it better?", "causes_evidence", 1), ("What is 'a' and what is 'b paper' and 'c paper'", "comparison", 1),
+        ("Explain 'A Net' and 'A Net' and how they work", "mechanism", 2), ("Per “Some Paper”, why is it better?", "causes_evidence", 1), ("What is 'a' and what is 'b paper' and 'c paper'", "direct_fact", 2),
     ]
     df = spark.createDataFrame(rows, "q string, kind string, n int")
     for r in df.select("kind", "n", T.question_type("q").alias("got"), F.size(T.question_parts("q")).alias("parts")).collect():

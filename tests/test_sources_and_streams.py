@@ -3,7 +3,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.sources import stores
+from paperloom.functions import text as T
+from paperloom.plans import generation, retrieval
+from paperloom.sources import discovery, stores
 from paperloom.streaming import streams
 
 
@@ -40,11 +42,33 @@ def test_index_round_trip_and_mismatch(spark, tmp_path):
 
 def test_vectors_upsert(spark, tmp_path):
     path = str(tmp_path / "vectors")
-    make = lambda v: spark.createDataFrame([("a", v)], "chunk_id string, embedding array<float>")
-    stores.upsert_vectors(spark, path, make([1.0, 0.0]), batch="000001")
-    assert stores.upsert_vectors(spark, path, make([0.0, 1.0]), batch="000002").first()["embedding"] == [0.0, 1.0]
+    make = lambda v, key="a": spark.createDataFrame([(key, v)], "chunk_id string, embedding array<float>")
+    of = lambda df: {r["chunk_id"]: r["embedding"] for r in df.collect()}
+    stores.upsert_vectors(spark, path, make([1.0, 0.0]), batch=9)
+    stores.upsert_vectors(spark, path, make([0.0, 1.0]), batch=10)
+    assert of(stores.latest(spark, path, "chunk_id")) == {"a": [0.0, 1.0]}
+    # A second call without a batch adds to the first; a batch that is delivered again changes nothing.
+    stores.upsert_vectors(spark, path, make([3.0, 1.0], "x"))
+    stores.upsert_vectors(spark, path, make([9.0, 9.0]), batch=10)
+    assert of(stores.upsert_vectors(spark, path, make([4.0, 1.0], "y"))) == {"a": [0.0, 1.0], "x": [3.0, 1.0], "y": [4.0, 1.0]}
+    for bad in (make([1.0]).union(make([1.0, 2.0])), make([1.0, 2.0, 3.0], "z")):
+        with pytest.raises(ValueError):
+            stores.upsert_vectors(spark, path, bad)
+    assert "z" not in of(stores.latest(spark, path, "chunk_id"))
+    # What was not finished is not read.
+    (tmp_path / "vectors" / "batch=99").mkdir()
+    assert stores.batches(spark, path) == [9, 10, 11, 12]
+    assert of(stores.upsert_vectors(spark, path, make([1.0, 2.0, 3.0]), recreate=True)) == {"a": [1.0, 2.0, 3.0]}
+
+
+def test_first_version_of_an_index(spark, tmp_path):
+    good = {"chunks": [{"chunk_id": "a", "text": "t"}], "tokenized_corpus": [["t"]]}
+    (tmp_path / "one.json").write_text(json.dumps(good))
+    frames, manifest = stores.read_index(spark, str(tmp_path / "one.json"))
+    assert frames["chunks"].first()["chunk_id"] == "a" and frames["tokens"].first()["tokens"] == ["t"] and manifest["config"]["tokenizer"] == "word_v1"
+    (tmp_path / "two.json").write_text(json.dumps({**good, "tokenized_corpus": []}))
     with pytest.raises(ValueError):
-        stores.upsert_vectors(spark, path, make([1.0]).union(make([1.0, 2.0])))
+        stores.read_index(spark, str(tmp_path / "two.json"))
 
 
 def test_documents_and_pages(spark, tmp_path):
@@ -64,12 +88,114 @@ def test_documents_and_pages(spark, tmp_path):
     assert got[2]["error"] == "ValueError: broken"
 
 
-def test_prompts_payloads_and_reports(spark):
-    assert stores.render_prompt("Ask {q}", {"q": "x"}) == "Ask x"
-    with pytest.raises(KeyError):
-        stores.render_prompt("{q} {r}", {"q": "x"})
-    payload = {"data": json.dumps({"results": [{"title": "A", "id": 1}, {"title": "B", "id": 1}, {"title": "C"}]})}
-    assert [p["title"] for p in stores.flatten_payload(payload)] == ["A", "C"]
+def test_prompts_payloads_and_reports(spark, tmp_path):
+    assert stores.render_prompt("Ask {{ q }} {x}", {"q": "x"}) == "Ask x {x}"
+    for bad, values in (("{{q}} {{ r }}", {"q": "x"}), ("{{ q }}", {"q": " "})):
+        with pytest.raises((KeyError, ValueError)):
+            stores.render_prompt(bad, values)
+    (tmp_path / "p.yaml").write_text("name: qa\nsystem: |\n  Be brief.\n  Cite.\nuser: 'Ask {{ q }}'\n")
+    assert stores.load_prompt(str(tmp_path / "p.yaml")) == {"name": "qa", "system": "Be brief.\nCite.", "user": "Ask {{ q }}"}
+    payload = {"data": json.dumps({"results": [{"title": "A", "id": 1}, {"title": "A", "summary": "s"}, {"title": "C", "url": "u"}, {"title": "bare"}]})}
+    assert [p["title"] for p in discovery.items_of(payload)] == ["A", "C"]
     assert stores.markdown_table(spark.range(1).select(F.col("id"), F.lit(None).alias("x"))).splitlines()[2] == "| 0 |  |"
+    report = stores.write_report({"means": spark.createDataFrame([(1, [2])], "a int, b array<int>")}, str(tmp_path / "report"), "Run")
+    assert "# Run" in report and "| 1 | [2] |" in report and spark.read.json(str(tmp_path / "report" / "means.json")).count() == 1
+
+
+class Fails:
+    def search(self, query, max_results=50):
+        raise RuntimeError("down")
+
+
+def test_providers_with_injected_transports():
+    feed = b"""<feed xmlns="http://www.w3.org/2005/Atom"><entry><id>http://arxiv.org/abs/2101.00001v2</id><title> A
+      title</title><author><name>Ann</name></author><category term="cs.CL"/><link title="pdf" href="http://p"/></entry></feed>"""
+    asked = []
+    arxiv = discovery.ArxivApi(get=lambda url, params, headers: asked.append(params) or feed)
+    got = arxiv.search("x y", 3)
+    assert got[0]["paper_id"] == "2101.00001v2" and got[0]["title"] == "A title" and got[0]["pdf_url"] == "http://p" and asked[0]["max_results"] == 3
+    both = discovery.WithFallback(Fails(), arxiv).search("q", 1)
+    assert both[0]["discovery_provider_used"] == "arxiv" and both[0]["fallback_reason"] == "down"
+    remote = discovery.Remote(url="u", key="k", get=lambda url, params, headers: json.dumps({"papers": [{"title": "T", "id": "1"}], "auth": headers["authorization"]}).encode())
+    assert remote.search("q")[0]["title"] == "T" and discovery.Remote(command="find", run=lambda args: json.dumps([{"title": args[-1], "id": 1}])).search("q", 7)[0]["title"] == "7"
+    calls = []
+
+    def tool(name, arguments):
+        calls.append(arguments)
+        return {"content": [{"text": "see 2101.00002" if len(calls) == 2 else "none"}]}
+
+    server = discovery.ToolServer(tool)
+    assert server.search("deep learning")[0]["arxiv_id"] == "2101.00002" and len(server.tried) == 2
     with pytest.raises(ValueError):
-        stores.build_discovery("nowhere")
+        discovery.ToolServer(lambda name, arguments: {}).search("x")
+    for bad in (lambda: arxiv.search(" "), lambda: arxiv.search("x", 0), lambda: discovery.build_discovery("nowhere"), lambda: discovery.build_discovery("auto"), lambda: discovery.Remote().search("q")):
+        with pytest.raises(ValueError):
+            bad()
+    assert isinstance(discovery.build_discovery(" ENRICHED ", arxiv=arxiv), discovery.Overfetch) and discovery.build_discovery("arxiv", arxiv=arxiv) is arxiv
+
+
+def test_a_tool_process_is_spoken_to_in_lines():
+    import io
+
+    class Process:
+        def __init__(self, *args, **kw):
+            self.stdin, self.returncode = io.StringIO(), 0
+            self.stdin.close = lambda: None
+            self.stdout = io.StringIO('log line\n{"id": 1, "result": {}}\n{"id": 2, "result": {"structuredContent": [{"title": "T", "id": 1}]}}\n')
+
+        def poll(self):
+            return 0
+
+        def terminate(self):
+            pass
+
+        def wait(self, timeout):
+            pass
+
+    got = discovery.ToolProcess("server --x", start=Process)("find", {"q": 1})
+    assert discovery.items_of(discovery.tool_payload(got))[0]["title"] == "T"
+
+
+def test_downloads(spark, tmp_path):
+    papers = spark.createDataFrame([("a", "a", "u/a"), ("b", "b", None), ("c", "c", "u/c")], "canonical_id string, paper_id string, url string")
+    (tmp_path / "c.pdf").write_bytes(b"%PDF-1 there")
+
+    def get(url):
+        return 200, b"%PDF-1 new", {}
+
+    got = {r["paper_id"]: r for r in discovery.download(papers, f"file://{tmp_path}", get).collect()}
+    assert got["a"]["downloaded"] and got["b"]["error"] == "missing pdf_url" and got["c"]["skipped"]
+    assert (tmp_path / "a.pdf").read_bytes() == b"%PDF-1 new" and (tmp_path / "c.pdf").read_bytes() == b"%PDF-1 there" and not list(tmp_path.glob("*.part*"))
+
+
+def test_models_that_fail_are_tried_again_within_a_budget():
+    class RateLimitError(Exception):
+        retry_after = 7
+
+    waits, now = [], [0.0]
+
+    class Model:
+        left = 2
+
+        def complete(self, system, user):
+            if Model.left:
+                Model.left -= 1
+                raise RateLimitError
+            return "ok"
+
+    limited = generation.Limited(Model(), per_minute=2, clock=lambda: now[0], sleep=lambda s: waits.append(s) or now.__setitem__(0, now[0] + s))
+    assert limited.complete("", "") == "ok" and waits == [7, 7, 46.0]
+    Model.left = 9
+    with pytest.raises(RateLimitError):
+        generation.Limited(Model(), attempts=2, sleep=lambda s: None).complete("", "")
+
+
+def test_unknown_plans_and_options():
+    for bad in ("nowhere", {"kind": "sparse", "depth": 1}, {"kind": "fallback", "what": 1}, {"kind": "dense", "corpus": 1}):
+        with pytest.raises(ValueError):
+            retrieval.build(bad)
+    with pytest.raises(ValueError):
+        T.tokenizer_of({"stop_words_removed": True})
+    for bad in ({"": "x"}, {"a": []}, {"a": [" "]}):
+        with pytest.raises(ValueError):
+            T.checked_expansions(bad)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import text as T
 
@@ -95,6 +97,18 @@ def repair_mojibake(text: str) -> str:
         return text
 
 
+@F.pandas_udf(StringType())
+def _repaired(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: repair_mojibake(t) if isinstance(t, str) else None)
+
+
+def repaired(c: Column | str) -> Column:
+    """As repair_mojibake, for a column; only texts with the marks of such a mistake leave the JVM."""
+    text = T._col(c)
+    odd = text.rlike("[\u00c2-\u00f4][\u0080-\u00bf\u0152-\u0192\u02c6\u02dc\u2013-\u2122]")
+    return F.when(odd, _repaired(F.when(odd, text))).otherwise(text)
+
+
 def concept_details(answers: DataFrame, required: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, concept, matched, matched_by, matched_phrase) of each distinct required concept of an answer.
 

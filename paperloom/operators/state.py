@@ -31,9 +31,12 @@ def fold_registry(events: DataFrame, key: str = "canonical_id", seq: str = "seq"
     )
 
 
-def pending(candidates: DataFrame, registry: DataFrame, key: str = "canonical_id", done: tuple[str, ...] = ("processed", "indexed")) -> DataFrame:
-    """Candidates that are not done."""
-    return candidates.join(registry.where(F.col("status").isin(*done)).select(key), key, "left_anti")
+def pending(candidates: DataFrame, registry: DataFrame, key: str = "canonical_id", done: tuple[str, ...] = ("processed", "indexed"), files: DataFrame | None = None) -> DataFrame:
+    """Candidates that are not done; with ``files`` (path), a record counts as done only if its path is among them."""
+    finished = registry.where(F.col("status").isin(*done))
+    if files is not None:
+        finished = finished.join(files.select("path"), "path", "left_semi")
+    return candidates.join(finished.select(key), key, "left_anti")
 
 
 def run_summary(outcomes: DataFrame, by: str, status: str = "status") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import benchmarks, corpus, documents, metrics, ranking, references, reports, state
+from .operators import answers, benchmarks, corpus, dense, documents, metrics, ranking, references, reports, state
 from .plans import generation, ingestion, retrieval
 from .queries import content_sql, fold_sql, overlap_sql, query, squeeze_sql, table, tokens_sql
 from .queries_retrieval import CHUNKS_SQL, asked
@@ -662,7 +662,7 @@ class _Judge:
 
     def complete(self, system: str, user: str) -> str:
         ids = [c["claim_id"] for c in json.loads(user.split("\n\nYour previous")[0])["claims"]]
-        kind = int(ids[0].split("-")[1]) % 4
+        kind = int(ids[0].split("-")[1][:-1]) % 4
         verdict = {"verdicts": [{"subject_id": i, "check": "claim_support", "verdict": "Supported" if i.endswith("a") else "unsupported", "rationale": "r"} for i in ids]}
         if kind == 1 and "Your previous" not in user:
             return "Let me think."
@@ -726,3 +726,51 @@ def _(spark, sf):
 
     got = generation.readiness({"bm25": lambda: "ok", "model": lambda: 1 / 0, "vectors": slow}, limit=0.2)
     return spark.createDataFrame([(got["status"], [f"{k}: {str(v['ok']).lower()}" for k, v in sorted(got["checks"].items())])], "status string, checks array<string>")
+
+
+# ---- filters, files, reports ------------------------------------------------------
+
+
+@query("p06_filtered_search", f"""
+WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, 'v' || vec_id AS key, round(list_cosine_similarity(q.e::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM q, embeddings v WHERE v.label IN (1, 3) AND v.vec_id >= 20 AND v.vec_id < 400)
+SELECT query_id, key, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key))::INT AS rank FROM s WHERE score >= 0.05 QUALIFY rank <= 5""")
+def _(spark, sf):
+    v = table(spark, sf, "embeddings")
+    rows = v.select(F.concat(F.lit("v"), "vec_id").alias("key"), "embedding", "label", F.create_map(F.lit("number"), _n("vec_id")).alias("metadata"))
+    condition = ranking.compile_filter({"label": [1, 3], "number": {"gte": 20, "lt": 400}}, rows.columns, mode="dense")
+    found = dense.search(rows, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 5, key="key", where=condition, threshold=0.05)
+    return found.select("query_id", "key", "score", "rank")
+
+
+@query("f38_repaired_text", "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'café – ' || conv_id WHEN 1 THEN 'plain ' || conv_id ELSE 'naïve 日 ' || conv_id END AS text FROM conversations")
+def _(spark, sf):
+    n = _n("conv_id")
+    said = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("cafÃ© â€“ "), n)).when(F.col("turn") % 3 == 1, F.concat(F.lit("plain "), n)).otherwise(F.concat(F.lit("naïve 日 "), n))
+    return table(spark, sf, "conversations").select("conv_id", "turn", answers.repaired(said).alias("text"))
+
+
+@query("s18_report_files", "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY event_type")
+def _(spark, sf):
+    path = _scratch(spark)
+    stores.write_report({"latency": metrics.summary(table(spark, sf, "events").withColumn("mean", F.col("value")), ["event_type"], ["mean"])}, path, "Latencies")
+    as_json = spark.read.schema("event_type string, n long, mean double").json(f"{path}/latency.json")
+    as_csv = spark.read.option("header", True).schema("event_type string, n long, mean double").csv(f"{path}/latency.csv")
+    return as_json.intersect(as_csv)
+
+
+@query("s19_generation_files", """
+WITH l AS (SELECT user_id AS question_id, event_type AS metric, arg_max(value, event_id) AS value FROM events WHERE event_type IN ('click', 'view') GROUP BY ALL)
+SELECT c_custkey AS question_id, 'a' || c_custkey AS answer, max(value) FILTER (metric = 'click') AS click, max(value) FILTER (metric = 'view') AS view FROM customer LEFT JOIN l ON question_id = c_custkey WHERE c_custkey < 200 GROUP BY c_custkey""")
+def _(spark, sf):
+    path = _scratch(spark)
+    runs = table(spark, sf, "customer").where("c_custkey < 200").select(F.col("c_custkey").alias("question_id"), F.concat(F.lit("a"), F.col("c_custkey")).alias("answer"))
+    log = table(spark, sf, "events").select(F.col("user_id").alias("question_id"), F.col("event_type").alias("metric"), "value", F.col("event_id").alias("seq"))
+    stores.write_report({"answers": reports.with_metrics(runs, metrics.latest(log, ["question_id", "metric"], "seq", ["value"]), ["click", "view"])}, path, "Answers")
+    return spark.read.schema("question_id long, answer string, click double, view double").json(f"{path}/answers.json")
+
+
+@query("j12_pending_files", "SELECT c_custkey AS canonical_id FROM customer WHERE NOT (c_custkey % 3 = 0 AND c_custkey % 2 = 0)")
+def _(spark, sf):
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("canonical_id"))
+    registry = c.withColumn("status", F.when(F.col("canonical_id") % 3 == 0, "processed").otherwise("failed")).withColumn("path", F.concat(F.lit("f"), F.col("canonical_id")))
+    return state.pending(c, registry, files=c.where("canonical_id % 2 = 0").select(F.concat(F.lit("f"), F.col("canonical_id")).alias("path")))

@@ -5,36 +5,56 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text as T
 from ..operators.state import fold_registry
+from ..sources import stores
 
 
-def answers(tokens: DataFrame) -> DataFrame:
-    """(request_id, text, n_tokens, finish_reason, cited) for each request, once it has finished.
+def answers(tokens: DataFrame, patience: str = "10 minutes", ts: str | None = None) -> DataFrame:
+    """(request_id, text, n_tokens, finish_reason, cited, truncated) for each request, once it has finished.
 
     Input stream: request_id, seq, text, finish_reason. Tokens may come out of
-    order; a request's state is its tokens so far, dropped when it is done.
+    order; a request's state is its tokens so far, dropped when it is done. If ``ts``
+    names the column of event time, one that gets nothing for ``patience`` is told
+    as it is, with the reason "timeout", and dropped too; else it waits for its end.
     """
+    span = int(pd.Timedelta(patience).total_seconds() * 1000)
+
+    def told(key: tuple, seqs: list, texts: list, reason: str) -> pd.DataFrame:
+        whole = "".join(t for _, t in sorted(dict(zip(seqs, texts)).items()))
+        return pd.DataFrame({"request_id": [key[0]], "text": [whole], "n_tokens": [len(set(seqs))], "finish_reason": [reason]})
 
     def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seqs, texts, reason = map(list, state.get) if state.exists else ([], [], [])
+        if state.hasTimedOut:
+            state.remove()
+            yield told(key, seqs, texts, "timeout")
+            return
+        latest = 0
         for pdf in pdfs:
             seqs += pdf["seq"].tolist()
             texts += pdf["text"].fillna("").tolist()
             reason += [r for r in pdf["finish_reason"] if isinstance(r, str) and r]
+            if ts is not None and len(pdf):
+                latest = max(latest, int(pdf[ts].max().timestamp() * 1000))
         # Done when the last token has come and none is missing before it.
         if reason and len(set(seqs)) == max(seqs) - min(0, min(seqs)) + 1:
             state.remove()
-            yield pd.DataFrame({"request_id": [key[0]], "text": ["".join(t for _, t in sorted(dict(zip(seqs, texts)).items()))], "n_tokens": [len(set(seqs))], "finish_reason": [reason[-1]]})
-        else:
-            state.update((seqs, texts, reason))
-
+            yield told(key, seqs, texts, reason[-1])
+            return
+        state.update((seqs, texts, reason))
+        if ts is not None:
+            state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + span)
+
+    if ts is not None:
+        tokens = tokens.withWatermark(ts, patience)
+    limit = GroupStateTimeout.NoTimeout if ts is None else GroupStateTimeout.EventTimeTimeout
     done = tokens.groupBy("request_id").applyInPandasWithState(
-        run, "request_id string, text string, n_tokens long, finish_reason string", "seqs array<long>, texts array<string>, reason array<string>", "append", GroupStateTimeout.NoTimeout
+        run, "request_id string, text string, n_tokens long, finish_reason string", "seqs array<long>, texts array<string>, reason array<string>", "append", limit
     )
     return done.withColumn("cited", F.array_distinct(T.citation_numbers("text"))).withColumn("truncated", T.is_truncated("finish_reason"))
 
@@ -47,20 +67,31 @@ def answers_batch(tokens: DataFrame) -> DataFrame:
 
 
 def registry_sink(log_path: str, view_path: str):
-    """A foreachBatch function: appends events to a log and folds the whole of it into the current view.
+    """A foreachBatch function: appends events to a log, and folds them into the view of the records that they touch.
 
-    A batch that is delivered again overwrites its own part of the log, so the
-    fold sees every event once.
+    A batch that is delivered again overwrites its own part of the log. The view
+    is kept in batches too: each holds the new state of the keys that a batch of
+    events touched, folded from all events of these keys, and the newest of a
+    key counts (``registry_view``). So a batch costs by what it touches, and a reader
+    never sees half of one.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{log_path}/batch_id={batch_id}")
-        fold_registry(spark.read.parquet(log_path)).write.mode("overwrite").parquet(view_path)
+        number = batch_id + 1
+        batch.write.mode("overwrite").parquet(f"{log_path}/batch={number}")
+        touched = spark.read.parquet(f"{log_path}/batch={number}").select("canonical_id").distinct()
+        log = spark.read.option("basePath", log_path).parquet(*[f"{log_path}/batch={b}" for b in stores.batches(spark, log_path) if b <= number]).drop("batch")
+        stores.upsert(fold_registry(log.join(touched, "canonical_id", "left_semi")), view_path, "canonical_id", number)
 
     return write
 
 
+def registry_view(spark: SparkSession, view_path: str) -> DataFrame | None:
+    """The registry as the sink has it now; None before its first batch."""
+    return stores.latest(spark, view_path, "canonical_id")
+
+
 def latency_windows(events: DataFrame, size: str = "1 minute", late: str = "10 minutes", ts: str = "ts", value: str = "value", by: str = "event_type") -> DataFrame:
     """Count and mean of a value by tumbling window and type; later rows than the watermark allows are dropped."""
     if events.isStreaming:

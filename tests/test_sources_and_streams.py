@@ -27,7 +27,24 @@ def test_registry_sink_is_idempotent(spark, tmp_path):
     sink = streams.registry_sink(str(tmp_path / "log"), str(tmp_path / "view"))
     sink(ev, 0)
     sink(ev, 0)
-    assert spark.read.parquet(str(tmp_path / "view")).first()["attempts"] == 1
+    assert streams.registry_view(spark, str(tmp_path / "view")).first()["attempts"] == 1
+    # A later batch folds the records that it touches, over all of their events.
+    sink(spark.createDataFrame([("p", 3, 1, "downloaded", "f", None), ("r", 1, 1, "discovered", None, None)], ev.schema), 1)
+    now = {r["canonical_id"]: (r["status"], r["path"], r["attempts"]) for r in streams.registry_view(spark, str(tmp_path / "view")).collect()}
+    assert now == {"p": ("downloaded", "f", 1), "r": ("discovered", None, 0)}
+
+
+def test_requests_that_go_silent_are_told(spark, tmp_path):
+    schema = "request_id string, seq long, text string, finish_reason string, ts timestamp"
+    steps = [[("r3", 0, "open", None, "2024-01-01 00:00:00")], [("r1", 0, "x", "stop", "2024-01-01 02:00:00")], [("r2", 0, "y", "stop", "2024-01-01 04:00:00")]]
+    for i, rows in enumerate(steps):
+        spark.createDataFrame(rows, schema.replace("timestamp", "string")).coalesce(1).write.json(str(tmp_path / f"in/{i}"))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in/*"))
+    q = streams.answers(source, "10 minutes", "ts").writeStream.format("memory").queryName("silent_out").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    got = {r["request_id"]: (r["text"], r["finish_reason"]) for r in spark.table("silent_out").collect()}
+    assert got == {"r1": ("x", "stop"), "r2": ("y", "stop"), "r3": ("open", "timeout")}
 
 
 def test_index_round_trip_and_mismatch(spark, tmp_path):

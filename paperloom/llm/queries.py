@@ -17,6 +17,27 @@ def op1_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame
     return embeddings.near_duplicates(read_table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+OP1_SQL = """
+WITH RECURSIVE e AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+), u AS (
+    SELECT vec_id, label, v FROM e
+    WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+), l AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+    WHERE list_cosine_similarity(a.v, b.v) >= 0.98
+), n AS (
+    SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a
+), r AS (
+    SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+), c AS (
+    SELECT a AS vec_id, min(b) AS least FROM r GROUP BY a
+)
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(c.least, vec_id)) AS component_id, vec_id <= coalesce(c.least, vec_id) AS kept
+FROM e LEFT JOIN n USING (vec_id) LEFT JOIN c USING (vec_id)
+"""
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return tokenfile.write_and_read(docs, "byte_bpe_50k.json", end_id=2)
@@ -95,6 +116,28 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.groups(docs, k=5, percent=80).select("doc_id", "n_shingles", "component_id")
 
 
+OP9_SQL = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i : i + least(len(w), 5) - 1], ' ') AS g
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS i FROM w WHERE len(w) > 0)
+), n AS (
+    SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL
+), l AS (
+    SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)
+), r AS (
+    SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+), c AS (
+    SELECT a AS doc_id, min(b) AS least FROM r GROUP BY a
+)
+SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(doc_id, coalesce(c.least, doc_id)) AS component_id
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.write_and_read(read_table(spark, sf_dir, "pages"))
 
@@ -126,4 +169,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": OP5_SQL, "op10_warc": OP10_SQL}
+    return {"op1_embedding_near_duplicates": OP1_SQL, "op5_decontamination": OP5_SQL, "op9_ngram_jaccard": OP9_SQL, "op10_warc": OP10_SQL}

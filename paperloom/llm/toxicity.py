@@ -3,7 +3,8 @@
 Features are the distinct words of a text and their leading 3 to 8 characters,
 hashed. The model is a logistic regression. Beside the usual loss it penalises
 score changes: in every training text that mentions an identity term, the term
-is swapped for others of its kind, and the squared change of the score is added.
+is swapped for others of its kind, and the squared change of the score is added;
+so is that of each pair of terms in a sentence of nothing else.
 A score is a sum over distinct words, so scoring needs one cached number a word.
 """
 
@@ -46,6 +47,8 @@ IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
 )
 
 DIMENSIONS = 1 << 20
+#: Share of the sample in which each pair of a group's terms counts as swapped.
+MENTION_SHARE = 0.01
 PREFIXES = range(3, 9)
 _WORD = re.compile(r"\w+")
 
@@ -171,6 +174,16 @@ def fit(
             at, val = np.frombuffer(alts[j], np.int32), np.frombuffer(alts[j + 1], np.int32)
             r_.append(np.full(len(at), k)), c_.append(at), v_.append(val)
             k += 1
+    # A sum over words changes by the same amount in every sentence, so each pair of a group's terms is also swapped
+    # as if in a small share of the sample, whether the sample has such sentences or not.
+    times = math.sqrt(max(1.0, MENTION_SHARE * len(got)))
+    for group in terms:
+        for i, one in enumerate(group):
+            for other in group[i + 1 :]:
+                a, b = _counts({one}), _counts({other})
+                at, val = (np.frombuffer(x, np.int32) for x in among(np.concatenate([a[0], b[0]]), np.concatenate([a[1], -b[1]])))
+                r_.append(np.full(len(at), k)), c_.append(at), v_.append(val * times)
+                k += 1
     D = (np.concatenate(r_), np.concatenate(c_), np.concatenate(v_).astype(float), k) if k else None
     # The sample is balanced; weights restore the classes' true shares, softened.
     prior = {c: math.sqrt(n[c] / max(1, m[c])) for c in (0, 1)}

@@ -418,6 +418,26 @@ def test_counterfactual_penalty_evens_out_identity_terms(spark):
     assert gap(50.0) < 0.5 * gap(0.0)
 
 
+def test_terms_that_the_sample_does_not_mention_are_evened_out_too(spark):
+    """Terms whose beginnings are those of toxic words get their weight from these; swaps take it away."""
+    rng = random.Random(5)
+    rows, marks = [], []
+    for i in range(600):
+        bad = i % 2
+        rows.append((i, " ".join(rng.choices([f"w{k}" for k in range(40)], k=8)) + (rng.choice([" musl", " muslin", " muslx"]) if bad else "")))
+        marks.append((i, bad))
+    docs, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame(marks, "doc_id long, toxic int")
+
+    def apart(penalty):
+        s = toxicity.Scorer(toxicity.fit(docs, labels, penalty=penalty))
+        held = [f"w1 w2 {t}" for t in ("muslim", "christian", "jewish", "hindu")]
+        false = sum(s.score(x) >= 0.5 for x in held)
+        return false, max(map(s.score, held)) - min(map(s.score, held)), s.score("w1 muslin")
+
+    before, after = apart(0.0), apart(20.0)
+    assert before[0] == 1 and after[0] == 0 and after[1] < 0.5 * before[1] and after[2] >= 0.5
+
+
 def test_every_other_term_of_a_group_is_swapped_in():
     for group in toxicity.IDENTITY_TERMS:
         for term in group:

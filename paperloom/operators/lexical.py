@@ -24,6 +24,15 @@ def has_text(c: Column | str) -> Column:
     return F.length(F.trim(F.coalesce(T._col(c), F.lit("")))) > 0
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """docs dealt to as many tasks as can run at once, if its files are so few that there would be fewer.
+
+    Scans of tables that are worth a cluster have more, and are left as they are.
+    """
+    wide = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(wide) if docs.rdd.getNumPartitions() < wide else docs
+
+
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer=T.technical_tokens) -> DataFrame:
     """(key, term, tf): one scan; blank texts are left out. Lengths and frequencies derive from it."""
     terms = docs.where(has_text(text)).select(F.col(key), F.explode(tokenizer(text)).alias("term"))
@@ -37,7 +46,7 @@ def vocabulary(docs: DataFrame, text: str = "text", tokenizer=T.technical_tokens
     aggregation, which combines before the exchange: one pass gives all that
     idf and length normalisation need of the corpus.
     """
-    rows = docs.where(has_text(text)).select(tokenizer(text).alias("t"))
+    rows = spread(docs.select(text)).where(has_text(text)).select(tokenizer(text).alias("t"))
     terms = F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("term"), F.lit(0).alias("dl"), F.lit(0).alias("total")))
     total = F.struct(F.lit(None).cast("string").alias("term"), F.size("t").alias("dl"), F.lit(1).alias("total"))
     sent = rows.select(F.explode(F.concat(terms, F.array(total))).alias("e")).select("e.*")
@@ -86,25 +95,27 @@ def search(
     more than its own k best a query: pairs that share a common word, nearly
     all, are neither joined nor shuffled, and no term is a hot key.
     """
-    vocab = vocabulary(docs, text, tokenizer)
+    vocab = vocabulary(docs, text, tokenizer).persist()
     terms = queries.select(F.col(query_key).alias("q"), F.explode(tokenizer("text")).alias("term")).groupBy("q", "term").agg(F.count("*").alias("qf"))
-    weighted = term_stats(vocab).join(terms, "term").select("q", "term", (F.col("qf") * F.col("idf")).alias("w")).persist()
+    # The vocabulary is read three times, by each in other columns, and counted once.
+    weighted = term_stats(vocab).join(terms, "term").join(F.broadcast(corpus_stats(vocab)))
+    weighted = weighted.select("q", "term", (F.col("qf") * F.col("idf")).alias("w"), "avgdl").persist()
     blocks = max(1, -(-weighted.count() // MAX_PAIRS))
-    stats = corpus_stats(vocab).first()
-    rows = docs.where(has_text(text)).select(F.col(key).alias("key"), tokenizer(text).alias("t"))
-    avgdl = float(stats["avgdl"]) if stats is not None else 1.0
+    vocab.unpersist()
+    rows = spread(docs.select(key, text)).where(has_text(text)).select(F.col(key).alias("key"), tokenizer(text).alias("t"))
     ddl = f"q {weighted.schema['q'].dataType.simpleString()}, key {rows.schema['key'].dataType.simpleString()}, score double"
     lots = [weighted if blocks == 1 else weighted.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b) for b in range(blocks)]
-    found = reduce(DataFrame.unionByName, [_block_search(rows, lot, ddl, k, avgdl, digits, threshold) for lot in lots])
+    found = reduce(DataFrame.unionByName, [_block_search(rows, lot, ddl, k, digits, threshold) for lot in lots])
     weighted.unpersist()
     w = Window.partitionBy("q").orderBy(F.desc("score"), "key")
     ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select(F.col("q").alias(query_key), F.col("key").alias(key), "score", "rank")
 
 
-def _block_search(rows: DataFrame, weighted: DataFrame, ddl: str, k: int, avgdl: float, digits: int, threshold: float | None) -> DataFrame:
+def _block_search(rows: DataFrame, weighted: DataFrame, ddl: str, k: int, digits: int, threshold: float | None) -> DataFrame:
     """Candidates (q, key, score) for one block of queries: among them each query's k best documents."""
     pairs = weighted.collect()  # no more than a block
+    avgdl = pairs[0]["avgdl"] if pairs else 1.0
     place: dict = {}
     by_term: dict[str, tuple[list[int], list[float]]] = {}
     for r in pairs:

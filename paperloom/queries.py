@@ -260,8 +260,8 @@ j AS (SELECT doc_id, array_to_string(list_transform(p, lambda x, i: CASE WHEN i
 SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]{2,}', ' ', 'g'), ' ' || chr(10) || chr(9) || chr(13))) AS digest FROM j""")
 def _(spark, sf):
     tail = F.concat(F.lit("\n12\nsee https://x.org/"), F.col("doc_id").cast("string"), F.lit(" \\emph{it} end-\ning"))
-    t = F.concat(F.coalesce("text", F.lit("")), tail)
-    return table(spark, sf, "documents").select("doc_id", F.sha2(documents.clean_text(t).cast("binary"), 256).alias("digest"))
+    docs = table(spark, sf, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), tail).alias("text"))
+    return documents.cleaned(docs).select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
 
 
 LINES_SQL = "SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents"

@@ -145,11 +145,18 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.string_list(F.concat("source", F.lit(" , "), "lang", F.lit(";;"), F.col("n_chars").cast("string"))).alias("parts"))
 
 
+EXPANDED = ("RAG and BM25 say of ", "the rag-like brag of evaluation in ", "bm25, Lexical Retrieval and LLMs for ", "llm's large language model of ")
+EXPANSION_SQL = ", ".join(
+    f"CASE WHEN regexp_matches(low, '(?:^|[^\\p{{L}}\\p{{N}}_]){term}(?:$|[^\\p{{L}}\\p{{N}}_])') AND NOT contains(low, '{word}') THEN '{word}' END" for term, words in T.EXPANSIONS.items() for word in words
+)
+
+
 @query("f15_query_expansion", f"""
-WITH q AS (SELECT item_id, {squeeze_sql("'What do RAG and BM25 say of ' || text")} AS q FROM benchmark), l AS (SELECT *, {fold_sql('q')} AS low FROM q)
-SELECT item_id, q || ' retrieval augmented generation best matching 25 lexical retrieval' AS expanded FROM l""")
+WITH q AS (SELECT item_id, {squeeze_sql("[" + ", ".join("'" + x.replace("'", "''") + "'" for x in EXPANDED) + "][item_id % 4 + 1] || text")} AS q FROM benchmark), l AS (SELECT *, {fold_sql('q')} AS low FROM q)
+SELECT item_id, array_to_string(list_concat([q], list_filter([{EXPANSION_SQL}], lambda x: x IS NOT NULL)), ' ') AS expanded FROM l""")
 def _(spark, sf):
-    return table(spark, sf, "benchmark").select("item_id", T.expanded_query(F.concat(F.lit("What do RAG and BM25 say of "), "text")).alias("expanded"))
+    stem = F.element_at(F.array(*map(F.lit, EXPANDED)), (F.col("item_id") % 4 + 1).cast("int"))
+    return table(spark, sf, "benchmark").select("item_id", T.expanded_query(F.concat(stem, "text")).alias("expanded"))
 
 
 @query("f17_evidence_queries", rf"""
@@ -232,17 +239,28 @@ def _(spark, sf):
     return table(spark, sf, "events").select("event_id", T.finite(odd).alias("value"))
 
 
-@query("p18_section_family", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'context' WHEN 1 THEN 'method' WHEN 2 THEN 'evidence' ELSE 'other' END AS family FROM documents")
+SECTION_NAMES = tuple(f(m.replace("_", " ")) for members in T.SECTION_FAMILIES.values() for m in members for f in (str.title, lambda x: f" {x.upper()}: ", lambda x: x.replace(" ", "-"))) + ("Methods", "results!", "", "appendix b", "the method")
+
+
+@query("p18_section_family", f"""
+WITH n AS (SELECT doc_id, [{", ".join("'" + n + "'" for n in SECTION_NAMES)}][doc_id % {len(SECTION_NAMES)} + 1] AS name FROM documents), s AS (SELECT doc_id, {slug_sql('name')} AS s FROM n)
+SELECT doc_id, CASE {" ".join(f"WHEN s IN ({', '.join(repr(m) for m in members)}) THEN '{family}'" for family, members in T.SECTION_FAMILIES.items())} ELSE 'other' END AS family FROM s""")
 def _(spark, sf):
-    name = F.element_at(F.array(*map(F.lit, ("Related Work", "Proposed-Approach", "RESULTS", "whatever"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    name = F.element_at(F.array(*map(F.lit, SECTION_NAMES)), (F.col("doc_id") % len(SECTION_NAMES) + 1).cast("int"))
     return table(spark, sf, "documents").select("doc_id", T.section_family(name).alias("family"))
 
 
-@query("p24_answer_predicates", """
-SELECT conv_id, turn, turn % 3 = 0 AS truncated, turn % 3 = 1 AS absent FROM conversations""")
+REASONS = (" MAX_TOKENS ", "stop", "Length", "model_length ", "", "max tokens", "lengthy", None)
+SAYINGS = (" Not reported: ", "It is not reported that ", "NOT PROVIDED by ", "not  provided ", "No evidence retrieved for ", "no evidence ", "")
+
+
+@query("p24_answer_predicates", f"""
+WITH a AS (SELECT conv_id, turn, [{", ".join("NULL" if r is None else f"'{r}'" for r in REASONS)}][(conv_id + turn) % {len(REASONS)} + 1] AS reason, [{", ".join(f"'{x}'" for x in SAYINGS)}][(conv_id * 3 + turn) % {len(SAYINGS)} + 1] || text AS said FROM conversations)
+SELECT conv_id, turn, coalesce(lower(trim(reason)) IN ('length', 'max_tokens', 'max_output_tokens', 'model_length'), false) AS truncated, regexp_matches(lower(trim(coalesce(said, ''))), '^(?:not reported|not provided|no evidence retrieved)') AS absent FROM a""")
 def _(spark, sf):
-    reason = F.when(F.col("turn") % 3 == 0, " MAX_TOKENS ").otherwise("stop")
-    said = F.when(F.col("turn") % 3 == 1, F.concat(F.lit(" Not reported: "), "text")).otherwise(F.concat(F.lit("It is "), "text"))
+    c, t = F.col("conv_id"), F.col("turn")
+    reason = F.element_at(F.array(*map(F.lit, REASONS)), ((c + t) % len(REASONS) + 1).cast("int"))
+    said = F.concat(F.element_at(F.array(*map(F.lit, SAYINGS)), ((c * 3 + t) % len(SAYINGS) + 1).cast("int")), "text")
     return table(spark, sf, "conversations").select("conv_id", "turn", T.is_truncated(reason).alias("truncated"), T.is_absent(said).alias("absent"))
 
 
@@ -361,9 +379,18 @@ def _cited(spark, sf):
     return table(spark, sf, "conversations").where("role = 'assistant'").select("conv_id", "turn", text.alias("text"))
 
 
-@query("f22_citation_numbers", f"WITH {CITED_SQL} SELECT conv_id, turn, [(turn % 4 + 1)::INT, (turn % 7 + 1)::INT, (turn % 3 + 1)::INT] AS numbers FROM answers")
+BRACKETS = (" [@] x [1-2] ", "[ @ ; 7,3 ]", "[a@] [] [@ 2]", "[[@]] [4,] [5", "(@) [@,@]", " [12][@];")
+
+
+@query("f22_citation_numbers", rf"""
+WITH a AS (SELECT conv_id, turn, text || replace([{", ".join(f"'{b}'" for b in BRACKETS)}][(conv_id + turn) % {len(BRACKETS)} + 1], '@', (turn % 9 + 1)::VARCHAR) AS t FROM conversations),
+g AS (SELECT conv_id, turn, regexp_extract_all(t, '\[(\s*\d+(?:\s*[,;]\s*\d+)*\s*)\]', 1) AS g FROM a WHERE t IS NOT NULL)
+SELECT conv_id, turn, flatten(list_transform(g, lambda x: list_transform(regexp_extract_all(x, '\d+'), lambda y: y::INT))) AS numbers FROM g""")
 def _(spark, sf):
-    return _cited(spark, sf).select("conv_id", "turn", T.citation_numbers("text").alias("numbers"))
+    c, t = F.col("conv_id"), F.col("turn")
+    some = F.replace(F.element_at(F.array(*map(F.lit, BRACKETS)), ((c + t) % len(BRACKETS) + 1).cast("int")), F.lit("@"), (t % 9 + 1).cast("string"))
+    rows = table(spark, sf, "conversations").where("text IS NOT NULL")
+    return rows.select("conv_id", "turn", T.citation_numbers(F.concat("text", some)).alias("numbers"))
 
 
 @query("f23_native_citations", f"WITH {CITED_SQL} SELECT conv_id, turn, ['【' || turn || '†src】'] AS markers FROM answers")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, embeddings, jaccard, langid, suffixes, tokenfile, toxicity, unigram, warc
+from . import bpe, codebooks, collocations, decontamination, embeddings, jaccard, langid, passages, suffixes, tokenfile, toxicity, unigram, warc
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -153,6 +153,113 @@ FROM f
 """
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.compress(read_table(spark, sf_dir, "embeddings"), scale=1024, parts=4, entries=256, rounds=4)
+
+
+_OP11_ROUND = """
+, d{i} AS MATERIALIZED (
+    SELECT id, p, list_min(list_transform(list_zip(b.vs, b.cs), lambda e: {{'d': list_sum(list_transform(list_zip(x, e[1]), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'c': e[2]}})) AS best
+    FROM parts JOIN (SELECT p, list(v ORDER BY c) AS vs, list(c ORDER BY c) AS cs FROM b{i} GROUP BY p) b USING (p)
+)"""
+_OP11_NEXT = """
+, m{i} AS MATERIALIZED (
+    SELECT p, c, list(s ORDER BY k) AS v
+    FROM (SELECT p, c, k, CAST(floor_div AS BIGINT) AS s
+          FROM (SELECT p, c, k, CASE WHEN t % n < 0 THEN t // n - 1 ELSE t // n END AS floor_div
+                FROM (SELECT p, best.c AS c, k, sum(x[k]) AS t, count(*) AS n
+                      FROM (SELECT p, best, x, unnest(range(1, len(x) + 1)) AS k FROM d{i} JOIN parts USING (id, p)) GROUP BY ALL)))
+    GROUP BY p, c
+), b{j} AS MATERIALIZED (
+    SELECT b.p, b.c, coalesce(m.v, b.v) AS v FROM b{i} b LEFT JOIN m{i} m ON m.p = b.p AND m.c = b.c
+)"""
+OP11_SQL = """
+WITH e AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY vec_id) AS id, vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+    SELECT id, p, v[p * len(v) // 4 + 1 : (p + 1) * len(v) // 4] AS x FROM e, range(4) AS r(p)
+), b0 AS MATERIALIZED (
+    SELECT p, id - 1 AS c, x AS v FROM parts WHERE id <= 256
+)""" + "".join(_OP11_ROUND.format(i=i) + _OP11_NEXT.format(i=i, j=i + 1) for i in range(4)) + _OP11_ROUND.format(i=4) + """
+, codes AS (
+    SELECT id, string_agg(lpad(lower(to_hex(best.c)), 2, '0'), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM d4 GROUP BY id
+), book AS (
+    SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, c)) AS codebooks_sha256 FROM b4
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM codes JOIN e USING (id), book
+"""
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"), top=2000, max_words=3, min_count=10, percent=50)
+
+
+OP12_SQL = r"""
+WITH p AS MATERIALIZED (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+    FROM (SELECT coalesce(lang, 'und') AS lang,
+                 unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+          FROM documents)
+), g AS MATERIALIZED (
+    SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase
+    FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (VALUES (1), (2), (3)) AS s(k) WHERE len(w) >= k)
+), f AS MATERIALIZED (
+    SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL
+), n AS MATERIALIZED (
+    SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang
+), c AS MATERIALIZED (
+    SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 10
+), parts AS MATERIALIZED (
+    SELECT lang, k, phrase, a, j, array_to_string(w[1 : j], ' ') AS head, array_to_string(w[j + 1 : k], ' ') AS tail
+    FROM (SELECT *, unnest(range(1, k)) AS j FROM c)
+), heads AS MATERIALIZED (
+    SELECT p.*, f.a AS l FROM parts p JOIN f ON f.lang = p.lang AND f.phrase = p.head
+), cuts AS MATERIALIZED (
+    SELECT h.*, f.a AS r, (CAST(h.a AS HUGEINT) * h.a * 1000000) // (CAST(h.l AS HUGEINT) * f.a) AS score
+    FROM heads h JOIN f ON f.lang = h.lang AND f.phrase = h.tail
+), worst AS MATERIALIZED (
+    SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, k, phrase ORDER BY score, j) = 1
+), longer AS MATERIALIZED (
+    SELECT lang, phrase, max(a) AS above
+    FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM c WHERE k = 3) GROUP BY lang, phrase
+), kept AS MATERIALIZED (
+    SELECT w.* FROM worst w LEFT JOIN longer o ON w.k = 2 AND o.lang = w.lang AND o.phrase = w.phrase
+    WHERE o.above IS NULL OR 100 * o.above < 50 * w.a
+), ranked AS MATERIALIZED (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
+def op13_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return passages.remove_passages(docs, threshold=50, kept=False).drop("text")
+
+
+OP13_SQL = r"""
+WITH d AS MATERIALIZED (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS MATERIALIZED (
+    SELECT doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS h
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)
+), m AS (
+    SELECT h, min(doc_id) AS least FROM g GROUP BY h
+), gone AS MATERIALIZED (
+    SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM g JOIN m USING (h) WHERE doc_id > least
+), r AS (
+    SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id
+), k AS (
+    SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept
+    FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d) ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_embedding_near_duplicates": op1_embedding_near_duplicates,
@@ -165,8 +272,19 @@ def queries() -> dict[str, Query]:
         "op8_toxicity": op8_toxicity,
         "op9_ngram_jaccard": op9_ngram_jaccard,
         "op10_warc": op10_warc,
+        "op11_vector_codes": op11_vector_codes,
+        "op12_collocations": op12_collocations,
+        "op13_repeated_passages": op13_repeated_passages,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_near_duplicates": OP1_SQL, "op5_decontamination": OP5_SQL, "op9_ngram_jaccard": OP9_SQL, "op10_warc": OP10_SQL}
+    return {
+        "op1_embedding_near_duplicates": OP1_SQL,
+        "op5_decontamination": OP5_SQL,
+        "op9_ngram_jaccard": OP9_SQL,
+        "op10_warc": OP10_SQL,
+        "op11_vector_codes": OP11_SQL,
+        "op12_collocations": OP12_SQL,
+        "op13_repeated_passages": OP13_SQL,
+    }

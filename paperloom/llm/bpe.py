@@ -1,15 +1,17 @@
 """Whole-text encoding and decoding with files of the ``tokenizers`` library.
 
 A text is encoded by tree concatenation. It is halved until no part is longer
-than a leaf, wherever the cuts fall; the leaves of a whole batch are encoded side
-by side, and then joined pair by pair: around each join a window is encoded again,
-and grows until it agrees with both sides on what stands next to it, from where
-their encodings are spliced.
-
-Words recur and no token crosses white space, so below the leaves each distinct
-word is encoded once a worker, and leaves and windows agree when they agree on
-a whole word. Where a stretch without white space is longer than a leaf, cuts do
-not help words: such a stretch is a tree of its own, joined token by token.
+than a leaf, wherever the cuts fall, also within words; the leaves of a whole batch
+are encoded side by side, and then joined pair by pair: a window around each join
+is encoded again by the library, and grows until its ids agree with both sides' on
+a word that neither the window's edges nor the join cut. From there the ids of
+the sides are spliced to those of the window.
+
+Words recur and no token crosses white space, so a leaf's ids are put together
+from those of its words, of which each is encoded once a worker; what stands at a
+join always comes from its window. Where a stretch without white space is longer
+than a leaf, a window would have to grow over all of it: such a stretch is never
+cut by a leaf, but is a tree of its own, joined token by token.
 """
 
 from __future__ import annotations
@@ -133,6 +135,7 @@ class WordCodec:
         if tokenizer.decoder is not None:
             raise ValueError("the tokenizer's decoder joins tokens in a way that ids cannot be decoded apart")
         self.leaf, self.window = leaf, window
+        self.stretches = re.compile(f"[^{WHITE_SPACE}]{{{leaf + 1},}}")
         #: Word -> its ids as decimals joined by spaces.
         self.cache: dict[str, str] = {}
         #: Decimal id -> what it decodes to.
@@ -142,7 +145,7 @@ class WordCodec:
 
     def bounds(self, text: str) -> list[int]:
         """Where a text is cut into leaves: halved until they are short, but never inside a stretch that is too long for one."""
-        whole = [(m.start(), m.end()) for m in _WORDS.finditer(text) if m.end() - m.start() > self.leaf] if len(text) > self.leaf else []
+        whole = [m.span() for m in self.stretches.finditer(text)]
         cuts, open_ = [0, len(text)], [(0, len(text))]
         while open_:
             lo, hi = open_.pop()
@@ -157,48 +160,63 @@ class WordCodec:
                 open_ += [(lo, mid), (mid, hi)]
         return sorted(cuts)
 
-    def _joined(self, text: str, left: list[str], right: list[str], lo: int, mid: int, hi: int) -> list[str]:
-        """The words of text[lo:hi] from those of its two halves."""
+    def _window(self, text: str, a: int, b: int, encoding=None) -> tuple[list[tuple[int, int]], list[str]]:
+        """The places of the words of text[a:b], and their ids by the library."""
+        encoding = encoding or self.tokenizer.encode(text[a:b], add_special_tokens=False)
+        self.done["windows"] += 1
+        places = [m.span() for m in _WORDS.finditer(text, a, b)]
+        ids, firsts = list(map(str, encoding.ids)), [a + o[0] for o in encoding.offsets]
+        spots = [bisect_left(firsts, lo) for lo, _ in places] + [len(ids)]
+        return places, [" ".join(ids[x:y]) for x, y in zip(spots, spots[1:])]
+
+    def _joined(self, text: str, left: list[str], right: list[str], lo: int, mid: int, hi: int, first: dict) -> list[str]:
+        """The ids of the words of text[lo:hi] from those of its two halves; first holds windows that are encoded already."""
         window = self.window
         while True:
             a, b = max(lo, mid - window), min(hi, mid + window)
-            middle, before, after = _WORDS.findall(text[a:b]), len(_WORDS.findall(text[a:mid])), len(_WORDS.findall(text[mid:b]))
-            self.done["windows"] += 1
-            # The window's first and last words may have been cut by its edges, and the words at the join by the join:
-            # it agrees on a side if a word between these is also the side's, or if the side has no more words.
-            head, tail = 1 - before, after - 1
-            if a > lo and not (before > 2 and left[head] == middle[1]) or b < hi and not (after > 2 and right[tail - 1] == middle[-2]):
-                window *= 2
-                continue
-            first, last = (0, 0) if a == lo else (head, 1)
-            left = left[:first] if first else []
-            return left + (middle[last:] if b == hi else middle[last:-1] + right[tail:])
-
-    def words(self, texts: Iterable[str | None]) -> list[list[str]]:
-        """The words of each text, put together from its leaves; all are in the cache afterwards."""
-        leaves, spots = [], []
+            places, ids = self._window(text, a, b, first.get((a, b)))
+            before, after = len(_WORDS.findall(text, a, mid)), len(_WORDS.findall(text, mid, b))
+            head, tail = (0, 0) if a == lo else None, (len(ids), len(right)) if b == hi else None
+            if head is None:  # the last word before the join that is whole on both sides and has the same ids
+                for k in range(len(places) - 1, 0, -1):
+                    if places[k][1] < mid and left[k - before] == ids[k]:
+                        head = (len(left) + k - before + 1, k + 1)
+                        break
+            if tail is None:
+                for k in range(len(places) - 1):
+                    if places[k][0] > mid and right[after - len(places) + k] == ids[k]:
+                        tail = (k, after - len(places) + k)
+                        break
+            if head and tail:
+                return left[: head[0]] + ids[head[1] : tail[0]] + right[tail[1] :]
+            window *= 2
+
+    def joined(self, texts: Iterable[str | None]) -> list[list[str]]:
+        """The ids of each text's words, put together from its leaves."""
+        spots = []
         for text in texts:
             text = text or ""
             cuts = self.bounds(text) if len(text) > self.leaf else [0, len(text)]
-            parts = [_WORDS.findall(text[lo:hi]) for lo, hi in zip(cuts, cuts[1:])] if len(cuts) > 2 else [_WORDS.findall(text)]
-            leaves += parts
-            spots.append((text, cuts, parts))
-        self._encode(leaves)
-        out, again = [], []
-        self.done.update(texts=len(spots), trees=sum(len(c) > 2 for _, c, _ in spots), leaves=len(leaves))
-        for text, cuts, parts in spots:
-            level = list(zip(cuts, cuts[1:], parts))
+            spots.append((text, cuts, [_WORDS.findall(text, lo, hi) for lo, hi in zip(cuts, cuts[1:])]))
+        self._encode([leaf for _, _, leaves in spots for leaf in leaves])
+        self.done.update(texts=len(spots), trees=sum(len(c) > 2 for _, c, _ in spots), leaves=sum(len(p) for _, _, p in spots))
+        # The first window of every join.
+        places = [(n, max(0, m - self.window), min(len(t), m + self.window)) for n, (t, cuts, _) in enumerate(spots) for m in cuts[1:-1]]
+        made = self.tokenizer.encode_batch([spots[n][0][a:b] for n, a, b in places], add_special_tokens=False)
+        first: list[dict] = [{} for _ in spots]
+        for (n, a, b), encoding in zip(places, made):
+            first[n][a, b] = encoding
+        out = []
+        for (text, cuts, leaves), known in zip(spots, first):
+            level = [(lo, hi, list(map(self.cache.__getitem__, words))) for lo, hi, words in zip(cuts, cuts[1:], leaves)]
             while len(level) > 1:
-                joined = [
-                    (lo, hi, self._joined(text, left, right, lo, mid, hi))
+                pairs = [
+                    (lo, hi, self._joined(text, left, right, lo, mid, hi, known))
                     for (lo, mid, left), (_, hi, right) in zip(level[::2], level[1::2])
                 ]
-                self.done["joins"] += len(joined)
-                level = joined + level[len(joined) * 2 :]
+                self.done["joins"] += len(pairs)
+                level = pairs + level[len(pairs) * 2 :]
             out.append(level[0][2])
-            if len(cuts) > 2:
-                again.append(level[0][2])
-        self._encode(again)  # the words at the joins
         return out
 
     def _encode(self, cut: list[list[str]]) -> None:
@@ -218,10 +236,9 @@ class WordCodec:
 
     def ids_of(self, texts: Iterable[str | None]) -> list[str]:
         """For each text its ids as decimals joined by single spaces."""
-        cache = self.cache
-        out = [" ".join(filter(None, map(cache.__getitem__, words))) for words in self.words(texts)]
-        for word in list(cache)[CACHE_PIECES:]:
-            del cache[word]
+        out = [" ".join(filter(None, words)) for words in self.joined(texts)]
+        for word in list(self.cache)[CACHE_PIECES:]:
+            del self.cache[word]
         return out
 
     def decode(self, ids: str) -> str:

@@ -36,6 +36,9 @@ _BREAKS = ".,;:!?\n\x0b\x0c\r"
 _TOKENS = re.compile(rf"[{_BREAKS}]|[^ \t{_BREAKS}]+")
 _BREAK = -1
 
+#: A cut's score. Counts have up to 16 digits, so that products stay within a decimal's 38.
+SCORE = "(cast(a as decimal(16,0)) * cast(a as decimal(16,0)) * 1000000BD) div (cast(c.l as decimal(16,0)) * cast(c.r as decimal(16,0)))"
+
 _CHUNK = "chunk long, codes array<int>, left array<{key}>, right array<{key}>, counts array<long>"
 
 
@@ -237,9 +240,7 @@ def phrases(docs: DataFrame, max_words: int = 3, min_count: int = 10, percent: i
         if k + 1 < len(levels):
             level = level.join(above[k + 1], "id", "left").where(F.col("above").isNull() | (F.col("above") * 100 < F.col("a") * percent)).drop("above")
         out = level if out is None else out.unionByName(level)
-    # Sums of digits: a and l, r have up to 16, so that products stay within a decimal's 38.
-    exact = "(cast(a as decimal(16,0)) * cast(a as decimal(16,0)) * 1000000BD) div (cast(c.l as decimal(16,0)) * cast(c.r as decimal(16,0)))"
-    out = out.withColumn("cut", F.array_min(F.expr(f"transform(cuts, c -> struct({exact} as score, c.j as j, c.l as l, c.r as r))")))
+    out = out.withColumn("cut", F.array_min(F.expr(f"transform(cuts, c -> struct({SCORE} as score, c.j as j, c.l as l, c.r as r))")))
     return out.join(sizes, "lang").select("lang", "phrase", "words", "a", "cut.l", "cut.r", "n", "cut.score")
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 BATCH_ROWS, BATCH_BYTES = 10_000, 2_000_000
 
 _local_dir: list[str] = []
-#: Folders and tables that materialise and bucketed made, in order, and that nothing has removed yet.
+#: Folders and tables that operators made for themselves, in order, and that nothing has removed yet.
 _made: list[tuple[str, str | None]] = []
 
 
@@ -40,17 +40,22 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def own_path(spark: SparkSession, name: str) -> str:
+    """A new path that drop_intermediates removes."""
+    _made.append((new_path(spark, name), None))
+    return _made[-1][0]
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again, which cuts its lineage."""
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = own_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    _made.append((path, None))
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_intermediates(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
-    """Remove what materialise and bucketed wrote after the first ``since``, but for the last ``keep``.
+    """Remove what operators wrote for themselves after the first ``since``, but for the last ``keep``.
 
     Results that still read them are lost, so this is for when those are written or used up.
     """

@@ -3,11 +3,19 @@
 Each pass hashes every vector to the signs of random projections, concatenated
 to one key, orders vectors by that key, and compares each with a bounded window
 of its neighbours; pairs whose cosine, in double precision, reaches the threshold
-are united across passes. The passes are a head start: they connect most groups
-cheaply, and miss pairs that no pass brings together, the more the larger or
-the more clustered a label. So all vectors of a label are then compared block
-against block, which counts links exactly and unites what the passes left
-apart: no link depends on them. Equal vectors are one from the start.
+are united across passes. Equal vectors are one from the start.
+
+Projections are taken from the mean of a label's vectors, so that signs tell them
+apart where they cluster. How many passes a label gets follows from its size and
+its spread: a pass brings a pair together if their keys agree on as many signs as
+leave one window of the label, and passes go on until a pair at the threshold is
+missed with a probability of ``miss`` at most. A label that one window holds gets one pass,
+which misses nothing.
+
+Links are counted inside the groups that passes have united, all members against
+all, in blocks; vectors that no pass united with another are in no such group.
+With ``exact`` all vectors of a label are compared instead, block against block,
+whose work grows with the square of a label.
 """
 
 from __future__ import annotations
@@ -22,7 +30,9 @@ from pyspark.sql import functions as F
 from .common import materialise, shuffle_partitions, small_batches
 from .components import components
 
-PASSES, KEY_BITS, BUCKET_BITS, WINDOW = 8, 32, 6, 64
+KEY_BITS, WINDOW = 32, 64
+#: Probability that all passes together miss a pair at the threshold, and vectors ordered in one task.
+MISS, BUCKET = 0.005, 4096
 #: Vectors of a label that meet in one task, on either side, and rows compared at once.
 BLOCK, STRIP = 4096, 512
 
@@ -51,35 +61,83 @@ def _by_dimension(batch: pa.RecordBatch, column: int) -> Iterator[tuple[np.ndarr
         yield at, _units(batch.column(column).take(pa.array(at)))
 
 
-def _passes(classes: DataFrame, passes: int, seed: int) -> DataFrame:
-    """Each vector once a pass: pass, label, dim, key, node, vector."""
+def _means(classes: DataFrame) -> DataFrame:
+    """label, dim, n, mean: of each label's vectors of a dimension, at unit length; means to three decimals, which no order of adding changes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            for at, x in _by_dimension(batch, 1):
+                encoded = batch.column(0).take(pa.array(at)).dictionary_encode()
+                code = encoded.indices.to_numpy()
+                order = np.argsort(code, kind="stable")
+                first = np.flatnonzero(np.r_[True, code[order][1:] != code[order][:-1]])
+                sums, n = np.add.reduceat(x[order], first, axis=0), np.diff(np.r_[first, len(order)])
+                yield pa.RecordBatch.from_arrays(
+                    [encoded.dictionary.take(pa.array(code[order][first])), pa.array(np.full(len(n), x.shape[1], np.int32)), pa.array(n), pa.array(sums.tolist(), pa.list_(pa.float64()))],
+                    names=["label", "dim", "n", "sums"],
+                )
+
+    kind = classes.schema["label"].dataType.simpleString()
+    parts = classes.select("label", "vector").mapInArrow(run, f"label {kind}, dim int, n long, sums array<double>")
+    each = parts.select("label", "dim", "n", F.posexplode("sums").alias("k", "s")).groupBy("label", "dim", "k").agg(F.sum("n").alias("n"), F.round(F.sum("s") / F.sum("n"), 3).alias("m"))
+    return each.groupBy("label", "dim").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda e: e["m"]).alias("mean"))
+
+
+def passes_for(n: int, mean: np.ndarray, threshold: float, window: int, miss: float) -> int:
+    """Passes over n vectors of unit length around a mean."""
+    bits = np.log2(n / window)
+    if bits <= 0:
+        return 1
+    # The angle, seen from the mean, of two vectors at the threshold, and how likely a sign tells them apart.
+    chord, spread = np.sqrt(max(2 - 2 * threshold, 0.0)), np.sqrt(max(1 - float(mean @ mean), 1e-6))
+    angle = 2 * np.arcsin(min(1.0, chord / 2 / spread))
+    meets = (1 - angle / np.pi) ** bits
+    return max(1, int(np.ceil(np.log(miss) / np.log1p(-meets)))) if 0 < meets < 1 else 1
+
+
+def _passes(classes: DataFrame, threshold: float, window: int, miss: float, passes: int | None, seed: int) -> DataFrame:
+    """Each vector once a pass, if its label has others: pass, label, dim, key, bits (that choose the task), node, vector."""
+    means = _means(classes).where("n > 1")
+    joined = classes.withColumn("dim", F.size("vector")).join(means, ["label", "dim"]).select("node", "label", "vector", "dim", "n", "mean")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes: dict[tuple[int, int], np.ndarray] = {}
+        known: dict[tuple[int, bytes], int] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
             for at, x in _by_dimension(batch, 2):
-                dim = x.shape[1]
-                if dim not in planes:
-                    planes[dim] = np.random.default_rng([seed, dim]).standard_normal((dim, passes * KEY_BITS))
-                bits = (x @ planes[dim] > 0).reshape(len(x), passes, KEY_BITS)
-                keys = bits @ (1 << np.arange(KEY_BITS - 1, -1, -1, dtype=np.int64))
-                part = batch.take(pa.array(at))
-                for p in range(passes):
+                part, dim = batch.take(pa.array(at)), x.shape[1]
+                n = part.column(4).to_numpy()
+                mean = part.column(5).flatten().to_numpy(zero_copy_only=False).reshape(len(x), dim)
+                often = np.zeros(len(x), np.int64)
+                for i, of in enumerate(zip(n.tolist(), map(bytes, mean))):
+                    if of not in known:
+                        known[of] = passes or passes_for(of[0], mean[i], threshold, window, miss)
+                    often[i] = known[of]
+                bits = np.ceil(np.log2(np.maximum(n / BUCKET, 1))).astype(np.int32)
+                off = x - mean
+                for p in range(int(often.max())):
+                    if (dim, p) not in planes:
+                        planes[dim, p] = np.random.default_rng([seed, dim, p]).standard_normal((dim, KEY_BITS))
+                    mine = np.flatnonzero(often > p)
+                    key = (off[mine] @ planes[dim, p] > 0) @ (1 << np.arange(KEY_BITS - 1, -1, -1, dtype=np.int64))
+                    some = part.take(pa.array(mine))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(x), p, np.int32)), part.column(1), pa.array(np.full(len(x), dim, np.int32)), pa.array(keys[:, p]), part.column(0), part.column(2)],
-                        names=["pass", "label", "dim", "key", "node", "vector"],
+                        [pa.array(np.full(len(mine), p, np.int32)), some.column(1), some.column(3), pa.array(key), pa.array(bits[mine]), some.column(0), some.column(2)],
+                        names=["pass", "label", "dim", "key", "bits", "node", "vector"],
                     )
 
     kinds = [classes.schema[c].dataType.simpleString() for c in ("label", "vector")]
-    out = "pass int, label {}, dim int, key long, node long, vector {}".format(*kinds)
-    return classes.select("node", "label", "vector").mapInArrow(run, out)
+    out = "pass int, label {}, dim int, key long, bits int, node long, vector {}".format(*kinds)
+    return joined.mapInArrow(run, out)
 
 
 def _window_links(rows: DataFrame, parts: int, threshold: float, window: int) -> DataFrame:
     """Edges (a, b) that span the links found within windows; at most one a row and batch."""
-    keyed = rows.withColumn("bucket", F.xxhash64("pass", "label", "dim", F.shiftright("key", KEY_BITS - BUCKET_BITS)))
+    keyed = rows.withColumn("bucket", F.xxhash64("pass", "label", "dim", F.expr(f"shiftright(key, {KEY_BITS} - bits)")))
     ordered = keyed.repartition(parts, "bucket").sortWithinPartitions("bucket", "key", "node").select("bucket", "node", "vector")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,11 +182,10 @@ def _window_links(rows: DataFrame, parts: int, threshold: float, window: int) ->
 def _count_links(members: DataFrame, parts: int, threshold: float) -> DataFrame:
     """(node, links, other): how many other vectors, copies included, each node links with; and pairs of linked roots.
 
-    members: label, node, root, copies, vector. The nodes of a label and dimension
-    are dealt to blocks, and each pair of blocks meets in one task, which adds up
-    links and emits sums, and each pair of roots (node, null, other) once.
+    members: lot, node, root, copies, vector. The nodes of a lot are dealt to
+    blocks, and each pair of blocks meets in one task, which adds up links and
+    emits sums, and each pair of roots (node, null, other) once.
     """
-    members = members.withColumn("lot", F.xxhash64("label", F.size("vector"))).drop("label")
     sizes = members.groupBy("lot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = members.join(sizes, "lot").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -184,19 +241,22 @@ def _count_links(members: DataFrame, parts: int, threshold: float) -> DataFrame:
 def near_duplicates(
     vectors: DataFrame,
     threshold: float = 0.98,
-    passes: int = PASSES,
+    miss: float = MISS,
     window: int = WINDOW,
     key: str = "vec_id",
     vector: str = "embedding",
     label: str = "label",
     seed: int = 17,
+    passes: int | None = None,
+    exact: bool = False,
 ) -> DataFrame:
     """One row per vector: key, n_links, component_id, kept.
 
     Vectors are compared only within equal labels (not null) and equal dimension.
     Null, zero and non-finite vectors, and those of null label or key, link with
     nothing: n_links 0, and their own key as component_id. Rows equal in key,
-    label and vector are one vector, and give one row.
+    label and vector are one vector, and give one row; an empty table gives none.
+    passes, if given, is the number of passes of every label.
     """
     small_batches(vectors.sparkSession)
     kind = vectors.schema[vector].dataType.simpleString()
@@ -209,13 +269,18 @@ def near_duplicates(
 
     classes = rows.where("node IS NOT NULL").groupBy("node", "label", "vector").agg(F.count_distinct("id").alias("copies"))
     classes = materialise(classes, "vector-classes")
-    edges = _window_links(_passes(classes, passes, seed), parts, threshold, window)
+    edges = _window_links(_passes(classes, threshold, window, miss, passes, seed), parts, threshold, window)
     roots = components(edges)
-    members = classes.join(roots, "node", "left").select("label", "node", F.coalesce("root", "node").alias("root"), "copies", "vector")
+    if exact:
+        members = classes.join(roots, "node", "left").select(F.xxhash64("label", F.size("vector")).alias("lot"), "node", F.coalesce("root", "node").alias("root"), "copies", "vector")
+    else:
+        united = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+        members = classes.join(united, "node").select(F.col("root").alias("lot"), "node", "root", "copies", "vector")
     found = materialise(_count_links(members, parts, threshold), "vector-links")
     links = found.where("other IS NULL").select("node", "links")
-    across = found.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b"))
-    roots = components(across.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    if exact:  # unite what the passes left apart
+        across = found.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b"))
+        roots = components(across.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     rooted = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
     ids = rows.select("id", "node").distinct()

@@ -316,8 +316,18 @@ def _changes(cols: list[np.ndarray]) -> np.ndarray:
     return np.r_[True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])]
 
 
-def _several_roots(rows: DataFrame, parts: int) -> DataFrame:
-    """The rows of lists that hold several roots; rows stream past, roots of a list are in order."""
+def _several_roots(rows: DataFrame, long: DataFrame, parts: int) -> DataFrame:
+    """The rows of lists that hold several roots.
+
+    Lists of up to a block of rows stream past, roots of a list in order; longer
+    ones, which no task may hold or read alone, are told by their least and greatest root.
+    """
+    names = ["gram", "node", "n", "root"]
+    longer = long.where(F.col("long") > LIST_BLOCK).select("gram")
+    if not longer.isEmpty():
+        hot = rows.join(longer, "gram", "left_semi").select(*names)
+        mixed = hot.groupBy("gram").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("gram")
+        return _several_roots(rows.join(longer, "gram", "left_anti"), long.limit(0), parts).unionByName(hot.join(mixed, "gram", "left_semi"))
     ordered = rows.repartition(parts, "gram").sortWithinPartitions("gram", "root").select("gram", "node", "n", "root")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -500,7 +510,7 @@ def _members(docs: DataFrame, k: int, percent: int, key: str, text: str) -> tupl
         near = components(found)
 
     rooted = lists.join(near, "node", "left").select("gram", "node", "n", F.coalesce("root", "node").alias("root"))
-    pairs = _list_pairs(_several_roots(rooted, parts).join(marks, "node"), long, parts, percent, hubs=False)
+    pairs = _list_pairs(_several_roots(rooted, long, parts).join(marks, "node"), long, parts, percent, hubs=False)
     pairs = materialise(pairs, "pairs")
     rest = sets_of(ends(pairs).join(sets.select("node"), "node", "left_anti"))
     far = _verified(pairs, sets.unionByName(rest), percent, parts)

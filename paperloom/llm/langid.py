@@ -17,6 +17,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import add_columns
 
@@ -50,32 +52,36 @@ def fit(
     sample_rows: int = 512,
     row_chars: int = 512,
     dictionary_bytes: int = 131072,
-    max_languages: int = 256,
+    max_languages: int = 1024,
 ) -> LanguageModel:
     """Dictionaries from a bounded sample of the labelled rows.
 
-    The bound: about ``sample_rows`` rows of each language, chosen by a hash of
-    ``order_key``, and of each a stretch of ``row_chars`` characters that starts
-    wherever the hash says, taken in the hash's order until a language has
-    ``dictionary_bytes`` bytes. Rows with a null text or label, or without
-    letters, teach nothing. Of more than ``max_languages`` labels those with
-    most rows are learned (of as many, the first in order).
+    The bound: about ``sample_rows`` distinct rows of each language, and never
+    more than twice as many, chosen by a hash of ``order_key`` and text, and of
+    each a stretch of ``row_chars`` characters that starts wherever the hash says,
+    taken in the hash's order until a language has ``dictionary_bytes`` bytes.
+    Executors take the sample, so that repeated rows, or rows that share a key or
+    have none, reach the driver once at most. Rows with a null text or label, or
+    without letters, teach nothing. More than ``max_languages`` labels are an error.
     """
     rows = labelled.select(
-        F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(order_key)).alias("h")
+        F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(order_key), F.col(text)).alias("h")
     ).where("lang IS NOT NULL AND text IS NOT NULL")
-    found = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    found = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).limit(max_languages + 1).collect()
     if not found:
         return LanguageModel((), ())
+    if len(found) > max_languages:
+        raise ValueError(f"more than {max_languages} labels")
     scale = 1 << 30
-    limit: Column = F.lit(0)
-    for r in found:
-        limit = F.when(F.col("lang") == r["lang"], F.lit(min(scale, math.ceil(scale * sample_rows / r["n"])))).otherwise(limit)
+    spark = labelled.sparkSession
+    limits = [(r["lang"], min(scale, math.ceil(scale * sample_rows / max(r["n"], 1)))) for r in found]
+    limits = F.broadcast(spark.createDataFrame(limits, T.StructType([rows.schema["lang"], T.StructField("limit", T.LongType())])))
     start = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - row_chars + 1, F.lit(1))).cast("int") + 1
     sample = (
-        rows.where(F.pmod("h", F.lit(scale)) < limit)
-        .select("lang", "h", F.col("text").substr(start, F.lit(row_chars)).alias("text"))
-        .collect()
+        rows.join(limits, "lang").where(F.pmod("h", F.lit(scale)) < F.col("limit"))
+        .groupBy("lang", "h").agg(F.min(F.col("text").substr(start, F.lit(row_chars))).alias("text"))
+        .withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("place") <= 2 * sample_rows)
+        .select("lang", "h", "text").collect()
     )
     parts: dict[str, list[bytes]] = {}
     for row in sorted(sample, key=lambda r: (r["lang"], r["h"], r["text"])):
@@ -127,10 +133,11 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     """
     at = docs.drop("lang_pred", "score", "margin", "rejected").columns.index(text)
     made: list[Classifier] = []
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> Sequence[pa.Array]:
         if not made:
-            made.append(Classifier(model))
+            made.append(Classifier(shared.value))
         found = [made[0].classify(t) for t in batch.column(at).to_pylist()]
         columns = list(zip(*found)) or [()] * 4
         return [pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.float64(), pa.float64(), pa.bool_()))]

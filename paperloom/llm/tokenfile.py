@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import WHITE_SPACE, load
-from .common import new_path, shuffle_partitions, small_batches
+from .common import own_path, shuffle_partitions, small_batches
 
 MAGIC = b"TKPLANE1"
 BLOCK_IDS = 1 << 16
@@ -247,9 +247,10 @@ def write(
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    rows = rows.repartitionByRange(shuffle_partitions(rows), F.col("key").asc_nulls_first()).sortWithinPartitions(
-        F.col("key").asc_nulls_first(), F.xxhash64("text")
-    )
+    # Rows that share a key, or have none, are split by their texts, and equal ones by where they come from.
+    rows = rows.withColumn("h", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
+    order = [F.col("key").asc_nulls_first(), F.col("h"), F.col("place")]
+    rows = rows.repartitionByRange(shuffle_partitions(rows), *order).sortWithinPartitions(*order).select("key", "text")
     tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,8 +318,14 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 
 
 def write_and_read(docs: DataFrame, path: str = "byte_bpe_50k.json", end_id: int = 2) -> DataFrame:
-    """docs written to files in the shared folder and read back, as digests a document."""
+    """docs written to files in the shared folder and read back, as digests a document: doc_id, start, n_tokens, ids_crc32.
+
+    Null keys come first, a null text counts as empty and has the end id alone,
+    repeated rows each get their place, in the order of their texts' hashes, and
+    an empty table gives no files and no rows. A long text's ids go through
+    blocks of a file like any other's.
+    """
     spark = docs.sparkSession
-    uri = new_path(spark, "tokens")
+    uri = own_path(spark, "tokens")
     manifest = write(docs, uri, path, end_id)
     return read(spark, uri, manifest, with_ids=False).withColumnRenamed("key", "doc_id")

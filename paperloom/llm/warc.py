@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, shuffle_partitions, small_batches
+from .common import own_path, shuffle_partitions, small_batches
 
 #: Payloads of fewer bytes are never revisits.
 MIN_REVISIT = 100
@@ -160,7 +160,7 @@ def write(pages: DataFrame, uri: str, date: str = "1970-01-01T00:00:00Z", min_re
     captures = with_roles(pages, min_revisit).select("page_id", "url", "html", "digest", "size", "refers_to")
     captures = captures.mapInArrow(archive, "key string, page_id long, file string, at long, length long")
     # The table of captures settles which attempt of each task counts.
-    path = new_path(spark, "captures")
+    path = own_path(spark, "captures")
     captures.write.option("compression", "zstd").parquet(path)
     captures = spark.read.parquet(path)
     ordered = captures.repartitionByRange(shuffle_partitions(captures), "key", "page_id").sortWithinPartitions("key", "page_id")
@@ -316,8 +316,12 @@ def records(captures: DataFrame, uri: str, with_payload: bool = True) -> DataFra
 
 
 def write_and_read(pages: DataFrame) -> DataFrame:
-    """pages written to archives in the shared folder and read back by way of the index."""
+    """pages written to archives in the shared folder and read back by way of the index.
+
+    Nulls, repeated rows, long payloads and empty tables are as for write(): each
+    row is a record, and a null page_id is always a response.
+    """
     spark = pages.sparkSession
-    uri = new_path(spark, "warc")
+    uri = own_path(spark, "warc")
     files = write(pages, uri)
     return records(entries(spark, uri, files), uri, with_payload=False).drop("url")

@@ -32,6 +32,8 @@ from .common import materialise, release, shuffle_partitions, small_batches
 
 #: Words of a chunk, but for the rest of its last document.
 CHUNK_WORDS = 1 << 20
+#: Lots in which a language's phrases are ranked.
+LOTS = 64
 _BREAKS = ".,;:!?\n\x0b\x0c\r"
 _TOKENS = re.compile(rf"[{_BREAKS}]|[^ \t{_BREAKS}]+")
 _BREAK = -1
@@ -249,6 +251,9 @@ def collocations(docs: DataFrame, top: int = 2000, **options) -> DataFrame:
 
     The options are those of phrases(). An empty table has no phrases.
     """
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = phrases(docs, **options).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    # A language's phrases are ranked in lots first, of which each passes on its own first ones: no task orders all of them.
+    dealt = phrases(docs, **options).withColumn("lot", F.pmod(F.xxhash64("phrase"), F.lit(LOTS)))
+    best = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "lot").orderBy(*order))).where(F.col("rank") <= top)
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

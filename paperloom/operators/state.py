@@ -15,22 +15,37 @@ def fold_registry(events: DataFrame, key: str = "canonical_id", seq: str = "seq"
     Input: key, seq, version (int), status, path, error. An event of a newer
     version than any before resets the record, but not its attempts; paths are
     kept unless an event brings one; failure fields are overwritten by each event
-    of the current version. One window and one aggregation, no loop.
+    of the current version. A null version resets nothing. One aggregation.
     """
-    before = Window.partitionBy(key).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    rows = events.withColumn("_top", F.max("version").over(before))
-    rows = rows.withColumn("_new", F.coalesce(F.col("version") > F.col("_top"), F.lit(True)).cast("int"))
-    rows = rows.withColumn("_era", F.sum("_new").over(Window.partitionBy(key).orderBy(seq)))
-    last_era = F.max("_era").over(Window.partitionBy(key))
-    rows = rows.withColumn("_last", F.col("_era") == last_era)
-    current = F.col("_last")
-    return rows.groupBy(key).agg(
-        F.max("version").alias("version"), F.max_by("status", F.when(current, F.col(seq))).alias("status"),
-        F.max_by("path", F.when(current & F.col("path").isNotNull(), F.col(seq))).alias("path"), F.max_by("error", F.when(current, F.col(seq))).alias("error"),
-        F.count_if(F.col("status") == "downloading").alias("attempts"), F.count("*").alias("n_events"),
+    return registry_records(registry_states(events, key, seq), key)
+
+
+def registry_states(events: DataFrame, key: str = "canonical_id", seq: str = "seq") -> DataFrame:
+    """The fold's state of each identity: key, top, last, named, attempts, n_events. States of parts of the events add up in any order.
+
+    A record is reset for the last time by the first event of its highest version
+    (top: the version, and how early it came). The last event of all is never
+    before that, and so gives status and error; the last path counts if it is not.
+    """
+    at = F.col(seq).cast("long")
+    return events.groupBy(key).agg(
+        F.max(F.struct("version", (-at).alias("early"))).alias("top"), F.max(F.struct(at.alias("seq"), "status", "error")).alias("last"),
+        F.max(F.when(F.col("path").isNotNull(), F.struct(at.alias("seq"), "path"))).alias("named"), F.count_if(F.col("status") == "downloading").alias("attempts"), F.count("*").alias("n_events"),
     )
 
 
+def merge_registry(states: DataFrame, key: str = "canonical_id") -> DataFrame:
+    """One state of each identity from those of several parts of its events."""
+    best = [F.max(c).alias(c) for c in ("top", "last", "named")]
+    return states.groupBy(key).agg(*best, F.sum("attempts").alias("attempts"), F.sum("n_events").alias("n_events"))
+
+
+def registry_records(states: DataFrame, key: str = "canonical_id") -> DataFrame:
+    """The records that states stand for."""
+    path = F.when(F.col("named.seq") >= -F.col("top.early"), F.col("named.path"))
+    return states.select(key, "top.version", "last.status", path.alias("path"), "last.error", "attempts", "n_events")
+
+
 def pending(candidates: DataFrame, registry: DataFrame, key: str = "canonical_id", done: tuple[str, ...] = ("processed", "indexed"), files: DataFrame | None = None) -> DataFrame:
     """Candidates that are not done; with ``files`` (path), a record counts as done only if its path is among them."""
     finished = registry.where(F.col("status").isin(*done))

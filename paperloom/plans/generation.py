@@ -8,6 +8,7 @@ depend on, so that a run that is repeated asks for the missing ones only.
 
 from __future__ import annotations
 
+import functools
 import json
 import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
@@ -16,6 +17,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from ..functions import text as T
 from ..hooks import LLMBackend
@@ -100,13 +102,16 @@ def repair_prompt(user: Column, answer: Column, failures: Column) -> Column:
 # ---- answers ------------------------------------------------------------------
 
 
-def answer(prompts: DataFrame, make: Callable[[], LLMBackend], key: str = "query_id", required: Sequence[str] = (), most: int | None = None, narrative: bool = False) -> DataFrame:
+def answer(prompts: DataFrame, make: Callable[[], LLMBackend], key: str = "query_id", required: Sequence[str] = (), most: int | None = None, narrative: bool = False, ledger: str | None = None) -> DataFrame:
     """(key, answer, structured, finish_reason, final_attempt, failures, retry_count, latency_ms): each question answered, and once more if its answer is not valid.
 
     prompts: key, system, user, known (the citation numbers of its context). With ``narrative``
     the model answers in JSON, which is checked and rendered. Both attempts are written
-    down before they are judged, so a model is not asked twice for the same row.
+    to a ledger before they are judged, so a model is not asked twice for the same;
+    one at a path of the caller's choice is known to later runs.
     """
+    ledger = ledger or stores.new_path(prompts.sparkSession, "ledger")
+
     def checked(calls: DataFrame) -> DataFrame:
         rows = calls.join(prompts.select(key, "system", "user", "known"), key)
         draft = F.coalesce("answer", F.lit(""))
@@ -120,18 +125,36 @@ def answer(prompts: DataFrame, make: Callable[[], LLMBackend], key: str = "query
         codes = structured.response_failures(F.col("_text"), F.col("finish_reason"), F.col("structured"), F.col("known"), required, most)
         return rows.withColumn("failures", F.array_distinct(F.concat(failed, wrong, codes)))
 
-    first = checked(_kept(completed(prompts, make, key)))
+    first = checked(once(prompts, make, key, ledger))
     again = first.where(F.size("failures") > 0).select(key, "system", repair_prompt(F.col("user"), F.col("answer"), F.col("failures")).alias("user"))
-    second = checked(_kept(completed(again, make, key)))
+    second = checked(once(again, make, key, ledger))
     columns = [key, F.col("_text").alias("answer"), "structured", "finish_reason", "failures", "latency_ms"]
     good = first.where(F.size("failures") == 0).select(*columns, F.lit("original").alias("final_attempt"), F.lit(0).alias("retry_count"))
     return good.unionByName(second.select(*columns, F.lit("repaired").alias("final_attempt"), F.lit(1).alias("retry_count")))
 
 
 def _kept(rows: DataFrame) -> DataFrame:
-    """Rows, a model's answers above all, held so that they are not made again: in the shared folder, if the cluster names one."""
+    """Rows, written down so that they are not made again."""
+    return stores.kept(rows, "generation")
+
+
+def once(rows: DataFrame, make: Callable[[], LLMBackend], key: str, ledger: str, model: str = "", system: str = "system", user: str = "user") -> DataFrame:
+    """As completed, with each call made once: answers are written to ``ledger``, a store, before any is used.
+
+    A call is what it asks, and of which model; rows that ask the same share one
+    answer, and one that the ledger has is not asked again, by this run or a later
+    one. Failed calls are told, but not kept: a later run asks them again.
+    """
     spark = rows.sparkSession
-    return rows.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else rows.persist()
+    asked = rows.select(key, F.coalesce(F.col(system), F.lit("")).alias("system"), F.coalesce(F.col(user), F.lit("")).alias("user"))
+    asked = asked.withColumn("call", F.sha2(F.to_json(F.struct(F.lit(model).alias("model"), "system", "user")), 256))
+    known = stores.latest(spark, ledger, "call")
+    todo = asked.dropDuplicates(["call"])
+    todo = todo if known is None else todo.join(known.select("call"), "call", "left_anti")
+    made = stores.kept(completed(todo, make, "call"), "calls")
+    stores.upsert(made.where("error IS NULL"), ledger, "call")
+    answers = stores.latest(spark, ledger, "call").unionByName(made.where("error IS NOT NULL"))
+    return asked.select(key, "call").join(answers, "call").drop("call")
 
 
 def formatted(answered: DataFrame, assembled: DataFrame, key: str = "query_id") -> DataFrame:
@@ -226,19 +249,18 @@ def judge(cases: DataFrame, make: Callable[[], LLMBackend], cache: str, model: s
     known = stores.latest(spark, cache, "key")
     found = keyed.join(known, "key") if known is not None else None
     todo = keyed if known is None else keyed.join(known.select("key"), "key", "left_anti")
-    number = max(stores.batches(spark, cache), default=0) + 1
 
     def called(rows: DataFrame) -> DataFrame:
         got = completed(rows.select("key", F.lit(system).alias("system"), F.col("payload").alias("user")), make, "key")
+        got = _kept(got)
         return rows.join(got.select("key", "answer"), "key").withColumn("verdicts", verdicts(F.col("answer"), F.col("subjects")))
 
-    first = called(todo).persist()
+    first = called(todo)
     again = first.where("verdicts IS NULL").drop("answer", "verdicts")
     hint = F.lit("\n\nYour previous response was not valid judge JSON. Return only one JSON object containing a verdicts array; do not include Markdown or commentary.")
     second = called(again.withColumn("payload", F.concat("payload", hint)))
     done = first.where("verdicts IS NOT NULL").select("key", "verdicts").unionByName(second.where("verdicts IS NOT NULL").select("key", "verdicts"))
-    stores.upsert(done, cache, "key", number)
-    first.unpersist()
+    stores.upsert(done, cache, "key")
     now = stores.latest(spark, cache, "key")
     before = found.select("case_id", "key", F.lit(True).alias("cached")) if found is not None else keyed.select("case_id", "key", F.lit(True).alias("cached")).limit(0)
     rows = keyed.select("case_id", "key").join(now, "key", "left").join(before.select("key", "cached"), "key", "left")
@@ -270,12 +292,12 @@ def score_metrics(rows: DataFrame, metrics: Mapping[str, Callable[[], LLMBackend
         number = max(stores.batches(spark, log), default=0) + 1
 
         def scored(asked: DataFrame, model: Callable[[], LLMBackend]) -> DataFrame:
-            got = completed(asked.select("entry", "system", "user"), model, "entry")
+            got = _kept(completed(asked.select("entry", "system", "user"), model, "entry"))
             value = F.get_json_object(structured.without_fence("answer"), "$.score").try_cast("double")
             reason = F.coalesce("error", F.when(T.is_truncated("finish_reason"), F.lit("truncated")), F.when(T.finite(value).isNull(), F.lit("no valid score")))
             return asked.join(got.select("entry", F.when(reason.isNull(), value).alias("value"), reason.alias("reason")), "entry")
 
-        first = scored(todo, make).persist()
+        first = scored(todo, make)
         if fallback is not None:
             other = scored(first.where("value IS NULL").select("entry", key, "system", "user"), fallback)
             out = first.where("value IS NOT NULL").select("entry", key, "value", "reason").unionByName(other.select("entry", key, "value", "reason"))
@@ -283,8 +305,7 @@ def score_metrics(rows: DataFrame, metrics: Mapping[str, Callable[[], LLMBackend
             out = first.select("entry", key, "value", "reason")
         status = F.when(F.col("value").isNull(), "unavailable").otherwise("completed")
         made = out.select("entry", F.col(key).alias("question_id"), F.lit(metric).alias("metric"), status.alias("status"), "value", "reason", F.lit(number).cast("long").alias("seq"))
-        stores.upsert(made, log, "entry", number)
-        first.unpersist()
+        stores.upsert(made, log, "entry")
     return stores.latest(spark, log, "entry").where(F.col("entry").startswith(f"{run}/")).drop("entry")
 
 
@@ -308,6 +329,26 @@ def readiness(probes: Mapping[str, Callable[[], object]], limit: float = 1.5, cl
     return {"status": "ready" if all(c["ok"] for c in checks.values()) else "degraded", "checks": checks}
 
 
+def health(checks: Mapping[str, Column]) -> Column:
+    """The status that checks add up to, row by row: ready, or degraded if one fails or is not known."""
+    good = functools.reduce(lambda a, b: a & b, (F.coalesce(c, F.lit(False)) for c in checks.values()), F.lit(True))
+    return F.when(good, "ready").otherwise("degraded")
+
+
+def safe_json(value: Column, schema: str) -> Column:
+    """A struct of that schema as JSON; numbers that are not finite become null, as null fields are written."""
+    def finite(c: Column, kind: ST.DataType) -> Column:
+        if isinstance(kind, (ST.DoubleType, ST.FloatType)):
+            return T.finite(c)
+        if isinstance(kind, ST.ArrayType):
+            return F.transform(c, lambda x: finite(x, kind.elementType))
+        if isinstance(kind, ST.StructType):
+            return F.when(c.isNotNull(), F.struct(*[finite(c[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+        return c
+
+    return F.to_json(finite(value, ST.StructType.fromDDL(schema)), {"ignoreNullFields": "false"})
+
+
 def json_safe(value: object) -> object:
     """A value as JSON can hold it: numbers that are not finite become null, what has no form its text."""
     return json.loads(json.dumps(value, default=str, allow_nan=True), parse_constant=lambda _: None)

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..hooks import embed_column
-from ..operators import dense, entities, lexical, metrics, ranking
+from ..operators import dense, entities, index, lexical, metrics, ranking
+from ..sources import stores
 
 # List lengths at each stage, for searches and for each named paper.
 BACKEND_K, HYBRID_K, RERANK_K = 50, 20, 8
@@ -326,6 +327,18 @@ def with_enrichment(
     return first.join(poor.select("query_id"), "query_id", "left_anti").unionByName(again.select(*first.columns))
 
 
+def indexed_with_enrichment(queries: DataFrame, path: str, enrich: Callable[[DataFrame], DataFrame | None] | None = None, k: int = ANSWER_K, min_results: int = 1, min_score: float | None = None) -> DataFrame:
+    """As with_enrichment, of the stored index at path: what enrich brings in is appended as a segment, and only the insufficient questions are asked again."""
+    first = stores.kept(index.search(queries, path, k), "first-ranking")
+    gate = sufficient(first, queries, min_results, min_score)
+    poor = queries.join(gate.where("NOT sufficient").select("query_id"), "query_id", "left_semi")
+    more = None if enrich is None or poor.isEmpty() else enrich(poor)
+    if more is None:
+        return first
+    index.append(more, path)
+    return first.join(poor.select("query_id"), "query_id", "left_anti").unionByName(index.search(poor, path, k))
+
+
 # ---- ablations ----------------------------------------------------------------
 
 

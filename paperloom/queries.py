@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .operators import answers, dense, documents, lexical, metrics, ranking, state
 from .plans import retrieval
+from .sources import stores
 from .streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +20,8 @@ SQL: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(f"there is a query {name!r} already")
         QUERIES[name] = f
         if sql:
             SQL[name] = sql
@@ -267,17 +270,21 @@ def _(spark, sf):
 # ---- cleaning, sections, chunks -------------------------------------------
 
 
-@query("p12_clean_text", r"""
-WITH a AS (SELECT doc_id, replace(coalesce(text, ''), chr(0), ' ') || chr(10) || '12' || chr(10) || 'see https://x.org/' || doc_id || ' \emph{it} end-' || chr(10) || 'ing' AS t FROM documents),
-b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '([\p{L}\p{N}_])-\s*\n\s*([\p{L}\p{N}_])', '\1\2', 'g'), '(?m)^\s*\d+\s*$', '', 'g') AS t FROM a),
-c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '\\(?:[a-zA-Z]+\*?|.)\s*\{([^{}]*)\}', '\1', 'g'), '\\(?:[a-zA-Z]+\*?|.)\s*', ' ', 'g'), 'https?://\S+', ' ', 'g') AS t FROM b),
-l AS (SELECT doc_id, list_transform(string_split_regex(t, '\r\n|\r|\n'), lambda x: trim(x)) AS l FROM c),
-n AS (SELECT doc_id, l, list_transform(l, lambda x: lower(trim(regexp_replace(x, '\s+', ' ', 'g')))) AS n FROM l),
+WHITE_SQL = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+@query("p12_clean_text", rf"""
+WITH a AS (SELECT doc_id, replace(coalesce(text, ''), chr(0), ' ') || chr(10) || '12' || chr(10) || 'see https://x.org/' || doc_id || chr(160) || 'and' || chr(1) || ' \emph{{it}} \alpha' || chr(2) || ' end-' || chr(160) || chr(10) || 'ing' || chr(12288) || chr(10) || chr(12288) || '34' || chr(8195) || chr(10) || 'x' AS t FROM documents),
+b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '([\p{{L}}\p{{N}}_])-[{WHITE_SQL}]*\n[{WHITE_SQL}]*([\p{{L}}\p{{N}}_])', '\1\2', 'g'), '(?m)^[{WHITE_SQL}]*\p{{Nd}}+[{WHITE_SQL}]*$', '', 'g') AS t FROM a),
+c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '\\(?:[a-zA-Z]+\*?|.)[{WHITE_SQL}]*\{{([^{{}}]*)\}}', '\1', 'g'), '\\(?:[a-zA-Z]+\*?|.)[{WHITE_SQL}]*', ' ', 'g'), 'https?://[^{WHITE_SQL}]+', ' ', 'g') AS t FROM b),
+l AS (SELECT doc_id, list_transform(string_split_regex(t, '\r\n|\r|\n'), lambda x: regexp_replace(x, '^[{WHITE_SQL}]+|[{WHITE_SQL}]+$', '', 'g')) AS l FROM c),
+n AS (SELECT doc_id, l, list_transform(l, lambda x: lower(regexp_replace(x, '[{WHITE_SQL}]+', ' ', 'g'))) AS n FROM l),
 k AS (SELECT doc_id, list_filter(l, lambda x, i: NOT (length(n[i]) BETWEEN 5 AND 120 AND len(list_filter(n, lambda y: y = n[i])) >= 3 AND len(list_filter(n, lambda y: y = n[i])) < len(n) * 0.25)) AS p FROM n),
 j AS (SELECT doc_id, array_to_string(list_transform(p, lambda x, i: CASE WHEN i = 1 THEN x WHEN right(p[i - 1], 1) IN ('.', '!', '?', ':', ';') OR (x = '' AND i < len(p)) THEN chr(10) || x ELSE ' ' || x END), '') AS t FROM k)
-SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]{2,}', ' ', 'g'), ' ' || chr(10) || chr(9) || chr(13))) AS digest FROM j""")
+SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(t, '\n{{3,}}', chr(10) || chr(10), 'g'), '[ \t]{{2,}}', ' ', 'g'), '^[{WHITE_SQL}]+|[{WHITE_SQL}]+$', '', 'g')) AS digest FROM j""")
 def _(spark, sf):
-    tail = F.concat(F.lit("\n12\nsee https://x.org/"), F.col("doc_id").cast("string"), F.lit(" \\emph{it} end-\ning"))
+    # No-break, ideographic and em spaces around a link, a hyphen and a page number, and control characters that must stay.
+    tail = F.concat(F.lit("\n12\nsee https://x.org/"), F.col("doc_id").cast("string"), F.lit("\u00a0and\x01 \\emph{it} \\alpha\x02 end-\u00a0\ning\u3000\n\u300034\u2003\nx"))
     docs = table(spark, sf, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), tail).alias("text"))
     return documents.cleaned(docs).select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
 
@@ -517,23 +524,6 @@ def _(spark, sf):
     return ranking.diversify(ranked.withColumnRenamed("doc_id", "chunk_id")).select("query_id", "chunk_id", "rank")
 
 
-@query("j10_evidence_alignment", f"""
-WITH t AS (SELECT item_id, {content_sql('text')} AS qt FROM benchmark), e AS (SELECT item_id, len(qt) AS n, unnest(qt) AS tok FROM t), d AS (SELECT doc_id, unnest({content_sql('text')}) AS tok FROM documents),
-o AS (SELECT item_id, doc_id, round(count(*)::DOUBLE / any_value(n), 6) AS share FROM e JOIN d USING (tok) GROUP BY ALL),
-b AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY share DESC, doc_id) AS r, max(share) OVER (PARTITION BY item_id) AS best FROM o)
-SELECT item_id, any_value(best) AS share, min(doc_id) FILTER (r = 1) AS doc_id, count(*) FILTER (share >= best - 0.05::DOUBLE) AS competitors,
-       CASE WHEN any_value(best) < 0.55 THEN 'below_threshold' WHEN count(*) FILTER (share >= best - 0.05::DOUBLE) > 1 THEN 'ambiguous' ELSE 'aligned' END AS outcome FROM b GROUP BY item_id""")
-def _(spark, sf):
-    e = table(spark, sf, "benchmark").select("item_id", T.content_tokens("text").alias("q"))
-    e = e.select("item_id", F.size("q").alias("n"), F.explode("q").alias("tok"))
-    d = table(spark, sf, "documents").select("doc_id", F.explode(T.content_tokens("text")).alias("tok"))
-    o = d.join(e, "tok").groupBy("item_id", "doc_id").agg(F.round(F.count("*") / F.first("n"), 6).alias("share"))
-    best = o.withColumn("best", F.max("share").over(Window.partitionBy("item_id")))
-    near = F.col("share") >= F.col("best") - 0.05
-    got = best.groupBy("item_id").agg(F.first("best").alias("share"), F.min(F.when(F.col("share") == F.col("best"), F.col("doc_id"))).alias("doc_id"), F.count_if(near).alias("competitors"))
-    return got.withColumn("outcome", F.when(F.col("share") < 0.55, "below_threshold").when(F.col("competitors") > 1, "ambiguous").otherwise("aligned"))
-
-
 # ---- dense retrieval, fusion, metrics -------------------------------------
 
 
@@ -748,6 +738,31 @@ def _(spark, sf):
     return state.fold_registry(_registry_events(spark, sf))
 
 
+@query("st02_registry_batches", f"WITH {REGISTRY_SQL} SELECT * FROM registry")
+def _(spark, sf):
+    """Events in batches, out of order, one of them delivered twice: each is merged with the records that it touches."""
+    path, events = stores.new_path(spark, "registry"), _registry_events(spark, sf)
+    sink = streams.registry_sink(f"{path}/log", f"{path}/view")
+    for number in (2, 0, 3, 1, 3):
+        sink(events.where(F.pmod(F.xxhash64("seq"), F.lit(4)) == number), number)
+    return streams.registry_view(spark, f"{path}/view")
+
+
+@query("s16_merged_batches", "SELECT user_id, arg_max(event_id, event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def _(spark, sf):
+    """A store of more batches than it reads side by side: they are merged on the way, and once more at the end."""
+    path = stores.new_path(spark, "events")
+    e = table(spark, sf, "events").select("user_id", "event_id", "event_type")
+    n = stores.MERGE_AFTER + 2
+    most = e.agg(F.max("event_id")).first()[0] or 0
+    batch = F.floor(F.col("event_id") * n / (most + 1)).alias("batch")
+    dealt = stores.kept(e.groupBy(batch, "user_id").agg(F.max_by(F.struct("event_id", "event_type"), "event_id").alias("e")), "lots")
+    for number in range(n):
+        stores.upsert(dealt.where(F.col("batch") == number).select("user_id", "e.*"), path, "user_id")
+    stores.compact(spark, path, "user_id")
+    return stores.latest(spark, path, "user_id")
+
+
 @query("s13_registry_scan", f"WITH {REGISTRY_SQL} SELECT canonical_id, version, attempts FROM registry WHERE status = 'processed'")
 def _(spark, sf):
     return state.fold_registry(_registry_events(spark, sf)).where("status = 'processed'").select("canonical_id", "version", "attempts").orderBy("canonical_id")
@@ -796,3 +811,17 @@ def _(spark, sf):
 @query("ext_latency_windows", "SELECT date_trunc('minute', ts) AS window_start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL")
 def _(spark, sf):
     return streams.latency_windows(table(spark, sf, "events")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("st01_streamed_answers", f"WITH {TOKENS_SQL} SELECT request_id, sha256(string_agg(text, '' ORDER BY seq)) AS digest, count(*) AS n_tokens, 'stop' AS finish_reason FROM tok GROUP BY request_id")
+def _(spark, sf):
+    """As st01_stream_answers, by the stream itself, over files of tokens that are out of order."""
+    path = stores.new_path(spark, "tokens")
+    tokens = _tokens(spark, sf).select("request_id", "seq", "text", "finish_reason")
+    tokens.withColumn("file", F.pmod(F.xxhash64("request_id", "seq"), F.lit(3))).repartition(3, "file").drop("file").write.parquet(f"{path}/in")
+    source = spark.readStream.schema(tokens.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    told = streams.answers(source).select("request_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), "n_tokens", "finish_reason")
+    # Once a batch is written it counts; one that is delivered again replaces itself.
+    sink = told.writeStream.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}"))
+    sink.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(told.schema).parquet(f"{path}/out/batch=*").select(*told.columns)

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import entities, generation, metrics, ranking
+from .operators import entities, generation, index, metrics, ranking
 from .plans import retrieval
 from .queries import BM25_SQL, MEANS, MEANS_SQL, METRICS_SQL, _metrics, content_sql, fold_sql, phrase_sql, query, squeeze_sql, table
+from .sources import stores
 
 LETTERS = "etaoinsr"
 SECTIONS = ("Method", "References", "results", None)
@@ -126,11 +127,6 @@ NAMED_SQL = f"""{TITLES_SQL}, cand AS (SELECT query_id, k, list_filter(CASE k WH
 nm AS (SELECT query_id, list_concat(list_transform(list_filter(names, lambda x: k = 1 OR list_contains(known, x)), lambda x: 'Paper of ' || x), CASE WHEN k IN (1, 2) THEN ['Unknown Work'] ELSE [] END) AS titles FROM cand, (SELECT list(source) AS known FROM ti))"""
 
 
-def in_order(queries: DataFrame, corpus: retrieval.Corpus, k: int) -> DataFrame:
-    """A search that finds the first chunks of the corpus, in order, whatever is asked."""
-    return queries.select("query_id").join(F.broadcast(corpus.chunks.where("ord < 400").select("chunk_id", F.lit(1.0).alias("score"), (F.col("ord") + 1).cast("int").alias("rank"))))
-
-
 def _titles(spark, sf) -> DataFrame:
     return entities.known_titles(corpus(spark, sf).chunks, "title")
 
@@ -151,24 +147,29 @@ def _(spark, sf):
     return entities.entity_queries(questions, entities.named_papers(questions, _titles(spark, sf))).select("query_id", "entity", "title", "text")
 
 
+ENTITY_SQL = f"""{CHUNKS_SQL}, {NAMED_SQL}, many AS (SELECT query_id, titles FROM nm WHERE len(titles) > 1), en AS (SELECT query_id, titles, unnest(range(0, len(titles))) AS entity FROM many),
+eq AS (SELECT en.query_id AS question_id, entity, titles[entity + 1] AS expected, '"' || titles[entity + 1] || '" ' || CASE k
+  WHEN 0 THEN CASE WHEN entity = 0 THEN 'How does PAPER of ' || n1 || ' compare to paper of ' || n2 || ', and why?' ELSE 'How does compare to paper of ' || n2 || ', and why?' END
+  WHEN 1 THEN CASE WHEN entity = 0 THEN 'What does \'\'Paper of ' || n1 || '\'\' say beside " " here' ELSE 'What does \'\' \'\' say beside "Unknown Work" here' END
+  ELSE CASE WHEN entity = 0 THEN 'Paper of ' || n1 || ', paper of ' || n1 || ' again' ELSE 'again; paper of ' || n4 END END AS text FROM en JOIN n USING (query_id)),
+gq AS (SELECT query_id, CASE k WHEN 0 THEN 'How does PAPER of ' || n1 || ' compare to paper  of ' || n2 || ', and why?' WHEN 1 THEN 'What does \'\'Paper of ' || n1 || '\'\' say beside "Unknown Work" here' ELSE 'Paper of ' || n1 || ', paper of ' || n1 || ' again; paper of ' || n4 END AS text FROM many JOIN n USING (query_id)),
+ask AS (SELECT question_id || '/' || entity AS query_id, text FROM eq UNION ALL SELECT query_id, text FROM gq), {bm25_sql()},
+own AS (SELECT b.query_id, b.chunk_id, row_number() OVER (PARTITION BY b.query_id ORDER BY rank) AS rank FROM bm25 b JOIN eq ON b.query_id = question_id || '/' || entity JOIN ch USING (chunk_id) WHERE rank <= 400 AND (contains(lower(ch.title), lower(expected)) OR contains(lower(expected), lower(ch.title)))),
+{diverse_sql('own', 4, 4, 2)}, gen AS (SELECT b.* FROM bm25 b JOIN gq USING (query_id) WHERE rank <= 400), {diverse_sql('gen', 4).replace('pl AS', 'pl2 AS').replace('FROM pl ', 'FROM pl2 ').replace('kept', 'kept2').replace('insec', 'insec2').replace('inpap', 'inpap2').replace('diverse AS', 'diverse2 AS')},
+found AS (SELECT question_id AS query_id, entity, chunk_id, rank FROM diverse JOIN eq ON query_id = question_id || '/' || entity)""".replace("\\'\\'", "''")
+
+
 @query("x07_per_entity", f"""
-WITH {CHUNKS_SQL}, {NAMED_SQL}, en AS (SELECT query_id, titles, unnest(range(0, len(titles))) AS entity FROM nm WHERE len(titles) > 1), e2 AS (SELECT query_id, entity, titles[entity + 1] AS title FROM en),
-ask AS (SELECT query_id || '/' || entity AS query_id, query_id AS question_id, entity, title AS expected, 'thing' AS text FROM e2), m AS (SELECT a.query_id, a.question_id, a.entity, chunk_id, ord, section, paper_id FROM ask a JOIN ch ON contains(lower(ch.title), lower(a.expected)) OR contains(lower(a.expected), lower(ch.title)) WHERE ord < 400),
-sec AS (SELECT *, row_number() OVER (PARTITION BY query_id, paper_id, coalesce(section, 'unknown') ORDER BY ord) AS a FROM m WHERE coalesce(lower(section), '') <> 'references'), pap AS (SELECT *, row_number() OVER (PARTITION BY query_id, paper_id ORDER BY ord) AS b FROM sec WHERE a <= 2),
-d AS (SELECT question_id AS query_id, chunk_id, entity, r FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY b > 1, ord) AS r FROM pap WHERE b <= 4) WHERE r <= 4),
-e AS (SELECT query_id, chunk_id, min(r * 1000 + entity) AS o FROM d GROUP BY ALL)
+WITH {ENTITY_SQL}, d AS (SELECT query_id, chunk_id, rank * 1000 + entity AS o FROM found UNION ALL SELECT query_id, chunk_id, 1000000 + rank FROM diverse2 WHERE query_id IN (SELECT query_id FROM found)), e AS (SELECT query_id, chunk_id, min(o) AS o FROM d GROUP BY ALL)
 SELECT query_id, chunk_id, (row_number() OVER (PARTITION BY query_id ORDER BY o))::INT AS position FROM e""")
 def _(spark, sf):
-    c = corpus(spark, sf)
-
-    found, _ = retrieval.per_entity(entity_questions(spark, sf), c, _titles(spark, sf), candidate_k=400, general=False, search=in_order)
+    found, _ = retrieval.per_entity(entity_questions(spark, sf), corpus(spark, sf), _titles(spark, sf), candidate_k=400, search=retrieval.sparse_search)
     return found.select("query_id", "chunk_id", "position")
 
 
-@query("j13_papers_without_evidence", f"""
-WITH {CHUNKS_SQL}, {NAMED_SQL}, u AS (SELECT query_id, unnest(titles) AS title FROM nm WHERE len(titles) > 1) SELECT query_id, title FROM u WHERE NOT EXISTS (SELECT 1 FROM ch WHERE ord < 400 AND coalesce(section, '') <> 'References' AND (contains(lower(ch.title), lower(u.title)) OR contains(lower(u.title), lower(ch.title))))""")
+@query("j13_papers_without_evidence", f"WITH {ENTITY_SQL} SELECT question_id AS query_id, expected AS title FROM eq WHERE (question_id, entity) NOT IN (SELECT (query_id, entity) FROM found)")
 def _(spark, sf):
-    _, report = retrieval.per_entity(entity_questions(spark, sf), corpus(spark, sf), _titles(spark, sf), candidate_k=400, general=False, search=in_order)
+    _, report = retrieval.per_entity(entity_questions(spark, sf), corpus(spark, sf), _titles(spark, sf), candidate_k=400, search=retrieval.sparse_search)
     return retrieval.papers_without_evidence(report)
 
 
@@ -317,3 +318,31 @@ def _(spark, sf):
     found = retrieval.with_enrichment(unknown, c, enrich, search=retrieval.build("sparse", k=5))
     first = found.where("rank = 1").select("query_id", F.when(F.col("chunk_id").startswith("new-"), F.col("chunk_id")).alias("first_new"))
     return first
+
+
+# ---- the stored index -----------------------------------------------------------
+
+
+@query("a03_indexed_search", f"""WITH {CHUNKS_SQL}, {ASKED_SQL}, {bm25_sql()} SELECT query_id, chunk_id, score, rank::INT AS rank FROM bm25 WHERE rank <= 10""")
+def _(spark, sf):
+    """The index is written in two segments; statistics are those of both."""
+    path, chunks = stores.new_path(spark, "index"), corpus(spark, sf).chunks
+    index.append(chunks.where("ord % 3 > 0"), path)
+    index.append(chunks.where("ord % 3 = 0 OR ord % 7 = 0"), path)
+    return index.search(asked(spark, sf), path, 10)
+
+
+@query("st04_indexed_enrichment", f"""
+WITH {CHUNKS_SQL}, {ASKED_SQL}, x AS (SELECT query_id, ({phrase_sql('text')}) AS p FROM ask) SELECT query_id, CASE WHEN substr(query_id, 2)::INT % 2 = 0 THEN 'new-' || query_id END AS first_new FROM x WHERE {fold_sql('p')} <> ''""")
+def _(spark, sf):
+    """As st04_enrichment, of a stored index: what is brought in becomes a segment, and nothing else is read but the index."""
+    path = stores.new_path(spark, "index")
+    index.append(corpus(spark, sf).chunks, path)
+    even = F.regexp_extract("query_id", r"\d+", 0).cast("int") % 2 == 0
+    unknown = asked(spark, sf).select("query_id", F.when(even, F.concat(F.lit("zzunheard"), "query_id")).otherwise(F.col("text")).alias("text"))
+
+    def enrich(poor: DataFrame) -> DataFrame:
+        return poor.select(F.concat(F.lit("new-"), "query_id").alias("chunk_id"), F.concat(F.lit("about "), "text").alias("text"))
+
+    found = retrieval.indexed_with_enrichment(unknown, path, enrich, k=5)
+    return found.where("rank = 1").select("query_id", F.when(F.col("chunk_id").startswith("new-"), F.col("chunk_id")).alias("first_new"))

@@ -2,22 +2,56 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import json
 import re
-from collections.abc import Callable, Iterator
+import shutil
+import tempfile
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import commits
+
 DOCUMENT = (
     "paper_id string, metadata map<string, string>, sections map<string, string>, "
     "raw_document struct<paper_id: string, pages_count: int, pages: array<struct<page_number: int, text: string, char_count: int>>>"
 )
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir; if unset, one in the warehouse, or a temporary one where all run on this machine."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/intermediate"
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="paperloom-"))
+        atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
+    return "file://" + _local[0]
+
+
+_local: list[str] = []
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that no other call returns."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """Rows written to the shared folder and read again: they are made once, whatever executors are lost later."""
+    path = new_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def read_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Processed documents, one JSON object a file; the schema is fixed, nothing is inferred."""
     return spark.read.schema(DOCUMENT).option("multiLine", True).json(paths)
@@ -100,45 +134,138 @@ def delete(spark: SparkSession, path: str) -> bool:
     return bool(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True))
 
 
+#: Batches that a store reads side by side, before upsert merges them; and the folders into which it may deal keys.
+MERGE_AFTER, BUCKETS = 16, 64
+
+
+def _done(state: dict | None, number: int) -> bool:
+    return any(lo <= number <= hi for lo, hi in state["done"]) if state else False
+
+
+def _with(ranges: list[list[int]], number: int) -> list[list[int]]:
+    """Ascending ranges of numbers, with one more."""
+    out: list[list[int]] = []
+    for lo, hi in sorted([*ranges, [number, number]]):
+        if out and lo <= out[-1][1] + 1:
+            out[-1][1] = max(out[-1][1], hi)
+        else:
+            out.append([lo, hi])
+    return out
+
+
 def batches(spark: SparkSession, path: str) -> list[int]:
-    """The numbers of the whole batches stored below path, ascending."""
-    if not exists(spark, path):
-        return []
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = []
-    for status in fs.listStatus(where):  # one entry a batch
-        m = re.fullmatch(r"batch=(\d+)", status.getPath().getName())
-        if m and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-            found.append(int(m[1]))
-    return sorted(found)
+    """The numbers of the batches that were delivered to the store at path, ascending."""
+    state = commits.read(spark, path)[1]
+    return [n for lo, hi in (state["done"] if state else []) for n in range(lo, hi + 1)]
+
+
+def bucket_of(key: str) -> Column:
+    """The folder of a key, in stores that have folders."""
+    return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(BUCKETS)).cast("int")
+
 
+def _write(rows: DataFrame, path: str, key: str, bucketed: bool) -> str:
+    name = f"data-{uuid.uuid4().hex}"
+    if bucketed:
+        # A folder gets one file a batch.
+        rows.withColumn("_bucket", bucket_of(key)).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{path}/{name}")
+    else:
+        rows.write.parquet(f"{path}/{name}")
+    return name
 
-def upsert(rows: DataFrame, path: str, key: str, batch: int | None = None) -> int:
-    """Append a batch of rows below path; of each key the row of the latest batch counts. Returns its number.
+
+def upsert(rows: DataFrame, path: str, key: str, batch: int | None = None, bucketed: bool = False) -> int:
+    """Add a batch of rows to the store at path; of each key the row that was added last counts. Returns the batch's number.
 
     A batch gets the next number, or one that the caller gives so that a repeated
-    delivery is told; one that is there is never overwritten, and one that was
-    not finished is not read.
+    delivery is told and left out. Rows lie in a folder of their own and count
+    from the commit that names it: of two writers at once each gets its number.
+    bucketed, which holds from the first batch on, deals rows to folders by key,
+    so that readers of few keys open few. Many batches are merged to one.
     """
     spark = rows.sparkSession
-    known = batches(spark, path)
-    number = (max(known, default=0) + 1) if batch is None else int(batch)
-    if number in known:
-        return number
-    rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+    if batch is not None and _done(commits.read(spark, path)[1], int(batch)):
+        return int(batch)
+    name = _write(rows, path, key, bucketed)
+    number: int | None = None
+
+    def change(state: dict | None) -> dict | None:
+        nonlocal number
+        state = state or {"done": [], "folders": [], "bucketed": bucketed, "added": 0}
+        number = int(batch) if batch is not None else max((hi for _, hi in state["done"]), default=0) + 1
+        if _done(state, number):
+            return None  # another delivery of the same batch came first
+        added = state["added"] + 1
+        return state | {"done": _with(state["done"], number), "folders": [*state["folders"], [added, name]], "added": added}
+
+    after = commits.update(spark, path, change)
+    if not any(f == name for _, f in after["folders"]):
+        delete(spark, f"{path}/{name}")
+    elif len(after["folders"]) > MERGE_AFTER:
+        compact(spark, path, key)
     return number
 
 
-def latest(spark: SparkSession, path: str, key: str, before: int | None = None) -> DataFrame | None:
-    """The rows that upsert stored, the latest of each key; None if there are none. before: only batches of smaller numbers."""
-    known = [b for b in batches(spark, path) if before is None or b < before]
-    if not known:
+def _read(spark: SparkSession, path: str, folders: list[list], buckets: Sequence[int] | None = None) -> DataFrame:
+    """All rows of some folders with their batch's place among those added as _batch; merged ones have it in their rows."""
+    out = None
+    for merged in (False, True):
+        some = {f"{path}/{name}": n for n, name in folders if name.startswith("merged-") == merged}
+        if not some:
+            continue
+        rows = spark.read.option("mergeSchema", True)
+        parts = []
+        for folder, n in some.items():
+            part = rows.parquet(folder)
+            if buckets is not None:
+                part = part.where(F.col("_bucket").isin([int(b) for b in buckets]))
+            parts.append(part.drop("_bucket") if merged else part.drop("_bucket").withColumn("_batch", F.lit(n).cast("long")))
+        for part in parts:
+            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def _newest(rows: DataFrame, key: str) -> DataFrame:
+    """The row of each key that was added last, with _batch."""
+    fields = [c for c in rows.columns if c not in (key, "_batch")]
+    kept = rows.groupBy(key).agg(F.max("_batch").alias("_batch"), F.max_by(F.struct(*fields) if fields else F.lit(0), "_batch").alias("_r"))
+    return kept.select(key, *[F.col(f"_r.`{c}`").alias(c) for c in fields], "_batch")
+
+
+def latest(spark: SparkSession, path: str, key: str, buckets: Sequence[int] | None = None) -> DataFrame | None:
+    """The rows that upsert stored, the last of each key; None if there are none. buckets: only keys of these folders, of a store that has folders."""
+    state = commits.read(spark, path)[1]
+    if not state or not state["folders"]:
         return None
-    rows = spark.read.option("basePath", path).option("mergeSchema", True).parquet(*[f"{path}/batch={b}" for b in known])
-    fields = [c for c in rows.columns if c not in (key, "batch")]
-    newest = rows.groupBy(key).agg(F.max_by(F.struct(*fields), F.col("batch").cast("long")).alias("_r"))
-    return newest.select(key, *[F.col(f"_r.`{c}`").alias(c) for c in fields])
+    return _newest(_read(spark, path, state["folders"], buckets if state["bucketed"] else None), key).drop("_batch")
+
+
+def compact(spark: SparkSession, path: str, key: str) -> None:
+    """Merge a store's batches to one, with the latest row of each key; batches that come meanwhile stay beside it.
+
+    What was merged is removed when the next merge is done, for readers that began before.
+    """
+    state = commits.read(spark, path)[1]
+    if not state or len(state["folders"]) < 2:
+        return
+    merged = state["folders"]
+    name = "merged-" + _write(_newest(_read(spark, path, merged), key), f"{path}/tmp", key, state["bucketed"])
+    source = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/tmp/{name.removeprefix('merged-')}")
+    fs = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.rename(source, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"))
+    gone: list[str] = []
+
+    def change(now: dict | None) -> dict | None:
+        gone[:] = []
+        if any(f not in now["folders"] for f in merged):
+            return None  # another merge came first
+        gone[:] = now.get("old", [])
+        rest = [f for f in now["folders"] if f not in merged]
+        return now | {"folders": [[max(n for n, _ in merged), name], *rest], "old": [f for _, f in merged]}
+
+    after = commits.update(spark, path, change)
+    for folder in gone if any(f == name for _, f in after["folders"]) else [name]:
+        delete(spark, f"{path}/{folder}")
 
 
 def upsert_vectors(spark: SparkSession, path: str, new: DataFrame, key: str = "chunk_id", vector: str = "embedding", batch: int | None = None, recreate: bool = False) -> DataFrame:
@@ -282,6 +409,11 @@ def read_rankings(spark: SparkSession, path: str, config: str | None = None, que
     return found if query is None else found.where(F.col("query_id") == query)
 
 
+def signatures(**parts: Column) -> Column:
+    """As signature, of columns, row by row."""
+    return F.sha2(F.to_json(F.struct(*[parts[name].alias(name) for name in sorted(parts)]), {"ignoreNullFields": "false"}), 256)
+
+
 def signature(parts: dict[str, object]) -> str:
     """A hash of a run's inputs, the same for equal inputs in whatever order."""
     return hashlib.sha256(json.dumps(parts, sort_keys=True, default=str, separators=(",", ":")).encode()).hexdigest()

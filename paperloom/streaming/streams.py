@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text as T
-from ..operators.state import fold_registry
+from ..operators import state
 from ..sources import stores
 
 
@@ -67,29 +67,38 @@ def answers_batch(tokens: DataFrame) -> DataFrame:
 
 
 def registry_sink(log_path: str, view_path: str):
-    """A foreachBatch function: appends events to a log, and folds them into the view of the records that they touch.
-
-    A batch that is delivered again overwrites its own part of the log. The view
-    is kept in batches too: each holds the new state of the keys that a batch of
-    events touched, folded from all events of these keys, and the newest of a
-    key counts (``registry_view``). So a batch costs by what it touches, and a reader
-    never sees half of one.
+    """A foreachBatch function: appends events to a log, and adds them to the view of the records that they touch.
+
+    The view is a store of the fold's states (``state.registry_states``), its keys
+    dealt to folders. A batch is folded by itself, and merged with what the view
+    has for its keys, of which only the folders are read that hold any: no older
+    event is read again, and batches may come in any order. A batch that is
+    delivered again overwrites its own part of the log, and is left out of the
+    view; a reader never sees half of one.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         number = batch_id + 1
-        batch.write.mode("overwrite").parquet(f"{log_path}/batch={number}")
-        touched = spark.read.parquet(f"{log_path}/batch={number}").select("canonical_id").distinct()
-        log = spark.read.option("basePath", log_path).parquet(*[f"{log_path}/batch={b}" for b in stores.batches(spark, log_path) if b <= number]).drop("batch")
-        stores.upsert(fold_registry(log.join(touched, "canonical_id", "left_semi")), view_path, "canonical_id", number)
+        log = f"{log_path}/batch={number}"
+        batch.write.mode("overwrite").parquet(log)
+        if number in stores.batches(spark, view_path):
+            return
+        new = state.registry_states(spark.read.schema(batch.schema).parquet(log))
+        touched = [r[0] for r in new.select(stores.bucket_of("canonical_id")).distinct().collect()]  # as many as there are folders, at most
+        before = stores.latest(spark, view_path, "canonical_id", touched)
+        if before is not None:
+            kept = before.join(new.select("canonical_id"), "canonical_id", "left_semi")
+            new = state.merge_registry(new.unionByName(kept))
+        stores.upsert(new, view_path, "canonical_id", number, bucketed=True)
 
     return write
 
 
 def registry_view(spark: SparkSession, view_path: str) -> DataFrame | None:
     """The registry as the sink has it now; None before its first batch."""
-    return stores.latest(spark, view_path, "canonical_id")
+    states = stores.latest(spark, view_path, "canonical_id")
+    return None if states is None else state.registry_records(states)
 
 
 def latency_windows(events: DataFrame, size: str = "1 minute", late: str = "10 minutes", ts: str = "ts", value: str = "value", by: str = "event_type") -> DataFrame:

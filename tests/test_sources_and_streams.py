@@ -1,11 +1,15 @@
 import json
+import re
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
+from paperloom.operators import documents, index, lexical
+from paperloom.operators.state import fold_registry
 from paperloom.plans import generation, retrieval
-from paperloom.sources import discovery, stores
+from paperloom.sources import commits, discovery, stores
 from paperloom.streaming import streams
 
 
@@ -124,7 +128,7 @@ class Fails:
         raise RuntimeError("down")
 
 
-def test_providers_with_injected_transports():
+def test_providers_with_injected_transports(spark):
     feed = b"""<feed xmlns="http://www.w3.org/2005/Atom"><entry><id>http://arxiv.org/abs/2101.00001v2</id><title> A
       title</title><author><name>Ann</name></author><category term="cs.CL"/><link title="pdf" href="http://p"/></entry></feed>"""
     asked = []
@@ -141,10 +145,12 @@ def test_providers_with_injected_transports():
         calls.append(arguments)
         return {"content": [{"text": "see 2101.00002" if len(calls) == 2 else "none"}]}
 
-    server = discovery.ToolServer(tool)
-    assert server.search("deep learning")[0]["arxiv_id"] == "2101.00002" and len(server.tried) == 2
+    server = discovery.ToolServer(tool, discovery.planned(spark, ["deep learning", "seismic waves", "x"], plan=lambda q, level: [{"keywords": [q], "question": "?", "difficulty": level}] * 3 if q == "x" else None))
+    assert server.search("deep learning")[0]["arxiv_id"] == "2101.00002" and len(calls) == 2
+    assert [c["keywords"] for c in calls] == [["deep learning", "deep", "learning"], ["deep learning", "deep", "learning"]] and [c["difficulty"] for c in calls] == [5, 7]
+    assert [s["keywords"][0] for s in server.arguments["seismic waves"]] == ["seismic", "earthquake detection", "seismic waves"] and len(server.arguments["x"]) == 3
     with pytest.raises(ValueError):
-        discovery.ToolServer(lambda name, arguments: {}).search("x")
+        discovery.ToolServer(lambda name, arguments: {}, server.arguments).search("x")
     for bad in (lambda: arxiv.search(" "), lambda: arxiv.search("x", 0), lambda: discovery.build_discovery("nowhere"), lambda: discovery.build_discovery("auto"), lambda: discovery.Remote().search("q")):
         with pytest.raises(ValueError):
             bad()
@@ -216,3 +222,164 @@ def test_unknown_plans_and_options():
     for bad in ({"": "x"}, {"a": []}, {"a": [" "]}):
         with pytest.raises(ValueError):
             T.checked_expansions(bad)
+
+
+def test_batches_of_two_writers_both_count_and_lost_races_are_tried_again(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = f"file://{tmp_path}/store"
+    rows = [spark.createDataFrame([("k", i), (f"own{i}", i)], "key string, n int") for i in range(6)]
+    with ThreadPoolExecutor(6) as pool:
+        numbers = list(pool.map(lambda r: stores.upsert(r, path, "key"), rows))
+    assert sorted(numbers) == stores.batches(spark, path) == [1, 2, 3, 4, 5, 6]
+    got = {r["key"]: r["n"] for r in stores.latest(spark, path, "key").collect()}
+    assert {k: v for k, v in got.items() if k != "k"} == {f"own{i}": i for i in range(6)} and got["k"] in range(6)
+    # A state that a lost writer left half written is passed over.
+    number, state = commits.read(spark, path)
+    (tmp_path / f"store/_commits/{number + 1:09d}.json").write_text('{"folders": [')
+    assert commits.read(spark, path) == (number, state)
+    with pytest.raises(commits.Conflict):
+        commits.write(spark, path, number, state)
+
+
+@pytest.mark.parametrize("bucketed", [False, True])
+def test_merged_batches_hold_what_they_held(spark, tmp_path, monkeypatch, bucketed):
+    monkeypatch.setattr(stores, "MERGE_AFTER", 3)
+    path = f"file://{tmp_path}/store"
+    want = {}
+    for i in range(8):
+        new = {f"k{j % 5}": f"v{i}" for j in range(i, i + 3)}
+        want |= new
+        stores.upsert(spark.createDataFrame(list(new.items()), "key string, v string"), path, "key", batch=100 - i, bucketed=bucketed)
+    assert {r["key"]: r["v"] for r in stores.latest(spark, path, "key").collect()} == want
+    state = commits.read(spark, path)[1]
+    assert len(state["folders"]) <= 4 and any(name.startswith("merged-") for _, name in state["folders"]) and state["done"] == [[93, 100]]
+    stores.upsert(spark.createDataFrame([("k0", "again")], "key string, v string"), path, "key", batch=97)  # delivered before
+    stores.compact(spark, path, "key")
+    assert {r["key"]: r["v"] for r in stores.latest(spark, path, "key").collect()} == want
+    folders = {p.name for p in (tmp_path / "store").iterdir() if p.name.startswith(("data-", "merged-"))}
+    now = commits.read(spark, path)[1]
+    assert folders == {name for _, name in now["folders"]} | set(now["old"])
+
+
+def test_registry_of_shuffled_and_repeated_batches_reads_no_older_events(spark, tmp_path):
+    import random
+    import shutil
+
+    rng = random.Random(7)
+    schema = "canonical_id string, seq long, version int, status string, path string, error string"
+    events = [(f"p{rng.randrange(6)}", i, rng.choice([1, 1, 2, 3, None]), rng.choice(["downloading", "failed", None]), rng.choice([None, f"f{i}"]), rng.choice([None, f"e{i}"])) for i in range(120)]
+    batches = [events[k::5] for k in range(5)]
+    sink = streams.registry_sink(str(tmp_path / "log"), str(tmp_path / "view"))
+    for number in (3, 0, 4, 0, 2, 1, 4):
+        sink(spark.createDataFrame(batches[number], schema), number)
+        shutil.rmtree(tmp_path / "log")  # what was folded is not needed again
+    got = sorted(map(tuple, streams.registry_view(spark, str(tmp_path / "view")).collect()))
+    assert got == sorted(map(tuple, fold_registry(spark.createDataFrame(events, schema)).collect()))
+
+
+def test_answers_are_made_once_whatever_is_lost(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    class Model:
+        def complete(self, system, user):
+            (calls / uuid.uuid4().hex).write_text(user)
+            if user == "bad":
+                raise ValueError("no")
+            return f"{user} {uuid.uuid4().hex}"  # another answer each time
+
+    prompts = spark.createDataFrame([(i, "s", f"u{i % 4}") for i in range(12)] + [(99, "s", "bad")], "query_id long, system string, user string")
+    ledger = f"file://{tmp_path}/ledger"
+    first = {r["query_id"]: r["answer"] for r in generation.once(prompts, Model, "query_id", ledger, "m").collect()}
+    asked = sorted(p.read_text() for p in calls.iterdir())
+    assert asked == ["bad", "u0", "u1", "u2", "u3"] and first[0] == first[4] == first[8] and first[99] is None
+    spark.catalog.clearCache()
+    again = {r["query_id"]: r["answer"] for r in generation.once(prompts, Model, "query_id", ledger, "m").collect()}
+    assert again == first and len(list(calls.iterdir())) == 6  # the failed call is tried again, no other
+
+
+# ---- the stored index -----------------------------------------------------------
+
+
+def test_search_of_the_index_is_that_of_the_documents(spark, tmp_path):
+    import random
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choices(words, [1 / (i + 1) for i in range(60)], k=rng.randint(1, 40))) for _ in range(400)]
+    docs = spark.createDataFrame([(f"c{i}", t) for i, t in enumerate(texts)] + [("blank", " "), ("none", None), (None, "w1 w2")], "chunk_id string, text string")
+    queries = spark.createDataFrame([(i, " ".join(rng.choices(words, k=n))) for i, n in enumerate([1, 2, 3, 5, 20])] + [(98, "unheard"), (99, None)], "query_id long, text string")
+    path = f"file://{tmp_path}/index"
+    assert index.search(queries, path, 5).count() == 0
+    i = F.regexp_extract("chunk_id", r"\d+", 0).try_cast("int")
+    index.append(docs.where(i % 3 == 0), path, block_docs=8)
+    index.append(docs.where((i % 3 > 0) | (i % 6 == 0)), path, block_docs=8)  # some are there already
+    index.append(docs.where("chunk_id IN ('blank', 'none') OR chunk_id IS NULL"), path)  # nothing new
+    whole = f"file://{tmp_path}/whole"
+    index.append(docs, whole, block_docs=8)
+    known = docs.where("chunk_id IS NOT NULL")
+    for k in (1, 7, 1000):
+        want = sorted(map(tuple, lexical.search(queries, known, k, key="chunk_id").collect()))
+        assert sorted(map(tuple, index.search(queries, path, k).collect())) == want == sorted(map(tuple, index.search(queries, whole, k).collect()))
+    assert commits.read(spark, path)[1]["sums"] == pytest.approx(commits.read(spark, whole)[1]["sums"])
+    merged = index.merge(spark, path)
+    assert len(merged["segments"]) == 1 and sorted(map(tuple, index.search(queries, path, 7).collect())) == sorted(map(tuple, lexical.search(queries, known, 7, key="chunk_id").collect()))
+
+
+def test_blocks_that_cannot_reach_the_best_are_not_opened(spark, tmp_path):
+    # A term that is frequent in a few documents, and stands once in very many longer ones.
+    rows = [(i, "rare rare rare rare x") for i in range(12)] + [(100 + i, "rare " + "y z " * 40) for i in range(800)] + [(1000 + i, f"other words here {i}") for i in range(2400)]
+    docs = spark.createDataFrame(rows, "chunk_id long, text string")
+    path = f"file://{tmp_path}/index"
+    index.append(docs, path, block_docs=16)
+    queries = spark.createDataFrame([(1, "rare")], "query_id long, text string")
+    got = index.opened(queries, path, 5).agg(F.count("*").alias("n"), F.count_if("open").alias("open")).first()
+    assert got["n"] > 50 and got["open"] <= 8
+    assert sorted(map(tuple, index.search(queries, path, 5).collect())) == sorted(map(tuple, lexical.search(queries, docs, 5, key="chunk_id").collect()))
+    # Of the folders of terms, only the query's is scanned.
+    plan = index._plan(queries, path, "query_id", T.technical_tokens)[1]._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [folder" in plan.replace("\n", "")
+
+
+def test_index_writers_that_meet_are_told(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/index"
+    docs = spark.createDataFrame([(1, "a b"), (2, "b c")], "chunk_id long, text string")
+    index.append(docs.where("chunk_id = 1"), path)
+    read = commits.read
+
+    def late(spark_, path_):
+        got = read(spark_, path_)
+        if not late.done:
+            late.done = True
+            index.append(docs.where("chunk_id = 2"), path)
+        return got
+
+    late.done = False
+    monkeypatch.setattr(commits, "read", late)
+    with pytest.raises(commits.Conflict):
+        index.append(docs, path)
+    assert commits.read(spark, path)[1]["sums"]["n"] == 2
+
+
+# ---- cleaning and windows ---------------------------------------------------------
+
+
+def test_cleaning_keeps_control_characters_and_knows_all_white_space(spark):
+    rows = [
+        ("see https://a.b/c\u00a0and the", "see and the"), ("ab-\u00a0\ncd", "abcd"), ("a\x01b\x02c", "a\x01b\x02c"), (r"\emph{\alpha x} \alpha \b{} z", "\\alpha x  z"), ("x\n\u3000\u0663\u2003\ny", "x\n\ny"),
+        (r"\cmd{a}\cmd*{b}\\c", "ab c"), ("", ""), (None, ""),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, t string")
+    got = [r["c"] for r in df.select("i", documents.clean_text("t").alias("c")).orderBy("i").collect()]
+    want = []
+    W = "\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+    for t, _ in rows:  # the rule, by Python's expressions
+        t = re.sub(r"(\w)-\s*\n\s*(\w)", r"\1\2", (t or "").replace("\0", " "))
+        t = re.sub(r"(?m)^\s*\d+\s*$", "", t)
+        t = re.sub(rf"\\(?:[a-zA-Z]+\*?|.)[{W}]*(?:\{{([^{{}}]*)\}})?", lambda m: m[1] or " ", t)
+        t = re.sub(r"https?://\S+", " ", t)
+        t = "\n".join(x.strip() for x in t.splitlines())
+        t = re.sub(r"(?<![.!?:;])\n(?!\n)", " ", t)
+        want.append(re.sub(r"[ \t]{2,}", " ", re.sub(r"\n{3,}", "\n\n", t)).strip())
+    assert got == want

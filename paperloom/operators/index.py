@@ -116,8 +116,9 @@ def append(docs: DataFrame, path: str, key: str = "chunk_id", text: str = "text"
         known = spark.read.parquet(*[f"{path}/{s['name']}/keys" for s in state["segments"]])
         new = new.join(known.withColumnRenamed("key", key), key, "left_anti")
     name = f"segment-{uuid.uuid4().hex}"
-    _store(_blocks(new, key, text, tokenizer, block_docs), f"{path}/{name}/postings")
-    stored = spark.read.parquet(f"{path}/{name}/postings")
+    made = _blocks(new, key, text, tokenizer, block_docs)
+    _store(made, f"{path}/{name}/postings")
+    stored = spark.read.schema(made.schema).parquet(f"{path}/{name}/postings")
     counts = stored.groupBy("term").agg(F.sum(F.size("keys")).cast("long").alias("df"))
     counts.write.parquet(f"{path}/{name}/terms")
     # A document's length stands beside each of its postings: they add up by one over tf.
@@ -125,6 +126,9 @@ def append(docs: DataFrame, path: str, key: str = "chunk_id", text: str = "text"
     lengths.write.parquet(f"{path}/{name}/keys")
     total = spark.read.parquet(f"{path}/{name}/keys").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).first()
     segment = {"name": name, "n": total["n"], "tokens": total["tokens"]}
+    if not segment["n"]:  # nothing new
+        stores.delete(spark, f"{path}/{name}")
+        return state or {"segments": [], "sums": {"n": 0, "tokens": 0, "floor": 0.0}, "old": []}
 
     def change(now: dict | None) -> dict:
         if (now or {}).get("segments", []) != (state or {}).get("segments", []):
@@ -213,16 +217,15 @@ def _opened(queries: DataFrame, path: str, k: int, query_key: str, tokenizer: Ca
     avgdl = sums["tokens"] / sums["n"]
     # A document may lack the term, so one of negative weight adds nothing at most.
     most = F.greatest(F.col("w") * _impact(F.col("tf"), F.col("dl"), avgdl), F.lit(0.0))
-    bounds = postings.select("term", "block", "tf", "dl", F.size("keys").alias("n")).join(weighted, "term")
-    bounds = stores.kept(bounds.groupBy("q", "block").agg(F.sum(most).alias("bound"), F.max("n").alias("n")), "block-bounds")
-    # The first blocks of a query are those that together have k documents with some term of it.
+    bounds = postings.select("term", "block", "tf", "dl").join(weighted, "term")
+    bounds = stores.kept(bounds.groupBy("q", "block").agg(F.sum(most).alias("bound")), "block-bounds")
+    # The first are the k blocks of the highest bounds: in most of them some document comes near.
     w = Window.partitionBy("q").orderBy(F.desc("bound"), "block")
-    ordered = bounds.withColumn("before", F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    first = ordered.where(F.col("before") < k).select("q", "block")
+    first = bounds.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("q", "block")
     found = stores.kept(_scored(first, weighted, postings, avgdl, digits), "first-scores")
     reached = _best(found, k).where(F.col("rank") == k).select("q", F.col("score").alias("least"))
     # Half a digit of rounding, and the order in which sums are added, may lift a score.
-    slack = 10.0 ** -digits
+    slack = 10.0**-digits
     marked = bounds.join(first.withColumn("first", F.lit(True)), ["q", "block"], "left").join(reached, "q", "left")
     first_ = F.coalesce("first", F.lit(False))
     can = F.col("least").isNull() | (F.col("bound") + slack >= F.col("least"))

@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
+from ..sources import stores
 
 # The defaults of the Okapi variant.
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Weighted (query, term) pairs that are broadcast at once, some 100 bytes each; and documents scored at once.
-MAX_PAIRS, STRIP = 1_000_000, 256
+#: Weighted (query, term) pairs that are broadcast at once, some 100 bytes each; queries at once; and scores (of a query and a document) that a task holds at once.
+MAX_PAIRS, MAX_QUERIES, MAX_SCORES = 1_000_000, 16_384, 1 << 22
 
 
 def has_text(c: Column | str) -> Column:
@@ -91,7 +92,7 @@ def search(
     """(query_key, key, score, rank): the k best documents of each query; ties by key. Keys may be of any type.
 
     Weighted query terms are broadcast, in blocks of bounded size, to the scan of
-    the documents. A document is scored where it lies, and a task passes on little
+    the documents, one block after the other. A document is scored where it lies, and a task passes on little
     more than its own k best a query: pairs that share a common word, nearly
     all, are neither joined nor shuffled, and no term is a hot key.
     """
@@ -100,19 +101,21 @@ def search(
     # The vocabulary is read three times, by each in other columns, and counted once.
     weighted = term_stats(vocab).join(terms, "term").join(F.broadcast(corpus_stats(vocab)))
     weighted = weighted.select("q", "term", (F.col("qf") * F.col("idf")).alias("w"), "avgdl").persist()
-    blocks = max(1, -(-weighted.count() // MAX_PAIRS))
+    size = weighted.agg(F.count("*").alias("pairs"), F.count_distinct("q").alias("queries")).first()
+    blocks = max(1, -(-size["pairs"] // MAX_PAIRS), -(-size["queries"] // MAX_QUERIES))
     vocab.unpersist()
     rows = spread(docs.select(key, text)).where(has_text(text)).select(F.col(key).alias("key"), tokenizer(text).alias("t"))
     ddl = f"q {weighted.schema['q'].dataType.simpleString()}, key {rows.schema['key'].dataType.simpleString()}, score double"
     lots = [weighted if blocks == 1 else weighted.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b) for b in range(blocks)]
-    found = reduce(DataFrame.unionByName, [_block_search(rows, lot, ddl, k, digits, threshold) for lot in lots])
+    # What a block finds is written down before the next is asked, so the driver holds one at a time.
+    found = reduce(DataFrame.unionByName, [_block_search(rows, lot, ddl, k, digits, threshold, write=blocks > 1) for lot in lots])
     weighted.unpersist()
     w = Window.partitionBy("q").orderBy(F.desc("score"), "key")
     ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select(F.col("q").alias(query_key), F.col("key").alias(key), "score", "rank")
 
 
-def _block_search(rows: DataFrame, weighted: DataFrame, ddl: str, k: int, digits: int, threshold: float | None) -> DataFrame:
+def _block_search(rows: DataFrame, weighted: DataFrame, ddl: str, k: int, digits: int, threshold: float | None, write: bool) -> DataFrame:
     """Candidates (q, key, score) for one block of queries: among them each query's k best documents."""
     pairs = weighted.collect()  # no more than a block
     avgdl = pairs[0]["avgdl"] if pairs else 1.0
@@ -129,9 +132,10 @@ def _block_search(rows: DataFrame, weighted: DataFrame, ddl: str, k: int, digits
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, terms = shared.value
         names, floor, n = pa.array(ids, arrow), np.full(len(ids), -np.inf), len(ids)
+        strip = max(1, min(256, MAX_SCORES // max(n, 1)))
         for whole in batches:
-            for start in range(0, whole.num_rows if n else 0, STRIP):
-                batch = whole.slice(start, STRIP)
+            for start in range(0, whole.num_rows if n else 0, strip):
+                batch = whole.slice(start, strip)
                 places, parts = [], []
                 for j, tokens in enumerate(batch.column(1).to_pylist()):
                     norm = K1 * (1 - B + B * len(tokens) / avgdl)
@@ -158,7 +162,11 @@ def _block_search(rows: DataFrame, weighted: DataFrame, ddl: str, k: int, digits
                 if len(q):
                     yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), batch.column(0).take(pa.array(j)), pa.array(score[q, j])], names=["q", "key", "score"])
 
-    return rows.mapInArrow(run, ddl)
+    found = rows.mapInArrow(run, ddl)
+    if write:
+        found = stores.kept(found, "candidates")
+        shared.destroy()
+    return found
 
 
 def top_k(scored: DataFrame, k: int, group: str = "query_id", key: str = "doc_id", score: str = "score", digits: int = 6, threshold: float | None = None) -> DataFrame:

@@ -446,7 +446,10 @@ def _(spark, sf):
     return lexical.postings(table(spark, sf, "documents")).groupBy("doc_id").agg(F.count("*").alias("terms"), F.sum("tf").alias("dl"))
 
 
-@query("a02_term_stats", f"WITH {BM25_SQL.split(',' + chr(10) + 'qt AS')[0]} SELECT term, df, round(idf, 6) AS idf FROM idf")
+@query("a02_term_stats", f"""
+WITH tok AS MATERIALIZED (SELECT list_distinct({tokens_sql('text')}) AS t FROM documents WHERE length(trim(coalesce(text, ''))) > 0), n AS MATERIALIZED (SELECT count(*) AS n FROM tok),
+df AS MATERIALIZED (SELECT term, count(*) AS df FROM (SELECT unnest(t) AS term FROM tok) GROUP BY term), raw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM df, n), low AS MATERIALIZED (SELECT 0.25::DOUBLE * avg(raw) AS low FROM raw)
+SELECT term, df, round(CASE WHEN raw < 0 THEN low ELSE raw END, 6) AS idf FROM raw, low""")
 def _(spark, sf):
     docs = table(spark, sf, "documents")
     return lexical.term_stats(lexical.vocabulary(docs)).select("term", "df", F.round("idf", 6).alias("idf"))

@@ -103,7 +103,8 @@ def _named(chunks: DataFrame, parts: int, min_count: int, name: str) -> DataFram
     """
     rows = chunks.select("chunk", F.posexplode(F.arrays_zip("left", "right", "counts")).alias("code", "pair"))
     rows = rows.select("pair.left", "pair.right", "chunk", "code", F.col("pair.counts").alias("n"))
-    ordered = rows.repartition(parts, "left", "right").sortWithinPartitions("left", "right")
+    # A hash in front makes nearly all comparisons those of one number; rows of a pair are together in any order.
+    ordered = rows.repartition(parts, "left", "right").sortWithinPartitions(F.xxhash64("left", "right"), "left", "right")
     kind = chunks.schema["left"].dataType.elementType.simpleString()
     schema = f"kind int, id long, left {kind}, right {kind}, total long, chunk long, code int"
 

@@ -143,18 +143,16 @@ def once(rows: DataFrame, make: Callable[[], LLMBackend], key: str, ledger: str,
 
     A call is what it asks, and of which model; rows that ask the same share one
     answer, and one that the ledger has is not asked again, by this run or a later
-    one. Failed calls are told, but not kept: a later run asks them again.
+    one. Failed calls are told, and asked again by a later run.
     """
     spark = rows.sparkSession
     asked = rows.select(key, F.coalesce(F.col(system), F.lit("")).alias("system"), F.coalesce(F.col(user), F.lit("")).alias("user"))
     asked = asked.withColumn("call", F.sha2(F.to_json(F.struct(F.lit(model).alias("model"), "system", "user")), 256))
     known = stores.latest(spark, ledger, "call")
     todo = asked.dropDuplicates(["call"])
-    todo = todo if known is None else todo.join(known.select("call"), "call", "left_anti")
-    made = stores.kept(completed(todo, make, "call"), "calls")
-    stores.upsert(made.where("error IS NULL"), ledger, "call")
-    answers = stores.latest(spark, ledger, "call").unionByName(made.where("error IS NOT NULL"))
-    return asked.select(key, "call").join(answers, "call").drop("call")
+    todo = todo if known is None else todo.join(known.where("error IS NULL").select("call"), "call", "left_anti")
+    stores.upsert(completed(todo, make, "call"), ledger, "call")
+    return asked.select(key, "call").join(stores.latest(spark, ledger, "call"), "call").drop("call")
 
 
 def formatted(answered: DataFrame, assembled: DataFrame, key: str = "query_id") -> DataFrame:

@@ -30,6 +30,8 @@ BLOCK_BYTES = 8192
 LEVEL, MIN_MATCH = 9, 4
 #: Share of the second-best size below which a win is too narrow to keep.
 MIN_MARGIN = 0.005
+#: Labels that a model may have.
+MAX_LABELS = 1024
 #: A difference of so many bytes multiplies the odds by e.
 BYTES_PER_NAT = 8.0
 
@@ -52,26 +54,29 @@ def fit(
     sample_rows: int = 512,
     row_chars: int = 512,
     dictionary_bytes: int = 131072,
-    max_languages: int = 1024,
+    max_languages: int | None = None,
 ) -> LanguageModel:
     """Dictionaries from a bounded sample of the labelled rows.
 
     The bound: about ``sample_rows`` distinct rows of each language, and never
-    more than twice as many, chosen by a hash of ``order_key`` and text, and of
-    each a stretch of ``row_chars`` characters that starts wherever the hash says,
-    taken in the hash's order until a language has ``dictionary_bytes`` bytes.
-    Executors take the sample, so that repeated rows, or rows that share a key or
-    have none, reach the driver once at most. Rows with a null text or label, or
-    without letters, teach nothing. More than ``max_languages`` labels are an error.
+    more than twice as many, chosen by a hash of ``order_key``, or of the text where
+    that is null, and of each a stretch of ``row_chars`` characters that starts
+    wherever the hash says, taken in the hash's order until a language has
+    ``dictionary_bytes`` bytes. Executors take the sample; of rows that share a key,
+    or a text without key, one at most is in it. Rows with a null text or label, or
+    without letters, teach nothing. With ``max_languages`` only the labels with most
+    rows are learned (of as many, the first in order); without it, all are, and more
+    than MAX_LABELS are an error, as their dictionaries would not fit a worker.
     """
     rows = labelled.select(
-        F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(order_key), F.col(text)).alias("h")
+        F.col(text).alias("text"), F.col(lang).alias("lang"), F.when(F.col(order_key).isNull(), F.xxhash64(F.col(text))).otherwise(F.xxhash64(F.col(order_key))).alias("h")
     ).where("lang IS NOT NULL AND text IS NOT NULL")
-    found = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).limit(max_languages + 1).collect()
+    found = rows.groupBy("lang").agg(F.count("*").alias("rows"), F.approx_count_distinct("h").alias("n"))
+    found = (found.limit(MAX_LABELS + 1) if max_languages is None else found.orderBy(F.desc("rows"), "lang").limit(max_languages)).collect()
     if not found:
         return LanguageModel((), ())
-    if len(found) > max_languages:
-        raise ValueError(f"more than {max_languages} labels")
+    if len(found) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labels")
     scale = 1 << 30
     spark = labelled.sparkSession
     limits = [(r["lang"], min(scale, math.ceil(scale * sample_rows / max(r["n"], 1)))) for r in found]

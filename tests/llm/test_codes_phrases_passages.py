@@ -217,7 +217,7 @@ def test_index_against_plain_search():
 # ---- bounds of the others ---------------------------------------------------
 
 
-def test_language_sample_is_bounded_when_keys_are_null_or_repeated(spark):
+def test_language_sample_is_bounded_when_keys_are_null_or_repeated(spark, monkeypatch):
     rows = [(None if i % 2 else 3, f"the word {i % 700} of many", "en") for i in range(6000)] + [(i, f"le mot {i}", "fr") for i in range(200)] + [(None, "same", "de")] * 3000
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     sizes = []
@@ -229,8 +229,9 @@ def test_language_sample_is_bounded_when_keys_are_null_or_repeated(spark):
         type(df).collect = collect
     assert max(sizes) <= 3 * 2 * 50 and model.languages == ("de", "en", "fr")
     assert len({line for line in model.dictionaries[1].split(b"\n") if line}) > 1
+    monkeypatch.setattr(langid, "MAX_LABELS", 2)
     with pytest.raises(ValueError):
-        langid.fit(df, max_languages=2)
+        langid.fit(df)
 
 
 def test_rows_of_one_key_are_split_among_token_files(spark):

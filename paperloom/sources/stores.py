@@ -38,11 +38,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _local: list[str] = []
+#: Paths that new_path gave, in order, and that nothing has removed yet.
+_made: list[str] = []
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other call returns."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that no other call returns, for what a plan writes on its way."""
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def drop_kept(spark: SparkSession) -> None:
+    """Remove what plans wrote on their way; results that still read it are lost, so this is for when those are written or used up."""
+    while _made:
+        delete(spark, _made.pop())
 
 
 def kept(rows: DataFrame, name: str) -> DataFrame:

@@ -383,3 +383,12 @@ def test_cleaning_keeps_control_characters_and_knows_all_white_space(spark):
         t = re.sub(r"(?<![.!?:;])\n(?!\n)", " ", t)
         want.append(re.sub(r"[ \t]{2,}", " ", re.sub(r"\n{3,}", "\n\n", t)).strip())
     assert got == want
+
+
+def test_what_plans_wrote_on_their_way_is_removed(spark):
+    stores.drop_kept(spark)
+    kept = stores.kept(spark.range(3), "some")
+    path = stores._made[0]
+    assert kept.count() == 3 and stores.exists(spark, path)
+    stores.drop_kept(spark)
+    assert not stores.exists(spark, path) and not stores._made

@@ -14,7 +14,9 @@ HEADING = r"(?i)^\s*(?:references|bibliography|works cited|literature cited)\s*$
 MARKER, CUT = r"^(?:\[\d+\]|\d{1,3}[.)])\s+", r"(?<!\S)(?=(?:\[\d+\]|\d{1,3}[.)])\s)"
 AUTHOR_START = r"^[A-Z][A-Za-z'’\-]+,\s+(?:[A-Z](?:\.|\b)|[A-Z][a-z]+)"
 YEAR, URL = r"(?<!\d)(?:\(|\b)(19\d{2}|20\d{2})(?:\)|\b)", r"(?i)https?://[^\s<>]+"
-QUOTED, IDENTIFIED, BARE_YEAR = r"[\"“](.+?)[\"”]", r"(?i)(?:doi\s*:|https?://|arXiv\s*:)", r"\(?(?:19|20)\d{2}\)?"
+QUOTED, IDENTIFIED = r"[\"“](.+?)[\"”]", r"(?i)(?:doi\s*:|https?://|arXiv\s*:)"
+#: Of years that control characters mark: one in parentheses, one that ends a sentence, any.
+YEAR_IN_PARENTHESES, YEAR_ENDING, YEAR_ANYWHERE = "(?<=\\()\1\\d{4}\2(?=\\))", "\1\\d{4}\2(?=\\.(?:\\s|$)|\\s*$)", "\1\\d{4}\2"
 AND = r"\s+(?:and|&)\s+|\s*;\s*"
 SHORT_LINE = 80
 
@@ -90,43 +92,77 @@ def entries(c: Column | str) -> Column:
     return F.filter(let(lines(c), cut), is_substantive)
 
 
+def _year_marked(body: Column) -> Column:
+    """A body with control characters around each year that is no part of a DOI, an arXiv id or an address."""
+    return F.replace(F.regexp_replace(body, rf"((?i:{T.DOI}|{T.ARXIV}|{URL}))|(?<!\d)\b((?:19|20)\d{{2}})\b", "$1\1$4\2"), F.lit("\1\2"), F.lit(""))
+
+
+def _around_year(marked: Column) -> Column:
+    """What stands before and behind the year of an entry; one text if there is none.
+
+    A year in parentheses counts first, then one that ends a sentence, then any.
+    """
+    cut = F.split(marked, YEAR_ANYWHERE, 2)
+    for better in (YEAR_ENDING, YEAR_IN_PARENTHESES):
+        cut = F.when(marked.rlike(better), F.split(marked, better, 2)).otherwise(cut)
+    return F.transform(cut, lambda x: F.translate(x, "\1\2", ""))
+
+
 def parse(c: Column | str) -> Column:
-    """One entry as a struct: what it names, guesses of title, authors and venue, and a confidence by how much it names."""
-    raw = T.squeezed(F.coalesce(T._col(c), F.lit("")))
+    """One entry as a struct: what it names, guesses of title, authors and venue, and a confidence by how much it names.
+
+    Digits of a DOI, an arXiv id or an address are no year.
+    """
+    def of(raw: Column) -> Column:
+        return let(F.translate(F.regexp_replace(raw, MARKER, ""), "\1\2", ""), lambda body: let(_around_year(_year_marked(body)), lambda around: let(_title(body), lambda title: _parsed(raw, body, around, title))))
+
+    return let(T.squeezed(F.coalesce(T._col(c), F.lit(""))), of)
+
+
+def _found(text: Column, pattern: str, group: int) -> Column:
+    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
-    def found(text: Column, pattern: str, group: int) -> Column:
-        return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
-    number = F.coalesce(found(raw, r"^\[(\d+)\]\s", 1), found(raw, r"^(\d{1,3})[.)]\s", 1)).cast("int")
-    body = F.regexp_replace(raw, MARKER, "")
-    doi, arxiv = F.rtrim(found(body, T.DOI, 1), F.lit(".,;)")), found(body, T.ARXIV, 1)
-    url, year = F.rtrim(found(body, URL, 0), F.lit(".,;)")), found(body, YEAR, 1)
+def _title(body: Column) -> Column:
+    def of(quoted: Column) -> Column:
+        parts = F.filter(F.transform(F.split(body, r"\.\s+"), lambda x: F.trim(x)), lambda x: x != "")
+        named = F.transform(F.slice(parts, 2, 2), lambda x: F.btrim(F.regexp_replace(x, YEAR, ""), F.lit(" ,()")))
+        named = F.filter(named, lambda x: _words(x).between(3, 40) & ~F.lower(x).rlike("^(?:doi|http|arxiv)"))
+        return F.when(_words(quoted).between(2, 40), F.trim(quoted)).otherwise(F.try_element_at(named, F.lit(1)))
 
-    quoted = found(body, QUOTED, 1)
-    parts = F.filter(F.transform(F.split(body, r"\.\s+"), lambda x: F.trim(x)), lambda x: x != "")
-    named = F.transform(F.slice(parts, 2, 2), lambda x: F.btrim(F.regexp_replace(x, YEAR, ""), F.lit(" ,()")))
-    named = F.filter(named, lambda x: _words(x).between(3, 40) & ~F.lower(x).rlike("^(?:doi|http|arxiv)"))
-    title = F.when(_words(quoted).between(2, 40), F.trim(quoted)).otherwise(F.try_element_at(named, F.lit(1)))
+    return let(_found(body, QUOTED, 1), of)
 
+
+def _parsed(raw: Column, body: Column, around: Column, title: Column) -> Column:
+    number = F.coalesce(_found(raw, r"^\[(\d+)\]\s", 1), _found(raw, r"^(\d{1,3})[.)]\s", 1)).cast("int")
+    doi, arxiv = F.rtrim(_found(body, T.DOI, 1), F.lit(".,;)")), _found(body, T.ARXIV, 1)
+    url = F.rtrim(_found(body, URL, 0), F.lit(".,;)"))
+    dated, head = F.size(around) > 1, F.element_at(around, 1)
+    year = F.when(dated, F.substring(body, F.length(head) + 1, F.lit(4)))
     at = F.coalesce(F.instr(body, title), F.lit(0))
-    before = F.when(at > 0, F.substring(body, F.lit(1), at - 1)).otherwise(F.element_at(F.split(body, BARE_YEAR), 1))
-    before = F.btrim(before, F.lit(" .,;:"))
-    people = F.filter(F.split(before, AND), lambda x: _words(x).between(1, 10))
-    authors = F.when((before != "") & (_words(before) <= 35), F.slice(F.transform(people, lambda x: F.btrim(x, F.lit(" ,."))), 1, 20)).otherwise(F.array().cast("array<string>"))
-
-    tail = F.substring(body, at + F.length(title), F.length(body))
-    first_year = F.instr(tail, F.coalesce(year, F.lit("\0")))
-    tail = F.when(first_year > 0, F.concat(F.substring(tail, F.lit(1), first_year - 1), F.substring(tail, first_year + 4, F.length(tail)))).otherwise(tail)
-    venue = F.btrim(F.element_at(F.split(tail, IDENTIFIED), 1), F.lit(" .,:;()"))
-    venue = F.when((at > 0) & _words(venue).between(1, 20), venue)
-
-    signals = sum((c.isNotNull().cast("int") for c in (title, year, doi, arxiv, url)), (F.size(authors) > 0).cast("int"))
-    confidence = F.least(F.lit(0.95), 0.25 + 0.1 * signals + F.when(number.isNotNull(), 0.1).otherwise(0.0))
-    identity = F.coalesce(doi, arxiv, _plain(F.coalesce(title, raw)))
-    return F.struct(
-        F.substring(F.sha1(identity.cast("binary")), 1, 16).alias("citation_id"), raw.alias("raw"), title.alias("title"), authors.alias("authors"), year.cast("int").alias("year"), doi.alias("doi"),
-        arxiv.alias("arxiv_id"), url.alias("url"), venue.alias("venue"), number.alias("reference_number"), F.round(confidence, 4).alias("confidence"),
-    )
+
+    def people(before: Column) -> Column:
+        listed = F.filter(F.split(before, AND), lambda x: _words(x).between(1, 10))
+        none = F.array().cast("array<string>")
+        return F.when((before != "") & (_words(before) <= 35), F.slice(F.transform(listed, lambda x: F.btrim(x, F.lit(" ,."))), 1, 20)).otherwise(none)
+
+    before = F.when(at > 0, F.substring(body, F.lit(1), at - 1)).otherwise(F.regexp_replace(head, r"\($", ""))
+    authors = let(F.btrim(before, F.lit(" .,;:")), people)
+    behind = at + F.length(title)
+    tail = F.when(dated & (F.length(head) >= behind - 1), F.concat(F.substring(head, behind, F.length(head)), F.element_at(around, -1))).otherwise(F.substring(body, behind, F.length(body)))
+    venue = let(F.btrim(F.element_at(F.split(tail, IDENTIFIED), 1), F.lit(" .,:;()")), lambda x: F.when((at > 0) & _words(x).between(1, 20), x))
+
+    def whole(f: Column) -> Column:
+        signals = sum((f[x].isNotNull().cast("int") for x in ("title", "year", "doi", "arxiv", "url")), (F.size(f["authors"]) > 0).cast("int"))
+        confidence = F.least(F.lit(0.95), 0.25 + 0.1 * signals + F.when(f["number"].isNotNull(), 0.1).otherwise(0.0))
+        identity = F.coalesce(f["doi"], f["arxiv"], _plain(F.coalesce(f["title"], raw)))
+        return F.struct(
+            F.substring(F.sha1(identity.cast("binary")), 1, 16).alias("citation_id"), raw.alias("raw"), f["title"].alias("title"), f["authors"].alias("authors"), f["year"].alias("year"), f["doi"].alias("doi"),
+            f["arxiv"].alias("arxiv_id"), f["url"].alias("url"), f["venue"].alias("venue"), f["number"].alias("reference_number"), F.round(confidence, 4).alias("confidence"),
+        )
+
+    parts = F.struct(number.alias("number"), doi.alias("doi"), arxiv.alias("arxiv"), url.alias("url"), year.cast("int").alias("year"), title.alias("title"), authors.alias("authors"), venue.alias("venue"))
+    return let(parts, whole)
 
 
 def of_documents(docs: DataFrame, key: str, bibliography: Column) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
-from paperloom.operators import answers, dense, documents, entities, lexical, metrics, ranking, state, structured
+from paperloom.operators import answers, dense, documents, entities, lexical, metrics, ranking, references, state, structured
 
 
 def test_bm25_against_formula(spark):
@@ -206,3 +206,20 @@ def test_cleaning_follows_one_pass(spark):
     assert "Running Head" not in spark.createDataFrame([(head * 3,)], "t string").select(documents.clean_text("t")).first()[0]
     docs = spark.createDataFrame([({"abstract": "x\ny", "odd": None},)], "sections map<string,string>")
     assert documents.clean_sections(docs).first()[0] == {"abstract": "x y", "odd": ""}
+
+
+def test_digits_of_identifiers_are_no_year(spark):
+    texts = [
+        "5) SMITH. Deep. DOI: 10.1234/ab.2019", "[2] C. Jones. “Other matters here”. In Proc. 1999, 2021. arXiv:2101.01999v2 https://x.org/2001.", "[3] Doe, J. (2004). The third work here. Nature 2005.",
+        "[4] Lee, K. A fourth long work. Journal 12021, 2021. doi:10.1/x",
+    ]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", references.parse("t").alias("c")).orderBy("i").select("c.*").collect()
+    assert [r["year"] for r in got] == [None, 2021, 2004, 2021]
+    assert (got[0]["authors"], got[0]["confidence"], got[1]["venue"], got[3]["venue"]) == (["SMITH. Deep. DOI: 10.1234/ab.2019"], 0.55, "”. In Proc. 1999", "Journal 12021")
+
+
+def test_a_line_that_ends_begins_no_heading(spark):
+    lines = ["text", ".", "METHODS", "more.", "vivid.", "Abstract", "3", "Results", "end"]
+    rows = spark.createDataFrame([("d", 1, i, x) for i, x in enumerate(lines)], "doc_id string, page_number int, line_no int, line string")
+    got = [(r["line_no"], r["section"]) for r in documents.sections(rows).orderBy("line_no").collect()]
+    assert got == [(0, "front_matter"), (1, "front_matter"), (2, "methodology"), (3, "methodology"), (4, "methodology"), (5, "abstract"), (6, "results"), (8, "results")]

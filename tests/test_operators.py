@@ -223,3 +223,22 @@ def test_a_line_that_ends_begins_no_heading(spark):
     rows = spark.createDataFrame([("d", 1, i, x) for i, x in enumerate(lines)], "doc_id string, page_number int, line_no int, line string")
     got = [(r["line_no"], r["section"]) for r in documents.sections(rows).orderBy("line_no").collect()]
     assert got == [(0, "front_matter"), (1, "front_matter"), (2, "methodology"), (3, "methodology"), (4, "methodology"), (5, "abstract"), (6, "results"), (8, "results")]
+
+
+def test_metrics_by_label_are_those_of_pairs(spark):
+    rows = [(i, None if i % 11 == 0 else i % 3) for i in range(40)] + [(7, 1)]
+    labels = spark.createDataFrame(rows, "vec_id long, label int")
+    queries = labels.where("vec_id % 5 = 0").withColumnRenamed("vec_id", "query_id")
+    ranked = spark.createDataFrame([("c", q, (q * 7 + r * 3) % 40, r) for q in range(0, 40, 5) for r in range(1, 9)], "config string, query_id long, vec_id long, rank int")
+    pairs = queries.join(labels, "label").where("vec_id <> query_id").select("query_id", "vec_id")
+    got = metrics.per_query_by_label(ranked, queries, labels, (2, 5), key="vec_id")
+    assert sorted(got.collect()) == sorted(metrics.per_query(ranked, pairs, (2, 5), key="vec_id").collect())
+    # No join on the label has queries on one side and keys on the other.
+    assert got.where("recall_5 > 0").count() > 0
+
+
+def test_a_search_scores_documents_once(spark):
+    docs = spark.createDataFrame([(i, f"alpha beta w{i}") for i in range(50)], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "alpha w3")], "query_id long, text string")
+    for found in (lexical.search(queries, docs, 5), dense.search(docs.select(F.col("doc_id").alias("vec_id"), F.array(F.lit(1.0), F.col("doc_id").cast("double")).alias("embedding")), queries.select("query_id", F.array(F.lit(1.0), F.lit(2.0)).alias("embedding")), 5)):
+        assert "MapInArrow" not in found._jdf.queryExecution().optimizedPlan().toString() and found.count() == 5

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources import stores
 from .documents import let
 
 # How much of a paragraph a chunk must hold, how near a competitor may be, and what an unanswerable question is answered with.
@@ -16,6 +17,8 @@ UNANSWERABLE = "The question is unanswerable from the paper."
 FIGURES = r"(?i)\b(?:table|figure|fig\.|caption)\b"
 #: Wrappers around an annotation that are opened: lists, and objects with an answer.
 DEPTH = 6
+#: Of a paragraph's rarest words, those whose first chunks are compared before others.
+SEEDS = 3
 
 
 def _at(row: Column | str, *names: str) -> Column:
@@ -216,32 +219,86 @@ def union_tiers(tiers: dict[str, DataFrame], key: str = "id") -> DataFrame:
 # ---- coverage -----------------------------------------------------------
 
 
+def _best(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("e").agg(F.min(F.when(F.col("shared") > 0, F.struct((-F.col("shared")).alias("s"), F.col("chunk_id").alias("id")))).alias("b"), F.max("exact").alias("exact"))
+
+
+def _rivals(known: DataFrame, tried: DataFrame, posts: DataFrame) -> DataFrame:
+    """(e, chunk_id): chunks that may share more of a paragraph than those that were tried, or as much and come first, or that it may stand in.
+
+    One of the m - b rarest of a paragraph's m words is in chunks that share more than b; those that share b may have only the next.
+    """
+    kind, m, b = posts.schema["chunk_id"].dataType, F.size("known"), -F.col("b.s")
+    none = F.array().cast(f"array<struct<w: string, before: {kind.simpleString()}>>")
+    word = lambda x: F.struct(x["w"].alias("w"), F.lit(None).cast(kind).alias("before"))
+    more = F.transform(F.slice("known", F.lit(1), F.greatest(m - b, F.lit(0))), word)
+    equal = F.when(b > 1, F.transform(F.slice("known", m - b + 1, F.lit(1)), lambda x: F.struct(x["w"].alias("w"), F.col("b.id").alias("before"))))
+    within = F.filter("known", lambda x: x["inner"])
+    spelled = F.when(~F.col("exact") & (F.size(within) == F.col("n_inner")), F.transform(F.slice(within, 1, 1), word))
+    wanted = known.join(_best(tried), "e").select("e", F.explode(F.concat(more, F.coalesce(equal, none), F.coalesce(spelled, none))).alias("x")).select("e", "x.*")
+    return wanted.join(posts, "w").where("before IS NULL OR chunk_id < before").select("e", "chunk_id").distinct()
+
+
+def closest(paragraphs: DataFrame, chunks: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(e, n, shared, chunk_id, exact): of each paragraph, the first chunk that shares most of its content words, how many, and whether it stands in any chunk. shared and chunk_id are null if no word is shared.
+
+    paragraphs: e, paragraph; seeds (e, chunk_id): chunks that are likely to be near, such as those
+    that are labelled. They and the first chunks with the rarest words are compared first; a chunk that
+    shares b of the m words that any chunk has, has one of the m - b + 1 rarest of them, so after that only
+    chunks are compared that can beat these. Chunks of equal text are compared once.
+    """
+    # Text that stands in a chunk shares all its words with it, but for the two at its ends, which may be cut.
+    flat = lambda c: T.fold(T.squeezed(F.coalesce(c, F.lit(""))))
+    tokens = F.regexp_extract_all(F.lower("paragraph"), F.lit(T.CONTENT_TOKEN), F.lit(0))
+    inner = T.content_tokens(F.array_join(F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 2, F.lit(0))), " "))
+    said = paragraphs.select("e", flat(F.col("paragraph")).alias("flat"), T.content_tokens("paragraph").alias("words"), inner.alias("inner"))
+    said = stores.kept(said.where("flat <> ''"), "paragraphs")
+    wide = max(chunks.sparkSession.sparkContext.defaultParallelism, int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    held = chunks.repartition(wide, "text").groupBy("text").agg(F.min("chunk_id").alias("chunk_id")).select("chunk_id", flat(F.col("text")).alias("held"), T.content_tokens("text").alias("has"))
+    held = stores.kept(held.where("held <> ''"), "texts")
+    posts = held.select("chunk_id", F.explode("has").alias("w"))
+
+    vocabulary = posts.groupBy("w").agg(F.count("*").alias("df"), F.min("chunk_id").alias("first"))
+    spoken = said.select("e", F.explode("words").alias("w"), "inner").select("e", "w", F.array_contains("inner", F.col("w")).alias("inner"), F.size("inner").alias("n_inner"))
+    known = spoken.join(vocabulary, "w").groupBy("e").agg(F.array_sort(F.collect_list(F.struct("df", "w", "inner", "first"))).alias("known"), F.first("n_inner").alias("n_inner"))
+    known = stores.kept(known, "known")
+
+    likely = seeds.unionByName(known.select("e", F.explode(F.transform(F.slice("known", 1, SEEDS), lambda x: x["first"])).alias("chunk_id"))).distinct()
+    named = likely.join(chunks.select("chunk_id", "text"), "chunk_id").select("e", "chunk_id", "text")
+    tried = named.join(said.select("e", "flat", "words"), "e").select("e", F.size(F.array_intersect("words", T.content_tokens("text"))).alias("shared"), "chunk_id", flat(F.col("text")).contains(F.col("flat")).alias("exact"))
+    tried = stores.kept(tried, "tried")
+
+    pairs = _rivals(known, tried, posts)
+    # Chunks that share one word are told by the vocabulary.
+    one = known.select("e", F.lit(1).alias("shared"), F.array_min(F.transform("known", lambda x: x["first"])).alias("chunk_id"), F.lit(False).alias("exact"))
+    compared = pairs.join(held, "chunk_id").join(said.select("e", "flat", "words"), "e").select("e", F.size(F.array_intersect("words", "has")).alias("shared"), "chunk_id", F.col("held").contains(F.col("flat")).alias("exact"))
+    # Paragraphs without a word inside, few, are looked for in all texts.
+    odd = said.where(F.size("inner") == 0).join(tried.where("exact").select("e").distinct(), "e", "left_anti")
+    odd = odd.join(held, F.col("held").contains(F.col("flat"))).select("e", F.lit(0).alias("shared"), "chunk_id", F.lit(True).alias("exact"))
+    found = _best(compared.unionByName(tried).unionByName(one).unionByName(odd))
+    return found.join(said.select("e", F.size("words").alias("n")), "e").select("e", "n", (-F.col("b.s")).alias("shared"), F.col("b.id").alias("chunk_id"), "exact")
+
+
 def audit(misses: DataFrame, chunks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Why each missed question was missed: its evidence is not indexed, or it is and was ranked too low.
 
     misses: question_id, paper_id, evidence, gold_ids; chunks: chunk_id, paper_id, section,
-    text. Evidence meets the chunks of all papers through its content words, so that
-    a chunk is looked at only if it shares one. Gives bucket, cause, the counts
-    behind them, and the best chunk.
+    text. Evidence is compared with the chunks of all papers; equal paragraphs once. Gives
+    bucket, cause, the counts behind them, and the best chunk.
     """
-    evidence = misses.select("question_id", F.posexplode("evidence").alias("pos", "paragraph")).withColumn("words", T.content_tokens("paragraph"))
-    spoken = evidence.select("question_id", "pos", F.size("words").alias("n"), F.explode("words").alias("w"))
-    held = chunks.select("chunk_id", F.explode(T.content_tokens("text")).alias("w"))
-    shares = held.join(spoken, "w").groupBy("question_id", "pos", "chunk_id").agg((F.count("*") / F.first("n")).alias("share"))
-    best = shares.groupBy("question_id").agg(F.min(F.struct((-F.col("share")).alias("s"), F.col("pos").alias("p"), F.col("chunk_id").alias("id"))).alias("b"))
-    best = best.select("question_id", F.round(-F.col("b.s"), 6).alias("best_overlap"), F.col("b.id").alias("best_chunk_id"))
-    # Text that stands in a chunk shares most of its words with it; the two at its ends may be cut.
-    flat = lambda c: T.fold(T.squeezed(F.coalesce(c, F.lit(""))))
-    likely = shares.join(evidence.select("question_id", "pos", "paragraph", F.size("words").alias("n")), ["question_id", "pos"]).where("share * n >= n - 2")
-    exact = likely.join(chunks.select("chunk_id", "text"), "chunk_id").where(flat(F.col("text")).contains(flat(F.col("paragraph"))))
-    exact = exact.select("question_id").distinct().withColumn("exact_substring", F.lit(True))
-
-    gold = misses.select("question_id", F.explode_outer("gold_ids").alias("chunk_id")).join(chunks.select("chunk_id", "section", T.content_tokens("text").alias("has")), "chunk_id")
+    evidence = misses.select("question_id", "gold_ids", F.posexplode("evidence").alias("pos", "paragraph")).select("*", F.md5(F.col("paragraph").cast("binary")).alias("e"), T.content_tokens("paragraph").alias("words"))
+    seeds = evidence.select("e", F.explode("gold_ids").alias("chunk_id"))
+    near = stores.kept(closest(evidence.select("e", "paragraph").distinct(), chunks, seeds), "closest")
+    found = evidence.select("question_id", "pos", "e").join(near, "e")
+    best = found.groupBy("question_id").agg(F.min(F.when(F.col("shared") > 0, F.struct((-F.col("shared") / F.col("n")).alias("s"), F.col("pos").alias("p"), F.col("chunk_id").alias("id")))).alias("b"), F.max("exact").alias("exact_substring"))
+    best = best.select("question_id", F.round(-F.col("b.s"), 6).alias("best_overlap"), F.col("b.id").alias("best_chunk_id"), "exact_substring")
+
+    gold = misses.select("question_id", F.explode_outer("gold_ids").alias("chunk_id")).join(chunks.select("chunk_id", "section", "text"), "chunk_id").withColumn("has", T.content_tokens("text"))
     gold = gold.groupBy("question_id").agg(F.count("*").alias("gold_chunks_in_index"), F.array_sort(F.collect_set(F.nullif(F.trim("section"), F.lit("")))).alias("sections"), F.array_distinct(F.flatten(F.collect_list("has"))).alias("has"))
     combined = evidence.join(gold.select("question_id", "has"), "question_id").groupBy("question_id").agg(F.max(T.overlap(F.col("words"), F.col("has"))).alias("combined"))
     papers = chunks.groupBy("paper_id").agg(F.count("*").alias("paper_chunks_in_index"))
 
-    rows = misses.join(best, "question_id", "left").join(exact, "question_id", "left").join(gold.drop("has"), "question_id", "left").join(combined, "question_id", "left").join(papers, "paper_id", "left")
+    rows = misses.join(best, "question_id", "left").join(gold.drop("has"), "question_id", "left").join(combined, "question_id", "left").join(papers, "paper_id", "left")
     rows = rows.join(chunks.select(F.col("chunk_id").alias("best_chunk_id"), F.coalesce("section", F.lit("")).alias("best_section")), "best_chunk_id", "left")
     counts = {c: F.coalesce(c, F.lit(0)) for c in ("gold_chunks_in_index", "paper_chunks_in_index")}
     rows = rows.withColumns(counts | {"best_overlap": F.coalesce("best_overlap", F.lit(0.0)), "exact_substring": F.coalesce("exact_substring", F.lit(False)), "best_section": F.coalesce("best_section", F.lit(""))})

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import answers, benchmarks, corpus, dense, documents, metrics, ranking, references, reports, state
+from .operators import answers, benchmarks, corpus, dense, documents, lexical, metrics, ranking, references, reports, state
 from .plans import generation, ingestion, retrieval
 from .queries import content_sql, fold_sql, overlap_sql, query, squeeze_sql, table, tokens_sql
 from .queries_retrieval import CHUNKS_SQL, asked
@@ -524,7 +524,7 @@ SELECT 'q' || e.doc_id AS question_id, CASE k WHEN 0 THEN '(b) Evidence present,
   CASE k WHEN 0 THEN 'Reviewed evidence is indexed in a; this is a top-4 ranking miss.' WHEN 1 THEN 'Source paper has no chunks in the benchmark BM25 index.' WHEN 2 THEN 'Source paper is indexed, but labeled evidence appears table/figure-related and is absent.'
     ELSE 'Source paper is indexed, but no chunk reaches the evidence-overlap threshold' || CASE WHEN best > 0 THEN '; nearest text is in a.' ELSE '.' END END AS cause FROM e JOIN b ON q = doc_id""")
 def _(spark, sf):
-    docs = table(spark, sf, "documents").where("text IS NOT NULL AND length(text) > 400")
+    docs = lexical.spread(table(spark, sf, "documents")).where("text IS NOT NULL AND length(text) > 400")
     chunks = documents.fixed_windows(docs, stride=300, size=300).select(F.concat_ws("-", "doc_id", "ord").alias("chunk_id"), F.concat(F.lit("P"), "doc_id").alias("paper_id"), F.lit("a").alias("section"), "text")
     k = F.col("doc_id") % 4
     said = F.when(k == 0, F.substring("text", 11, 200)).when(k == 2, F.lit("see Table 3 unheard")).otherwise(F.concat(F.lit("unheard words "), _n()))

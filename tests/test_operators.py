@@ -1,11 +1,13 @@
 import math
+import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
-from paperloom.operators import answers, dense, documents, entities, lexical, metrics, ranking, references, state, structured
+from paperloom.operators import answers, benchmarks, dense, documents, entities, lexical, metrics, ranking, references, state, structured
 
 
 def test_bm25_against_formula(spark):
@@ -242,3 +244,37 @@ def test_a_search_scores_documents_once(spark):
     queries = spark.createDataFrame([(1, "alpha w3")], "query_id long, text string")
     for found in (lexical.search(queries, docs, 5), dense.search(docs.select(F.col("doc_id").alias("vec_id"), F.array(F.lit(1.0), F.col("doc_id").cast("double")).alias("embedding")), queries.select("query_id", F.array(F.lit(1.0), F.lit(2.0)).alias("embedding")), 5)):
         assert "MapInArrow" not in found._jdf.queryExecution().optimizedPlan().toString() and found.count() == 5
+
+
+def test_audit_compares_what_can_be_nearest_and_no_more(spark, monkeypatch):
+    rnd = random.Random(3)
+    common = [f"common{i}" for i in range(12)]
+    texts = [" ".join(rnd.sample(common, 8) + [f"rare{rnd.randrange(900)}" for _ in range(4)]) for _ in range(400)]
+    texts += [texts[5], texts[7], None, "", "The. of", "common0", "common1 common2", "Straße  von common3 nach common4 hin", "界限 模型\n问题 x", "hththth"]
+    ids = [f"c{i}" for i in range(len(texts))]
+    cut = lambda t: t[3:-3]  # noqa: E731  the words at both ends are cut
+    evidence = [[cut(t)] for t in texts[:300]] + [[f"unheard words no{i} common{i % 12}"] for i in range(100)] + [
+        ["common0"], ["common2 common1"], ["common0 rare1", cut(texts[9]), cut(texts[8])], [], ["of the"], ["common7 rare3 rare5 rare8 common1"], ["von common3 nach"], ["traße von COMMON3 \n nach comm"], ["zzz"], ["common0 common0 common0"], ["模型 问题"], ["thth"], [" \n"], ["asse von COMMON3 nach"],
+    ]
+    gold = [[ids[i]] if i % 2 == 0 and i < 300 else [] for i in range(len(evidence))]
+    misses = spark.createDataFrame([(f"q{i}", "p", e, g) for i, (e, g) in enumerate(zip(evidence, gold))], "question_id string, paper_id string, evidence array<string>, gold_ids array<string>")
+    chunks = spark.createDataFrame([(i, "p", "s", t) for i, t in zip(ids, texts)], "chunk_id string, paper_id string, section string, text string")
+    seen, rivals = [], benchmarks._rivals
+
+    def counted(*args):
+        seen.append(rivals(*args).count())
+        return rivals(*args)
+
+    monkeypatch.setattr(benchmarks, "_rivals", counted)
+    found = {r["question_id"]: (r["best_overlap"], r["best_chunk_id"], r["exact_substring"]) for r in benchmarks.audit(misses, chunks).collect()}
+    stop = set(T.STOP_WORDS)
+    words = lambda t: {w for w in re.findall(T.CONTENT_TOKEN, (t or "").lower()) if len(w) > 1 and w not in stop}
+    flat = lambda t: " ".join((t or "").lower().replace("ß", "ss").split())
+    sets, expected = [words(t) for t in texts], {}
+    for i, paragraphs in enumerate(evidence):
+        rows = [(-len(words(p) & s) / len(words(p)), at, c) for at, p in enumerate(paragraphs) for c, s in zip(ids, sets) if words(p) & s]
+        exact = any(flat(p) in flat(t) for p in paragraphs if flat(p) for t in texts)
+        expected[f"q{i}"] = (round(-min(rows)[0], 6), min(rows)[2], exact) if rows else (0.0, "", exact)
+    assert found == expected
+    # Of the pairs, nearly all of which share a common word, few are compared.
+    assert seen[0] < 0.05 * len(evidence) * len(texts)

@@ -21,7 +21,7 @@ from pyspark.sql import types as ST
 
 from ..functions import text as T
 from ..hooks import LLMBackend
-from ..operators import answers, structured
+from ..operators import answers, ranking, structured
 from ..sources import stores
 from . import retrieval
 
@@ -199,12 +199,21 @@ def chat(
     """Each question routed, answered, and, if its answer abstains, answered once more over a corpus that was enriched for it: answered_by is original or enriched.
 
     Questions that name several papers are searched paper by paper, the others at once.
+    What was fetched is searched with the whole corpus and by itself, and both rankings
+    are dealt in turn: however many chunks of the corpus rank before it, copies of what
+    did not answer among them, they do not keep it from the second answer.
     """
-    def asked(rows: DataFrame, over: retrieval.Corpus) -> DataFrame:
-        ranked = retrieval.route(rows, over, titles, reranker=reranker).select("query_id", "chunk_id", F.col("position").alias("rank"))
+    def placed(rows: DataFrame, over: retrieval.Corpus) -> DataFrame:
+        return retrieval.route(rows, over, titles, reranker=reranker).select("query_id", "chunk_id", F.col("position").alias("rank"))
+
+    def answered(rows: DataFrame, ranked: DataFrame, over: retrieval.Corpus) -> DataFrame:
         return generate(rows, ranked, over.chunks, make, system, user, **options)
 
-    first = _kept(asked(questions, corpus))
+    def with_chunks(chunks: DataFrame) -> retrieval.Corpus:
+        made = retrieval.Corpus(chunks, None, corpus.embed)
+        return made if corpus.vectors is None else made.with_vectors()
+
+    first = _kept(answered(questions, placed(questions, corpus), corpus))
     if enrich is None:
         return first.withColumn("answered_by", F.lit("original"))
     gave_up = first.where(abstains(F.col("structured"), F.size("sources"))).select("query_id")
@@ -212,9 +221,12 @@ def chat(
     more = None if poor.isEmpty() else enrich(poor)
     if more is None:
         return first.withColumn("answered_by", F.lit("original"))
-    new = more.join(corpus.chunks.select("chunk_id"), "chunk_id", "left_anti").dropDuplicates(["chunk_id"])
-    wider = retrieval.Corpus(corpus.chunks.unionByName(new, allowMissingColumns=True), None, corpus.embed)
-    second = asked(poor, wider if corpus.vectors is None else wider.with_vectors())
+    # Fetched once, and read by both searches and for the contexts.
+    new = _kept(more.join(corpus.chunks.select("chunk_id"), "chunk_id", "left_anti").dropDuplicates(["chunk_id"]))
+    wider = with_chunks(corpus.chunks.unionByName(new, allowMissingColumns=True))
+    lists = placed(poor, with_chunks(new)).withColumn("source", F.lit(0)).unionByName(placed(poor, wider).withColumn("source", F.lit(1)))
+    dealt = ranking.round_robin(lists, key="chunk_id").select("query_id", "chunk_id", F.col("position").alias("rank"))
+    second = answered(poor, dealt, wider)
     return first.join(gave_up, "query_id", "left_anti").withColumn("answered_by", F.lit("original")).unionByName(second.withColumn("answered_by", F.lit("enriched")))
 
 

@@ -392,3 +392,31 @@ def test_what_plans_wrote_on_their_way_is_removed(spark):
     assert kept.count() == 3 and stores.exists(spark, path)
     stores.drop_kept(spark)
     assert not stores.exists(spark, path) and not stores._made
+
+
+def test_what_was_fetched_is_in_the_second_context_whatever_ranks_before_it(spark):
+    class Model:
+        def complete(self, system, user):
+            return "So [1]." if "fetched" in user else "Insufficient evidence."
+
+    said = {"q1": "alpha beta gamma", "q2": "delta epsilon zeta"}
+    copies = [(f"c{i:02}", f"p{i}", "T", "Method", " ".join([said["q1"]] * 9)) for i in range(30)]
+    other = [(f"d{i:02}", "p", "T", "Method", " ".join(f"w{i}x{j}" for j in range(200))) for i in range(30)]
+    chunks = spark.createDataFrame(copies + other, "chunk_id string, paper_id string, title string, section string, text string")
+    questions = spark.createDataFrame(list(said.items()), "query_id string, text string")
+    titles = spark.createDataFrame([], "norm string, title string")
+
+    def enrich(poor):
+        return poor.select(F.concat(F.lit("new-"), "query_id").alias("chunk_id"), F.lit("new").alias("paper_id"), F.lit("New").alias("title"), F.lit("Method").alias("section"), F.concat("text", F.lit(" fetched")).alias("text"))
+
+    rows = generation.chat(questions, retrieval.Corpus(chunks), titles, Model, "s", "{{ question }}\n{{ context }}", enrich=enrich).collect()
+    assert {(r["query_id"], r["answered_by"], r["answer"], r["context_chunk_ids"][0]) for r in rows} == {(q, "enriched", "So [1].", f"new-{q}") for q in said}
+    # The corpus is still searched for the second answer.
+    assert "c00" in next(r["context_chunk_ids"] for r in rows if r["query_id"] == "q1")
+
+
+def test_a_search_without_terms_reads_no_documents(spark):
+    docs = spark.range(3).select(F.col("id").alias("doc_id"), F.raise_error(F.lit("read")).cast("string").alias("text"))
+    queries = spark.createDataFrame([("q", " "), ("r", None)], "query_id string, text string")
+    found = lexical.search(queries, docs, 4)
+    assert found.collect() == [] and found.dtypes == [("query_id", "string"), ("doc_id", "bigint"), ("score", "double"), ("rank", "int")]

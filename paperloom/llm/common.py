@@ -69,6 +69,18 @@ def drop_intermediates(spark: SparkSession, since: int = 0, keep: int = 0) -> No
     del _made[since:stop]
 
 
+def made_so_far() -> int:
+    """How many intermediates there are: what comes after them is of the caller."""
+    return len(_made)
+
+
+def drop_named(spark: SparkSession, names: Sequence[str], since: int) -> None:
+    """Remove those of the intermediates after the first ``since`` that materialise wrote by these names, as nothing reads them again."""
+    for at in reversed(range(since, len(_made))):
+        if _made[at][0].rsplit("/", 1)[1].rsplit("-", 1)[0] in names:
+            drop_intermediates(spark, at, keep=len(_made) - at - 1)
+
+
 def settled(build: Callable[[], DataFrame], spark: SparkSession, name: str) -> DataFrame:
     """What build returns, as a table in the shared folder; what it wrote on its way is removed."""
     since = len(_made)

@@ -272,3 +272,27 @@ def test_long_lists_of_one_root_are_not_held(spark, monkeypatch):
     long = df.groupBy("gram").agg(F.count("*").alias("long"))
     got = {r["gram"]: r["n"] for r in jaccard._several_roots(df, long, 3).groupBy("gram").agg(F.count("*").alias("n")).collect()}
     assert got == {2: 30, 3: 2}
+
+
+def test_phrases_pass_a_chunks_ids_on_packed(spark, monkeypatch):
+    """No row of a collected list of a chunk's ids, nor an array of all its pairs: both grew with what a task got."""
+    rng = random.Random(8)
+    rows = [(" ".join(rng.choice(["a", "b", "c", "d"]) for _ in range(40)), "en") for _ in range(60)]
+    monkeypatch.setattr(collocations, "CHUNK_WORDS", 100)
+    made, keep = {}, collocations.materialise
+    monkeypatch.setattr(collocations, "materialise", lambda df, name: made.setdefault(name, keep(df, name)))
+    monkeypatch.setattr(collocations, "drop_named", lambda *_: None)
+    phrases = collocations.phrases(spark.createDataFrame(rows, "text string, lang string"))
+    assert phrases.count() > 0
+    for name in ("phrase-pairs-1", "phrase-pairs-2", "phrase-names-2"):
+        assert not [t for _, t in made[name].dtypes if t.startswith("array")], name
+    blocks = made["phrase-names-2"].where("kind = 1")
+    assert blocks.count() <= 4 * made["phrase-pairs-2"].where("kind = 1").count() < blocks.agg(F.sum("total")).first()[0]
+
+
+def test_codes_and_ids_are_packed_and_opened():
+    codes, ids = np.array([5, -1, 0, 1 << 30], np.int32), np.array([0, 7, 7 + (1 << 40), (1 << 62)])
+    for n in (0, 1, 4):
+        got = collocations._unpacked(collocations._packed(codes[:n], ids[:n]), n)
+        assert got[0].tolist() == codes[:n].tolist() and got[1].tolist() == ids[:n].tolist()
+    assert collocations._unpacked(collocations._packed(codes), 4)[0].tolist() == codes.tolist()

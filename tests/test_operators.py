@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
 from paperloom.operators import answers, benchmarks, dense, documents, entities, lexical, metrics, ranking, references, state, structured
+from paperloom.plans import retrieval
 
 
 def test_bm25_against_formula(spark):
@@ -157,6 +158,22 @@ def test_named_papers_as_in_plain_python(spark):
     assert documents.near_duplicate_pairs(["alpha beta gamma", "Alpha  beta gamma", "other"]) == [(0, 1)]
 
 
+def test_papers_named_without_ascii_words_are_found_among_any_number_of_titles(spark):
+    asked = ["「日本」と  研究の比較", "über 日本 und deep nets", "日 本, 研究 再 研究 再々 études ∑∫ …", "…∑∫ 日本研究の比較と展望について"]
+    titles = ["日本", "研究", "Deep Nets", "研究 再々", "∑∫", "日本研究の比較と展望について", "日本研究の比較と展望に"]
+    q = spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "query_id long, text string")
+    few = entities.known_titles(spark.createDataFrame([(t,) for t in titles], "t string"), "t")
+    many = few.unionByName(spark.range(entities.MAX_BROADCAST_TITLES).select(F.concat(F.lit("unasked"), "id").alias("norm"), F.concat(F.lit("Unasked"), "id").alias("title")))
+    chunks = spark.createDataFrame([("c1", "p1", "Deep Nets", "a", "deep nets are deep")], "chunk_id string, paper_id string, title string, section string, text string")
+    missing = []
+    for known in (few, many):
+        got = {r["query_id"]: r["titles"] for r in entities.named_papers(q, known).collect()}
+        assert got == {i: entities.mentions(text, titles) for i, text in enumerate(asked)}
+        _, report = retrieval.per_entity(q, retrieval.Corpus(chunks), known, search=retrieval.sparse_search)
+        missing.append(sorted(tuple(r) for r in retrieval.papers_without_evidence(report).collect()))
+    assert missing[0] == missing[1] and (0, "研究") in missing[0] and (1, "Deep Nets") not in missing[0]
+
+
 def test_first_of_any_key_is_order_dependent(spark):
     rows = spark.createDataFrame([(1, "a", "x", "b"), (2, "a", "y", "b"), (3, "c", "y", "b"), (4, None, "", "b")], "pos int, arxiv string, doi string, batch string")
     assert sorted(r["pos"] for r in documents.first_of_any_key(rows, ["arxiv", "doi"], "pos", "batch").collect()) == [1, 3, 4]

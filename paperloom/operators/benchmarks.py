@@ -19,6 +19,10 @@ FIGURES = r"(?i)\b(?:table|figure|fig\.|caption)\b"
 DEPTH = 6
 #: Of a paragraph's rarest words, those whose first chunks are compared before others.
 SEEDS = 3
+#: Keys that are broadcast, as hashes, to leave rows without them out before a join; where there are more, all rows go to it, with equal results.
+MAX_BROADCAST_KEYS = 4_000_000
+#: Rows of paragraphs' rare words, some 500 bytes each, that are broadcast to the chunks at once; more go in several turns.
+MAX_WANTED = 100_000
 
 
 def _at(row: Column | str, *names: str) -> Column:
@@ -223,20 +227,58 @@ def _best(rows: DataFrame) -> DataFrame:
     return rows.groupBy("e").agg(F.min(F.when(F.col("shared") > 0, F.struct((-F.col("shared")).alias("s"), F.col("chunk_id").alias("id")))).alias("b"), F.max("exact").alias("exact"))
 
 
-def _rivals(known: DataFrame, tried: DataFrame, posts: DataFrame) -> DataFrame:
-    """(e, chunk_id): chunks that may share more of a paragraph than those that were tried, or as much and come first, or that it may stand in.
+def _only(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """rows without most of those whose column is not among wanted's, for a join with these: what is left out is not shuffled."""
+    keys = stores.kept(wanted.select(F.xxhash64(column).alias("_key")).distinct(), "keys")
+    if keys.count() > MAX_BROADCAST_KEYS:
+        return rows
+    return rows.withColumn("_key", F.xxhash64(column)).join(F.broadcast(keys), "_key", "left_semi").drop("_key")
 
-    One of the m - b rarest of a paragraph's m words is in chunks that share more than b; those that share b may have only the next.
+
+def _bits(words: Column) -> Column:
+    """A number of 64 bits, of which each word has one by its hash."""
+    mark = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(w), F.lit(64)).cast("int"))
+    return F.aggregate(words, F.lit(0).cast("long"), lambda bits, w: bits.bitwiseOR(mark(w)))
+
+
+def _wanted(known: DataFrame, tried: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
+    """(e, w, before, words, need): words whose chunks are to be compared with a paragraph, before which chunk, and of what words how many they must share. First for chunks that may be nearer, second for those it may stand in.
+
+    One of the m - b rarest of a paragraph's m words is in chunks that share more than b; those that share b, as much as the
+    best that was tried, may have only the next.
     """
-    kind, m, b = posts.schema["chunk_id"].dataType, F.size("known"), -F.col("b.s")
-    none = F.array().cast(f"array<struct<w: string, before: {kind.simpleString()}>>")
-    word = lambda x: F.struct(x["w"].alias("w"), F.lit(None).cast(kind).alias("before"))
-    more = F.transform(F.slice("known", F.lit(1), F.greatest(m - b, F.lit(0))), word)
-    equal = F.when(b > 1, F.transform(F.slice("known", m - b + 1, F.lit(1)), lambda x: F.struct(x["w"].alias("w"), F.col("b.id").alias("before"))))
-    within = F.filter("known", lambda x: x["inner"])
-    spelled = F.when(~F.col("exact") & (F.size(within) == F.col("n_inner")), F.transform(F.slice(within, 1, 1), word))
-    wanted = known.join(_best(tried), "e").select("e", F.explode(F.concat(more, F.coalesce(equal, none), F.coalesce(spelled, none))).alias("x")).select("e", "x.*")
-    return wanted.join(posts, "w").where("before IS NULL OR chunk_id < before").select("e", "chunk_id").distinct()
+    m, b = F.size("known"), -F.col("b.s")
+    word = lambda before, need: lambda x: F.struct(x["w"].alias("w"), before.alias("before"), need.cast("int").alias("need"))
+    names = lambda words: F.transform(words, lambda x: x["w"]).alias("words")
+    anywhere, within = F.lit(None).cast(kind), F.filter("known", lambda x: x["inner"])
+    more = F.transform(F.slice("known", F.lit(1), F.greatest(m - b, F.lit(0))), word(anywhere, b + 1))
+    equal = F.transform(F.slice("known", m - b + 1, F.when(b > 1, 1).otherwise(0)), word(F.col("b.id"), b))
+    found = stores.kept(known.join(_best(tried), "e"), "known-best")
+    nearer = found.select("e", F.explode(F.concat(more, equal)).alias("x"), names(F.col("known"))).select("e", "x.w", "x.before", "words", "x.need")
+    spelled = found.where(~F.col("exact") & (F.size(within) > 0) & (F.size(within) == F.col("n_inner")))
+    spelled = spelled.select("e", F.get(within, F.lit(0))["w"].alias("w"), anywhere.alias("before"), names(within), F.size(within).alias("need"))
+    return stores.kept(nearer, "nearer"), stores.kept(spelled, "spelled")
+
+
+def _rivals(wanted: DataFrame, texts: DataFrame) -> DataFrame:
+    """(e, chunk_id, words, has, need): the pairs that are compared, where chunks lie: those that hold a wanted word, and may hold as many as wanted."""
+    sent = wanted.withColumn("bits", _bits(F.col("words"))).withColumn("spare", F.size("words") - F.bit_count("bits"))
+    posts = texts.select("chunk_id", "has", _bits(F.col("has")).alias("held"), F.explode("has").alias("w"))
+    # Bits tell of most chunks that they have too few of the words.
+    may = F.bit_count(F.col("bits").bitwiseAND(F.col("held"))) + F.col("spare") >= F.col("need")
+    near = posts.join(F.broadcast(sent), "w").where(F.col("before").isNull() | (F.col("chunk_id") < F.col("before"))).where(may)
+    return near.select("e", "chunk_id", "words", "has", "need")
+
+
+def _sharing(wanted: DataFrame, texts: DataFrame) -> DataFrame:
+    """(e, shared, chunk_id) of the chunks that share as many words as wanted."""
+    return _rivals(wanted, texts).select("e", F.size(F.array_intersect("words", "has")).alias("shared"), "chunk_id", "need").where("shared >= need").drop("need")
+
+
+def _turns(wanted: DataFrame) -> list[DataFrame]:
+    """wanted in parts of about MAX_WANTED rows; none, if it is empty."""
+    n = -(-wanted.count() // MAX_WANTED)
+    return [wanted if n == 1 else wanted.where(F.pmod(F.xxhash64("e"), F.lit(n)) == i) for i in range(n)]
 
 
 def closest(paragraphs: DataFrame, chunks: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -245,7 +287,7 @@ def closest(paragraphs: DataFrame, chunks: DataFrame, seeds: DataFrame) -> DataF
     paragraphs: e, paragraph; seeds (e, chunk_id): chunks that are likely to be near, such as those
     that are labelled. They and the first chunks with the rarest words are compared first; a chunk that
     shares b of the m words that any chunk has, has one of the m - b + 1 rarest of them, so after that only
-    chunks are compared that can beat these. Chunks of equal text are compared once.
+    chunks are compared that can beat these. Only texts that are compared are shuffled.
     """
     # Text that stands in a chunk shares all its words with it, but for the two at its ends, which may be cut.
     flat = lambda c: T.fold(T.squeezed(F.coalesce(c, F.lit(""))))
@@ -253,30 +295,35 @@ def closest(paragraphs: DataFrame, chunks: DataFrame, seeds: DataFrame) -> DataF
     inner = T.content_tokens(F.array_join(F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 2, F.lit(0))), " "))
     said = paragraphs.select("e", flat(F.col("paragraph")).alias("flat"), T.content_tokens("paragraph").alias("words"), inner.alias("inner"))
     said = stores.kept(said.where("flat <> ''"), "paragraphs")
-    wide = max(chunks.sparkSession.sparkContext.defaultParallelism, int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    held = chunks.repartition(wide, "text").groupBy("text").agg(F.min("chunk_id").alias("chunk_id")).select("chunk_id", flat(F.col("text")).alias("held"), T.content_tokens("text").alias("has"))
-    held = stores.kept(held.where("held <> ''"), "texts")
-    posts = held.select("chunk_id", F.explode("has").alias("w"))
+    texts = stores.kept(chunks.select("chunk_id", T.content_tokens("text").alias("has")), "words")
 
-    vocabulary = posts.groupBy("w").agg(F.count("*").alias("df"), F.min("chunk_id").alias("first"))
+    vocabulary = texts.select("chunk_id", F.explode("has").alias("w")).groupBy("w").agg(F.count("*").alias("df"), F.min("chunk_id").alias("first"))
     spoken = said.select("e", F.explode("words").alias("w"), "inner").select("e", "w", F.array_contains("inner", F.col("w")).alias("inner"), F.size("inner").alias("n_inner"))
     known = spoken.join(vocabulary, "w").groupBy("e").agg(F.array_sort(F.collect_list(F.struct("df", "w", "inner", "first"))).alias("known"), F.first("n_inner").alias("n_inner"))
     known = stores.kept(known, "known")
 
-    likely = seeds.unionByName(known.select("e", F.explode(F.transform(F.slice("known", 1, SEEDS), lambda x: x["first"])).alias("chunk_id"))).distinct()
-    named = likely.join(chunks.select("chunk_id", "text"), "chunk_id").select("e", "chunk_id", "text")
-    tried = named.join(said.select("e", "flat", "words"), "e").select("e", F.size(F.array_intersect("words", T.content_tokens("text"))).alias("shared"), "chunk_id", flat(F.col("text")).contains(F.col("flat")).alias("exact"))
-    tried = stores.kept(tried, "tried")
+    def compared(pairs: DataFrame) -> DataFrame:
+        """pairs (e, chunk_id) with the number of words that both share, and whether the paragraph stands in the chunk."""
+        rows = _only(chunks.select("chunk_id", "text"), "chunk_id", pairs).join(pairs, "chunk_id").join(said.select("e", "flat", "words"), "e")
+        return rows.select("e", F.size(F.array_intersect("words", T.content_tokens("text"))).alias("shared"), "chunk_id", flat(F.col("text")).contains(F.col("flat")).alias("exact"))
 
-    pairs = _rivals(known, tried, posts)
+    likely = seeds.unionByName(known.select("e", F.explode(F.transform(F.slice("known", 1, SEEDS), lambda x: x["first"])).alias("chunk_id"))).distinct()
+    tried = stores.kept(compared(stores.kept(likely, "likely")), "tried")
     # Chunks that share one word are told by the vocabulary.
     one = known.select("e", F.lit(1).alias("shared"), F.array_min(F.transform("known", lambda x: x["first"])).alias("chunk_id"), F.lit(False).alias("exact"))
-    compared = pairs.join(held, "chunk_id").join(said.select("e", "flat", "words"), "e").select("e", F.size(F.array_intersect("words", "has")).alias("shared"), "chunk_id", F.col("held").contains(F.col("flat")).alias("exact"))
+    rows = tried.unionByName(one)
+    nearer, spelled = _wanted(known, tried, texts.schema["chunk_id"].dataType.simpleString())
+    for part in _turns(nearer):
+        # Of each paragraph, a task passes on one chunk.
+        best = _sharing(part, texts).groupBy("e").agg(F.min(F.struct((-F.col("shared")).alias("s"), F.col("chunk_id").alias("id"))).alias("b"))
+        rows = rows.unionByName(stores.kept(best.select("e", (-F.col("b.s")).alias("shared"), F.col("b.id").alias("chunk_id"), F.lit(False).alias("exact")), "nearest"))
+    for part in _turns(spelled):
+        rows = rows.unionByName(compared(stores.kept(_sharing(part, texts).select("e", "chunk_id").distinct(), "standing")))
     # Paragraphs without a word inside, few, are looked for in all texts.
-    odd = said.where(F.size("inner") == 0).join(tried.where("exact").select("e").distinct(), "e", "left_anti")
-    odd = odd.join(held, F.col("held").contains(F.col("flat"))).select("e", F.lit(0).alias("shared"), "chunk_id", F.lit(True).alias("exact"))
-    found = _best(compared.unionByName(tried).unionByName(one).unionByName(odd))
-    return found.join(said.select("e", F.size("words").alias("n")), "e").select("e", "n", (-F.col("b.s")).alias("shared"), F.col("b.id").alias("chunk_id"), "exact")
+    odd = said.where(F.size("inner") == 0).join(tried.where("exact").select("e").distinct(), "e", "left_anti").select("e", "flat")
+    if not odd.isEmpty():
+        rows = rows.unionByName(odd.join(chunks.select("chunk_id", flat(F.col("text")).alias("held")), F.col("held").contains(F.col("flat"))).select("e", F.lit(0).alias("shared"), "chunk_id", F.lit(True).alias("exact")))
+    return _best(rows).join(said.select("e", F.size("words").alias("n")), "e").select("e", "n", (-F.col("b.s")).alias("shared"), F.col("b.id").alias("chunk_id"), "exact")
 
 
 def audit(misses: DataFrame, chunks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -293,7 +340,8 @@ def audit(misses: DataFrame, chunks: DataFrame, threshold: float = THRESHOLD) ->
     best = found.groupBy("question_id").agg(F.min(F.when(F.col("shared") > 0, F.struct((-F.col("shared") / F.col("n")).alias("s"), F.col("pos").alias("p"), F.col("chunk_id").alias("id")))).alias("b"), F.max("exact").alias("exact_substring"))
     best = best.select("question_id", F.round(-F.col("b.s"), 6).alias("best_overlap"), F.col("b.id").alias("best_chunk_id"), "exact_substring")
 
-    gold = misses.select("question_id", F.explode_outer("gold_ids").alias("chunk_id")).join(chunks.select("chunk_id", "section", "text"), "chunk_id").withColumn("has", T.content_tokens("text"))
+    labelled = misses.select("question_id", F.explode_outer("gold_ids").alias("chunk_id"))
+    gold = labelled.join(_only(chunks.select("chunk_id", "section", "text"), "chunk_id", labelled), "chunk_id").withColumn("has", T.content_tokens("text"))
     gold = gold.groupBy("question_id").agg(F.count("*").alias("gold_chunks_in_index"), F.array_sort(F.collect_set(F.nullif(F.trim("section"), F.lit("")))).alias("sections"), F.array_distinct(F.flatten(F.collect_list("has"))).alias("has"))
     combined = evidence.join(gold.select("question_id", "has"), "question_id").groupBy("question_id").agg(F.max(T.overlap(F.col("words"), F.col("has"))).alias("combined"))
     papers = chunks.groupBy("paper_id").agg(F.count("*").alias("paper_chunks_in_index"))

@@ -174,6 +174,37 @@ def test_papers_named_without_ascii_words_are_found_among_any_number_of_titles(s
     assert missing[0] == missing[1] and (0, "研究") in missing[0] and (1, "Deep Nets") not in missing[0]
 
 
+@pytest.mark.parametrize("keys,wanted", [(4_000_000, 100_000), (0, 7)])
+def test_coverage_writes_and_deals_out_no_texts(spark, monkeypatch, keys, wanted):
+    """As brute force, in one turn and in several, with keys broadcast and not; before, all chunks' texts were written, and dealt out with their pairs."""
+    monkeypatch.setattr(benchmarks, "MAX_BROADCAST_KEYS", keys, raising=False)
+    monkeypatch.setattr(benchmarks, "MAX_WANTED", wanted, raising=False)
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(40)] + ["Straße", "日本"]
+    said = lambda n: " ".join(rng.choices(vocabulary, [1 / (i + 1) for i in range(len(vocabulary))], k=n))
+    texts = [said(rng.randint(1, 12)) for _ in range(150)]
+    texts += [texts[0], "", " ", "x", None, "日本 の  研究"]
+    chunks = [(f"c{i}", t) for i, t in enumerate(texts)]
+    paragraphs = [(f"e{i}", t) for i, t in enumerate([said(rng.randint(1, 9)) for _ in range(60)] + [t[2:-1] for t in texts[:30]] + ["nothing w1 known", "日本 の", "の", "unheard", "w3 unheard", texts[3].upper()])]
+    seeds = [(f"e{60 + i}", f"c{i}") for i in range(0, 30, 2)]
+    written, keep = [], benchmarks.stores.kept
+    monkeypatch.setattr(benchmarks.stores, "kept", lambda df, name: written.append((name, df)) or keep(df, name))
+    df = spark.createDataFrame(paragraphs, "e string, paragraph string")
+    got = benchmarks.closest(df, spark.createDataFrame(chunks, "chunk_id string, text string").repartition(3), spark.createDataFrame(seeds, "e string, chunk_id string"))
+    got = {r["e"]: (r["n"], r["shared"], r["chunk_id"], r["exact"]) for r in got.collect()}
+    tokens = lambda t: {w for w in re.findall(r"[a-z0-9]+(?:[._+#-][a-z0-9]+)*", (t or "").lower()) if len(w) > 1}
+    flat = lambda t: " ".join((t or "").lower().split()).replace("ß", "ss")
+    want = {}
+    for e, p in paragraphs:
+        ranked = [(-len(tokens(p) & tokens(t)), c) for c, t in chunks]
+        exact = any(flat(p) in flat(t) for _, t in chunks)
+        s, c = min(ranked)
+        if flat(p) and (s or exact):
+            want[e] = (len(tokens(p)), -s or None, c if s else None, exact)
+    assert got == want and sum(x[3] for x in want.values()) > 20
+    assert written and not [name for name, df in written if {"text", "held"} & set(df.columns)]
+
+
 def test_first_of_any_key_is_order_dependent(spark):
     rows = spark.createDataFrame([(1, "a", "x", "b"), (2, "a", "y", "b"), (3, "c", "y", "b"), (4, None, "", "b")], "pos int, arxiv string, doi string, batch string")
     assert sorted(r["pos"] for r in documents.first_of_any_key(rows, ["arxiv", "doi"], "pos", "batch").collect()) == [1, 3, 4]
